@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, matroska, packing
+from . import chat, linededup, matroska, packing
 from .common import documents
 
 
@@ -14,6 +15,11 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.document_digest(documents(spark, sf_dir))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = chat.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return chat.conversation_digest(chat.format_segments(convs))
@@ -23,5 +29,39 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_matroska, op8_chat_formatting, op9_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_matroska, op5_line_dedup, op8_chat_formatting, op9_packing)}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+keyed AS (SELECT doc_id, k, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+refs AS (SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT doc_id, k, line, last_doc IS NOT NULL AND doc_id < last_doc AS gone FROM keyed LEFT JOIN refs USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""",
+    "op8_chat_formatting": """
+WITH convs AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS k,
+  lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM convs),
+sized AS (
+  SELECT *, CASE role WHEN 'system' THEN before IS NULL WHEN 'user' THEN before IS NULL OR before IN ('system', 'assistant')
+                      WHEN 'assistant' THEN coalesce(before = 'user', false) ELSE false END AS fits,
+    CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 18 WHEN 'assistant' THEN 7 ELSE 19 + length(role) END
+    + length(text) + (length(text) - length(replace(text, chr(92), '')))
+    + (length(text) - length(replace(text, '<<SYS>>', ''))) // 7 + (length(text) - length(replace(text, '<</SYS>>', ''))) // 8
+    + (length(text) - length(replace(text, '<s>', ''))) // 3 + (length(text) - length(replace(text, '</s>', ''))) // 4
+    + (length(text) - length(replace(text, '<a>', ''))) // 3 + (length(text) - length(replace(text, '[INST]', ''))) // 6
+    + (length(text) - length(replace(text, '[/INST]', ''))) // 7 + (length(text) - length(replace(text, '[ROLE]', ''))) // 6
+    + (length(text) - length(replace(text, '[/ROLE]', ''))) // 7 + (length(text) - length(replace(text, '[NAME]', ''))) // 6 AS n
+  FROM ranked)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(n)::BIGINT AS formatted_chars, min(k) FILTER (WHERE NOT fits) AS violation
+FROM sized GROUP BY conv_id""",
+}
