@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, matroska, packing
+from . import chat, linededup, matroska, packing, toxicity
 from .common import documents
 
 
@@ -20,6 +20,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score_ids(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = chat.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return chat.conversation_digest(chat.format_segments(convs))
@@ -29,7 +34,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_matroska, op5_line_dedup, op8_chat_formatting, op9_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_matroska, op5_line_dedup, op7_toxicity, op8_chat_formatting, op9_packing)}
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": """
 WITH lines AS (
