@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, matroska, packing, toxicity
+from . import chat, linededup, matroska, minhash, packing, toxicity
 from .common import documents
 
 
@@ -20,6 +20,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), words=2, percent=80)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score_ids(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -34,7 +38,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_matroska, op5_line_dedup, op7_toxicity, op8_chat_formatting, op9_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_matroska, op5_line_dedup, op6_minhash, op7_toxicity, op8_chat_formatting, op9_packing)}
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": """
 WITH lines AS (
@@ -47,6 +51,25 @@ marked AS (SELECT doc_id, k, line, last_doc IS NOT NULL AND doc_id < last_doc AS
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op6_minhash": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+  ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+sizes AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+-- Of each set, the rarest elements: two similar sets share one of the first n - ceil(0.8 n) + 1.
+items AS (SELECT doc_id, unnest(s) AS e FROM sets),
+freq AS (SELECT e, count(*) AS f FROM items GROUP BY e HAVING count(*) > 1),
+ranked AS (SELECT i.doc_id, i.e, row_number() OVER (PARTITION BY i.doc_id ORDER BY coalesce(f, 1), i.e) AS k FROM items i LEFT JOIN freq USING (e)),
+prefix AS (SELECT r.doc_id, r.e FROM ranked r JOIN sizes z USING (doc_id) WHERE r.k <= z.n - (z.n * 4 + 4) // 5 + 1),
+cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM prefix a JOIN prefix b ON a.e = b.e AND a.doc_id < b.doc_id),
+links AS (SELECT c.a, c.b FROM cand c JOIN sets x ON x.doc_id = c.a JOIN sets y ON y.doc_id = c.b
+  WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s)))),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT z.doc_id, z.n AS n_shingles, c.component_id, z.doc_id = c.component_id AS kept FROM sizes z JOIN comp c USING (doc_id)""",
     "op8_chat_formatting": """
 WITH convs AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
