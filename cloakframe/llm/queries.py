@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, matroska, minhash, packing, toxicity
+from . import chat, linededup, matroska, maxent, minhash, packing, toxicity
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.document_digest(documents(spark, sf_dir))
 
 
+def op2_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(documents(spark, sf_dir))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -38,7 +42,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_matroska, op5_line_dedup, op6_minhash, op7_toxicity, op8_chat_formatting, op9_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_matroska, op2_maxent, op5_line_dedup, op6_minhash, op7_toxicity, op8_chat_formatting, op9_packing)}
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": """
 WITH lines AS (
