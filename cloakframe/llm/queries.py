@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, matroska, maxent, minhash, packing, toxicity
+from . import chat, linededup, matroska, maxent, minhash, packing, sentencepieces, toxicity
 from .common import documents
 
 
@@ -42,7 +42,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_matroska, op2_maxent, op5_line_dedup, op6_minhash, op7_toxicity, op8_chat_formatting, op9_packing)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode_documents(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_matroska, op2_maxent, op5_line_dedup, op6_minhash, op7_toxicity, op8_chat_formatting, op9_packing, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": """
 WITH lines AS (
