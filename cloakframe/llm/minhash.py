@@ -152,17 +152,22 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, root): the smallest number that can be reached from each end of an edge."""
-    both = written(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w"))).where("v != w").distinct())
-    labels = written(both.groupBy("v").agg(F.least("v", F.min("w")).alias("root")))
+    """(v, root): the smallest number that can be reached from each end of an edge.
+
+    In each round every vertex goes to its smallest neighbour's place, and from there one place on; then the edges are
+    contracted to those between different places, of which soon none are left.
+    """
+    edges = written(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("v").alias("w"), "root"), "w").groupBy("v").agg(F.min("root").alias("near"))
-        least = labels.join(near, "v").select("v", "root", F.least("root", "near").alias("low"))
-        jump = labels.select(F.col("v").alias("low"), F.col("root").alias("far"))
-        moved = written(least.join(jump, "low").select("v", "root", F.least("low", "far").alias("next")))
-        changed = moved.where("next != root").limit(1).count()
-        labels = moved.select("v", F.col("next").alias("root"))
-        if not changed:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("a").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e"))
+        parent = written(ends.groupBy("e.v").agg(F.min("e.w").alias("p")))
+        moved = written(parent.join(parent.select(F.col("v").alias("p"), F.col("p").alias("root")), "p").select("v", "root"))
+        labels = moved if labels is None else written(labels.join(moved.select(F.col("v").alias("root"), F.col("root").alias("far")), "root", "left").select("v", F.coalesce("far", "root").alias("root")))
+        at = lambda c: moved.select(F.col("v").alias(c), F.col("root").alias(f"{c}_root"))
+        near = edges.join(at("a"), "a").join(at("b"), "b").where("a_root != b_root")
+        edges = written(near.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct())
+        if not edges.limit(1).count():
             return labels
 
 
@@ -232,9 +237,9 @@ def blockwise(docs: DataFrame, apart: DataFrame, words: int, percent: int) -> Da
     A family is what shared buckets connect. Its members are dealt to blocks of about ``BLOCK`` by hash and every block
     of apart classes meets every block of members in a task of its own, which holds the sets of one block.
     """
-    chains = apart.select(F.col("v").alias("a"), F.col("pivot").alias("b")).where("a != b").distinct()
-    family = components(chains).select("v", F.col("root").alias("family"))
-    own = apart.groupBy("v").agg(F.min("root").alias("root"), F.max((F.col("root") != F.col("big")).cast("int")).alias("out")).join(family, "v")
+    chains = apart.select(F.col("root").alias("a"), F.col("big").alias("b")).where("a != b").distinct()
+    family = components(chains).select(F.col("v").alias("root"), F.col("root").alias("family"))
+    own = apart.groupBy("v").agg(F.min("root").alias("root"), F.max((F.col("root") != F.col("big")).cast("int")).alias("out")).join(family, "root")
     own = written(own)
     count = own.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.sum("out") / BLOCK).cast("int").alias("outs"))
     dealt = own.join(count, "family").withColumn("h", F.xxhash64("v"))
