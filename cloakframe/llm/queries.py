@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive, chat, linededup, matroska, maxent, minhash, packing, sentencepieces, toxicity
+from . import additive, chat, linededup, matroska, maxent, minhash, packing, sentencepieces, toxicity, weakpii
 from .common import documents
 
 
@@ -24,6 +24,10 @@ def op3_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive.search(table, table.where("vec_id % 50 = 0"), k=5)
 
 
+def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weakpii.span_digest(documents(spark, sf_dir))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -51,7 +55,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_documents(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_matroska, op2_maxent, op3_additive_quantisation, op5_line_dedup, op6_minhash, op7_toxicity, op8_chat_formatting, op9_packing, op10_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_matroska, op2_maxent, op3_additive_quantisation, op4_weak_supervision_pii, op5_line_dedup, op6_minhash, op7_toxicity, op8_chat_formatting, op9_packing, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {
     # Every vector of the tables has 64 components; at the oracle's scale the search finds all that are nearest.
     "op3_additive_quantisation": """
