@@ -40,9 +40,9 @@ ALL = CLASSES + TAIL
 LAST, SKIP, BOTH, INNER = 1 << 11, 1 << 11, 1 << 13, 1 << 14
 #: Tokens whose counts all tasks hold; a bound on what is broadcast, not on what is counted.
 KNOWN = 1 << 16
-STEPS, RATE, RIDGE = 8, 0.5, 0.5
+STEPS, RATE, RIDGE = 5, 0.5, 0.5
 #: Tasks of a gradient pass. What they read, counts of bounded histories, and what they return, tables, has a bounded size.
-PASSES = 8
+PASSES = 4
 START = HEAD + TAIL
 #: History rows by id: head tokens, tail classes, the start.
 IDS = HEAD + TAIL + 1
@@ -224,8 +224,8 @@ GRADIENT = T.StructType([T.StructField("table", T.IntegerType()), T.StructField(
 NAMES = ("last", "skip", "both", "inner", "bias", "own")
 
 
-def gradients(events: DataFrame, w: Weights) -> DataFrame:
-    """Each task's part of the gradient of the log-likelihood, a row for each table."""
+def gradients(events: DataFrame, w: Weights) -> pa.Table:
+    """Each task's part of the gradient of the log-likelihood, a row for each table: PASSES copies of the tables at most."""
     sent = events.sparkSession.sparkContext.broadcast(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +241,9 @@ def gradients(events: DataFrame, w: Weights) -> DataFrame:
             own = getattr(g, name).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([own], pa.binary()), pa.array([loss if not t else 0.0])], names=["table", "g", "loss"])
 
-    return events.coalesce(PASSES).mapInArrow(run, GRADIENT)
+    out = events.coalesce(PASSES).mapInArrow(run, GRADIENT).toArrow()
+    sent.destroy()
+    return out
 
 
 def class_gradient(w: Weights, g: Weights, k: np.ndarray, c: np.ndarray) -> float:
@@ -293,10 +295,12 @@ def train(events: DataFrame, vocabulary: Vocabulary, steps: int = STEPS) -> tupl
     losses = []
     for _ in range(steps):
         loss, total = 0.0, Weights.zeros()
-        for r in gradients(events, w).collect():
-            loss += r["loss"]
-            table = getattr(total, NAMES[r["table"]])
-            table += np.frombuffer(r["g"], np.float32).reshape(table.shape)
+        parts = gradients(events, w)
+        for k, own, part in zip(*(parts.column(n) for n in ("table", "g", "loss")), strict=True):
+            loss += part.as_py()
+            table = getattr(total, NAMES[k.as_py()])
+            table += np.frombuffer(own.as_buffer(), np.float32).reshape(table.shape)
+        del parts
         for name in NAMES:
             table, square = getattr(w, name), getattr(seen, name)
             g = getattr(total, name) - RIDGE * (table if name not in ("bias", "own") else 0)
@@ -390,8 +394,8 @@ def score_documents(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     learn = docs.where(F.coalesce(training_rows("doc_id", 10), F.lit(False)))
     counts = written(token_counts(learn))
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(KNOWN).collect()
-    vocabulary = Vocabulary([bytes(r["token"]) for r in top], [r["c"] for r in top], total, types)
+    top = counts.orderBy(F.desc("c"), "token").limit(KNOWN).toArrow()
+    vocabulary = Vocabulary(top.column("token").to_pylist(), top.column("c").to_pylist(), total, types)
     events = written(training_events(learn, vocabulary))
     weights, _ = train(events, vocabulary, steps)
     masses = np.log10(tail_masses(counts, vocabulary)).tolist()
