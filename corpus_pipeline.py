@@ -1,22 +1,64 @@
-"""A corpus pipeline of five stages, each an operator of ``cloakframe.llm``."""
+"""A corpus pipeline of five stages, each an operator of ``cloakframe.llm``.
+
+Every stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept. All but the last return the
+columns of ``documents``; a text that a stage changes has its ``n_chars`` counted anew.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cloakframe.llm import linededup, minhash, packing, toxicity, weakpii
+from cloakframe.llm.common import written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model predicts toxic go."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs.select(*COLUMNS), model).where("score < 0.5").select("row.*")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of keys that three documents or more hold stay in the last of them alone. An empty text that was null stays null."""
+    whole = docs.select(*COLUMNS, F.col("text").isNull().alias("__null"))
+    out = linededup.dedup_lines(whole)
+    text = F.when(~F.col("row.__null"), F.col("kept"))
+    return out.select("row.doc_id", text.alias("text"), "row.lang", "row.source", F.when(F.col("n_dropped") > 0, F.length("kept")).otherwise(F.col("row.n_chars")).cast("long").alias("n_chars"))
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of documents with five-word shingles of similarity 0.8 or more, the smallest doc_id stays."""
+    gone = minhash.near_duplicates(docs, words=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
 
-from cloakframe.llm import packing
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in angle brackets."""
+    out = weakpii.masked(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents left, dealt to sequences."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("minhash near-dedup", keep_one_of_near_copies),
+    ("personal data", mask_personal_data),
+    ("packing", pack),
+]
+#: A learned classifier and a tokenizer are among the stages, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
