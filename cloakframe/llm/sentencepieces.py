@@ -31,6 +31,7 @@ GIANT, CHUNK = 1 << 15, 1 << 13
 CACHE_WORDS = 400_000
 LOW = -1e300
 WORD = re.compile(f"{SPACE}*[^{SPACE}]*")
+FORCED = re.compile(f"(?<!{SPACE}){SPACE}")
 
 
 def default_model() -> str:
@@ -77,8 +78,8 @@ class Pieces:
             out.extend([own] if own is not None else [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")])
         return out
 
-    def search(self, text: str) -> tuple[list[str], float]:
-        """The best path through one text, position by position."""
+    def run(self, text: str) -> tuple[list[float], list[int]]:
+        """Values and last pieces' lengths of all positions of a text that begins with a cut."""
         n, get, unknown = len(text), self.begun.get, self.unknown
         best, step = [0.0] + [LOW] * n, [0] * (n + 1)
         for at in range(n):
@@ -98,11 +99,16 @@ class Pieces:
                     break
                 if base + s > best[end]:
                     best[end], step[end] = base + s, end - at
-        out, at = [], n
+        return best, step
+
+    def search(self, text: str) -> tuple[list[str], float]:
+        """The best path through one text, position by position."""
+        best, step = self.run(text)
+        out, at = [], len(text)
         while at:
             out.append(text[at - step[at] : at])
             at -= step[at]
-        return out[::-1], best[n]
+        return out[::-1], best[-1]
 
     def encode(self, text: str) -> tuple[bytes, float]:
         """Little-endian 32-bit ids of a normalized text, and the sum of scores."""
@@ -151,7 +157,6 @@ class Pieces:
         value = np.full((size + len(text), m), LOW)
         value[:size] = enter[::-1]
         step = np.zeros((size + len(text), m), np.int32)
-        shift = size - len(before)
         for end in range(1, len(text) + 1):
             stop = len(before) + end
             top = value[size + end - 2] + self.score(whole[stop - 1])
@@ -165,37 +170,75 @@ class Pieces:
                     by = np.where(better, k, by)
             value[size + end - 1] = top
             step[size + end - 1] = by
-        del shift
         return value, step
 
+    def cuts(self, before: str, text: str) -> tuple[int, int] | None:
+        """The first and the last place of a chunk that every path cuts: where spaces begin."""
+        if not self.words_decouple:
+            return None
+        found = FORCED.search(text, 0 if before else 1)
+        if found and not found.start() and before[-1] == SPACE:
+            found = FORCED.search(text, 1)
+        if not found:
+            return None
+        last = len(text) - 1
+        while text[last] != SPACE or text[last - 1] == SPACE:
+            last -= 1
+            if last <= found.start():
+                return found.start(), found.start()
+        return found.start(), last
+
     def matrix(self, before: str, text: str) -> np.ndarray:
-        """The chunk's transfer matrix: value of leaving state i when entering in state j alone, at 0."""
+        """The chunk's transfer matrix: value of leaving state i when entering in state j alone, at 0.
+
+        All paths meet in forced cuts, so that between the first and the last of them one number stands for all.
+        """
         size = self.longest
         enter = np.full((size, size), LOW)
         np.fill_diagonal(enter, 0.0)
-        value, _ = self.forward(before, text, enter)
-        return np.maximum(value[::-1][:size], LOW)
+        forced = self.cuts(before, text)
+        if forced is None:
+            value, _ = self.forward(before, text, enter)
+            return np.maximum(value[::-1][:size], LOW)
+        first, last = forced
+        head = self.forward(before, text[:first], enter)[0][-1]
+        tail = np.full(size, LOW)
+        best = self.run(text[last:])[0][::-1][:size]
+        tail[: len(best)] = best
+        return np.maximum(tail[:, None] + self.encode(text[first:last])[1] + head[None, :], LOW)
 
     def leaving(self, before: str, text: str, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """From entering values: for each leaving state the state it comes from; and the lengths of last pieces."""
-        value, step = self.forward(before, text, enter[:, None])
-        size, n = self.longest, len(text)
+        """From entering values: for each leaving state the state it comes from; and the lengths of last pieces.
+
+        With a forced cut inside, all states come from the one that its best path enters by.
+        """
+        forced = self.cuts(before, text)
+        own = text if forced is None else text[: forced[0]]
+        _, step = self.forward(before, own, enter[:, None])
+        size, n = self.longest, len(own)
         back = np.zeros(size, np.int64)
-        for j in range(size):
+        for j in range(size if forced is None else 1):
             at = n - j
             while at > 0:
                 at -= int(step[size + at - 1, 0])
             back[j] = -at
-        return back, step[:, 0]
+        return (back if forced is None else np.full(size, back[0])), step[:, 0]
 
-    def backtrace(self, before: str, text: str, enter: np.ndarray, leave: int) -> list[str]:
+    def backtrace(self, before: str, text: str, enter: np.ndarray, leave: int) -> tuple[bytes, float]:
+        """Ids and score of the pieces between a chunk's entering and its leaving cut."""
         _, step = self.leaving(before, text, enter)
-        size, at, out, whole = self.longest, len(text) - leave, [], before + text
+        forced = self.cuts(before, text)
+        first = len(text) - leave if forced is None else forced[0]
+        size, at, out, whole = self.longest, first, [], before + text
         while at > 0:
             k = int(step[size + at - 1])
             out.append(whole[len(before) + at - k : len(before) + at])
             at -= k
-        return out[::-1]
+        ids, score = np.array(self.ids_of(out[::-1]), np.uint32).tobytes(), sum(map(self.score, out))
+        if forced is None:
+            return ids, score
+        more, plus = self.encode(text[forced[0] : len(text) - leave])
+        return ids + more, score + plus
 
 
 def combined(first: np.ndarray, then: np.ndarray) -> np.ndarray:
@@ -288,10 +331,9 @@ def encode_giant(docs: DataFrame, path: str, size: int) -> DataFrame:
     def trace(rows: Iterator[tuple]) -> Iterator[tuple]:
         own = loaded(path)
         for row, k, doc_id, before, text, enter, leave, begin in rows:
-            cuts = own.backtrace(before, text, np.array(enter), leave)
-            ids = np.array(own.ids_of(cuts), np.uint32).tobytes()
+            ids, score = own.backtrace(before, text, np.array(enter), leave)
             whole = (before + text)[len(before) - begin : len(before) + len(text) - leave]
-            yield row, k, doc_id, ids, sum(map(own.score, cuts)), own.decode(ids) == whole
+            yield row, k, doc_id, ids, score, own.decode(ids) == whole
 
     traced = map_rows(known.join(cuts, ["row_no", "k"]), ["row_no", "k", "doc_id", "before", "chunk", "enter", "leave", "begin"], trace, part, 16)
 
