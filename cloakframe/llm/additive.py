@@ -29,7 +29,7 @@ from .common import map_rows, written
 
 BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 8
 SAMPLE, RERANK = 8192, 256
-CODE_BLOCK, QUERY_BLOCK = 1 << 14, 512
+CODE_BLOCK, QUERY_BLOCK = 1 << 16, 256
 
 
 @dataclass
@@ -128,17 +128,40 @@ def unit(vectors: pd.Series) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+ENCODED = T.StructType([T.StructField("cls", T.LongType()), T.StructField("code", T.BinaryType()), T.StructField("norm", T.FloatType())])
+
+
+def encoded(classes: DataFrame, books: Codebooks) -> DataFrame:
+    """(cls, code, norm) of every class, wherever its row is."""
+    sent = classes.sparkSession.sparkContext.broadcast(books)
+
+    def make(rows: Iterator[tuple]) -> Iterator[tuple]:
+        held: list[tuple] = []
+
+        def drained() -> Iterator[tuple]:
+            codes, norms = sent.value.encode(unit(pd.Series([np.array(e) for _, e in held])))
+            yield from zip([k for k, _ in held], [c.tobytes() for c in codes], norms.tolist(), strict=True)
+
+        for row in rows:
+            held.append(row)
+            if len(held) >= 1024:
+                yield from drained()
+                held.clear()
+        if held:
+            yield from drained()
+
+    return map_rows(classes, ["cls", "embedding"], make, ENCODED, 1024)
+
+
 def code_blocks(classes: DataFrame, books: Codebooks, blocks: int) -> DataFrame:
     """Encoded classes, packed by block."""
-    sent = classes.sparkSession.sparkContext.broadcast(books)
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("cls")
-        made = [sent.value.encode(unit(part["embedding"].iloc[at : at + 1024])) for at in range(0, len(part), 1024)]
-        codes, norms = np.concatenate([c for c, _ in made]), np.concatenate([n for _, n in made])
-        return pd.DataFrame({"block": part["block"].iloc[:1], "ids": [part["cls"].to_numpy(np.int64).tobytes()], "codes": [codes.tobytes()], "norms": [norms.tobytes()]})
+        return pd.DataFrame({"block": part["block"].iloc[:1], "ids": [part["cls"].to_numpy(np.int64).tobytes()], "codes": [b"".join(part["code"])], "norms": [part["norm"].to_numpy(np.float32).tobytes()]})
 
-    return classes.select(F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int").alias("block"), "cls", "embedding").groupBy("block").applyInPandas(pack, CODES)
+    dealt = encoded(classes, books).withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int"))
+    return dealt.groupBy("block").applyInPandas(pack, CODES)
 
 
 def query_blocks(queries: DataFrame, blocks: int) -> DataFrame:
@@ -155,7 +178,7 @@ def candidates(classes: DataFrame, queries: DataFrame, books: Codebooks, rerank:
     asked = max(1, -(-queries.count() // QUERY_BLOCK))
     codes = code_blocks(classes, books, blocks)
     dealt = query_blocks(queries, asked).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = dealt.select("block", F.col("ids").alias("q_ids"), "vectors").join(codes, "block").repartition("block", "q_ids")
+    met = dealt.select("asked", "block", F.col("ids").alias("q_ids"), "vectors").join(codes, "block").repartition("block", "asked")
     sent = classes.sparkSession.sparkContext.broadcast(books)
 
     def score(rows: Iterator[tuple]) -> Iterator[tuple]:
