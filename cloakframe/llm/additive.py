@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import map_rows, written
 
 BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 8
-SAMPLE, RERANK = 8192, 256
+SAMPLE, RERANK = 8192, 400
 CODE_BLOCK, QUERY_BLOCK = 1 << 16, 256
 
 
