@@ -44,7 +44,7 @@ def with_operators(entities: DataFrame, policy: str) -> DataFrame:
 def minimized(text: Column, most: int | None = None, strip: bool = True) -> Column:
     """Control characters but line feeds, returns and tabs go, then what is beyond ``most`` characters, then outer space."""
     out = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "") if strip else text
-    return F.trim(F.left(out, F.lit(most)) if most else out)
+    return F.regexp_replace(F.left(out, F.lit(most)) if most else out, r"^\s+|\s+$", "")
 
 
 def high_risk(types: Column) -> Column:

@@ -215,7 +215,7 @@ def fpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.sum(bad).alias("mismatches"), F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, trim(left(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), 50), ' ') AS text FROM documents")
+@query("SELECT doc_id, regexp_replace(left(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), 50), '^\\s+|\\s+$', '', 'g') AS text FROM documents")
 def minimize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_of(spark, sf_dir).select("doc_id", policy.minimized(F.col("text"), 50).alias("text"))
 
