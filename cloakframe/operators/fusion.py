@@ -73,3 +73,17 @@ def analyze(found: DataFrame, text: str = "text", iou: float = 0.35, threshold:
     out = found.withColumn("entities", resolve_overlaps("entities", iou))
     out = out.withColumn("entities", merge_adjacent("entities", f"coalesce({text}, '')"))
     return out.withColumn("entities", thresholds("entities", threshold))
+
+
+def trace(candidates: str, entities: str, least: float = 0.5) -> Column:
+    """For each candidate what became of it: array of (entity_type, start, end, steps), a step being (name, passed, detail)."""
+    kept = f"exists({entities}, e -> e.entity_type = c.entity_type and e.start < c.end and c.start < e.end)"
+    steps = f"""array(named_struct('name', 'recognizer', 'passed', true, 'detail', c.recognizer),
+      named_struct('name', 'threshold', 'passed', c.score >= {least}D, 'detail', cast(c.score as string)),
+      named_struct('name', 'output', 'passed', {kept}, 'detail', if({kept}, 'kept or merged', 'dropped')))"""
+    return F.expr(f"transform({candidates}, c -> named_struct('entity_type', c.entity_type, 'start', c.start, 'end', c.end, 'steps', {steps}))")
+
+
+def byte_offsets(entities: str, text: str) -> Column:
+    """Start and end of each entity in UTF-8 bytes."""
+    return F.expr(f"transform({entities}, e -> named_struct('start', octet_length(left({text}, e.start)), 'end', octet_length(left({text}, e.end))))")

@@ -91,3 +91,12 @@ def decision(entities: str, mode: str, protected: tuple[str, ...], least: float
     hit = F.exists(entities, lambda e: (e["score"] >= least) & e["entity_type"].isin(*protected))
     anything = F.size(entities) > 0
     return {"transparent": F.lit("pass"), "anonymize": F.when(anything, "anonymize").otherwise("pass"), "block": F.when(hit, "block").otherwise("pass"), "alert": F.when(hit, "alert").otherwise("pass")}[mode]
+
+
+def impact_report(score: dict, types: list[str]) -> str:
+    """An impact assessment of one policy in Markdown, from a row of ``impact_scores`` and the types processed."""
+    regulation, _, mapping, audit, unknown, blocks, strips, most, violation = PACKS[score["policy"]]
+    measures = [f"mappings are kept for {mapping} days", f"audit rows are kept for {audit} days", f"unknown types: {unknown}", f"on a violation: {violation}"]
+    measures += ["risky combinations are blocked"] * blocks + ["control characters are stripped"] * strips + [f"texts end after {most} characters"] * bool(most)
+    rows = "\n".join(f"| {t} | {SENSITIVITY.get(t, 10)} |" for t in sorted(set(types)))
+    return f"# Impact of {score['policy']} ({regulation})\n\nRisk {score['score']} of 100: {score['band']}\n\n| type | weight |\n|-|-|\n{rows}\n\n" + "\n".join(f"- {m}" for m in measures) + "\n"
