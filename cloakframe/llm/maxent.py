@@ -208,8 +208,10 @@ def training_events(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         if held:
             yield from _events(held, inner)
 
-    made = docs.select("text").mapInArrow(run, EVENT)
-    return made.groupBy("kind", "k").agg(F.sum("c").alias("c"))
+    # Dealt by history, whose events are bounded in number, and sorted, so that a gradient pass meets each history's events together.
+    made = docs.select("text").mapInArrow(run, EVENT).withColumn("history", F.expr(f"k div if(kind = 0, {ALL}, {WIDTH})"))
+    summed = made.repartition("kind", "history").groupBy("kind", "history", "k").agg(F.sum("c").alias("c"))
+    return summed.sortWithinPartitions("kind", "k").select("kind", "k", "c")
 
 
 def _events(held: list[np.ndarray], inner: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -246,33 +248,40 @@ def gradients(events: DataFrame, w: Weights) -> pa.Table:
     return out
 
 
+def grouped(k: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Histories of sorted events, each event's history by number, and where each history's events begin."""
+    history = k // width
+    new = np.concatenate([[True], history[1:] != history[:-1]])
+    return history[new], np.cumsum(new) - 1, np.flatnonzero(new)
+
+
 def class_gradient(w: Weights, g: Weights, k: np.ndarray, c: np.ndarray) -> float:
     if not len(k):
         return 0.0
-    own, ab = k % ALL, k // ALL
+    ab, of, first = grouped(k, ALL)
     x, y, xy = rows_class(ab // IDS, ab % IDS)
     z = w.last[x] + w.skip[y] + w.both[xy] + w.bias
-    return _apply(z, own, c, ((g.last, x), (g.skip, y), (g.both, xy)), g.bias)
+    return _apply(z, of, first, k % ALL, c, ((g.last, x), (g.skip, y), (g.both, xy)), g.bias)
 
 
 def inner_gradient(w: Weights, g: Weights, k: np.ndarray, c: np.ndarray) -> float:
     if not len(k):
         return 0.0
-    a, t = k // HEAD, k % HEAD
-    own = t // WIDTH
-    row = rows_inner(a, own)
+    ac, of, first = grouped(k, WIDTH)
+    own = ac % CLASSES
+    row = rows_inner(ac // CLASSES, own)
     z = w.inner[row] + w.own[own]
-    return _apply(z, t % WIDTH, c, ((g.inner, row), (g.own, own)), None)
+    return _apply(z, of, first, k % WIDTH, c, ((g.inner, row), (g.own, own)), None)
 
 
-def _apply(z: np.ndarray, own: np.ndarray, c: np.ndarray, tables: tuple, bias: np.ndarray | None) -> float:
+def _apply(z: np.ndarray, of: np.ndarray, first: np.ndarray, own: np.ndarray, c: np.ndarray, tables: tuple, bias: np.ndarray | None) -> float:
     z -= z.max(axis=1, keepdims=True)
     p = np.exp(z)
     p /= p.sum(axis=1, keepdims=True)
-    n = np.arange(len(z))
-    loss = float((c * np.log(p[n, own])).sum())
-    p *= -c[:, None]
-    p[n, own] += c
+    loss = float((c * np.log(p[of, own])).sum())
+    p *= -np.add.reduceat(c, first)[:, None]
+    # Another batch may cut a history in two, but an event comes once.
+    p[of, own] += c
     for table, at in tables:
         add_rows(table, at, p)
     if bias is not None:
