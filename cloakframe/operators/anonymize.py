@@ -47,7 +47,7 @@ def pseudonym(salt: str = "", by_place: bool = False) -> Operator:
 def encrypted(key: str, aad: str = "", nonce: str | None = None) -> Operator:
     """AES-256-GCM, nonce, text and tag in hex. ``key`` and ``nonce`` are SQL expressions of binaries, so that keys come from columns; a fixed nonce is for tests only."""
     iv = f", {nonce}, {lit(aad)}" if nonce else f", unhex(''), {lit(aad)}"
-    return lambda kind, text, n: f"concat('aegis_enc:v1:', lower(hex(aes_encrypt({text}, {key}, 'GCM', 'DEFAULT'{iv}))))".replace("aegis_enc", "enc")
+    return lambda kind, text, n: f"concat('enc:v1:', lower(hex(aes_encrypt({text}, {key}, 'GCM', 'DEFAULT'{iv}))))"
 
 
 def decrypted(value: str, key: str, aad: str = "") -> str:
