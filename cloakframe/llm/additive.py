@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is the sum of one codeword from each of ``BOOKS`` full-dimensional codebooks, trained on residuals. Vectors are
-encoded by beam search and stored as codes with the norm of their sum. A query's inner products with all codewords make
-a lookup table; a candidate's score is the sum of its entries over its stored norm. The best ``RERANK`` by that score
-are ranked again by the exact cosine, in double precision, on the original vectors.
+encoded by beam search and stored as codes with the norm of their sum and the cosine between sum and vector. A query's
+inner products with all codewords make a lookup table; a candidate's score is the sum of its entries over its stored norm.
+The best ``SEED`` of a block by that score give a cosine to beat. The angle between a vector and its sum bounds its cosine
+with the query from above; all vectors whose bound reaches the cosine to beat are ranked by the exact cosine, in double
+precision, on the original vectors. So the ``k`` nearest are found at any size of the table; codes only save work.
 
 Codebooks are fitted on at most ``SAMPLE`` distinct vectors, those of least hash; every row is encoded and searched.
 Equal vectors are one class, searched once, and its smallest ids stand for it, so ties and copies cost nothing and lose
@@ -28,8 +30,8 @@ from pyspark.sql import types as T
 from .common import map_rows, written
 
 BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 8
-SAMPLE, RERANK = 8192, 400
-CODE_BLOCK, QUERY_BLOCK = 1 << 16, 256
+SAMPLE, SEED = 8192, 64
+CODE_BLOCK, QUERY_BLOCK = 1 << 12, 1 << 13
 
 
 @dataclass
@@ -82,6 +84,15 @@ class Codebooks:
         """Inner products of queries with all codewords: queries x BOOKS x words."""
         return np.einsum("qd,mwd->qmw", q.astype(np.float32), self.books, optimize=True)
 
+    def aligned(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Cosines of vectors of length 1 with the sums of their codes."""
+        total = sum(self.books[m][codes[:, m]].astype(np.float64) for m in range(len(self.books)))
+        return ((x * total).sum(1) / np.maximum(np.linalg.norm(total, axis=1), 1e-12)).astype(np.float32)
+
+    def rounding(self) -> float:
+        """Bound of the error of a sum of table entries in single precision."""
+        return (self.books.shape[2] + len(self.books)) * 2.0**-23 * float(np.linalg.norm(self.books, axis=2).max(1).sum())
+
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((c**2).sum(-1) - 2 * x @ c.T).argmin(1)
@@ -89,15 +100,57 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def top_by_tables(tables: np.ndarray, codes: np.ndarray, norms: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
     """For each query the places and scores of its best codes."""
+    return best_of(by_tables(tables, codes, norms), keep)
+
+
+def by_tables(tables: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
     score = np.zeros((len(tables), len(codes)), np.float32)
     for m in range(tables.shape[1]):
         score += tables[:, m, :][:, codes[:, m]]
     score /= np.maximum(norms, 1e-12)
-    keep = min(keep, len(codes))
+    return score
+
+
+def best_of(score: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    keep = min(keep, score.shape[1])
     at = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
     return at, np.take_along_axis(score, at, 1)
 
 
+def nearest_of_block(books: Codebooks, asked: np.ndarray, ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, norms: np.ndarray, align: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its number, and the ids and exact cosines of the ``k`` rows nearest to it, ties to the smaller id."""
+    x, q, d = unit(rows), unit(asked), rows.shape[1]
+    slack = np.float32((2 * d + 64) * 2.0**-23)
+    off = (books.rounding() / np.maximum(norms, 1e-12)).astype(np.float32) + slack
+    away = np.sqrt(np.maximum(0, 1 - align**2) + 2 * off)
+    squares = ordered_dot(rows, rows)
+    for at in range(0, len(q), 64):
+        near = q[at : at + 64]
+        score = np.clip(by_tables(books.tables(near), codes, norms), -1, 1)
+        seeds, _ = best_of(score, max(SEED, k))
+        found = np.einsum("qd,qsd->qs", near, x[seeds])
+        beat = np.partition(found, -k, axis=1)[:, -k] if found.shape[1] >= k else np.full(len(near), -2, np.float32)
+        # cos(a - b) of the angles between query and sum and between sum and vector, widened by what rounding may add.
+        bound = score * align + np.sqrt(1 - score**2 + 2 * off) * away + 3 * off
+        for i, reached in enumerate(bound >= (beat - slack)[:, None]):
+            own = np.flatnonzero(reached)
+            close = x[own] @ near[i]
+            if len(own) > k:
+                own = own[close >= np.partition(close, -k)[-k] - slack]
+            who = asked[at + i]
+            exact = ordered_dot(rows[own], who) / (np.sqrt(ordered_dot(who[None], who)) * np.sqrt(squares[own]))
+            first = np.lexsort((ids[own], -exact))[:k]
+            yield at + i, ids[own[first]], exact[first]
+
+
+def ordered_dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows in double precision, summed in order as ``cosine`` does."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j].astype(np.float64) * b[..., j].astype(np.float64)
+    return out
+
+
 def taking_part(table: DataFrame) -> DataFrame:
     """(vec_id, embedding) of the rows that can be compared."""
     x = F.col("embedding")
@@ -117,30 +170,37 @@ def classes_of(rows: DataFrame, k: int) -> DataFrame:
     return out.select("embedding", F.col("members")[0].alias("cls"), "members")
 
 
-CODES = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("norms", T.BinaryType())])
+CODES = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("norms", T.BinaryType()), T.StructField("aligned", T.BinaryType()), T.StructField("rows", T.BinaryType())])
 ASKED = T.StructType([T.StructField("asked", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("vectors", T.BinaryType())])
-FOUND = T.StructType([T.StructField("q", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("approx", T.FloatType())])
+FOUND = T.StructType([T.StructField("q", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("score", T.DoubleType())])
+
+
+def stacked(vectors: pd.Series, kind: str) -> bytes:
+    return np.stack(vectors.to_numpy()).astype(kind).tobytes()
 
 
-def unit(vectors: pd.Series) -> np.ndarray:
-    x = np.stack(vectors.to_numpy()).astype(np.float64)
+def unit(vectors: pd.Series | np.ndarray) -> np.ndarray:
+    x = (vectors if isinstance(vectors, np.ndarray) else np.stack(vectors.to_numpy())).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-ENCODED = T.StructType([T.StructField("cls", T.LongType()), T.StructField("code", T.BinaryType()), T.StructField("norm", T.FloatType())])
+ENCODED = T.StructType([T.StructField("cls", T.LongType()), T.StructField("code", T.BinaryType()), T.StructField("norm", T.FloatType()), T.StructField("align", T.FloatType())])
 
 
 def encoded(classes: DataFrame, books: Codebooks) -> DataFrame:
-    """(cls, code, norm) of every class, wherever its row is."""
+    """(cls, code, norm, align, embedding) of every class, wherever its row is."""
     sent = classes.sparkSession.sparkContext.broadcast(books)
+    schema = T.StructType([*ENCODED, classes.schema["embedding"]])
 
     def make(rows: Iterator[tuple]) -> Iterator[tuple]:
         held: list[tuple] = []
 
         def drained() -> Iterator[tuple]:
-            codes, norms = sent.value.encode(unit(pd.Series([np.array(e) for _, e in held])))
-            yield from zip([k for k, _ in held], [c.tobytes() for c in codes], norms.tolist(), strict=True)
+            x = unit(np.array([e for _, e in held]))
+            codes, norms = sent.value.encode(x)
+            align = sent.value.aligned(x, codes)
+            yield from zip([k for k, _ in held], [c.tobytes() for c in codes], norms.tolist(), align.tolist(), [e for _, e in held], strict=True)
 
         for row in rows:
             held.append(row)
@@ -150,53 +210,60 @@ def encoded(classes: DataFrame, books: Codebooks) -> DataFrame:
         if held:
             yield from drained()
 
-    return map_rows(classes, ["cls", "embedding"], make, ENCODED, 1024)
+    return map_rows(classes, ["cls", "embedding"], make, schema, 1024)
+
+
+def number_kind(classes: DataFrame) -> str:
+    return "<f4" if isinstance(classes.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
 
 
 def code_blocks(classes: DataFrame, books: Codebooks, blocks: int) -> DataFrame:
-    """Encoded classes, packed by block."""
+    """Encoded classes and their vectors, packed by block."""
+    kind = number_kind(classes)
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("cls")
-        return pd.DataFrame({"block": part["block"].iloc[:1], "ids": [part["cls"].to_numpy(np.int64).tobytes()], "codes": [b"".join(part["code"])], "norms": [part["norm"].to_numpy(np.float32).tobytes()]})
+        return pd.DataFrame({"block": part["block"].iloc[:1], "ids": [part["cls"].to_numpy(np.int64).tobytes()], "codes": [b"".join(part["code"])], "norms": [part["norm"].to_numpy(np.float32).tobytes()], "aligned": [part["align"].to_numpy(np.float32).tobytes()], "rows": [stacked(part["embedding"], kind)]})
 
     dealt = encoded(classes, books).withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int"))
     return dealt.groupBy("block").applyInPandas(pack, CODES)
 
 
 def query_blocks(queries: DataFrame, blocks: int) -> DataFrame:
+    kind = number_kind(queries)
+
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("cls")
-        return pd.DataFrame({"asked": part["asked"].iloc[:1], "ids": [part["cls"].to_numpy(np.int64).tobytes()], "vectors": [unit(part["embedding"]).tobytes()]})
+        return pd.DataFrame({"asked": part["asked"].iloc[:1], "ids": [part["cls"].to_numpy(np.int64).tobytes()], "vectors": [stacked(part["embedding"], kind)]})
 
     return queries.select(F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int").alias("asked"), "cls", "embedding").groupBy("asked").applyInPandas(pack, ASKED)
 
 
-def candidates(classes: DataFrame, queries: DataFrame, books: Codebooks, rerank: int = RERANK) -> DataFrame:
-    """(q, cls): for each query class the best classes by lookup tables; it is itself among them or added later."""
+def candidates(classes: DataFrame, queries: DataFrame, books: Codebooks, k: int) -> DataFrame:
+    """(q, cls): for each query class the ``k`` nearest classes; it is itself among them or added later."""
     blocks = max(1, -(-classes.count() // CODE_BLOCK))
     asked = max(1, -(-queries.count() // QUERY_BLOCK))
     codes = code_blocks(classes, books, blocks)
     dealt = query_blocks(queries, asked).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     met = dealt.select("asked", "block", F.col("ids").alias("q_ids"), "vectors").join(codes, "block").repartition("block", "asked")
     sent = classes.sparkSession.sparkContext.broadcast(books)
+    kind = number_kind(classes)
 
     def score(rows: Iterator[tuple]) -> Iterator[tuple]:
         books = sent.value
         d, m = books.books.shape[2], len(books.books)
-        for q_ids, vectors, ids, codes, norms in rows:
-            q, own = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-            x, c, n = np.frombuffer(vectors, np.float32).reshape(-1, d), np.frombuffer(codes, np.uint8).reshape(-1, m), np.frombuffer(norms, np.float32)
-            for at in range(0, len(q), 64):
-                place, value = top_by_tables(books.tables(x[at : at + 64]), c, n, rerank)
-                for who, p, v in zip(q[at : at + 64].tolist(), place, value, strict=True):
-                    yield from zip([who] * len(p), own[p].tolist(), v.tolist(), strict=True)
+        for q_ids, vectors, ids, codes, norms, aligned, own in rows:
+            q = np.frombuffer(q_ids, np.int64)
+            floats = (np.frombuffer(b, np.float32) for b in (norms, aligned))
+            block = np.frombuffer(ids, np.int64), np.frombuffer(own, kind).reshape(-1, d), np.frombuffer(codes, np.uint8).reshape(-1, m), *floats
+            for who, near, value in nearest_of_block(books, np.frombuffer(vectors, kind).reshape(-1, d), *block, k):
+                yield from zip([int(q[who])] * len(near), near.tolist(), value.tolist(), strict=True)
 
     from pyspark.sql import Window
 
-    found = map_rows(met, ["q_ids", "vectors", "ids", "codes", "norms"], score, FOUND, 8192)
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("approx"), "cls"))
-    return found.withColumn("r", rank).where(F.col("r") <= rerank).select("q", "cls")
+    found = map_rows(met, ["q_ids", "vectors", "ids", "codes", "norms", "aligned", "rows"], score, FOUND, 8192)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))
+    return found.withColumn("r", rank).where(F.col("r") <= k).select("q", "cls")
 
 
 def cosine(a: str, b: str) -> F.Column:
@@ -223,7 +290,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     if books is None:
         return table.sparkSession.createDataFrame([], schema)
     distinct = written(own.select("q").distinct().join(classes.select(F.col("cls").alias("q"), "embedding"), "q").select(F.col("q").alias("cls"), "embedding"))
-    near = candidates(classes, distinct, books).unionByName(distinct.select(F.col("cls").alias("q"), "cls")).distinct()
+    near = candidates(classes, distinct, books, k + 1).unionByName(distinct.select(F.col("cls").alias("q"), "cls")).distinct()
     both = near.join(classes.select("cls", F.col("embedding").alias("b"), "members"), "cls").join(distinct.select(F.col("cls").alias("q"), F.col("embedding").alias("a")), "q")
     scored = both.select("q", "cls", "members", cosine("a", "b").alias("score"))
     first = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))

@@ -152,6 +152,18 @@ def test_search_of_odd_vectors(spark):
     assert [(r["query_id"], r["vec_id"]) for r in additive.search(few, few.where("vec_id = 50"), 5).collect()] == [(50, 51)]
 
 
+def test_search_finds_the_nearest_among_many_near_copies(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(7000, 32)).astype(np.float32)
+    x[:3000] = x[0] + 1e-3 * rng.normal(size=(3000, 32))
+    table = spark.createDataFrame([(k, e) for k, e in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = additive.search(table, table.where("vec_id % 500 = 0"), 5).collect()
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = {q: [c for c in np.argsort(-(u @ u[q]), kind="stable").tolist() if c != q][:5] for q in range(0, 7000, 500)}
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(q, r, c) for q in near for r, c in enumerate(near[q], 1)]
+
+
 def test_beam_is_no_worse_than_greedy_and_recall_holds():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(4000, 32)).astype(np.float32)
