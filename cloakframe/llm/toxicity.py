@@ -6,6 +6,8 @@ the product is made deterministic, so that every word of every text is run throu
 weight learned for its term and distance. Hits inside quotation marks count apart from the others, whose weights
 are summed over windows of words; a logistic model over these figures gives the score.
 
+Words are runs of letters, digits and combining marks of any script; all other characters separate them.
+
 Labels of at most ``max_labelled`` rows are used (those of least hash); lexicon and automaton are bounded by
 ``max_terms``. Scores use the text alone. Defined cases: a null text is scored as an empty one, which has no hits;
 without labelled rows of both kinds every score is the share of toxic labels, or 0; rows are scored one by one, so
@@ -16,10 +18,12 @@ text pass through whatever their names.
 from __future__ import annotations
 
 import math
-import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,8 +39,31 @@ STEM = (3, 8)
 END = "$"
 #: Signs and digits that stand for letters in disguised words.
 FOLDED = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-TABLE = 0x250
-WORDS = re.compile(r"\w+")
+
+
+def letter_of(cp: int) -> str:
+    """The letter in lower case, or a space for what stands in no word; letters, digits and marks of all scripts do."""
+    c = chr(cp)
+    if not c.isalnum() and unicodedata.category(c)[0] != "M":
+        return " "
+    return c.casefold() if len(c.casefold()) == 1 else c.lower()[:1]
+
+
+class Letters(dict):
+    """``letter_of`` for ``str.translate``, kept for the code points met."""
+
+    def __missing__(self, cp: int) -> str:
+        self[cp] = letter_of(cp)
+        return self[cp]
+
+
+LETTERS = Letters()
+
+
+@lru_cache(1)
+def all_letters() -> np.ndarray:
+    """Of every code point its letter's, signs read as letters included; 0 for separators."""
+    return np.fromiter((0 if (c := FOLDED.get(chr(cp)) or letter_of(cp)) == " " else ord(c) for cp in range(sys.maxunicode + 1)), np.int32, sys.maxunicode + 1)
 
 
 def edits_allowed(term: str) -> int:
@@ -133,19 +160,18 @@ class Automaton:
             ends = [(s[1], s[2]) for s in state if s[0] < 0] + [(s[1], whole[s[0]]) for s in state if s[0] >= 0 and not s[2] and s[0] in whole and s[1] <= allowed[whole[s[0]]]]
             if ends:
                 distance[k], term[k] = min(ends)
-        classes = np.zeros(TABLE + 1, np.int64)
-        for cp in range(TABLE):
-            c = FOLDED.get(chr(cp), chr(cp).lower()[:1])
-            classes[cp] = symbol.get(c, 1) if c.isalnum() else 0
-        classes[TABLE] = 1
+        known = np.ones(sys.maxunicode + 1, np.int32)
+        known[0] = 0
+        for c, k in symbol.items():
+            known[ord(c)] = k
+        classes = known[all_letters()]
         step = np.array([rows[k] for k in range(len(number))], np.int32)
         return cls(terms, step, term, distance, classes, max((len(t) for t in terms), default=0) + 2)
 
     def scan(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hits of all texts: text number, word number in it, character, term, distance; and the words of each text."""
         cps = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = self.classes[np.minimum(cps, TABLE)]
-        kind[(cps >= 0x2000) & (cps < 0x2070)] = 0
+        kind = self.classes[cps]
         inside = kind != 0
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
         begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -237,7 +263,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
 
 def candidates(text: str) -> set[str]:
     """Words, marked as whole, and stems of a text."""
-    words = {w for w in WORDS.findall(text.lower()) if 3 <= len(w) <= 32 and not w.isdigit()}
+    words = {w for w in text.translate(LETTERS).split() if 3 <= len(w) <= 32 and not w.isdigit()}
     return {w + END for w in words} | {w[:k] for w in words for k in range(STEM[0], min(len(w), STEM[1]) + 1)}
 
 

@@ -81,6 +81,20 @@ def test_toxicity_holds_out(spark, odd, none):
     assert toxicity.fit(none, labels).terms == [] and toxicity.fit(docs, labels.where("toxic = 0")).terms == []
 
 
+def test_toxicity_of_any_script(spark):
+    terms = ["идиот", "ΗΛΊΘΙΟΣ", "أحمق", "मूर्ख", "混蛋东西", "ngốc"]
+    rows = [(k, f"слово {['один', 'два', 'три'][k % 3]} word{k} " + (f"„{terms[k // 4 % 6]}” 😀" if k % 4 == 0 else "")) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    learned = toxicity.fit(docs, labels).terms
+    assert len(learned) >= len(terms)
+    auto = toxicity.Automaton.of(learned)
+    of, word, *_ = auto.scan([f"😀{t.swapcase()}—" for t in terms] + ["слово", "ngoc", ""])
+    assert of.tolist() == [0, 1, 2, 3, 4, 5] and set(word.tolist()) == {0}
+    held = {r["doc_id"]: r["predicted"] for r in toxicity.score_ids(docs, toxicity.fit(docs, labels)).where("held_out").collect()}
+    assert np.mean([y == (k % 4 == 0) for k, y in held.items()]) > 0.97
+
+
 def test_softmax_sums_to_one():
     rng = np.random.default_rng(2)
     w = maxent.Weights.zeros()
