@@ -2,14 +2,14 @@
 
 From labelled rows the operator learns a lexicon of words and word stems that mark toxic documents. The trie of the
 lexicon is intersected with Levenshtein automata (one edit, swaps included, from five characters on, two from ten), and
-the product is made deterministic, so that every word of every text is run through one table in numpy steps. Each hit has a
+the product is made deterministic, so that every word of every text is run through its tables in numpy steps. Each hit has a
 weight learned for its term and distance. Hits inside quotation marks count apart from the others, whose weights
 are summed over windows of words; a logistic model over these figures gives the score.
 
 Words are runs of letters, digits and combining marks of any script; all other characters separate them.
 
-Labels of at most ``max_labelled`` rows are used (those of least hash); lexicon and automaton are bounded by
-``max_terms``. Scores use the text alone. Defined cases: a null text is scored as an empty one, which has no hits;
+Labels of at most ``max_labelled`` rows are used (those of least hash); the lexicon holds every term that they show to
+mark toxic texts, and the automaton is as many tables as it takes, each run over the distinct words. Scores use the text alone. Defined cases: a null text is scored as an empty one, which has no hits;
 without labelled rows of both kinds every score is the share of toxic labels, or 0; rows are scored one by one, so
 repeated rows get equal scores; several labels of one document count as one, toxic if any is; columns beside doc_id and
 text pass through whatever their names.
@@ -32,9 +32,11 @@ from pyspark.sql import types as T
 
 from .common import map_rows, training_rows, written
 
-MAX_LABELLED, MAX_TERMS, WINDOW_WORDS = 20_000, 96, 50
-#: A term is in this share of toxic documents at least, and so many times likelier there than in others.
-MIN_SHARE, MIN_ODDS, MIN_DOCS = 0.02, 20.0, 4
+MAX_LABELLED, WINDOW_WORDS = 20_000, 50
+#: A term is so many times likelier in toxic documents than in others, and in so many of them at least.
+MIN_ODDS, MIN_DOCS = 20.0, 4
+#: Terms of one table; more terms make more tables.
+TABLE_TERMS = 16
 STEM = (3, 8)
 END = "$"
 #: Signs and digits that stand for letters in disguised words.
@@ -72,20 +74,17 @@ def edits_allowed(term: str) -> int:
 
 
 @dataclass
-class Automaton:
-    """A deterministic table: ``step[state, class]``; state 0 is dead, 1 the start. ``found`` gives each state's term, or -1, and distance at a word's end."""
+class Table:
+    """A deterministic table: ``step[state, class]``; state 0 is dead, 1 the start. ``term`` and ``distance`` give each state's term, or -1, and distance at a word's end; ``letters`` its classes, from 2 on."""
 
-    terms: list[str]
     step: np.ndarray
     term: np.ndarray
     distance: np.ndarray
-    classes: np.ndarray
+    letters: list[str]
     longest: int
 
-    SEPARATOR = 0
-
     @classmethod
-    def of(cls, terms: list[str]) -> Automaton:
+    def of(cls, terms: list[str]) -> Table:
         """Terms that end in ``$`` are whole words, others stems, which match the beginning of a word."""
         letters = sorted({c for t in terms for c in t.rstrip(END)})
         symbol = {c: k + 2 for k, c in enumerate(letters)}
@@ -160,39 +159,105 @@ class Automaton:
             ends = [(s[1], s[2]) for s in state if s[0] < 0] + [(s[1], whole[s[0]]) for s in state if s[0] >= 0 and not s[2] and s[0] in whole and s[1] <= allowed[whole[s[0]]]]
             if ends:
                 distance[k], term[k] = min(ends)
-        known = np.ones(sys.maxunicode + 1, np.int32)
-        known[0] = 0
-        for c, k in symbol.items():
-            known[ord(c)] = k
-        classes = known[all_letters()]
         step = np.array([rows[k] for k in range(len(number))], np.int32)
-        return cls(terms, step, term, distance, classes, max((len(t) for t in terms), default=0) + 2)
+        return cls(step, term, distance, letters, max((len(t) for t in terms), default=0) + 2)
 
-    def scan(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hits of all texts: text number, word number in it, character, term, distance; and the words of each text."""
-        cps = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = self.classes[cps]
-        inside = kind != 0
-        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-        begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        lengths = ends - begins
-        state = np.ones(len(begins), np.int32)
-        live = np.arange(len(begins))
+    def run(self, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The last state of each word: a row of this table's classes, padded or cut."""
+        state = np.ones(len(words), np.int32)
+        live = np.arange(len(words))
         for k in range(self.longest):
             live = live[lengths[live] > k]
             if not len(live):
                 break
-            to = self.step[state[live], kind[begins[live] + k]]
+            to = self.step[state[live], words[live, k]]
             state[live] = to
             live = live[to > 0]
         over = live[lengths[live] > self.longest]
         sticky = (self.step[state[over]] == state[over][:, None])[:, 1:].all(1)
         state[over[~sticky]] = 0
-        hit = np.flatnonzero(self.term[state] >= 0)
+        return state
+
+
+@dataclass
+class Automaton:
+    """Tables over groups of ``terms``, with the terms' numbers in each; ``classes`` of code points are those of all letters, and ``own`` gives each table's class of them."""
+
+    terms: list[str]
+    tables: list[Table]
+    numbers: list[np.ndarray]
+    classes: np.ndarray
+    own: list[np.ndarray]
+    longest: int
+
+    @classmethod
+    def of(cls, terms: list[str]) -> Automaton:
+        order = sorted(range(len(terms)), key=lambda k: terms[k])
+        numbers = [np.array(order[k : k + TABLE_TERMS]) for k in range(0, len(order), TABLE_TERMS)]
+        tables = [Table.of([terms[k] for k in group]) for group in numbers]
+        letters = sorted({c for t in tables for c in t.letters})
+        known = np.ones(sys.maxunicode + 1, np.int32)
+        known[0] = 0
+        for k, c in enumerate(letters):
+            known[ord(c)] = k + 2
+        own = [np.array([0, 1, *(t.letters.index(c) + 2 if c in t.letters else 1 for c in letters)], np.int32) for t in tables]
+        return cls(terms, tables, numbers, known[all_letters()], own, max((t.longest for t in tables), default=0))
+
+    def scan(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hits of all texts: text number, word number in it, character, term, distance; and the words of each text."""
+        cps = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.classes[cps]
+        inside = kind != 0
+        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+        begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        words, lengths, which = distinct_words(kind, begins, ends - begins, self.longest)
+        best = np.full(len(words), np.iinfo(np.int64).max)
+        for table, numbers, own in zip(self.tables, self.numbers, self.own, strict=True):
+            state = table.run(own[words[:, : table.longest]], lengths)
+            hit = np.flatnonzero(table.term[state] >= 0)
+            key = table.distance[state[hit]].astype(np.int64) * len(self.terms) + numbers[table.term[state[hit]]]
+            best[hit] = np.minimum(best[hit], key)
+        found = best[which]
+        hit = np.flatnonzero(found < np.iinfo(np.int64).max)
         at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         first = np.searchsorted(begins, at)
         of = np.searchsorted(at, begins[hit], "right") - 1
-        return of, hit - first[of], begins[hit] - at[of], self.term[state[hit]], self.distance[state[hit]], np.diff(first)
+        distance, term = np.divmod(found[hit], max(1, len(self.terms)))
+        return of, hit - first[of], begins[hit] - at[of], term, distance, np.diff(first)
+
+
+@lru_cache(2)
+def automaton_of(terms: tuple[str, ...]) -> Automaton:
+    return Automaton.of(list(terms))
+
+
+def distinct_words(kind: np.ndarray, begins: np.ndarray, lengths: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words that differ in their first ``longest`` classes or in being longer, as padded rows, their lengths, and each word's number among them."""
+    cut = np.minimum(lengths, longest + 1)
+    mixed = np.zeros(len(begins), np.uint64)
+    live = np.arange(len(begins))
+    for k in range(longest + 1):
+        live = live[cut[live] > k]
+        value = kind[begins[live] + k] if k < longest else 1
+        mixed[live] = (mixed[live] + np.uint64(k + 1) + np.asarray(value).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed[live] ^= mixed[live] >> np.uint64(31)
+    _, some, which = np.unique(mixed, return_index=True, return_inverse=True)
+
+    def rows(chosen: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(chosen), longest), np.int32)
+        for k in range(longest):
+            on = np.flatnonzero(cut[chosen] > k)
+            out[on, k] = kind[begins[chosen[on]] + k]
+        return out
+
+    words = rows(some)
+    # Two words of one number are told apart by their letters.
+    for at in range(0, len(begins), 65_536):
+        part = np.arange(at, min(at + 65_536, len(begins)))
+        if (cut[part] != cut[some[which[part]]]).any() or (rows(part) != words[which[part]]).any():
+            every = np.arange(len(begins))
+            return rows(every), cut, every
+    return words, cut[some], which
 
 
 def quoted(text: str, at: int) -> bool:
@@ -267,7 +332,7 @@ def candidates(text: str) -> set[str]:
     return {w + END for w in words} | {w[:k] for w in words for k in range(STEM[0], min(len(w), STEM[1]) + 1)}
 
 
-def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> tuple[list[str], int, int]:
+def learn_lexicon(rows: DataFrame) -> tuple[list[str], int, int]:
     """Terms that mark toxic texts, and the numbers of toxic and other texts."""
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("toxic", T.LongType()), T.StructField("other", T.LongType())])
 
@@ -282,14 +347,13 @@ def learn_lexicon(rows: DataFrame, max_terms: int = MAX_TERMS) -> tuple[list[str
     n_toxic, n_other = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     if not n_toxic or not n_other:
         return [], n_toxic, n_other
-    least = max(MIN_DOCS, math.ceil(MIN_SHARE * n_toxic))
     sums = map_rows(rows, ["text", "toxic"], count, schema, 8192).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
     odds = ((F.col("a") + 0.5) / (n_toxic + 1)) / ((F.col("b") + 0.5) / (n_other + 1))
-    found = {r["term"]: r["a"] for r in sums.where((F.col("a") >= least) & (odds >= MIN_ODDS)).orderBy(F.desc("a"), "term").limit(40_000).collect()}
-    return chosen_terms(found, max_terms), n_toxic, n_other
+    found = {r["term"]: r["a"] for r in sums.where((F.col("a") >= MIN_DOCS) & (odds >= MIN_ODDS)).collect()}
+    return chosen_terms(found), n_toxic, n_other
 
 
-def chosen_terms(found: dict[str, int], max_terms: int) -> list[str]:
+def chosen_terms(found: dict[str, int]) -> list[str]:
     """The longest stem or word that keeps nine tenths of a shorter one's texts; what a chosen stem begins is left out."""
     best_longer: dict[str, int] = {}
     for t, a in found.items():
@@ -298,23 +362,23 @@ def chosen_terms(found: dict[str, int], max_terms: int) -> list[str]:
         if t.endswith(END):
             for k in range(STEM[0], min(STEM[1], len(t) - 2) + 1):
                 best_longer[t[:k]] = max(best_longer.get(t[:k], 0), a)
-    out: list[str] = []
+    out: set[str] = set()
     for t in sorted(found, key=lambda t: (len(t.rstrip(END)), t)):
         if best_longer.get(t, 0) >= 0.9 * found[t]:
             continue
-        if not any(t != s and t.startswith(s) for s in out):
-            out.append(t)
-    return sorted(sorted(out, key=lambda t: (-found[t], t))[:max_terms])
+        if not any(t[:k] in out for k in range(1, len(t))):
+            out.add(t)
+    return sorted(out)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Lexicon, weights and logistic model from labelled training rows."""
     rows = labelled_rows(docs, labels, max_labelled)
-    terms, n_toxic, n_other = learn_lexicon(rows, max_terms)
+    terms, n_toxic, n_other = learn_lexicon(rows)
     model = Model(terms, base=n_toxic / (n_toxic + n_other) if n_toxic + n_other else 0.0)
     if not terms:
         return model
-    automaton = Automaton.of(terms)
+    automaton = automaton_of(tuple(terms))
     schema = T.StructType([T.StructField("term", T.IntegerType()), T.StructField("distance", T.IntegerType()), T.StructField("toxic", T.LongType()), T.StructField("other", T.LongType())])
 
     def count(it: Iterator[tuple]) -> Iterator[tuple]:
@@ -380,7 +444,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``row``, the columns of ``docs``, and ``score`` of each."""
-    automaton = Automaton.of(model.terms)
+    automaton = automaton_of(tuple(model.terms))
     sent = docs.sparkSession.sparkContext.broadcast((model, automaton))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
     schema = T.StructType([whole.schema["row"], T.StructField("score", T.DoubleType())])
@@ -396,7 +460,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def score_ids(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted); a document without id is not held out."""
     own = docs.select("doc_id", "text")
-    automaton = Automaton.of(model.terms)
+    automaton = automaton_of(tuple(model.terms))
     sent = docs.sparkSession.sparkContext.broadcast((model, automaton))
     schema = T.StructType([T.StructField("doc_id", own.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
 

@@ -95,6 +95,30 @@ def test_toxicity_of_any_script(spark):
     assert np.mean([y == (k % 4 == 0) for k, y in held.items()]) > 0.97
 
 
+def test_toxicity_learns_rare_and_many_terms(spark):
+    letters = "bcdfghjklmnpqrstvwz"
+    marks = ["".join(letters[(k * 7 + j * (k % 5 + 3) + k // 19) % 19] for j in range(7)) + f"{letters[k % 19]}{letters[k // 19]}" for k in range(150)]
+    rows = [(k, f"some plain text {k % 7} here " + (marks[k // 4 % 150] if k % 4 == 0 else "again")) for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(k, int(k % 4 == 0)) for k, _ in rows], "doc_id long, toxic int"))
+    auto = toxicity.Automaton.of(model.terms)
+    of, _, _, _, dist, _ = auto.scan(marks)
+    assert of.tolist() == list(range(150)) and not dist.any()
+    assert all(r["predicted"] == (r["doc_id"] % 4 == 0) for r in toxicity.score_ids(docs, model).collect())
+
+
+def test_tables_together_find_what_one_finds(monkeypatch):
+    rng = np.random.default_rng(12)
+    terms = sorted({"".join(rng.choice(list("abcde"), rng.integers(4, 12))) + "$" for _ in range(40)})
+    words = ["".join(rng.choice(list("abcdex"), rng.integers(2, 16))) for _ in range(2000)] + [t[1:-1] for t in terms]
+    many = toxicity.Automaton.of(terms)
+    monkeypatch.setattr(toxicity, "TABLE_TERMS", 1)
+    single = toxicity.Automaton.of(terms)
+    text = [" ".join(words), "", " ".join(words[::-1])]
+    assert len(many.tables) == 3 and len(single.tables) == len(terms)
+    assert all((a == b).all() for a, b in zip(many.scan(text), single.scan(text), strict=True))
+
+
 def test_softmax_sums_to_one():
     rng = np.random.default_rng(2)
     w = maxent.Weights.zeros()
