@@ -1,10 +1,10 @@
-"""SentencePiece encoding and decoding by a max-plus parallel scan.
+"""SentencePiece encoding and decoding by max-plus matrices of chunks.
 
 A text's pieces are the path of the largest sum of scores through the lattice of vocabulary pieces (a unigram search
 over the pieces and scores of a public model file; characters without a piece cost ``unknown`` and become byte
 pieces). A position's value depends on the ``L`` positions before it, ``L`` being the longest piece, so a stretch of text is
-an L x L matrix over (max, +). Giant texts are split into chunks, whose matrices are made independently and combined
-associatively; the values that enter each chunk follow, then a map from the chunk's last cut to its first, and when
+an L x L matrix over (max, +). Giant texts are split into chunks, whose matrices are made independently and applied
+in order, in one task a text; the values that enter each chunk follow, then a map from the chunk's last cut to its first, and when
 these are combined from the right each chunk is backtraced on its own. In other texts a space that follows a
 non-space is always a cut, so that words decouple and each distinct word is searched once per worker.
 
