@@ -1,8 +1,8 @@
 """Cost-balanced packing: token ids of documents cut and dealt to sequences of one length.
 
 A document's cost in a sequence is estimated as a linear plus a quadratic (attention) term of its tokens. Documents
-are taken in descending order and each goes to the lowest-cost sequence with remaining token capacity: one that holds
-it whole if there is any, else it is cut at the lowest-cost sequence's end and its rest is taken up again.
+are taken in descending order and each goes to the lowest-cost sequence with remaining token capacity: of those that
+hold it whole if there are any, else it is cut at the end of the lowest-cost one and its rest is taken up again.
 
 Tokens come from a public vocabulary file of the ``tokenizers`` library. Texts of plain Latin characters are split at
 white space and each distinct word is encoded once per worker; any other text is encoded by the library as a whole.
@@ -20,6 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -46,10 +47,8 @@ class Encoder:
     """Ids of texts under a word-level byte-pair vocabulary, as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
-        import numpy as np
         from tokenizers import Tokenizer
 
-        self.np = np
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -66,7 +65,7 @@ class Encoder:
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that are not in the cache; kept there while it has room."""
-        np, found, parts = self.np, {}, {}
+        found, parts = {}, {}
         new = [(w, self._parts(w)) for w in words]
         fresh = list({p for _, own in new for p in own if p not in self.pieces})
         for at in range(0, len(fresh), 256):
@@ -103,7 +102,7 @@ class Encoder:
         for s, own, gap in zip(split, ids, gaps, strict=True):
             for k in gap:
                 own[k] = new[s[k]]
-        return [self.np.array(self.whole.encode(t, add_special_tokens=False).ids, self.np.uint32).tobytes() if own is None else b"".join(own) for t, own in zip(texts, ids, strict=True)]
+        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() if own is None else b"".join(own) for t, own in zip(texts, ids, strict=True)]
 
 
 def cost(tokens: int) -> float:
@@ -113,9 +112,10 @@ def cost(tokens: int) -> float:
 def pack(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
     """(document, start, tokens, sequence, offset) for documents of these lengths, in the fewest sequences.
 
-    As many sequences are opened as the tokens fill. Whole sequences are cut from longer documents first; each rest
-    goes, longest first, to the lowest-cost sequence that still holds it whole. Free places are kept in heaps by the
-    power of two of their size, so that the search looks at few sequences. What fits nowhere is cut.
+    As many sequences are opened as the tokens fill. Pieces are taken longest first; each goes to the lowest-cost
+    sequence that still holds it whole, whatever its room, the first of equal ones. What fits nowhere whole is cut at the end
+    of the lowest-cost sequence with any room, and its rest is taken up again in its turn. Pieces of the full length
+    come first and fit empty sequences only, which cost nothing, so they are dealt without a search.
     """
     out: list[tuple[int, int, int, int, int]] = []
     queue, made = [], 0
@@ -127,40 +127,25 @@ def pack(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int,
             queue.append((-(n % length), doc, whole * length))
     heapq.heapify(queue)
     bins = -(-sum(-q[0] for q in queue) // length)
-    used, spent = [0] * bins, [0.0] * bins
-    heaps: list[list[tuple[float, int]]] = [[] for _ in range(length.bit_length())]
-    heaps[-1] = [(0.0, b) for b in range(bins)]
+    room, spent = np.full(bins, length), np.zeros(bins)
     while queue:
         size, doc, start = heapq.heappop(queue)
-        n = -size
-        best = _take(heaps, used, n, length)
-        take = n
+        n = take = -size
+        best = cheapest(room, spent, n)
         if best < 0:
-            best = _take(heaps, used, 1, length)
-            take = length - used[best]
+            best = cheapest(room, spent, 1)
+            take = int(room[best])
             heapq.heappush(queue, (take - n, doc, start + take))
-        out.append((doc, start, take, made + best, used[best]))
-        used[best] += take
+        out.append((doc, start, take, made + best, length - int(room[best])))
+        room[best] -= take
         spent[best] += cost(take)
-        free = length - used[best]
-        if free:
-            heapq.heappush(heaps[free.bit_length() - 1], (spent[best], best))
     return out
 
 
-def _take(heaps: list[list[tuple[float, int]]], used: list[int], n: int, length: int) -> int:
-    """Takes out the lowest-cost sequence with ``n`` tokens of room, -1 if there is none."""
-    level = n.bit_length() - 1
-    best = min((h for h in heaps[level + 1 :] if h), key=lambda h: h[0], default=None)
-    own = [x for x in heaps[level] if length - used[x[1]] >= n] if best is None else []
-    if best is not None:
-        return heapq.heappop(best)[1]
-    if own:
-        lowest = min(own)
-        heaps[level].remove(lowest)
-        heapq.heapify(heaps[level])
-        return lowest[1]
-    return -1
+def cheapest(room: np.ndarray, spent: np.ndarray, n: int) -> int:
+    """The first lowest-cost sequence with ``n`` tokens of room, -1 if there is none."""
+    fits = np.flatnonzero(room >= n)
+    return int(fits[spent[fits].argmin()]) if len(fits) else -1
 
 
 PIECE = T.StructType(

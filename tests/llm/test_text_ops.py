@@ -107,6 +107,40 @@ def test_costs_are_balanced():
     assert np.std(full) / np.mean(full) < 0.05
 
 
+def naive_pack(lengths, length):
+    """The rule itself: the longest piece next, to the lowest-cost sequence with room for it, else cut."""
+    rest = [[n, d, 0] for d, n in enumerate(lengths)]
+    free, cost, out = [length] * -(-sum(lengths) // length), [0.0] * -(-sum(lengths) // length), []
+    while rest:
+        rest.sort(key=lambda x: (-min(x[0], length), x[1], x[2]))
+        n, d, at = rest.pop(0)
+        take = min(n, length)
+        fits = [b for b in range(len(free)) if free[b] >= take]
+        if not fits:
+            fits = [b for b in range(len(free)) if free[b] > 0]
+        best = min(fits, key=lambda b: (cost[b], b))
+        take = min(take, free[best])
+        out.append((d, at, take, cost[best]))
+        free[best] -= take
+        cost[best] += packing.cost(take)
+        if n > take:
+            rest.append([n - take, d, at + take])
+    return sorted(out)
+
+
+def test_packing_equals_the_rule():
+    """Every piece goes where the rule sends it: same pieces, each to a sequence of the same cost; ties in length included."""
+    rng = random.Random(7)
+    for k in range(40):
+        length = rng.choice([16, 64, 300])
+        lengths = [rng.choice([1, 5, length // 2, length, rng.randrange(1, 3 * length)]) for _ in range(rng.randrange(0, 60))]
+        spent, got = defaultdict(float), []
+        for d, at, n, seq, offset in packing.pack(lengths, length):
+            got.append((d, at, n, spent[seq]))
+            spent[seq] += packing.cost(n)
+        assert sorted(got) == naive_pack(lengths, length)
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return sentencepieces.Pieces(sentencepieces.default_model())
