@@ -3,10 +3,13 @@
 A text's pieces are the path of the largest sum of scores through the lattice of vocabulary pieces (a unigram search
 over the pieces and scores of a public model file; characters without a piece cost ``unknown`` and become byte
 pieces). A position's value depends on the ``L`` positions before it, ``L`` being the longest piece, so a stretch of text is
-an L x L matrix over (max, +). Giant texts are split into chunks, whose matrices are made independently and applied
-in order, in one task a text; the values that enter each chunk follow, then a map from the chunk's last cut to its first, and when
-these are combined from the right each chunk is backtraced on its own. In other texts a space that follows a
-non-space is always a cut, so that words decouple and each distinct word is searched once per worker.
+an L x L matrix over (max, +). Giant texts are split into chunks, whose matrices are made independently and combined
+associatively: ``BLOCK`` neighbours to one matrix, those to one again, until one is left of each text; on the way back each
+block's entering values give those of its members. No task holds more than a block, however long a text is. A map from each
+chunk's last cut to its first, combined the same way from the right, lets each chunk be backtraced on its own; counts, sums
+and checksums of the parts are joined in blocks too. In other texts a space that follows a non-space is always a cut, so
+that words decouple and each distinct word is searched once per worker. Sums of scores are added up in another order on
+the two ways, which shows in the last places unless scores are whole numbers, as those of the default model are.
 
 Among equal sums the longer last piece wins. Defined cases: null and empty texts have no pieces; repeated rows are
 encoded each; rows are told apart by position, so doc_id may repeat or be null; columns beside doc_id and text are left
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,6 +31,8 @@ from .common import map_rows, written
 
 SPACE = "▁"
 GIANT, CHUNK = 1 << 15, 1 << 13
+#: Neighbours that one task combines at each level of a scan.
+BLOCK = 64
 CACHE_WORDS = 400_000
 LOW = -1e300
 WORD = re.compile(f"{SPACE}*[^{SPACE}]*")
@@ -261,7 +266,8 @@ def loaded(path: str) -> Pieces:
 
 ENCODED = T.StructType([T.StructField("row_no", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("round_trip", T.BooleanType()), T.StructField("chunks", T.LongType())])
 CHUNKS = T.StructType([T.StructField("row_no", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("k", T.LongType()), T.StructField("before", T.StringType()), T.StructField("chunk", T.StringType())])
-NUMBERS = T.ArrayType(T.DoubleType())
+NUMBERS, PLACES = T.ArrayType(T.DoubleType()), T.ArrayType(T.LongType())
+KEY = [T.StructField("row_no", T.LongType()), T.StructField("k", T.LongType())]
 
 
 def encode_short(docs: DataFrame, path: str) -> DataFrame:
@@ -286,79 +292,135 @@ def chunks_of(docs: DataFrame, path: str, size: int) -> DataFrame:
     return map_rows(docs, ["row_no", "doc_id", "text"], make, CHUNKS, 16)
 
 
-def encode_giant(docs: DataFrame, path: str, size: int) -> DataFrame:
-    """The same as ``encode_short`` by chunks, with a task's work bounded by the chunk."""
+def products(items: DataFrame, combine: Callable, block: int) -> DataFrame:
+    """(row_no, k, value) of blocks of neighbours: ``combine`` over ``block`` values in order of k."""
+    dealt = items.select("row_no", F.expr(f"k div {block}").alias("block"), "k", "value")
+    dealt = dealt.repartition("row_no", "block").sortWithinPartitions("row_no", "block", "k")
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        now, held = None, None
+        for row, b, _, value in rows:
+            if now != (row, b):
+                if now is not None:
+                    yield *now, held
+                now, held = (row, b), value
+            else:
+                held = combine(held, value)
+        if now is not None:
+            yield *now, held
+
+    return map_rows(dealt, ["row_no", "block", "k", "value"], fold, T.StructType([*KEY, items.schema["value"]]), 64)
+
+
+def states(items: DataFrame, start: list, combine: Callable, apply: Callable, state: T.DataType, most: int, block: int) -> DataFrame:
+    """(row_no, k, state) before each item: ``start`` with all items of the text in front of it applied.
+
+    A parallel scan: products of blocks go up a tree of ``block`` children a node until one node holds a text, then
+    states come down. ``most`` is the largest k of all items.
+    """
+    schema = T.StructType([*KEY, T.StructField("state", state)])
+    if most >= block:
+        items = written(items)
+        above = states(products(items, combine, block), start, combine, apply, state, most // block, block)
+    else:
+        above = items.sparkSession.createDataFrame([], schema)
+    inner = items.select("row_no", F.expr(f"k div {block}").alias("block"), F.lit(1).alias("kind"), "k", "value", F.lit(None).cast(state).alias("state"))
+    outer = above.select("row_no", F.col("k").alias("block"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("k"), F.lit(None).cast(items.schema["value"].dataType).alias("value"), "state")
+    dealt = inner.unionByName(outer).repartition("row_no", "block").sortWithinPartitions("row_no", "block", "kind", "k")
+
+    def spread(rows: Iterator[tuple]) -> Iterator[tuple]:
+        now, held = None, start
+        for row, b, kind, k, value, given in rows:
+            if now != (row, b):
+                now, held = (row, b), start
+            if not kind:
+                held = given
+                continue
+            yield row, k, held
+            held = apply(value, held)
+
+    return map_rows(dealt, ["row_no", "block", "kind", "k", "value", "state"], spread, schema, 64)
+
+
+def square(flat: list[float]) -> np.ndarray:
+    return np.array(flat).reshape(int(len(flat) ** 0.5), -1)
+
+
+def joined(a: list[float], b: list[float]) -> list[float]:
+    """Neighbouring parts as one: pieces, bytes, score, whether all decode, chunks, and the checksum of both."""
+    return [a[0] + b[0], a[1] + b[1], a[2] + b[2], min(a[3], b[3]), a[4] + b[4], float(joined_crc32(int(a[5]), int(b[5]), int(b[1])))]
+
+
+def joined_crc32(a: int, b: int, size: int) -> int:
+    """crc32 of two byte strings in a row from theirs, the second of ``size`` bytes: the first moved up by x^(8 size) modulo the polynomial."""
+    power, square_, n = 1 << 31, 1 << 30, 8 * size
+    while n:
+        if n & 1:
+            power = _times(power, square_)
+        square_ = _times(square_, square_)
+        n >>= 1
+    return _times(power, a) ^ b
+
+
+def _times(a: int, b: int) -> int:
+    """Product of polynomials over two elements, lowest power in the highest bit, modulo that of crc32."""
+    out = 0
+    while a:
+        if a & 1 << 31:
+            out ^= b
+        a = a << 1 & 0xFFFFFFFF
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+def encode_giant(docs: DataFrame, path: str, size: int, block: int = BLOCK) -> DataFrame:
+    """The same as ``encode_short`` by chunks, with a task's work bounded by a block of them."""
     chunks = written(chunks_of(docs, path, size).repartition("row_no", "k"))
-    key = [T.StructField("row_no", T.LongType()), T.StructField("k", T.LongType())]
+    most = chunks.agg(F.coalesce(F.max("k"), F.lit(0))).first()[0]
+    longest = loaded(path).longest
 
     def matrices(rows: Iterator[tuple]) -> Iterator[tuple]:
         own = loaded(path)
         for row, k, before, text in rows:
             yield row, k, own.matrix(before, text).ravel().tolist()
 
-    made = map_rows(chunks, ["row_no", "k", "before", "chunk"], matrices, T.StructType([*key, T.StructField("matrix", NUMBERS)]), 16)
-
-    def enters(rows: Iterator[tuple]) -> Iterator[tuple]:
-        own = loaded(path)
-        now, state = None, None
-        for row, k, matrix in rows:
-            if row != now:
-                now, state = row, np.array([0.0] + [LOW] * (own.longest - 1))
-            yield row, k, state.tolist()
-            state = applied(np.array(matrix).reshape(own.longest, -1), state)
-
-    entering = map_rows(made.repartition("row_no").sortWithinPartitions("row_no", "k"), ["row_no", "k", "matrix"], enters, T.StructType([*key, T.StructField("enter", NUMBERS)]), 64)
-    known = written(chunks.join(entering, ["row_no", "k"]))
+    made = map_rows(chunks, ["row_no", "k", "before", "chunk"], matrices, T.StructType([*KEY, T.StructField("value", NUMBERS)]), 16)
+    both = lambda a, b: combined(square(a), square(b)).ravel().tolist()
+    entering = states(made, [0.0] + [LOW] * (longest - 1), both, lambda m, s: applied(square(m), np.array(s)).tolist(), NUMBERS, most, block)
+    known = written(chunks.join(entering.withColumnRenamed("state", "enter"), ["row_no", "k"]))
 
     def backs(rows: Iterator[tuple]) -> Iterator[tuple]:
         own = loaded(path)
         for row, k, before, text, enter in rows:
-            yield row, k, own.leaving(before, text, np.array(enter))[0].tolist()
+            yield row, most - k, own.leaving(before, text, np.array(enter))[0].tolist()
 
-    maps = map_rows(known, ["row_no", "k", "before", "chunk", "enter"], backs, T.StructType([*key, T.StructField("back", T.ArrayType(T.LongType()))]), 16)
-
-    def leaves(rows: Iterator[tuple]) -> Iterator[tuple]:
-        now, state = None, 0
-        for row, k, back in rows:
-            if row != now:
-                now, state = row, 0
-            yield row, k, state, back[state]
-            state = back[state]
-
-    cuts = map_rows(maps.repartition("row_no").sortWithinPartitions("row_no", F.desc("k")), ["row_no", "k", "back"], leaves, T.StructType([*key, T.StructField("leave", T.LongType()), T.StructField("begin", T.LongType())]), 1024)
-    part = T.StructType([*key, T.StructField("doc_id", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("score", T.DoubleType()), T.StructField("round_trip", T.BooleanType())])
+    # From the right: the last chunk of a text is left at its end, state 0.
+    maps = map_rows(known, ["row_no", "k", "before", "chunk", "enter"], backs, T.StructType([*KEY, T.StructField("value", PLACES)]), 16)
+    maps = written(maps)
+    leaving = states(maps, 0, lambda a, b: [b[x] for x in a], lambda m, s: m[s], T.LongType(), most, block)
+    cuts = leaving.join(maps, ["row_no", "k"]).select("row_no", (F.lit(most) - F.col("k")).alias("k"), F.col("state").alias("leave"), F.col("value")[F.col("state").cast("int")].alias("begin"))
+    part = T.StructType([*KEY, T.StructField("value", NUMBERS)])
 
     def trace(rows: Iterator[tuple]) -> Iterator[tuple]:
         own = loaded(path)
-        for row, k, doc_id, before, text, enter, leave, begin in rows:
+        for row, k, before, text, enter, leave, begin in rows:
             ids, score = own.backtrace(before, text, np.array(enter), leave)
             whole = (before + text)[len(before) - begin : len(before) + len(text) - leave]
-            yield row, k, doc_id, ids, score, own.decode(ids) == whole
-
-    traced = map_rows(known.join(cuts, ["row_no", "k"]), ["row_no", "k", "doc_id", "before", "chunk", "enter", "leave", "begin"], trace, part, 16)
-
-    def whole(rows: Iterator[tuple]) -> Iterator[tuple]:
-        now: list | None = None
-        for row, _, doc_id, ids, score, ok in rows:
-            if now is None or now[0] != row:
-                if now is not None:
-                    yield tuple(now)
-                now = [row, doc_id, 0, 0, 0.0, True, 0]
-            now[2] += len(ids) // 4
-            now[3] = zlib.crc32(ids, now[3])
-            now[4] += score
-            now[5] &= ok
-            now[6] += 1
-        if now is not None:
-            yield tuple(now)
+            yield row, k, [len(ids) // 4, len(ids), score, float(own.decode(ids) == whole), 1, zlib.crc32(ids)]
 
-    return map_rows(traced.repartition("row_no").sortWithinPartitions("row_no", "k"), ["row_no", "k", "doc_id", "ids", "score", "round_trip"], whole, ENCODED, 64)
+    parts = map_rows(known.join(cuts, ["row_no", "k"]), ["row_no", "k", "before", "chunk", "enter", "leave", "begin"], trace, part, 16)
+    while most >= block:
+        parts, most = products(parts, joined, block), most // block
+    whole = products(parts, joined, block)
+    v = [F.col("value")[i] for i in range(6)]
+    own = whole.select("row_no", v[0].cast("long").alias("n_pieces"), v[5].cast("long").alias("ids_crc32"), v[2].alias("score"), (v[3] == 1).alias("round_trip"), v[4].cast("long").alias("chunks"))
+    return own.join(chunks.where("k = 0").select("row_no", "doc_id"), "row_no").select(*ENCODED.names)
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
     """Pieces of every document: their number, a checksum of the ids, the sum of scores, and whether decoding gives the text back."""
     path = model or default_model()
     numbered = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "text")
     long = F.coalesce(F.length("text") > giant, F.lit(False))
-    out = encode_short(numbered.where(~long), path).unionByName(encode_giant(numbered.where(long), path, chunk))
+    out = encode_short(numbered.where(~long), path).unionByName(encode_giant(numbered.where(long), path, chunk, block))
     return out.drop("row_no")

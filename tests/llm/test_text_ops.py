@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -189,8 +190,41 @@ def test_chunks_equal_the_sequential_search(pieces):
             assert out == ids
 
 
+def best_cut(pieces, text):
+    """All ways to cut a text, by recursion: the largest sum, and among equal ones the longest last piece, then the one before it."""
+    if not text:
+        return 0.0, []
+    found = []
+    for k in range(1, len(text) + 1):
+        own = pieces.scores.get(text[-k:], pieces.unknown if k == 1 else None)
+        if own is not None:
+            total, cuts = best_cut(pieces, text[:-k])
+            found.append((total + own, k, [*cuts, text[-k:]]))
+    best = max(found, key=lambda x: (x[0], x[1]))
+    return best[0], best[2]
+
+
+def test_search_equals_all_cuts(pieces):
+    rng = random.Random(8)
+    for _ in range(60):
+        plain = pieces.normalized("".join(rng.choice(["th", "e", "in", "g", " ", "tion", "é", "漢", "s", "1"]) for _ in range(rng.randrange(1, 6))))
+        total, cuts = best_cut(pieces, plain)
+        assert pieces.encode(plain) == (np.array(pieces.ids_of(cuts), np.uint32).tobytes(), total)
+
+
+def test_joined_checksums():
+    rng = random.Random(9)
+    for _ in range(50):
+        a, b = rng.randbytes(rng.randrange(40)), rng.randbytes(rng.choice([0, 1, 7, 5000]))
+        assert sentencepieces.joined_crc32(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
 def test_documents(spark, odd, none):
-    one = {(r["doc_id"], r["n_pieces"], r["ids_crc32"]) for r in sentencepieces.encode_documents(odd, giant=20, chunk=7).collect()}
-    two = {(r["doc_id"], r["n_pieces"], r["ids_crc32"]) for r in sentencepieces.encode_documents(odd, giant=10**9).collect()}
-    assert one == two and all(r["round_trip"] for r in sentencepieces.encode_documents(odd).collect())
+    columns = ["doc_id", "n_pieces", "ids_crc32", "score", "round_trip"]
+    shown = lambda df: sorted(map(repr, df.select(*columns).collect()))
+    two = shown(sentencepieces.encode_documents(odd, giant=10**9))
+    # Chunks of 150 characters make trees of five levels in blocks of 5, those of 2,000 of two in blocks of 64.
+    for giant, chunk, block in ((20, 150, 5), (20, 2000, 64)):
+        assert shown(sentencepieces.encode_documents(odd, giant=giant, chunk=chunk, block=block)) == two
+    assert all(r["round_trip"] for r in sentencepieces.encode_documents(odd).collect())
     assert not sentencepieces.encode_documents(none).count()
