@@ -4,7 +4,9 @@ A line's key is the line without the white space ``[\\x20\\x09-\\x0D]`` at its e
 apart by a 128-bit hash. ``postings`` (key, document) are the exact table; reference counts are grouped from it, and each
 shard of the key space has a cuckoo filter of the keys that are *active*, held by ``min_docs`` documents or more.
 Adding and deleting documents changes postings, counts and, by inserting and removing fingerprints, the filters; a
-deletion undoes an insertion. A filter only screens: what it lets through is looked up in the exact table.
+deletion undoes an insertion. A filter only screens: what it lets through is looked up in the exact table. Postings are
+dealt to tasks by shard, and those of a shard with many by document too, so that a very common line is spread; each task
+gets its shard's filter and its part of the exact table. No filter is held by the driver or sent to all tasks, at any size.
 
 A key's lines stay in the largest doc_id that holds it and go in all others. Defined cases: a null or empty text is one
 empty line; keys under ``min_chars`` code points never go; rows that repeat a doc_id count as one document and are
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +34,12 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys of a shard on average; the number of shards grows with the table, so that a shard's filter stays small.
 SHARD_KEYS = 1 << 17
-#: Filters of this total size are sent to all tasks; beyond it, lines are looked up in the exact table directly.
-BROADCAST_BYTES = 48 << 20
+#: Shards at most, as every task knows each shard's number of tasks (4 bytes); beyond that shards grow: 10^12 active keys make 23 MB each.
+MAX_SHARDS = 1 << 20
+#: Postings of a shard that one task looks up.
+TASK_POSTINGS = 1 << 19
+#: Postings that a task gathers before it deals them out.
+HELD = 1 << 18
 
 KEY = [T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]
 POSTING = T.StructType([T.StructField("doc_id", T.LongType()), *KEY])
@@ -155,6 +162,10 @@ def reference_counts(posted: DataFrame) -> DataFrame:
 FILTER = T.StructType([T.StructField("shard", T.LongType()), T.StructField("filter", T.BinaryType())])
 
 
+def shards_for(keys: int) -> int:
+    return min(MAX_SHARDS, max(1, -(-keys // SHARD_KEYS)))
+
+
 def _shard(shards: int) -> F.Column:
     return F.pmod(F.col("h1"), F.lit(shards))
 
@@ -184,7 +195,7 @@ class LineIndex:
     def of(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
         posted = written(postings(docs, min_chars))
         active = written(reference_counts(posted).where(F.col("refs") >= min_docs))
-        shards = max(1, -(-active.count() // SHARD_KEYS))
+        shards = shards_for(active.count())
         return cls(posted, active, written(build_filters(active, shards)), shards, min_chars, min_docs)
 
     def add(self, docs: DataFrame) -> LineIndex:
@@ -205,7 +216,7 @@ class LineIndex:
         active = written(self.active.join(keys, ["h1", "h2"], "left_anti").unionByName(fresh))
         before = self.active.join(keys, ["h1", "h2"], "left_semi").select("h1", "h2")
         moves = before.join(fresh, ["h1", "h2"], "left_anti").withColumn("step", F.lit(-1)).unionByName(fresh.select("h1", "h2").join(before, ["h1", "h2"], "left_anti").withColumn("step", F.lit(1)))
-        shards = max(1, -(-active.count() // SHARD_KEYS))
+        shards = shards_for(active.count())
         if shards > 4 * self.shards:
             filters = build_filters(active, shards)
         else:
@@ -229,33 +240,92 @@ class LineIndex:
         return moved.where("filter is not null").unionByName(again)
 
     def screen(self, posted: DataFrame) -> DataFrame:
-        """The postings whose key may be active: all active ones and few others."""
-        size = self.filters.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0))).first()[0]
-        if size > BROADCAST_BYTES:
-            return posted
-        loaded = {r["shard"]: bytes(r["filter"]) for r in self.filters.collect()}
-        sent, shards = posted.sparkSession.sparkContext.broadcast(loaded), self.shards
-
-        def run(batches: Iterator) -> Iterator:
-            import pyarrow as pa
-
-            own = {k: CuckooFilter.load(v) for k, v in sent.value.items()}
-            for batch in batches:
-                h1, h2 = (batch.column(n).to_numpy() for n in ("h1", "h2"))
-                shard = h1 % shards
-                keep = np.zeros(len(h1), bool)
-                for k, f in own.items():
-                    at = np.flatnonzero(shard == k)
-                    keep[at] = f.contains(h2[at])
-                if keep.any():
-                    yield batch.filter(pa.array(keep))
-
-        return posted.mapInArrow(run, posted.schema)
+        """The postings whose line goes from the document: those that the filters let through and whose key is active and held by a later one."""
+        sizes = posted.groupBy(_shard(self.shards).alias("shard")).count().join(self.filters.select("shard"), "shard", "left_semi").toArrow()
+        tasks = np.zeros(self.shards, np.int32)
+        tasks[sizes.column("shard").to_numpy()] = -(-sizes.column("count").to_numpy() // TASK_POSTINGS)
+        sent = posted.sparkSession.sparkContext.broadcast(tasks)
+        exact = self.active.withColumn("shard", _shard(self.shards)).groupBy("shard").applyInPandas(_packed, "shard long, data binary")
+        shared = self.filters.select("shard", F.lit(0).alias("kind"), F.col("filter").alias("data")).unionByName(exact.select("shard", F.lit(1).alias("kind"), "data"))
+
+        def copies(rows: Iterator[tuple]) -> Iterator[tuple]:
+            for shard, kind, data in rows:
+                yield from ((shard, part, kind, data) for part in range(sent.value[shard]))
+
+        dealt = map_rows(shared, ["shard", "kind", "data"], copies, DEALT, 16).unionByName(posted.select("doc_id", "h1", "h2").mapInArrow(lambda it: _dealt(it, sent.value), DEALT))
+        return dealt.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind").select("shard", "part", "kind", "data").mapInArrow(_looked_up, POSTING)
 
     def dropped_keys(self, posted: DataFrame) -> DataFrame:
         """(doc_id, keys): the keys whose lines go from a document."""
-        hits = self.screen(posted).join(self.active, ["h1", "h2"]).where(F.col("doc_id") < F.col("last_doc"))
-        return hits.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("keys"))
+        return self.screen(posted).groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("keys"))
+
+
+#: ``kind``: 0 a filter, 1 a part of the exact table, 2 postings.
+DEALT = T.StructType([T.StructField("shard", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("data", T.BinaryType())])
+
+
+def _packed(part: pd.DataFrame) -> pd.DataFrame:
+    part = part.sort_values(["h1", "h2"])
+    return pd.DataFrame({"shard": part["shard"].iloc[:1], "data": [part[["h1", "h2", "last_doc"]].to_numpy(np.int64).T.tobytes()]})
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], tasks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Postings packed by shard and task; those of shards without active keys stay behind."""
+
+    def drained(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(held, axis=1)
+        shard = rows[1] % len(tasks)
+        rows, shard = rows[:, tasks[shard] > 0], shard[tasks[shard] > 0]
+        part = ((rows[0].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % tasks[shard]
+        order = np.lexsort((part, shard))
+        rows, shard, part = rows[:, order], shard[order], part[order]
+        cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(part) != 0)) + 1
+        begins = np.concatenate([[0], cuts]) if len(shard) else cuts
+        for at in range(0, len(begins), 512):
+            some = begins[at : at + 512]
+            ends = np.append(begins, len(shard))[at + 1 : at + 513]
+            data = [rows[:, a:b].tobytes() for a, b in zip(some, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[some], pa.int64()), pa.array(part[some], pa.int32()), pa.array(np.full(len(some), 2), pa.int32()), pa.array(data, pa.binary())], names=DEALT.names)
+
+    held: list[np.ndarray] = []
+    for batch in batches:
+        held.append(np.stack([batch.column(n).to_numpy() for n in ("doc_id", "h1", "h2")]))
+        if sum(x.shape[1] for x in held) >= HELD:
+            yield from drained(held)
+            held = []
+    if held:
+        yield from drained(held)
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of one shard after its filter and its part of the exact table: those of active keys with a later document."""
+    now, screen, exact = None, None, None
+    for batch in batches:
+        for shard, part, kind, data in zip(*(batch.column(n).to_pylist() for n in DEALT.names), strict=True):
+            if now != (shard, part):
+                now, screen, exact = (shard, part), None, None
+            if kind == 0:
+                screen = CuckooFilter.load(data)
+            elif kind == 1:
+                exact = np.frombuffer(data, np.int64).reshape(3, -1)
+            elif screen is not None and exact is not None:
+                rows = np.frombuffer(data, np.int64).reshape(3, -1)
+                rows = rows[:, screen.contains(rows[2])]
+                last = last_docs(exact, rows[1], rows[2])
+                rows = rows[:, rows[0] < last]
+                if rows.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=POSTING.names)
+
+
+def last_docs(exact: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """The largest document of each key in a sorted exact table, the least number for keys that are not there."""
+    out = np.full(len(h1), np.iinfo(np.int64).min)
+    at, end = np.searchsorted(exact[0], h1, "left"), np.searchsorted(exact[0], h1, "right")
+    for step in range(int((end - at).max(initial=0))):
+        on = np.flatnonzero(at + step < end)
+        on = on[exact[1][at[on] + step] == h2[on]]
+        out[on] = exact[2][at[on] + step]
+    return out
 
 
 def drop_lines(docs: DataFrame, index: LineIndex, posted: DataFrame | None = None) -> DataFrame:

@@ -41,6 +41,24 @@ def test_line_dedup(spark, none):
     assert not linededup.dedup_lines(none).count()
 
 
+def test_line_dedup_in_many_shards_and_tasks(spark, monkeypatch):
+    """A very common line is spread over tasks by document, keys over shards; the rows stay those of the rule."""
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 3)
+    monkeypatch.setattr(linededup, "TASK_POSTINGS", 20)
+    rng = np.random.default_rng(3)
+    lines = [f"a line of the corpus with number {k}" for k in range(60)]
+    rows = [(int(k), "\n".join(["the line that is in every document", *rng.choice(lines, 3).tolist(), "short"])) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = linededup.LineIndex.of(df)
+    assert index.shards > 10
+    assert got_lines(linededup.drop_lines(df, index)) == brute_lines(rows)
+
+
+def test_exact_lookup_tells_equal_halves_apart():
+    exact = np.array([[1, 1, 1, 5], [2, 3, 9, 0], [10, 20, 30, 40]])
+    assert linededup.last_docs(exact, np.array([1, 1, 1, 5, 7]), np.array([9, 2, 4, 0, 0])).tolist() == [30, 10, np.iinfo(np.int64).min, 40, np.iinfo(np.int64).min]
+
+
 def test_line_index_is_reversible(spark):
     rows, df = lined(spark)
     start = linededup.LineIndex.of(df.where("doc_id <= 4"))
