@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,25 +18,42 @@ OUT_ROWS = 512
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the folder that all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Where the setting is missing or is Spark's
-    built-in default, as in local tests, the same built-in default serves, as driver and executors are one machine there.
+    The cluster names that folder in ``spark.checkpoint.dir``. Where the setting is missing, a local session takes a folder
+    of its one machine; on a cluster, whose machines share no such folder, that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or "/tmp/checkpoints"
     return f"{base.rstrip('/')}/cloakframe-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there, and a lost executor costs no rerun.
 
-    The files are deleted when the session's file system is closed.
+    The files are deleted by ``release`` or else when the session's file system is closed.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, system = _place(spark, path)
+    system.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Deletes the files of written tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_written_to", None):
+            where, system = _place(df.sparkSession, path)
+            system.delete(where, True)
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def batched(rows: Iterator[tuple], schema: pa.Schema, size: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:

@@ -8,10 +8,14 @@ their members. In a bucket each class is checked against one pivot, so candidate
 their pairs; classes that are not yet in one component are checked further, until every pair that shares a bucket is
 linked, checked, or in one component. Links need the exact similarity of full sets.
 
+Rows are dealt by ranges of (bucket, class) and of (pivot, partner), so that a bucket or a pivot with very many members is
+cut over tasks; each stretch of a bucket has a pivot of its own, and the stretches' pivots are compared. What is sent to
+all tasks is a bitmap of fixed size, which picks the texts to be joined.
+
 Defined cases: a null text is an empty one; a set without elements is linked with nothing; with fewer words than a
 shingle has, the whole sequence is the one element; repeated rows are members of one class; rows of one doc_id are in one
-component; rows without doc_id are left out of the search, with a null component, and kept. Columns beside doc_id and
-text are left alone.
+component, also with different texts; rows without doc_id are left out of the search, with a null component, and kept.
+Columns beside doc_id and text are left alone.
 """
 
 from __future__ import annotations
@@ -19,19 +23,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, written
+from .common import map_rows, release, written
 
 BANDS, ROWS = 32, 5
 UNIVERSE = 1 << 22
-#: Lists of ids or pairs up to this many rows are broadcast; beyond it the texts are dealt by id.
-BROADCAST_ROWS = 1_000_000
+#: Words of 64 bits in the bitmap of wanted ids that is sent to all tasks (at most 4 MB, at any size of the table).
+WORDS = 1 << 18
 #: Members of one pivot that one task checks.
-SALT_ROWS = 500
+CHUNK_ROWS = 128
 #: Residual buckets of more classes are checked in blocks of so many.
 BLOCK = 256
 _PI: list[np.ndarray] = []
@@ -102,42 +107,70 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     return map_rows(docs.where("doc_id is not null"), ["doc_id", "text"], make, SIGNED)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int, small: bool) -> DataFrame:
-    """(v, set) for the documents in ``ids``; their texts are picked out where they are read if ``ids`` is small."""
+def marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``v`` may be among ``ids``: all that are and few others, found by a bitmap where they are read."""
+    place = F.pmod(F.xxhash64("v"), F.lit(64 * WORDS))
+    bits = lambda df: df.withColumn("word", (place / 64).cast("int")).withColumn("bit", F.expr("shiftleft(1L, cast(pmod(xxhash64(v), 64) as int))"))
+    bitmap = bits(ids.select("v")).groupBy("word").agg(F.expr("bit_or(bit)").alias("mask"))
+    return bits(docs).join(F.broadcast(bitmap), "word").where(F.col("bit").bitwiseAND(F.col("mask")) != 0).drop("word", "bit", "mask")
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(v, set) for the documents in ``ids``, and a few others."""
     schema = T.StructType([T.StructField("v", T.LongType()), T.StructField("set", T.BinaryType())])
-    own = docs.select(F.col("doc_id").alias("v"), "text").join(F.broadcast(ids) if small else ids, "v", "left_semi")
+    own = marked(docs.select(F.col("doc_id").alias("v"), "text"), ids)
     return map_rows(own, ["v", "text"], lambda rows: ((v, shingles(t, words).tobytes()) for v, t in rows), schema, 128)
 
 
 LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+CHUNK = T.StructType([T.StructField("v", T.LongType()), T.StructField("b", T.LongType()), T.StructField("part", T.LongType()), T.StructField("kind", T.IntegerType())])
+
+
+def _task() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId() if TaskContext.get() else 0
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs in order of pivot, cut into parts of ``CHUNK_ROWS`` partners at most; each part begins with its pivot's own row."""
+    now, filled, part = None, 0, _task() << 40
+    for batch in batches:
+        a, b = (batch.column(n).to_numpy() for n in ("a", "b"))
+        if not len(b):
+            continue
+        new = np.concatenate([[b[0] != now], b[1:] != b[:-1]])
+        place = np.arange(len(b)) - np.maximum.accumulate(np.where(new, np.arange(len(b)), -filled))
+        begins = place % CHUNK_ROWS == 0
+        parts = part + np.cumsum(begins)
+        out = (np.concatenate([b[begins], a]), np.concatenate([b[begins], b]), np.concatenate([parts[begins], parts]), np.concatenate([np.zeros(begins.sum(), np.int32), np.ones(len(a), np.int32)]))
+        now, filled, part = b[-1], int(place[-1]) + 1, int(parts[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=CHUNK.names)
 
 
 def links(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough, b being a pivot with any number of partners.
 
-    A pivot's partners are dealt to tasks of about ``SALT_ROWS``; each task gets the pivot's set once and reads the
-    others as a stream.
+    A pivot's partners are cut into parts; each part's task gets the pivot's set and reads the others as a stream.
     """
-    pairs = written(pairs)
-    small = pairs.count() <= BROADCAST_ROWS
-    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-    dealt = pairs.join(F.broadcast(salts) if small else salts, "b").select(F.col("a").alias("v"), "b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"))
-    pivots = salts.select(F.col("b").alias("v"), "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"))
-    wanted = written(dealt.unionByName(pivots))
-    sets = sets_of(docs, wanted.select("v").distinct(), words, small)
-    rows = sets.join(F.broadcast(wanted) if small else wanted, "v").select("b", "salt", "kind", "v", "set")
-    rows = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "kind", "v")
+    dealt = written(pairs.select("a", "b").repartitionByRange("b", "a").sortWithinPartitions("b", "a").mapInArrow(_chunked, CHUNK))
+    rows = sets_of(docs, dealt, words).join(dealt, "v").select("b", "part", "kind", "v", "set")
+    rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", "kind", "v")
 
     def check(it: Iterator[tuple]) -> Iterator[tuple]:
-        pivot, own = None, None
-        for b, salt, kind, v, raw in it:
+        pivot, held = None, []
+        for b, part, kind, v, raw in it:
             one = np.frombuffer(raw, np.uint64)
+            if pivot != (b, part):
+                pivot, held = (b, part), []
             if kind == 0:
-                pivot, own = (b, salt), one
-            elif pivot == (b, salt) and similar(own, one, percent):
+                held.append(one)
+            elif any(similar(own, one, percent) for own in held):
                 yield v, b
 
-    return map_rows(rows, ["b", "salt", "kind", "v", "set"], check, LINK)
+    out = written(map_rows(rows, ["b", "part", "kind", "v", "set"], check, LINK))
+    release(dealt)
+    return out
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -163,23 +196,70 @@ def components(edges: DataFrame) -> DataFrame:
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("a").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e"))
         parent = written(ends.groupBy("e.v").agg(F.min("e.w").alias("p")))
         moved = written(parent.join(parent.select(F.col("v").alias("p"), F.col("p").alias("root")), "p").select("v", "root"))
+        before = labels
         labels = moved if labels is None else written(labels.join(moved.select(F.col("v").alias("root"), F.col("root").alias("far")), "root", "left").select("v", F.coalesce("far", "root").alias("root")))
         at = lambda c: moved.select(F.col("v").alias(c), F.col("root").alias(f"{c}_root"))
         near = edges.join(at("a"), "a").join(at("b"), "b").where("a_root != b_root")
-        edges = written(near.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct())
+        left = written(near.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct())
+        release(edges, parent, before, None if moved is labels else moved)
+        edges = left
         if not edges.limit(1).count():
+            release(edges)
             return labels
 
 
 def relabelled(comps: DataFrame, edges: DataFrame) -> DataFrame:
     """Components after more edges."""
-    edges = written(edges)
     back = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c)).alias(c)
     known = edges.join(comps.select(F.col("v").alias("a"), F.col("root").alias("a_root")), "a", "left").join(comps.select(F.col("v").alias("b"), F.col("root").alias("b_root")), "b", "left").select(back("a"), back("b"))
     joined = components(known.where("a != b").distinct())
     old = comps.join(joined.select(F.col("v").alias("root"), F.col("root").alias("far")), "root", "left").select("v", F.coalesce("far", "root").alias("root"))
     new = joined.join(comps.select("v"), "v", "left_anti")
-    return written(old.unionByName(new))
+    out = written(old.unionByName(new))
+    release(joined, comps)
+    return out
+
+
+#: A member ``v`` of a bucket with its set's size, and the pivot of its stretch of the bucket; ``edge`` marks the first and the last pivot of a task, whose bucket may go on in another.
+RUN = T.StructType([*(T.StructField(n, T.LongType()) for n in ("bucket", "v", "n", "b", "m")), T.StructField("edge", T.BooleanType())])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of buckets in order of (bucket, v): all of a bucket that has two here, with its smallest as the pivot."""
+    bucket = pivot = size = None
+    alone = first = True
+
+    def rows(*columns: np.ndarray, edge: bool = False) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(c, np.int64)) for c in columns), pa.array(np.full(len(columns[0]), edge))], names=RUN.names)
+
+    for batch in batches:
+        k, v, n = (batch.column(c).to_numpy() for c in ("bucket", "v", "n"))
+        if not len(k):
+            continue
+        if bucket is None:
+            yield rows(k[:1], v[:1], n[:1], v[:1], n[:1], edge=True)
+        new = np.concatenate([[bucket is None or k[0] != bucket], k[1:] != k[:-1]])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+        b = np.where(at >= 0, v[at], pivot if pivot is not None else 0)
+        m = np.where(at >= 0, n[at], size if size is not None else 0)
+        more = np.flatnonzero(~new)
+        second = more[np.concatenate([[alone], new[:-1]])[more]]
+        yield rows(k[second], b[second], m[second], b[second], m[second])
+        yield rows(k[more], v[more], n[more], b[more], m[more])
+        first = first and not new[1:].any() and (bucket is None or not new[0])
+        bucket, pivot, size = int(k[-1]), int(b[-1]), int(m[-1])
+        alone = bool(new[-1])
+    if bucket is not None and not first:
+        yield rows([bucket], [pivot], [size], [pivot], [size], edge=True)
+
+
+def members(classes: DataFrame) -> DataFrame:
+    """(bucket, v, n, b, m) of all buckets with two classes or more: each class with a pivot to be checked against."""
+    rows = classes.select("v", "n", F.explode("bands").alias("bucket")).repartitionByRange("bucket", "v").sortWithinPartitions("bucket", "v")
+    runs = written(rows.select("bucket", "v", "n").mapInArrow(_runs, RUN))
+    edges = runs.where("edge").select("bucket", "v", "n").distinct()
+    least = edges.groupBy("bucket").agg(F.min("v").alias("b"), F.min_by("n", "v").alias("m"), F.count("*").alias("k")).where("k > 1")
+    return runs.where("not edge").drop("edge").unionByName(edges.join(least, "bucket").select("bucket", "v", "n", "b", "m"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -187,82 +267,78 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = docs.select("doc_id", "text")
     sign = written(signed(docs, words))
     classes = written(sign.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    rows = classes.select("v", "n", F.explode("bands").alias("bucket"))
-    active = rows.groupBy("bucket").agg(F.min("v").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    buckets = written(rows.join(active, "bucket").select("bucket", "size", "v", "n", "pivot"))
-    comps = linked(docs, buckets, words, percent)
-    roots = sign.select("doc_id", "n", "s1", "s2").join(classes.select("s1", "s2", "v"), ["s1", "s2"], "left")
-    roots = roots.join(comps, "v", "left").withColumn("v", F.coalesce("root", "v"))
-    # Rows of one doc_id with different texts name one document: their classes are one component already, by name.
-    out = roots.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("v", "doc_id").alias("component_id"))
+    comps = linked(docs, written(members(classes)), words, percent)
+    named = sign.where("n > 0").select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "v"), ["s1", "s2"])
+    # Documents of several texts stand in several classes, which their name joins.
+    several = named.groupBy("doc_id").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least != most")
+    joins = written(named.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("v").alias("b")).distinct())
+    if joins.limit(1).count():
+        comps = relabelled(comps, joins)
+    roots = sign.select("doc_id", "n", "s1", "s2").join(classes.select("s1", "s2", "v"), ["s1", "s2"], "left").withColumn("v", F.coalesce("v", "doc_id"))
+    out = roots.join(comps, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "v").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     nameless = docs.where("doc_id is null")
     return out.unionByName(map_rows(nameless, ["doc_id", "text"], lambda it: ((k, len(shingles(t, words)), None, True) for k, t in it), out.schema))
 
 
-def linked(docs: DataFrame, buckets: DataFrame, words: int, percent: int) -> DataFrame:
-    """Components of the classes in ``buckets``: (v, root).
+def linked(docs: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
+    """Components of the classes in ``found``: (v, root).
 
-    First every class is checked against its buckets' smallest class. Then, as long as that links more, classes outside
+    First every class is checked against its pivot in each bucket. Then, as long as that links more, classes outside
     their bucket's largest component are checked against members of it. What is still apart is checked in blocks
-    against all classes it may share a bucket with.
+    against all classes of its bucket.
     """
-    sizes = buckets.select(F.col("v").alias("b"), F.col("n").alias("m")).distinct()
+    sizes = found.select(F.col("v").alias("b"), F.col("n").alias("m")).distinct()
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-
-    def check(pairs: DataFrame) -> DataFrame:
-        return written(links(docs, pairs.distinct().join(sizes, "b").where(fits).select("a", "b"), words, percent))
-
-    comps = components(check(buckets.where("v != pivot").select(F.col("v").alias("a"), F.col("pivot").alias("b"), "n")))
+    check = lambda pairs: links(docs, pairs.where(fits).select("a", "b").distinct(), words, percent)
+    comps = components(check(found.where("v != b").withColumnRenamed("v", "a")))
+    every = found.select("bucket", "v", "n").distinct()
     for turn in range(1, 4):
-        placed = written(buckets.where("size > 2").join(comps, "v", "left").withColumn("root", F.coalesce("root", "v")))
-        most = placed.groupBy("bucket", "root").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("big"), F.count("*").alias("roots"))
-        apart = written(placed.join(most.where("roots > 1"), "bucket"))
+        placed = written(every.join(comps, "v", "left").withColumn("root", F.coalesce("root", "v")))
+        most = placed.groupBy("bucket", "root").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("big"), F.count("*").alias("roots"), F.sum("k").alias("size"))
+        apart = written(placed.join(most.where("roots > 1 and size > 2"), "bucket"))
+        release(placed)
         if not apart.limit(1).count():
             return comps
         if turn == 3 or not apart.where(f"size > {BLOCK}").limit(1).count():
             break
         order = F.struct(F.xxhash64("v", F.lit(turn), F.col("bucket") % 4), F.col("v"))
         pivots = apart.where("root = big").groupBy("bucket").agg(F.min_by("v", order).alias("b"))
-        edges = check(apart.where("root != big").join(pivots, "bucket").select(F.col("v").alias("a"), "b", "n"))
+        edges = check(apart.where("root != big").join(pivots, "bucket").select(F.col("v").alias("a"), "b", "n").join(sizes, "b"))
         if not edges.limit(1).count():
             break
         comps = relabelled(comps, edges)
+        release(apart)
     return relabelled(comps, blockwise(docs, apart, words, percent))
 
 
 def blockwise(docs: DataFrame, apart: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between classes outside their bucket's largest component and all others of their family.
+    """Links between classes outside their bucket's largest component and all others of the bucket.
 
-    A family is what shared buckets connect. Its members are dealt to blocks of about ``BLOCK`` by hash and every block
-    of apart classes meets every block of members in a task of its own, which holds the sets of one block.
+    A bucket's members are dealt to blocks of about ``BLOCK`` by hash and every block of apart classes meets every block of
+    members in a task of its own, which holds the sets of one block.
     """
-    chains = apart.select(F.col("root").alias("a"), F.col("big").alias("b")).where("a != b").distinct()
-    family = components(chains).select(F.col("v").alias("root"), F.col("root").alias("family"))
-    own = apart.groupBy("v").agg(F.min("root").alias("root"), F.max((F.col("root") != F.col("big")).cast("int")).alias("out")).join(family, "root")
-    own = written(own)
-    count = own.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.sum("out") / BLOCK).cast("int").alias("outs"))
-    dealt = own.join(count, "family").withColumn("h", F.xxhash64("v"))
+    own = apart.withColumn("out", (F.col("root") != F.col("big")).cast("int"))
+    count = own.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.sum("out") / BLOCK).cast("int").alias("outs"))
+    dealt = own.select("bucket", "v", "root", "out").join(count, "bucket").withColumn("h", F.xxhash64("v"))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    held = dealt.where("out = 1").select("v", "root", "family", F.pmod("h", "outs").cast("int").alias("x"), every("blocks").alias("y"), F.lit(0).alias("kind"))
-    read = dealt.select("v", "root", "family", every("outs").alias("x"), F.pmod("h", "blocks").cast("int").alias("y"), F.lit(1).alias("kind"))
+    held = dealt.where("out = 1").select("v", "root", "bucket", F.pmod("h", "outs").cast("int").alias("x"), every("blocks").alias("y"), F.lit(0).alias("kind"))
+    read = dealt.select("v", "root", "bucket", every("outs").alias("x"), F.pmod("h", "blocks").cast("int").alias("y"), F.lit(1).alias("kind"))
     wanted = written(held.unionByName(read))
-    small = wanted.count() <= BROADCAST_ROWS
-    sets = sets_of(docs, own.select("v"), words, small)
-    rows = sets.join(F.broadcast(wanted) if small else wanted, "v").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y", "kind", "v")
+    rows = sets_of(docs, apart, words).join(wanted, "v").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "kind", "v")
 
     def check(it: Iterator[tuple]) -> Iterator[tuple]:
         now, block = None, None
-        for family, x, y, kind, v, root, raw in it:
-            if now != (family, x, y):
-                now, block = (family, x, y), Block(percent)
+        for bucket, x, y, kind, v, root, raw in it:
+            if now != (bucket, x, y):
+                now, block = (bucket, x, y), Block(percent)
             one = np.frombuffer(raw, np.uint64)
             if kind == 0:
                 block.hold(v, root, one)
             else:
                 yield from block.links_of(v, root, one)
 
-    return map_rows(rows, ["family", "x", "y", "kind", "v", "root", "set"], check, LINK)
+    return written(map_rows(rows, ["bucket", "x", "y", "kind", "v", "root", "set"], check, LINK))
 
 
 class Block:

@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cloakframe.llm import linededup, minhash
@@ -118,6 +119,57 @@ def test_minhash_against_all_pairs(spark, odd, none):
     assert minhash.near_duplicates(odd, 5).count() == odd.count() and not minhash.near_duplicates(none, 5).count()
 
 
+def test_rows_of_one_document(spark):
+    """Different texts under one doc_id, and one text under several, are one component."""
+    long = "some words that make a text of its own number"
+    rows = [(3, "a b c d"), (5, "a b c d"), (5, long), (5, long), (9, long + " nine"), (7, "x y"), (7, "z w"), (8, "z w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, 2).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (5, 3, False), (7, 7, True), (7, 7, True), (8, 7, False), (9, 3, False)]
+
+
+def test_buckets_and_pivots_cut_over_tasks(spark, monkeypatch):
+    """Large groups of near copies in stretches of few rows, with blocks of few members, against all pairs."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{k}" for k in range(300)]
+    rows = []
+    for noise in (6, 20, 30):
+        base = rng.choice(vocabulary, 60).tolist()
+        for _ in range(40):
+            words = list(base)
+            for at in rng.integers(0, 60, rng.integers(0, noise)):
+                words[at] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 1, 70).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute_components(rows, 1, 70)
+
+
+def test_runs_and_chunks_in_batches():
+    rng = np.random.default_rng(7)
+    k = np.sort(rng.integers(0, 30, 400))
+    v = np.arange(400)
+    whole = pa.RecordBatch.from_arrays([pa.array(x) for x in (k, v, v + 1)], names=["bucket", "v", "n"])
+    for size in (1, 3, 50, 400):
+        parts = [whole.slice(at, size) for at in range(0, 400, size)]
+        out = pa.Table.from_batches(list(minhash._runs(iter(parts)))).to_pylist()
+        least = {x: int(v[k == x].min()) for x in set(k.tolist())}
+        assert {(r["bucket"], r["v"]) for r in out if not r["edge"]} == {(a, b) for a, b in zip(k.tolist(), v.tolist(), strict=True) if (k == a).sum() > 1}
+        assert all(r["b"] == least[r["bucket"]] and r["m"] == r["b"] + 1 for r in out)
+        assert {r["bucket"] for r in out if r["edge"]} == {int(k[0]), int(k[-1])}
+        pairs = pa.RecordBatch.from_arrays([pa.array(x) for x in (v, np.sort(rng.integers(0, 2, 400)))], names=["a", "b"])
+        cut = pa.Table.from_batches(list(minhash._chunked(pairs.slice(at, size) for at in range(0, 400, size)))).to_pylist()
+        assert sorted(r["v"] for r in cut if r["kind"]) == v.tolist()
+        by_part = {}
+        for r in cut:
+            by_part.setdefault((r["b"], r["part"]), []).append(r["kind"])
+        assert all(x.count(0) == 1 and x.count(1) <= minhash.CHUNK_ROWS for x in by_part.values())
+
+
 def test_blocks_find_all_links(spark):
     rng = np.random.default_rng(9)
     base = np.sort(rng.choice(10_000, 100, replace=False)).astype(np.uint64)
