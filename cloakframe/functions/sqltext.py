@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
 _NAMES = count()
@@ -27,16 +28,48 @@ def weighted(s: str, weights: list[int], start: int = 1) -> str:
     return "(" + " + ".join(f"{w} * cast(substring({s}, {k + start}, 1) as int)" for k, w in enumerate(weights)) + ")"
 
 
-def spans(text: str, pattern: str) -> str:
-    """array<struct<start,end,m,before,after>> of all leftmost matches; positions count code points."""
+FOUND = "array<struct<start:int,end:int,m:string,before:string,after:string>>"
+WINDOW = 60
+#: Neighbours that fill a window, each being four characters long at least.
+NEAR = 15
+
+
+def begins(steps: str) -> str:
+    """Running sums of an array of numbers, each without its own term, by blocks of 64, so that time is linear but for the block's size."""
+    total = lambda x: f"aggregate({x}, 0, (a, x) -> a + x)"
+    inner = lambda sums: f"flatten(transform(sequence(0, (size({steps}) - 1) div 64), b -> transform(slice({steps}, b * 64 + 1, 64), (_, j) -> {total(f'slice({sums}, 1, b)')} + {total(f'slice({steps}, b * 64 + 1, j)')})))"
+    return let(f"transform(sequence(0, (size({steps}) - 1) div 64), b -> {total(f'slice({steps}, b * 64 + 1, 64)')})", inner)
+
+
+def placed(gaps: str, matches: str) -> str:
+    """Spans of matches from what lies between them: ``gaps`` has one more than ``matches``.
+
+    What stands around a match is put together from its ``NEAR`` neighbours on each side, not cut from the text, whose
+    places would have to be counted anew for each.
+    """
+    steps = f"transform({matches}, (m, i) -> length(m) + length({gaps}[i]))"
+    # Of each gap and the match behind it the end, of each match and the gap behind it the beginning.
+    left = f"transform({matches}, (m, i) -> right(concat(right({gaps}[i], {WINDOW}), m), {WINDOW}))"
+    right = f"transform({matches}, (m, i) -> left(concat(m, left({gaps}[i + 1], {WINDOW})), {WINDOW}))"
+
+    def span(at: str, ls: str, rs: str) -> str:
+        before = f"if(length({gaps}[i]) >= {WINDOW}, right({gaps}[i], {WINDOW}), right(concat(array_join(slice({ls}, greatest(i - {NEAR}, 0) + 1, least(i, {NEAR})), ''), {gaps}[i]), {WINDOW}))"
+        after = f"if(length({gaps}[i + 1]) >= {WINDOW}, left({gaps}[i + 1], {WINDOW}), left(concat({gaps}[i + 1], array_join(slice({rs}, i + 2, {NEAR}), '')), {WINDOW}))"
+        return f"transform({matches}, (m, i) -> named_struct('start', {at}[i] + length({gaps}[i]), 'end', {at}[i] + length({gaps}[i]) + length(m), 'm', m, 'before', {before}, 'after', {after}))"
+
+    return let(steps, lambda s: let(begins(s), lambda at: let(left, lambda ls: let(right, lambda rs: span(at, ls, rs)))))
+
+
+def spans(text: str, pattern: str, check: Callable[[str], str] | None = None) -> str:
+    """array<struct<start,end,m,before,after>> of all leftmost matches; positions count code points.
+
+    The text is read once; only one with a match (that passes ``check``, if given) is read again, for what lies between.
+    """
     p = lit(pattern)
 
     def of(m: str) -> str:
-        return let(f"split({text}, {p}, -1)", lambda g: f"""aggregate(sequence(0, size({m}) - 1),
-          named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,m:string,before:string,after:string>>)),
-          (a, i) -> named_struct('at', a.at + length({g}[i]) + length({m}[i]), 'out', concat(a.out, array(named_struct(
-            'start', a.at + length({g}[i]), 'end', a.at + length({g}[i]) + length({m}[i]), 'm', {m}[i],
-            'before', right({g}[i], 60), 'after', left({g}[i + 1], 60))))), a -> a.out)""")
-
-    empty = "cast(array() as array<struct<start:int,end:int,m:string,before:string,after:string>>)"
-    return let(f"regexp_extract_all({text}, {p}, 0)", lambda m: f"if(size({m}) = 0, {empty}, {of(m)})")
+        some = f"exists({m}, s -> {check('s')})" if check else f"size({m}) > 0"
+        gaps = f"split({text}, {p}, -1)"
+        return f"if({some}, {let(gaps, lambda g: placed(g, m))}, cast(array() as {FOUND}))"
+
+    return let(f"regexp_extract_all({text}, {p}, 0)", of)

@@ -151,6 +151,20 @@ def nir(s: str) -> str:
     return key97(s, 13)
 
 
+# Fixed words that leave a number open.
+HEDGES = r"(?iu)\\b(?:serait|seraient|possible|probable|probablement|environ|approximativement|aurait|auraient|supposé|non[\\s-]+confirmé|non[\\s-]+vérifié|invérifiable)\\b"
+
+
+def nir_shape(s: str) -> str:
+    """Fifteen digits with a plausible sex, month and department."""
+    return let(digits(s), lambda d: f"(length({d}) = 15 and {d} rlike '^[12]' and (cast(substring({d}, 4, 2) as int) between 1 and 12 or cast(substring({d}, 4, 2) as int) >= 20) and substring({d}, 6, 2) <> '00')")
+
+
+def nir_or_hedged(s: str) -> str:
+    """The key, or the shape alone where the match says that the number is uncertain."""
+    return f"if({s} rlike '{HEDGES}', {nir_shape(s)}, {nir(s)})"
+
+
 def cni12(s: str) -> str:
     return let(digits(s), lambda d: f"(length({d}) = 12 and cast(right({d}, 1) as int) = {weighted(d, list(range(1, 12)))} % 10)")
 
@@ -275,5 +289,5 @@ def always(s: str) -> str:
 
 CHECKS: dict[str, Check] = {
     f.__name__: f
-    for f in (luhn, card, eu_card, email, phone, ipv4, ipv6, url, date, wallet, iban_plausible, iban_mod97, bic, vat_fr, siren, siret, nir, cni12, fr_passport, fr_licence, steuer_id, personalausweis, reisepass, sozialversicherung, codice_fiscale, cie, partita_iva, dni, nie, naf, bsn, be_number, pesel, nip, nif_pt, vitale)
+    for f in (luhn, card, eu_card, email, phone, ipv4, ipv6, url, date, wallet, iban_plausible, iban_mod97, bic, vat_fr, siren, siret, nir, nir_shape, nir_or_hedged, cni12, fr_passport, fr_licence, steuer_id, personalausweis, reisepass, sozialversicherung, codice_fiscale, cie, partita_iva, dni, nie, naf, bsn, be_number, pesel, nip, nif_pt, vitale)
 }

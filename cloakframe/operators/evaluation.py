@@ -55,6 +55,48 @@ def false_positive_rate(docs: DataFrame, entities: str = "entities") -> DataFram
     return docs.agg(F.avg((F.size(entities) > 0).cast("double")).alias("rate"))
 
 
+def totals(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """One row of micro totals over exact spans: tp, fp, fn, precision, recall, f1, f2."""
+    sums = by_type(gold, predicted).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
+    return sums.select("tp", "fp", "fn", *scores(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
+def known_types(kind: str, types: list[str]) -> Column:
+    """A type, or MISMATCH for one that is not among ``types``."""
+    return F.when(F.col(kind).isin("O", *types), F.col(kind)).otherwise("MISMATCH")
+
+
+def grouped(entities: str) -> Column:
+    """Entities by type, in order of type, each type's in order of start: array of (entity_type, entities)."""
+    kinds = f"array_sort(array_distinct(transform({entities}, e -> e.entity_type)))"
+    own = f"array_sort(filter({entities}, e -> e.entity_type = k), (x, y) -> case when x.start <> y.start then x.start - y.start else x.end - y.end end)"
+    return F.expr(f"transform({kinds}, k -> named_struct('entity_type', k, 'entities', {own}))")
+
+
+def allocated(text: str, values: str) -> Column:
+    """For each value in order its next place in the text that no value before it has taken: array of (value, start, end), -1 for none."""
+    step = "struct<value:string,start:int,end:int>"
+    free = f"filter(sequence(0, length({text}) - length(v)), p -> substring({text}, p + 1, length(v)) = v and not exists(a, o -> o.start < p + length(v) and p < o.end))"
+    first = f"if(length(v) = 0 or length(v) > length({text}) or not contains({text}, v), -1, coalesce(try_element_at({free}, 1), -1))"
+    return F.expr(f"aggregate({values}, cast(array() as array<{step}>), (a, v) -> concat(a, transform(array({first}), p -> named_struct('value', v, 'start', p, 'end', if(p < 0, -1, p + length(v))))))")
+
+
+def without_overlaps(spans: str) -> Column:
+    """Spans (start, end, entity_type) in order; of two that overlap the longer one stays, the earlier of equals."""
+    kind = "array<struct<start:int,end:int,entity_type:string>>"
+    ordered = f"array_sort(filter({spans}, s -> s.start < s.end), (x, y) -> case when x.start <> y.start then x.start - y.start else y.end - x.end end)"
+    last = "a[size(a) - 1]"
+    step = f"if(size(a) = 0 or s.start >= {last}.end, concat(a, array(s)), if(s.end - s.start > {last}.end - {last}.start, concat(slice(a, 1, size(a) - 1), array(s)), a))"
+    return F.expr(f"aggregate(transform({ordered}, s -> named_struct('start', s.start, 'end', s.end, 'entity_type', s.entity_type)), cast(array() as {kind}), (a, s) -> {step})")
+
+
+def coverage(text: str, markers: list[str], percent: int = 95) -> Column:
+    """How many markers a text holds, as it is or without white space, and whether they are enough: struct (hits, needed, covered)."""
+    bare = f"regexp_replace({text}, '\\\\s', '')"
+    hits = " + ".join(f"cast(contains({text}, {lit(m)}) or contains({bare}, {lit(m)}) as int)" for m in markers) or "0"
+    return F.expr(f"named_struct('hits', {hits}, 'needed', {least_hits(len(markers), percent)}, 'covered', {hits} >= {least_hits(len(markers), percent)})")
+
+
 def threshold_curve(rows: DataFrame, score: str, steps: int = 10) -> DataFrame:
     """(threshold, kept, ignored) at 0, 1/steps, ..., 1: scores are counted by step first, then the few counts are summed up."""
     spark = rows.sparkSession
@@ -65,8 +107,10 @@ def threshold_curve(rows: DataFrame, score: str, steps: int = 10) -> DataFrame:
 
 
 def least_hits(n: int, percent: int) -> int:
-    """Marks that must be found of ``n`` for a coverage of ``percent``."""
-    return n - -(-n * (100 - percent) // 100)
+    """Marks that must be found of ``n`` for a coverage of ``percent``: one at least, unless none are asked for."""
+    if n <= 0 or percent <= 0:
+        return 0
+    return n if percent >= 100 else max(1, n - -(-n * (100 - percent) // 100))
 
 
 def refined(tags: str) -> Column:

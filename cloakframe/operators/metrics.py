@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed histogram bounds in seconds.
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0)
@@ -34,6 +38,58 @@ def alerts(rates: DataFrame, ratio: float = 0.05) -> DataFrame:
     return rates.where(F.col("failure_ratio") > ratio)
 
 
+def percentile_alerts(rows: DataFrame, ts: str, value: Column, share: float = 0.99, above: float = 0.5, width: str = "5 minutes") -> DataFrame:
+    """(window_start, p) of windows whose percentile is above a bound; the percentile is exact, with linear interpolation."""
+    out = rows.groupBy(F.window(ts, width).alias("w")).agg(F.percentile(value, F.lit(share)).alias("p"))
+    return out.where(F.col("p") > above).select(F.col("w.start").alias("window_start"), "p")
+
+
+def increase_alerts(rows: DataFrame, ts: str, counted: Column, above: int = 0, width: str = "5 minutes") -> DataFrame:
+    """(window_start, increase) of windows with more counted rows than a bound."""
+    out = rows.groupBy(F.window(ts, width).alias("w")).agg(F.sum(counted.cast("long")).alias("increase"))
+    return out.where(F.col("increase") > above).select(F.col("w.start").alias("window_start"), "increase")
+
+
+def linear_buckets(start: float, width: float, count: int) -> tuple[float, ...]:
+    return tuple(start + width * k for k in range(count))
+
+
+def pair_key(a: str, b: str) -> Column:
+    """One key for two approvers, whichever is named first."""
+    return F.concat(F.least(a, b), F.lit("|"), F.greatest(a, b))
+
+
+def breaker(rows: DataFrame, guard: str, at: str, order: str, most: int = 5, seconds: int = 900) -> DataFrame:
+    """Rows with ``state``: a request is allowed, or the one that finds ``most`` allowed in the ``seconds`` before it trips the guard, which is open for as long.
+
+    ``at`` is a time in whole seconds. A guard's requests are one sequence; they pass through a task as a stream, in
+    order, and the state is the few times within the span.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("state", T.StringType())])
+    names = rows.columns
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, times, until = None, [], -(1 << 62)
+        for part in parts:
+            out = []
+            for g, t in zip(part[guard], part[at], strict=True):
+                if g != now:
+                    now, times, until = g, [], -(1 << 62)
+                if t < until:
+                    out.append("open")
+                    continue
+                times = [x for x in times if x >= t - seconds]
+                if len(times) >= most:
+                    until = t + seconds
+                    out.append("tripped")
+                    continue
+                times.append(t)
+                out.append("allowed")
+            yield part.assign(state=out)
+
+    return rows.repartition(guard).sortWithinPartitions(guard, at, order).select(*names).mapInPandas(run, schema)
+
+
 def top(rows: DataFrame, key: str, n: int = 5) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(n)
 

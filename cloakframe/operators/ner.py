@@ -32,6 +32,18 @@ def merged(tokens: str, how: str = "mean") -> Column:
     return F.expr(f"transform({fold}, s -> named_struct('start', s.start, 'end', s.end, 'label', case s.label {names} else s.label end, 'score', {value}))")
 
 
+def softmax_argmax(logits: str) -> Column:
+    """struct (at, p): the place of the largest of an array of numbers, the first of equal ones, and its share under a softmax, shifted by it."""
+    top = f"array_max({logits})"
+    return F.expr(f"named_struct('at', cast(array_position({logits}, {top}) - 1 as int), 'p', 1D / aggregate({logits}, 0D, (sum_, one_) -> sum_ + exp(one_ - {top})))")
+
+
+def adapted(predictions: str, least: float = 0.5, types: tuple[str, ...] | None = None) -> Column:
+    """Predictions at or above a score and of the types allowed; none for null."""
+    allowed = f" and p.label in ({', '.join(repr(t) for t in types)})" if types else ""
+    return F.expr(f"filter(coalesce({predictions}, cast(array() as {PREDICTION})), p -> p.score >= {least}D{allowed})")
+
+
 def gate(entities: str, certain: float = 0.95, sure: float = 0.75) -> Column:
     """Whether a document is worth a model: an uncertain name, organization or place, or any score under ``sure``."""
     return F.exists(entities, lambda e: (e["score"] < certain) & (e["entity_type"].isin(*GATED) | (e["score"] < sure)))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import html
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sqltext import lit
+
 # Fixed packs: regulation, operators by type, days a mapping and an audit row are kept, what happens to unknown types, whether risky combinations block, whether text is stripped, longest text, what a violation does.
 PACKS = {
     "ccpa": ("CCPA", "EMAIL=hash PHONE=mask PERSON=pseudonymize IP_ADDRESS=mask", 0, 365, "log", False, False, None, "alert"),
@@ -21,6 +27,53 @@ RISKY = (("MEDICAL_RECORD",), ("CREDIT_CARD", "IBAN", "BANK_ACCOUNT"), ("SSN", "
 ROLE_TYPES = {"viewer": ("EMAIL", "PHONE"), "operator": ("EMAIL", "PHONE", "IP_ADDRESS"), "admin": (), "auditor": ("IP_ADDRESS",)}
 
 
+PACK_FIELDS = ("regulation", "operators", "mapping_days", "audit_days", "on_unknown", "block_high_risk", "strip_text", "most_chars", "on_violation")
+
+
+def load_packs(*folders: str) -> dict[str, tuple]:
+    """The built-in packs, and those of JSON files in the folders by name, a later one over an earlier; missing fields take the strictest pack's."""
+    packs = dict(PACKS)
+    for folder in folders:
+        for path in sorted(Path(folder).glob("*.json")):
+            data = json.loads(path.read_text(encoding="utf-8"))
+            name = str(data.pop("name", path.stem)).strip().lower()
+            if unknown := set(data) - set(PACK_FIELDS):
+                raise ValueError(f"unknown fields {sorted(unknown)} in {path}")
+            if isinstance(data.get("operators"), dict):
+                data["operators"] = " ".join(f"{k.strip().upper()}={x}" for k, x in data["operators"].items())
+            packs[name] = tuple(data.get(f, x) for f, x in zip(PACK_FIELDS, packs.get(name, PACKS["gdpr-strict"]), strict=True))
+    return packs
+
+
+def merged_config(name: str, own: dict | None = None, packs: dict[str, tuple] = PACKS) -> dict:
+    """An engine's settings with a policy's on top: its operators and days by type."""
+    operators = dict(x.split("=") for x in packs[name][1].split())
+    days = packs[name][2]
+    return (own or {}) | {"policy_name": name, "policy_regulation": packs[name][0], "entity_operators": operators, "entity_retention_days": dict.fromkeys(operators, days) if days > 0 else {}, "pseudonymization_mapping_days": days}
+
+
+def response(entities: str, name: str, redacted: tuple[str, ...] = (), packs: dict[str, tuple] = PACKS) -> Column:
+    """What an answer shows under a policy: struct (entities, redacted, blocked).
+
+    Texts go if the policy strips them or their type is among ``redacted``; a risky combination blocks the answer if the
+    policy says so, and then no entity is shown.
+    """
+    _, _, _, _, _, blocks, strips, _, violation = packs[name]
+    hide = "true" if strips else f"e.entity_type in ({', '.join(lit(t) for t in redacted)})" if redacted else "false"
+    groups = " + ".join(f"cast(exists({entities}, e -> e.entity_type in ({', '.join(lit(t) for t in g)})) as int)" for g in RISKY)
+    stop = f"({groups} >= 2)" if blocks and "block" in violation.split(",") else "false"
+    shown = f"transform({entities}, e -> named_struct('start', e.start, 'end', e.end, 'entity_type', e.entity_type, 'text', if({hide}, '[REDACTED]', e.text), 'score', e.score))"
+    kind = "array<struct<start:int,end:int,entity_type:string,text:string,score:double>>"
+    return F.expr(f"named_struct('entities', if({stop}, cast(array() as {kind}), {shown}), 'redacted', if({stop}, 0, size(filter({entities}, e -> {hide}))), 'blocked', {stop})")
+
+
+def registered(subjects: DataFrame, subject: str, name: str, now: Column, packs: dict[str, tuple] = PACKS) -> DataFrame:
+    """(subject, mapping_key, expires_at) of subjects whose pseudonyms a policy keeps; none if it keeps them no day, nor without a subject."""
+    days = packs[name][2]
+    rows = subjects.select(subject).where(F.col(subject).isNotNull() & (F.col(subject).cast("string") != "")).where(F.lit(days > 0)).distinct()
+    return rows.select(subject, F.sha2(F.concat_ws("|", F.lit(name), F.col(subject).cast("string"), now.cast("string")), 256).alias("mapping_key"), (now + F.expr(f"interval {days} days")).alias("expires_at"))
+
+
 def pack_operators(name: str, override: dict[str, str] | None = None) -> dict[str, str]:
     """A pack's operators by type, with the caller's own on top."""
     return dict(x.split("=") for x in PACKS[name][1].split()) | (override or {})
@@ -94,9 +147,16 @@ def decision(entities: str, mode: str, protected: tuple[str, ...], least: float
 
 
 def impact_report(score: dict, types: list[str]) -> str:
-    """An impact assessment of one policy in Markdown, from a row of ``impact_scores`` and the types processed."""
+    """An impact assessment of one policy in Markdown, from a row of ``impact_scores`` and the types processed; ``impact_page`` has it in HTML."""
     regulation, _, mapping, audit, unknown, blocks, strips, most, violation = PACKS[score["policy"]]
     measures = [f"mappings are kept for {mapping} days", f"audit rows are kept for {audit} days", f"unknown types: {unknown}", f"on a violation: {violation}"]
     measures += ["risky combinations are blocked"] * blocks + ["control characters are stripped"] * strips + [f"texts end after {most} characters"] * bool(most)
     rows = "\n".join(f"| {t} | {SENSITIVITY.get(t, 10)} |" for t in sorted(set(types)))
     return f"# Impact of {score['policy']} ({regulation})\n\nRisk {score['score']} of 100: {score['band']}\n\n| type | weight |\n|-|-|\n{rows}\n\n" + "\n".join(f"- {m}" for m in measures) + "\n"
+
+
+def impact_page(score: dict, types: list[str]) -> str:
+    """``impact_report`` as HTML, with every value escaped."""
+    rows = "".join(f"<tr><td>{html.escape(t)}</td><td>{SENSITIVITY.get(t, 10)}</td></tr>" for t in sorted(set(types)))
+    measures = "".join(f"<li>{html.escape(x[2:])}</li>" for x in impact_report(score, types).splitlines() if x.startswith("- "))
+    return f"<h1>Impact of {html.escape(str(score['policy']))}</h1><p>Risk {int(score['score'])} of 100: {html.escape(str(score['band']))}</p><table>{rows}</table><ul>{measures}</ul>"

@@ -7,19 +7,25 @@ its score in context: base, plus a boost once if a context word is near, minus a
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import validators as v
-from ..functions.sqltext import let, lit, spans
+from ..functions.sqltext import FOUND, WINDOW, let, lit, spans
 from ..schema import ENTITIES, parse_entity_type
+from ..session import spread
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``group`` tells which part of a match is the entity: the whole, or what stands at its end or start."""
+    """``group`` tells which part of a match is the entity: the whole, or the value next to its keyword.
+
+    ``needs`` are lower-case strings of which a text holds one wherever the rule has a match; texts without any are not
+    searched. ``find`` replaces the pattern by SQL that gives the spans of a text.
+    """
 
     name: str
     entity: str
@@ -38,7 +44,14 @@ class Rule:
     languages: tuple[str, ...] = ("*",)
     floor: bool = False
     low: float | None = None
-    needs: str = ""
+    needs: tuple[str, ...] = ()
+    recognizer: str = ""
+    find: Callable[[str], str] | None = None
+
+    @property
+    def owner(self) -> str:
+        """The recognizer that the rule belongs to."""
+        return self.recognizer or self.name
 
 
 def words(text: str) -> tuple[str, ...]:
@@ -60,12 +73,29 @@ DATE_FOR = words("date, born, birth, due, expires, datum, geburt, fecha, nacimie
 DATE_AGAINST = words("version, v., release, build")
 CRYPTO_FOR = words("bitcoin, btc, ethereum, eth, wallet, address, send, payment, crypto, portefeuille, monedero, billetera, portafoglio, zahlung")
 CRYPTO_AGAINST = words("example, test, fake, invalid, exemple, beispiel")
-IBAN_FOR = words("iban, bank account, bank transfer, wire transfer, compte bancaire, rib, bankverbindung, kontonummer, bankkonto, überweisung, cuenta bancaria, conto corrente, bonifico, bankrekening, rekeningnummer, nib, numer konta, przelew, bankgiro, plusgiro")
-BIC_FOR = words("bic, swift, bank identifier, code banque, identifiant banque, bankleitzahl, bankcode, código bic, codice bic, kod swift, cod bancar, bankkod")
-VAT_FOR = words("vat, tva, mwst, ust-idnr, umsatzsteuer, iva, nif-iva, partita iva, p.iva, btw, nif, nip, cif, cui, moms, tin")
-EU_CARD_FOR = words("visa, mastercard, american express, amex, carte bleue, carte bancaire, cb, bancontact, maestro, cartasi, carta di credito, tarjeta bancaria, bank card, debitcard, credit card, kreditkarte, ec-karte, girocard, betaalpas, betalningskort")
-FR_ID_FOR = words("siren, siret, nir, numéro de sécurité sociale, sécurité sociale, insee, identifiant entreprise, rcs, entreprise, company number, firmennummer, kvk, social security number, personnummer")
-
+IBAN_FOR = words("IBAN, bank account, bank transfer, wire transfer, compte bancaire, coordonnées bancaires, RIB, relevé d'identité bancaire, Bankverbindung, Kontonummer, Bankkonto, Überweisung, cuenta bancaria, cuenta corriente, IBAN bancario, domiciliación, conto corrente, coordinate bancarie, bonifico, bankrekening, rekeningnummer, overschrijving, conta bancária, NIB, transferência, numer konta, przelew, rachunek bankowy, cont bancar, cont curent, transfer bancar, bankkonto, bankgiro, kontonummer, plusgiro")
+BIC_FOR = words("BIC, SWIFT, SWIFT code, bank identifier, code banque, identifiant banque, Bankleitzahl, Bankcode, código SWIFT, código BIC, codice SWIFT, codice BIC, bankcode, BIC code, código bancário, identificador bancário, kod SWIFT, identyfikator banku, cod bancar, cod SWIFT, bankidentifiering, bankkod")
+VAT_FOR = words("VAT, VAT number, TVA, numéro de TVA, MwSt, USt-IdNr, Umsatzsteuer, IVA, NIF-IVA, partita IVA, P.IVA, BTW, btw-nummer, NIF, número de IVA, NIP, numer VAT, TVA intracommunautaire, CIF, CUI, moms, momssats, VAT ID, TIN")
+EU_CARD_FOR = words("Visa, Mastercard, MasterCard, American Express, AmEx, Carte Bleue, carte bancaire, CB, Bancontact, Maestro, CartaSi, carta di credito, tarjeta bancaria, bank card, debitcard, credit card, Kreditkarte, EC-Karte, Girocard, betaalpas, pas kredytowy, card bancar, betalningskort, betalningsmedel")
+FR_ID_FOR = words("SIREN, SIRET, NIR, numéro de sécurité sociale, sécurité sociale, INSEE, identifiant entreprise, RCS, RM, entreprise, company number, firmennummer, Unternehmens-ID, CIF empresa, partita IVA azienda, KVK, NIP firmy, social security number, personnummer, număr de identificare")
+ADDRESS_FOR = words("adresse, address, Anschrift, indirizzo, dirección, direccion, adres, morada, rue, avenue, boulevard, Straße, Strasse, via, viale, calle, plaats, woonplaats, CAP, code postal, postcode, ZIP, PLZ")
+PLATE_FOR = words("plaque, plaque d'immatriculation, immatriculation, numéro de plaque, Kennzeichen, Nummernschild, targa, targhe, matrícula, kenteken, nummerplaat, registration plate, license plate, numéro d'immatriculation, SPZ, tablica rejestracyjna, matrícula automóvel")
+EU_PHONE_FOR = words("téléphone, telephone, tel, Tel., mobile, portable, Telefon, Handy, telefono, cellulare, teléfono, móvil, telefoon, gsm, WhatsApp, WhatsApp Business, call, appeler, numéro, numero")
+HEALTH_FOR = words("Carte Vitale, CV, vitale, EHIC, CEAM, TSE, European Health Insurance, carte européenne, Krankenversicherung, Krankenkasse, mutuelle, assurance maladie, dossier médical, dossier medical, patient, MRN, NIR patient, hôpital, ospedale, hospital")
+ARTICLE_9_FOR = words("données sensibles, sensitive data, besondere Kategorien, categoría especial, categorie particolari, bijzondere persoonsgegevens, art. 9, article 9, Artikel 9")
+FR_FOR = words("numéro de sécurité sociale, NIR, sécurité sociale, INSEE, carte d'identité, carte nationale, CNI, passeport, permis de conduire, permis, national identity, French ID")
+DE_FOR = words("Personalausweis, Ausweis, Steuer-ID, Steueridentifikationsnummer, Reisepass, Pass, Sozialversicherungsnummer, SV-Nummer, Rentenversicherungsnummer, German ID, tax number")
+IT_FOR = words("codice fiscale, CIE, carta d'identità, Partita IVA, P.IVA, Italian tax")
+ES_FOR = words("DNI, NIF, NIE, documento nacional, seguridad social, número de afiliación, Spanish ID, tarjeta sanitaria")
+NL_FOR = words("BSN, Burgerservicenummer, sofi-nummer, identiteitsnummer, Dutch citizen service number, NL ID")
+BE_FOR = words("numéro national, rijksregisternummer, registre national, BSN België, Belgian national number, NN")
+PL_FOR = words("PESEL, NIP, numer PESEL, Polish national, identyfikator podatkowy")
+PT_FOR = words("NIF, número de identificação fiscal, Cartão de Cidadão, CC, Portuguese tax")
+# Fixed languages of recognizers.
+COMMON = tuple("en fr de es it nl pt pl".split())
+FINANCIAL = (*COMMON, "ro", "sv")
+
+# Fixed patterns: the shapes that recognizers look for.
 CARD_RUN = r"\b[0-9](?:[\s-]?[0-9]){12,18}\b"
 PHONE_RUN = (
     r"\+\s*(?:33|49|39|34|31|32|351|48|352|353|44|41|43|45|46|47|358|30|420|36|40|372|371|370|356|386|421|385)\s*(?:[\s./-]*+[0-9]){7,14}[0-9]"
@@ -76,27 +106,34 @@ PHONE_RUN = (
 )
 IPV6_RUN = r"(?i)(?<![0-9a-f:.])(?:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?:[0-9a-f]{1,4}:){1,6}(?::[0-9a-f]{1,4}){1,6}(?:%[0-9a-z_.-]++)?|::1|::ffff:[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9a-f:])|\[[0-9a-fA-F:.]+\](?::[0-9]+)?"
 URL_RUN = r"(?i)\bhttps?://[^\s<>\[\]{}|\\^`\"']+|\bwww\.[^\s<>\[\]{}|\\^`\"']+|\b[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?+(?:\.[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?+)++(?:/[^\s<>\[\]{}|\\^`\"']*)?"
-STREET = r"(?:rue|avenue|av\.|boulevard|bd|place|allée|chemin|impasse|quai|straße|strasse|str\.|platz|weg|allee|calle|plaza|paseo|via|viale|piazza|corso|straat|laan|plein|street|road|lane|drive|square)"
-POSTAL = r"(?:[0-9]{5}|[0-9]{4}\s?[A-Z]{2}|[A-Z]{1,2}[0-9][A-Z0-9]?\s?[0-9][A-Z]{2}|[0-9]{2}-[0-9]{3}|[0-9]{3}\s[0-9]{2})"
-ADDRESS_RUN = rf"(?iu)\b[0-9]{{1,4}}(?:\s?(?:bis|ter|[a-d]))?,?\s+(?:{STREET}\s[^\n,]{{2,60}}|[^\n,0-9]{{2,40}}{STREET})\s*[,\n]\s*{POSTAL}\s+\p{{L}}[\p{{L}}'-]{{1,44}}"
+HOUSE = r"\b[0-9]{1,4}(?:\s+(?:bis|ter|quater))?[a-z]?\s+"
+CITY = r"[a-zà-ÿ][a-zà-ÿ'. -]{1,45}"
+POSTAL = r"(?:[0-9]{5}|[0-9]{4}\s*[a-z]{2}|[a-z]{1,2}[0-9][a-z0-9]?\s*[0-9][a-z]{2}|[0-9]{2}-[0-9]{3}|[0-9]{3}\s?[0-9]{2})"
+ADDRESS_RUN = (
+    rf"(?iu){HOUSE}[^\n]{{4,120}}\s*\r?\n\s*[0-9]{{5}}\s+{CITY}(?:\r?\n\s*France\b)?"
+    rf"|{HOUSE}[\p{{L}}\p{{N}}_'.,\s-]{{3,100}}?(?:\s*,\s*(?:apt|appt|appart\.?|porte)\s*[a-z0-9.\s/-]{{1,24}})?\s*,?\s+{POSTAL}\s+[a-zà-ÿ][a-zà-ÿ'.\s-]{{1,45}}\b"
+)
+#: Countries of bank codes by their first letter, so that few words are tried.
+BIC_COUNTRY = "|".join(f"{a}[{''.join(c[1] for c in v.BIC_COUNTRIES if c[0] == a)}]" for a in sorted({c[0] for c in v.BIC_COUNTRIES}))
+
 
 DEFAULT_RULES = [
-    Rule("email_rfc5322_like", "EMAIL", r"(?i)(?<![a-z0-9._%+-])[a-z0-9](?:[a-z0-9._%+-]*[a-z0-9])?@[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?\.[a-z]{2,63}\b", 0.88, v.email, 0.42, 0.07, 0.11, EMAIL_FOR, EMAIL_AGAINST, words("example.com, example.org, example.net, test.com, invalid, localhost"), words("noreply, no-reply, donotreply"), needs="@"),
-    Rule("phone_e164_eu", "PHONE", PHONE_RUN, 0.78, v.phone, 0.40, 0.06, 0.10, PHONE_FOR, PHONE_AGAINST),
-    Rule("credit_card_luhn", "CREDIT_CARD", CARD_RUN, 0.72, v.card, 0.45, 0.08, 0.12, CARD_FOR, CARD_AGAINST),
-    Rule("credit_card_masked_last4", "CREDIT_CARD", r"(?iu)\b(?:visa|mastercard|master\s?card|mc|amex|american\s?express)\s+(?:\*{2,4}|[•x]{2,4})(?:\s+(?:\*{2,4}|[•x]{2,4})){2}\s+[0-9]{4}\b", 0.62, v.always, 0.42, 0.06, 0.10, CARD_FOR, CARD_AGAINST),
-    Rule("ipv4", "IP_ADDRESS", r"\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\b", 0.90, v.always, 0.50, 0.05, 0.10, IP_FOR, IP_AGAINST, needs="."),
-    Rule("ipv6", "IP_ADDRESS", IPV6_RUN, 0.88, v.ipv6, 0.50, 0.05, 0.10, IP_FOR, IP_AGAINST, needs=":"),
-    Rule("url", "URL", URL_RUN, 0.70, v.url, 0.38, 0.07, 0.12, URL_FOR, URL_AGAINST, words("example.com, example.org, test.com"), needs="."),
-    Rule("date_eu_iso", "DATE", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[Tt\s][0-9]{2}:[0-9]{2}(?::[0-9]{2})?(?:[Zz]|[+-][0-9]{2}:[0-9]{2})?)?\b|\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\b", 0.65, v.date, 0.35, 0.06, 0.10, DATE_FOR, DATE_AGAINST),
-    Rule("crypto_wallet", "CRYPTO_WALLET", r"\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b|(?i)\bbc1[a-z0-9]{11,71}\b|\b0x[a-f0-9]{40}\b", 0.68, v.wallet, 0.42, 0.08, 0.11, CRYPTO_FOR, CRYPTO_AGAINST),
-    Rule("eu_postal_address", "ADDRESS", ADDRESS_RUN, 0.62, v.always, 0.35, 0.08, 0.12),
-    Rule("iban_iso13616", "IBAN", r"(?i)\b[a-z]{2}[0-9]{2}(?:[\s.-]*+[a-z0-9]){11,35}", 0.95, v.iban_mod97, 0.35, 0.05, 0.12, IBAN_FOR, words("example.com, test.invalid, fake-iban, dummy"), floor=True, low=0.40, group="iban"),
-    Rule("bic_swift", "BANK_ACCOUNT", r"(?i)\b[a-z]{6}[a-z0-9]{2}(?:[a-z0-9]{3})?\b", 0.88, v.bic, 0.42, 0.07, 0.15, BIC_FOR, words("example, testbank, xxxx, dummy")),
-    Rule("eu_credit_card_bins", "CREDIT_CARD", CARD_RUN, 0.78, v.eu_card, 0.48, 0.08, 0.14, EU_CARD_FOR, words("test card, fake, example")),
-    Rule("fr_siren", "TAX_ID", r"(?iu)\b(?:SIREN|n°\s*siren)\s*[.:]?\s*[0-9]{3}[\s.]?[0-9]{3}[\s.]?[0-9]{3}\b", 0.90, v.siren, 0.45, 0.07, 0.0, FR_ID_FOR, ()),
-    Rule("fr_siret", "TAX_ID", r"(?iu)\bSIRET(?:\s+\w+){0,6}\s*[.:]?\s*[0-9]{3}[\s.]?[0-9]{3}[\s.]?[0-9]{3}[\s.]?[0-9]{5}\b|\b[0-9]{14}\b", 0.92, v.siret, 0.45, 0.07, 0.0, FR_ID_FOR, ()),
-    Rule("fr_nir", "NATIONAL_ID", r"(?iu)\b(?:NIR|n°\s*ss|numéro\s*de\s*sécurité\s*sociale|insee)(?:\s+\p{IsAlphabetic}[\w'-]*+){0,14}\s*[.:]?\s*[12]\s*[0-9]{2}\s*[0-9]{2}\s*[0-9]{2}\s*[0-9]{3}\s*[0-9]{3}\s*[0-9]{2}\b|\b[12][0-9]{14}\b", 0.88, v.nir, 0.48, 0.07, 0.0, FR_ID_FOR, ()),
+    Rule("email_rfc5322_like", "EMAIL", r"(?i)(?<![a-z0-9._%+-])[a-z0-9](?:[a-z0-9._%+-]*[a-z0-9])?@[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?\.[a-z]{2,63}\b", 0.88, v.email, 0.42, 0.07, 0.11, EMAIL_FOR, EMAIL_AGAINST, words("example.com, example.org, example.net, test.com, invalid, localhost"), words("noreply, no-reply, donotreply"), needs=("@",), languages=COMMON),
+    Rule("phone_e164_eu", "PHONE", PHONE_RUN, 0.78, v.phone, 0.40, 0.06, 0.10, PHONE_FOR, PHONE_AGAINST, languages=COMMON),
+    Rule("credit_card_luhn", "CREDIT_CARD", CARD_RUN, 0.72, v.card, 0.45, 0.08, 0.12, CARD_FOR, CARD_AGAINST, languages=COMMON),
+    Rule("credit_card_masked_last4", "CREDIT_CARD", r"(?iu)\b(?:visa|mastercard|master\s?card|mc|amex|american\s?express)\s+(?:\*{2,4}|[•x]{2,4})(?:\s+(?:\*{2,4}|[•x]{2,4})){2}\s+[0-9]{4}\b", 0.62, v.always, 0.42, 0.06, 0.10, CARD_FOR, CARD_AGAINST, needs=("**", "••", "xx", "•x", "x•"), languages=COMMON),
+    Rule("ipv4", "IP_ADDRESS", r"\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\b", 0.90, v.always, 0.50, 0.05, 0.10, IP_FOR, IP_AGAINST, needs=(".",), languages=COMMON),
+    Rule("ipv6", "IP_ADDRESS", IPV6_RUN, 0.88, v.ipv6, 0.50, 0.05, 0.10, IP_FOR, IP_AGAINST, needs=(":",), languages=COMMON),
+    Rule("url", "URL", URL_RUN, 0.70, v.url, 0.38, 0.07, 0.12, URL_FOR, URL_AGAINST, words("example.com, example.org, test.com"), needs=(".",), languages=COMMON),
+    Rule("date_eu_iso", "DATE", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[Tt\s][0-9]{2}:[0-9]{2}(?::[0-9]{2})?(?:[Zz]|[+-][0-9]{2}:[0-9]{2})?)?\b|\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\b", 0.65, v.date, 0.35, 0.06, 0.10, DATE_FOR, DATE_AGAINST, languages=COMMON),
+    Rule("crypto_wallet", "CRYPTO_WALLET", r"\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b|(?i)\bbc1[a-z0-9]{11,71}\b|\b0x[a-f0-9]{40}\b", 0.68, v.wallet, 0.42, 0.08, 0.11, CRYPTO_FOR, CRYPTO_AGAINST, languages=COMMON),
+    Rule("eu_postal_address", "ADDRESS", ADDRESS_RUN, 0.62, v.always, 0.35, 0.08, 0.12, ADDRESS_FOR, words("example.com, test, dummy"), languages=COMMON),
+    Rule("iban_iso13616", "IBAN", "", 0.95, v.iban_mod97, 0.35, 0.05, 0.12, IBAN_FOR, words("example.com, test.invalid, fake-iban, dummy"), floor=True, low=0.40, languages=FINANCIAL, find=lambda text: iban_spans(text)),
+    Rule("bic_swift", "BANK_ACCOUNT", rf"(?i)\b[a-z]{{4}}(?:{BIC_COUNTRY})[a-z0-9]{{2}}(?:[a-z0-9]{{3}})?\b", 0.88, v.always, 0.42, 0.07, 0.15, BIC_FOR, words("example, testbank, XXXX, dummy"), languages=FINANCIAL),
+    Rule("eu_credit_card_bins", "CREDIT_CARD", CARD_RUN, 0.78, v.eu_card, 0.48, 0.08, 0.14, EU_CARD_FOR, words("test card, fake, example"), languages=FINANCIAL),
+    Rule("fr_siren", "TAX_ID", r"(?iu)\b(?:SIREN|n°\s*siren)\s*[.:]?\s*[0-9]{3}[\s.]?[0-9]{3}[\s.]?[0-9]{3}\b", 0.90, v.siren, 0.45, 0.07, 0.0, FR_ID_FOR, (), needs=("siren",), languages=FINANCIAL),
+    Rule("fr_siret", "TAX_ID", r"(?iu)\bSIRET(?:(?:\s+[\p{L}\p{N}_]+){0,6}\s*[.:]\s*|[\s.:]+)[0-9]{3}[\s.]?[0-9]{3}[\s.]?[0-9]{3}[\s.]?[0-9]{5}\b|\b[0-9]{14}\b", 0.92, v.siret, 0.45, 0.07, 0.0, FR_ID_FOR, (), languages=FINANCIAL),
+    Rule("fr_nir", "NATIONAL_ID", r"(?iu)\b(?:NIR|n°\s*ss|numéro\s*de\s*sécurité\s*sociale|insee)(?:\s+\p{L}[\p{L}\p{N}_'-]*+){0,14}\s*[.:]?\s*[12]\s*[0-9]{2}\s*[0-9]{2}\s*[0-9]{2}\s*[0-9]{3}\s*[0-9]{3}\s*[0-9]{2}\b|\b[12][0-9]{14}\b", 0.88, v.nir_or_hedged, 0.48, 0.07, 0.0, FR_ID_FOR, (), languages=FINANCIAL),
 ]
 
 # Fixed VAT shapes by country.
@@ -109,7 +146,7 @@ VAT = dict(
 def vat_rules() -> list[Rule]:
     """One rule for all countries whose shape alone decides, and one for each with a check."""
     plain = "|".join(f"{cc}{shape}" for cc, shape in VAT.items() if cc not in ("FR", "ES", "NL"))
-    common = dict(least=0.40, boost=0.06, penalty=0.12, words=VAT_FOR, floor=True)
+    common = dict(least=0.40, boost=0.06, penalty=0.12, words=VAT_FOR, against=words("example vat, test tin, dummy"), floor=True, languages=FINANCIAL)
     return [
         Rule("eu_vat_intracom", "TAX_ID", rf"(?i)\b(?:{plain})\b", 0.82, **common),
         Rule("eu_vat_intracom", "TAX_ID", rf"(?i)\bFR{VAT['FR']}\b", 0.92, v.vat_fr, low=0.48, **common),
@@ -120,12 +157,15 @@ def vat_rules() -> list[Rule]:
 DEFAULT_RULES += vat_rules()
 
 
-def lead(name: str, entity: str, before: str, value: str, base: float, check: v.Check, after: str = "", **more) -> list[Rule]:
-    """Rules of an identifier next to its keyword, which stands before it or, if ``after`` is given, behind it."""
-    own = [Rule(name, entity, rf"(?iu)\b(?:{before})[\s.:#]+{value}\b", base, check, group="end", value=value, **more)]
-    if after:
-        own.append(Rule(name, entity, rf"(?iu)\b{value}\s+(?:{after})\b", base, check, group="start", value=value, **more))
-    return own
+def lead(name: str, entity: str, before: str, value: str, base: float, check: v.Check, after: str = "", bare: str = "", **more) -> Rule:
+    """Rule of an identifier next to its keyword, which stands before it or, if ``after`` is given, behind it; ``bare`` stands alone."""
+    ways = [rf"\b(?:{before})[\s.:]+{value}\b", *([rf"\b{value}\s+(?:{after})\b"] if after else []), *([rf"\b{bare}\b"] if bare else [])]
+    return Rule(name, entity, "(?iu)" + "|".join(ways), base, check, group="value", value=value, **more)
+
+
+def composite(recognizer: str, rules: list[Rule], words: tuple[str, ...], languages: tuple[str, ...] = ("*",), least: float = 0.42) -> list[Rule]:
+    """The rules as one recognizer, with one context: penalties do not take a score below ``least``."""
+    return [replace(r, recognizer=recognizer, words=words, languages=languages, least=least, floor=True) for r in rules]
 
 
 # Shapes of plates behind a country sign, and their scores.
@@ -136,34 +176,53 @@ PLATES = dict(
     fi=("FIN|FI", r"[A-Z]{3}[\s-]?[0-9]{3}", 0.73), gr=("GR", r"[A-Z]{3}[\s-]?[0-9]{4}", 0.72), cz=("CZ", r"[0-9][A-Z][0-9]\s?[0-9]{4}", 0.71), ro=("RO", r"[A-Z]{1,2}\s?[0-9]{2,3}\s?[A-Z]{3}", 0.71), hu=("HU", r"[A-Z]{3}[\s-]?[0-9]{3}", 0.72), sk=("SK", r"[A-Z]{2}[0-9]{3}[A-Z]{2}", 0.73), hr=("HR", r"[A-Z]{2}\s*[0-9]{3,4}\s*[A-Z]{2}", 0.72),
     si=("SLO|SI", r"[A-Z]{1,2}\s?[0-9]{1,2}\s?[A-Z]{2}", 0.70), ee=("EST|EE", r"[0-9]{3}\s?[A-Z]{2}[0-9]", 0.71), lv=("LV", r"[A-Z]{2}[\s-]?[0-9]{4}", 0.71), lt=("LT", r"[A-Z]{3}\s?[0-9]{3}", 0.71), cy=("CY", r"[A-Z]{3}\s?[0-9]{3}", 0.70), lu=("LU", r"[A-Z]{2}[0-9]{4}", 0.72), mt=("MT", r"[A-Z]{3}[0-9]{2,4}", 0.70),
 )
-PLATE_RULES = [Rule("eu_license_plates", "VEHICLE_PLATE", rf"(?i)\b(?:{sign})[\s-]*{shape}\b", base, group="end", value=shape) for sign, shape, base in PLATES.values()]
-PLATE_RULES.append(Rule("eu_license_plates", "VEHICLE_PLATE", r"(?i)\b[A-HJ-NP-TV-Z]{2}[\s-][0-9]{3}[\s-][A-HJ-NP-TV-Z]{2}\b", 0.55))
-
+PLATE_RULES = composite(
+    "eu_license_plates",
+    [
+        *[Rule(f"plate_{cc}", "VEHICLE_PLATE", rf"(?iu)\b(?:{sign})[\s-]*{shape}\b", base, group="value", value=shape, needs=tuple(sign.lower().split("|"))) for cc, (sign, shape, base) in PLATES.items()],
+        Rule("plate_fr_bare", "VEHICLE_PLATE", r"(?i)\b[A-HJ-NP-TV-Z]{2}[\s-][0-9]{3}[\s-][A-HJ-NP-TV-Z]{2}\b", 0.55),
+    ],
+    PLATE_FOR,
+)
 ID_RULES = [
-    *lead("fr_nir", "NATIONAL_ID", r"NIR|n°\s*ss|numéro\s*de\s*sécurité\s*sociale|insee", r"[12][0-9]{2}\s?[0-9]{2}\s?[0-9]{2}\s?[0-9]{3}\s?[0-9]{3}\s?[0-9]{2}", 0.90, v.nir),
-    *lead("fr_cni_12", "NATIONAL_ID", r"carte\s*d'identité|carte\s*nationale|CNI", "[0-9]{12}", 0.86, v.cni12, r"carte\s*d'identité|carte\s*nationale|CNI|identité"),
-    *lead("fr_passport", "PASSPORT", "passeport|passport", "[A-Z]{2}[0-9]{7}", 0.84, v.fr_passport, "passeport"),
-    *lead("fr_driver_license", "DRIVER_LICENSE", r"permis\s*de\s*conduire|permis", "[0-9]{2}[A-Z]{2}[0-9]{6}[A-Z]{2}[0-9]{2}", 0.83, v.fr_licence, "permis"),
-    *lead("de_steuer_id", "TAX_ID", "Steuer[- ]?ID|Steueridentifikationsnummer", "[0-9]{11}", 0.91, v.steuer_id, "Steuer|tax"),
-    *lead("de_personalausweis", "NATIONAL_ID", "Personalausweis|Ausweis", "[A-Z0-9]{9}", 0.88, v.personalausweis, "Ausweis"),
-    *lead("de_reisepass", "PASSPORT", "Reisepass|Pass|Passport", "[CFGHJKLMNPRTVWXYZ][0-9]{8}", 0.85, v.reisepass),
-    *lead("de_sozialversicherung", "SSN", "Sozialversicherungsnummer|SV[- ]?Nummer|Rentenversicherung", "[0-9]{12}[A-Z][0-9]{3}", 0.87, v.sozialversicherung),
-    *lead("it_codice_fiscale", "NATIONAL_ID", r"codice\s*fiscale|CF", "[A-Z0-9]{16}", 0.92, v.codice_fiscale, r"codice\s+fiscale"),
-    *lead("it_cie", "NATIONAL_ID", r"CIE|carta\s*d'identit[aà]\s*elettronica", "[A-Z]{2}[0-9]{5}[A-Z]{2}", 0.85, v.cie),
-    *lead("it_partita_iva", "TAX_ID", r"Partita\s*IVA|P\.?\s*IVA", "[0-9]{11}", 0.90, v.partita_iva, r"P\.?\s*IVA"),
-    *lead("es_dni", "NATIONAL_ID", "DNI|NIF", "[0-9]{8}[A-Z]", 0.90, v.dni, "DNI|NIF"),
-    *lead("es_nie", "NATIONAL_ID", "NIE", "[XYZ][0-9]{7}[A-Z]", 0.89, v.nie, "NIE"),
-    *lead("es_seguridad_social", "SSN", r"seguridad\s*social|n[uú]mero\s*de\s*la\s*seguridad\s*social|NAF", "[0-9]{12}", 0.86, v.naf),
-    *lead("nl_bsn", "NATIONAL_ID", "BSN|Burgerservicenummer", "[0-9]{9}", 0.90, v.bsn, "BSN|Burgerservicenummer"),
-    *lead("be_nrn", "NATIONAL_ID", r"rijksregisternummer|numéro\s*national|NN", "[0-9]{11}", 0.91, v.be_number, "rijksregisternummer|national"),
-    *lead("pl_pesel", "NATIONAL_ID", "PESEL", "[0-9]{11}", 0.90, v.pesel, "PESEL"),
-    *lead("pl_nip", "TAX_ID", "NIP", "[0-9]{10}", 0.89, v.nip, "NIP"),
-    *lead("pt_nif", "TAX_ID", r"NIF|n[uú]mero\s*de\s*identifica[çc][aã]o\s*fiscal", "[0-9]{9}", 0.90, v.nif_pt, "NIF"),
-    *lead("pt_cartao_cidadao", "NATIONAL_ID", r"Cart[aã]o\s*de\s*Cidad[aã]o|CC", "[0-9]{9}", 0.88, v.nif_pt, r"Cart[aã]o\s*de\s*Cidad[aã]o|CC"),
-    *lead("fr_carte_vitale_ctx", "MEDICAL_RECORD", r"carte\s*vitale|CV\s*vitale|numéro\s*vitale", "[0-9]{10}", 0.80, v.vitale),
-    *lead("ehic_iso_token", "MEDICAL_RECORD", r"EHIC|CEAM|TSE|european\s*health\s*insurance", "[A-Z]{2}[0-9A-Z]{10,20}", 0.72, v.always),
-    *lead("medical_record_id", "MEDICAL_RECORD", r"MRN|dossier\s*(?:patient|médical|medical)|patient\s*id|numéro\s*de\s*dossier", "[A-Z0-9]{4,16}(?:[/-][A-Z0-9]{2,8})?", 0.68, v.always),
-]
+    *composite("fr_national_identity", [
+        lead("fr_nir", "NATIONAL_ID", r"NIR|n°\s*ss|numéro\s*de\s*sécurité\s*sociale|insee", r"[12][0-9]{2}\s?[0-9]{2}\s?[0-9]{2}\s?[0-9]{3}\s?[0-9]{3}\s?[0-9]{2}", 0.90, v.nir, bare="[12][0-9]{14}"),
+        lead("fr_cni_12", "NATIONAL_ID", r"carte\s*d'identité|carte\s*nationale|CNI", "[0-9]{12}", 0.86, v.cni12, r"carte\s*d'identité|carte\s*nationale|CNI|identité", needs=("carte", "cni", "identité")),
+        lead("fr_passport", "PASSPORT", "passeport|passport", "[A-Z]{2}[0-9]{7}", 0.84, v.fr_passport, "passeport", needs=("passeport", "passport")),
+        lead("fr_driver_license", "DRIVER_LICENSE", r"permis\s*de\s*conduire|permis", "[0-9]{2}[A-Z]{2}[0-9]{6}[A-Z]{2}[0-9]{2}", 0.83, v.fr_licence, "permis", needs=("permis",)),
+    ], FR_FOR, ("fr", "en")),
+    *composite("de_national_identity", [
+        lead("de_steuer_id", "TAX_ID", "Steuer[- ]?ID|Steueridentifikationsnummer", "[0-9]{11}", 0.91, v.steuer_id, "Steuer|tax", needs=("steuer", "tax")),
+        lead("de_personalausweis", "NATIONAL_ID", "Personalausweis|Ausweis", "[A-Z0-9]{9}", 0.88, v.personalausweis, "Ausweis", needs=("ausweis",)),
+        lead("de_reisepass", "PASSPORT", "Reisepass|Pass|Passport", "[CFGHJKLMNPRTVWXYZ][0-9]{8}", 0.85, v.reisepass, needs=("pass",)),
+        lead("de_sozialversicherung", "SSN", "Sozialversicherungsnummer|SV[- ]?Nummer|Rentenversicherung", "[0-9]{12}[A-Z][0-9]{3}", 0.87, v.sozialversicherung, needs=("versicherung", "nummer")),
+    ], DE_FOR, ("de", "en")),
+    *composite("it_national_identity", [
+        lead("it_codice_fiscale", "NATIONAL_ID", r"codice\s*fiscale|CF", "[A-Z0-9]{16}", 0.92, v.codice_fiscale, r"codice\s+fiscale", needs=("cf", "codice")),
+        lead("it_cie", "NATIONAL_ID", r"CIE|carta\s*d'identit[aà]\s*elettronica", "[A-Z]{2}[0-9]{5}[A-Z]{2}", 0.85, v.cie, needs=("cie", "elettronica")),
+        lead("it_partita_iva", "TAX_ID", r"Partita\s*IVA|P\.?\s*IVA", "[0-9]{11}", 0.90, v.partita_iva, r"P\.?\s*IVA", needs=("iva",)),
+    ], IT_FOR, ("it", "en")),
+    *composite("es_national_identity", [
+        lead("es_dni", "NATIONAL_ID", "DNI|NIF", "[0-9]{8}[A-Z]", 0.90, v.dni, "DNI|NIF", needs=("dni", "nif")),
+        lead("es_nie", "NATIONAL_ID", "NIE", "[XYZ][0-9]{7}[A-Z]", 0.89, v.nie, "NIE", needs=("nie",)),
+        lead("es_seguridad_social", "SSN", r"seguridad\s*social|n[uú]mero\s*de\s*la\s*seguridad\s*social|NAF", "[0-9]{12}", 0.86, v.naf, needs=("seguridad", "naf")),
+    ], ES_FOR, ("es", "en")),
+    *composite("nl_national_identity", [lead("nl_bsn", "NATIONAL_ID", "BSN|Burgerservicenummer", "[0-9]{9}", 0.90, v.bsn, "BSN|Burgerservicenummer", needs=("bsn", "burgerservicenummer"))], NL_FOR, ("nl", "en")),
+    *composite("be_national_identity", [lead("be_nrn", "NATIONAL_ID", r"rijksregisternummer|numéro\s*national|NN", "[0-9]{11}", 0.91, v.be_number, "rijksregisternummer|national", needs=("nn", "national", "rijksregisternummer"))], BE_FOR, ("nl", "fr", "en")),
+    *composite("pl_national_identity", [
+        lead("pl_pesel", "NATIONAL_ID", "PESEL", "[0-9]{11}", 0.90, v.pesel, "PESEL", needs=("pesel",)),
+        lead("pl_nip", "TAX_ID", "NIP", "[0-9]{10}", 0.89, v.nip, "NIP", needs=("nip",)),
+    ], PL_FOR, ("pl", "en")),
+    *composite("pt_national_identity", [
+        lead("pt_nif", "TAX_ID", r"NIF|n[uú]mero\s*de\s*identifica[çc][aã]o\s*fiscal", "[0-9]{9}", 0.90, v.nif_pt, "NIF", needs=("nif", "fiscal")),
+        lead("pt_cartao_cidadao", "NATIONAL_ID", r"Cart[aã]o\s*de\s*Cidad[aã]o|CC", "[0-9]{9}", 0.88, v.nif_pt, r"Cart[aã]o\s*de\s*Cidad[aã]o|CC", needs=("cc", "cidad")),
+    ], PT_FOR, ("pt", "en")),
+]
+HEALTH_RULES = composite("eu_health_ids", [
+    lead("fr_carte_vitale_ctx", "MEDICAL_RECORD", r"carte\s*vitale|CV\s*vitale|numéro\s*vitale", "[0-9]{10}", 0.80, v.vitale, needs=("vitale",)),
+    Rule("ehic_iso_token", "MEDICAL_RECORD", r"(?iu)\b(?:EHIC|CEAM|TSE|european\s*health\s*insurance)[\s.:#]+[A-Z]{2}[0-9A-Z]{10,20}\b", 0.72, group="value", value="[A-Z]{2}[0-9A-Z]{10,20}", needs=("ehic", "ceam", "tse", "insurance")),
+    lead("medical_record_id", "MEDICAL_RECORD", r"MRN|dossier\s*(?:patient|médical|medical)|patient\s*id|numéro\s*de\s*dossier", "[A-Z0-9]{4,16}(?:[/-][A-Z0-9]{2,8})?", 0.68, v.always, needs=("mrn", "dossier", "patient")),
+], HEALTH_FOR)
 
 # Fixed keywords of special categories of data.
 ARTICLE_9 = dict(
@@ -174,13 +233,74 @@ ARTICLE_9 = dict(
     gdpr_sexual_orientation=(r"sexual\s+orientation|orientation\s+sexuelle|sexuelle\s+Orientierung|orientaci[oó]n\s+sexual|orientamento\s+sessuale|seksuele\s+geaardheid", 0.40),
     gdpr_trade_union=(r"trade\s+union\s+membership|appartenance\s+syndicale|Gewerkschaftszugehörigkeit|afiliaci[oó]n\s+sindical|appartenenza\s+sindacale", 0.41),
 )
-ARTICLE_9_RULES = [Rule(n, "CUSTOM:GDPR_ART9", rf"(?iu)\b(?:{p})\b", base, least=0.28) for n, (p, base) in ARTICLE_9.items()]
-QUASI_RULES = [
-    Rule("eu_quasi_identifiers", "CUSTOM:QUASI_IDENTIFIER", r"(?iu)\b[0-9]{5}\b.{0,120}?\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\b.{0,60}?\b(?:homme|femme|male|female|man|woman|mann|frau|hombre|mujer|uomo|donna|vrouw)\b", 0.55, least=0.35),
-    Rule("eu_quasi_identifiers", "CUSTOM:QUASI_IDENTIFIER", r"(?iu)\b(?:engineer|doctor|teacher|nurse|lawyer|ingénieur|médecin|professeur|avocat|ingenieur|arzt|lehrer)\s+(?:at|chez|bei|en)\s+\p{L}[\p{L}'-]{1,40}\s+(?:in|à|from|de)\s+\p{L}[\p{L}'-]{1,40}", 0.55, least=0.35),
+#: What a text must hold for each category's keywords, in lower case.
+ARTICLE_9_NEEDS = dict(
+    gdpr_racial_ethnic=("racial", "ethni", "étni", "etni"), gdpr_political=("politi", "polít"), gdpr_religious_philosophical=("relig", "philosoph", "anschauung", "levensbeschouwing"),
+    gdpr_biometric=("biom", "template"), gdpr_sexual_orientation=("sexu", "sess", "seks"), gdpr_trade_union=("union", "syndica", "gewerkschaft", "sindical", "sindacale"),
+)
+ARTICLE_9_RULES = composite("gdpr_art9_keywords", [Rule(n, "CUSTOM:GDPR_ART9", rf"(?iu)\b(?:{p})\b", base, needs=ARTICLE_9_NEEDS[n]) for n, (p, base) in ARTICLE_9.items()], ARTICLE_9_FOR, least=0.28)
+
+# Fixed patterns of what identifies together: postal codes, dates, genders, and a profession with employer and city.
+QUASI_POSTAL = r"(?i)\b[0-9]{5}\b|\b[0-9]{4}\s*[a-z]{2}\b|\b[a-z]{1,2}[0-9][a-z0-9]?\s*[0-9][a-z]{2}\b|\b[0-9]{2}-[0-9]{3}\b|\b[0-9]{3}\s?[0-9]{2}\b"
+QUASI_DATE = r"(?iu)\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\b|\b(?:né|née|born|geboren|geb\.|DOB|date\s+of\s+birth|date\s+de\s+naissance)\b[^\n]{0,24}\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\b|\b(?:19|20)[0-9]{2}\b(?:\s*(?:year|ans|Jahr|años))?"
+QUASI_GENDER = r"(?iu)\b(?:male|female|masculin|féminin|feminin|homme|femme|mann|frau|mujer|hombre)\b|\bgenre\s*[:/]\s*[MFHX]\b|\bsex\s*[:/]\s*[MF]\b"
+PROFESSION = r"(?iu)\b(?:ingénieur|engineer|médecin|physician|avocat|lawyer|enseignant|teacher|nurse|infirmier|developer|consultant)\b[\s\S]{0,140}?(?:\b(?:chez|at|bei|bij)|\b@)\s+[a-z0-9][a-z0-9&.\s-]{2,42}[\s\S]{0,120}?\b[a-z][a-zà-ÿ]+(?:\s+[a-z][a-zà-ÿ]+){0,2}\b"
+QUASI_WINDOW = 140
+
+
+def quasi_spans(text: str) -> str:
+    """Hulls of a postal code, the first date and the first gender within 140 characters of it, and profession spans; of those that overlap the first."""
+    lo = f"greatest(s.start - {QUASI_WINDOW}, 0)"
+    window = f"substring({text}, {lo} + 1, s.end + {QUASI_WINDOW} - {lo})"
+    part = lambda w, p: f"named_struct('at', regexp_instr({w}, {lit(p)}) - 1, 'n', length(regexp_extract({w}, {lit(p)}, 0)))"
+    hull = lambda w: f"transform(array(named_struct('d', {part(w, QUASI_DATE)}, 'g', {part(w, QUASI_GENDER)})), x -> if(x.d.at < 0 or x.g.at < 0, null, named_struct('start', least(s.start, {lo} + x.d.at, {lo} + x.g.at), 'end', greatest(s.end, {lo} + x.d.at + x.d.n, {lo} + x.g.at + x.g.n))))[0]"
+    near = f"filter(transform({spans(text, QUASI_POSTAL)}, s -> {let(window, hull)}), h -> h is not null)"
+    work = f"transform({spans(text, PROFESSION)}, s -> named_struct('start', s.start, 'end', s.end))"
+    near = f"if({text} rlike {lit(QUASI_GENDER)}, {near}, cast(array() as array<struct<start:int,end:int>>))"
+    work = f"if({text} rlike {lit(PROFESSION[: PROFESSION.index('[')])}, {work}, cast(array() as array<struct<start:int,end:int>>))"
+    return framed(text, apart(f"concat({near}, {work})"))
+
+
+def apart(hulls: str) -> str:
+    """Of structs (start, end) in order those that begin behind the one kept last."""
+    step = "(a, h) -> if(h.start < a.to, a, named_struct('to', h.end, 'kept', concat(a.kept, array(h))))"
+    return f"aggregate(array_sort({hulls}), named_struct('to', 0, 'kept', cast(array() as array<struct<start:int,end:int>>)), {step}, a -> a.kept)"
+
+
+def framed(text: str, hulls: str) -> str:
+    """Spans with their text and what stands around it."""
+    return f"transform({hulls}, h -> named_struct('start', h.start, 'end', h.end, 'm', substring({text}, h.start + 1, h.end - h.start), 'before', substring({text}, greatest(h.start - {WINDOW}, 0) + 1, least(h.start, {WINDOW})), 'after', substring({text}, h.end + 1, {WINDOW})))"
+
+
+QUASI_RULES = [Rule("eu_quasi_identifiers", "CUSTOM:QUASI_IDENTIFIER", "", 0.55, least=0.32, against=(), find=quasi_spans)]
+# Fixed calling codes of the Union's countries.
+CALLING = dict(AT=43, BE=32, BG=359, HR=385, CY=357, CZ=420, DK=45, EE=372, FI=358, FR=33, DE=49, GR=30, HU=36, IE=353, IT=39, LV=371, LT=370, LU=352, MT=356, NL=31, PL=48, PT=351, RO=40, SK=421, SI=386, ES=34, SE=46)
+EU_PHONE_RULES = [
+    Rule("eu_phone_phonenumber", "PHONE", rf"(?<![0-9+])\+\s*(?:{'|'.join(map(str, CALLING.values()))})(?:[\s./()-]*+[0-9]){{7,12}}+(?![0-9])", 0.82, v.phone, 0.38, 0.06, 0.10, EU_PHONE_FOR, words("example, test, dummy, sample, 555-"), floor=True, needs=("+",))
 ]
-EU_PHONE_RULES = [Rule("eu_phone_phonenumber", "PHONE", r"(?<![0-9])\+(?:33|49|39|34|31|32|351|48|352|353|43|45|46|358|30|420|36|40|372|371|370|356|386|421|385|357|359)(?:[\s./()-]*+[0-9]){7,12}(?![0-9])", 0.85, v.phone, words=PHONE_FOR, against=PHONE_AGAINST)]
-EU_RULES = [*PLATE_RULES, *EU_PHONE_RULES, *ID_RULES, *ARTICLE_9_RULES, *QUASI_RULES]
+EU_RULES = [*PLATE_RULES, *EU_PHONE_RULES, *HEALTH_RULES, *ARTICLE_9_RULES, *QUASI_RULES, *ID_RULES]
+
+
+class Registry:
+    """Rules by recognizer; a registry is changed into a new one, never in place."""
+
+    def __init__(self, rules: list[Rule] | None = None) -> None:
+        self.rules = list(DEFAULT_RULES if rules is None else rules)
+
+    def add(self, *rules: Rule) -> Registry:
+        return Registry([*self.rules, *rules])
+
+    def remove(self, recognizer: str) -> Registry:
+        return Registry(chosen(self.rules, disabled=(recognizer,)))
+
+    def get_by_entity(self, entity: str) -> list[Rule]:
+        return chosen(self.rules, [parse_entity_type(entity)])
+
+    def get_by_language(self, language: str) -> list[Rule]:
+        return chosen(self.rules, language=language)
+
+    def recognizers(self) -> list[str]:
+        return sorted({r.owner for r in self.rules})
 
 
 def register_recognizer(rules: list[Rule], name: str, entity: str, pattern: str, base: float, check: v.Check = v.always, **more) -> list[Rule]:
@@ -191,7 +311,7 @@ def register_recognizer(rules: list[Rule], name: str, entity: str, pattern: str,
 def chosen(rules: list[Rule], types: list[str] | None = None, disabled: tuple[str, ...] = (), language: str | None = None) -> list[Rule]:
     """Rules for these types and this language, without disabled recognizers; decided before a plan is built."""
     off = {d.lower() for d in disabled}
-    keep = [r for r in rules if r.name.lower() not in off and (types is None or r.entity in types)]
+    keep = [r for r in rules if r.name.lower() not in off and r.owner.lower() not in off and (types is None or r.entity in types)]
     return [r for r in keep if language is None or "*" in r.languages or language.lower() in r.languages]
 
 
@@ -213,59 +333,107 @@ def score_sql(rule: Rule, m: str, before: str, after: str, ok: str | None = None
     return f"round({score}, 6)"
 
 
-def rule_sql(rule: Rule, text: str) -> str:
-    """array<entity> of one rule."""
-    found = spans(text, rule.pattern)
-    if rule.group in ("end", "start"):
-        part = f"regexp_extract(s.m, {lit('(?iu)(' + rule.value + ')$' if rule.group == 'end' else '(?iu)^(' + rule.value + ')')}, 1)"
-        place = f"named_struct('start', s.end - length({part}), 'end', s.end" if rule.group == "end" else f"named_struct('start', s.start, 'end', s.start + length({part})"
-        found = f"transform({found}, s -> {place}, 'm', {part}, 'before', s.before, 'after', s.after))"
-    if rule.group == "iban":
-        found = iban_sql(found)
-    check = rule.check("s.m") if rule.group != "iban" else rule.check("upper(regexp_replace(s.m, '[^A-Za-z0-9]', ''))")
-    kept = found if rule.check is v.always else f"filter({found}, s -> {check})"
-    if rule.low is not None:
-        kept = found if rule.group != "iban" else f"filter({found}, s -> s.m <> '')"
+def rule_sql(rule: Rule, text: str, low: str | None = None) -> str:
+    """array<entity> of one rule; ``low`` is the text in lower case."""
+    check = None if rule.check is v.always else rule.check
+    if rule.find:
+        found = rule.find(text)
+    else:
+        found = spans(text, rule.pattern, check if rule.group == "all" and rule.low is None else None)
+    if rule.group == "value":
+        own = lit(f"(?iu){rule.value}")
+        last = lit(f"(?iu){rule.value}$")
+        # The value stands at the match's end, or else at its beginning.
+        part = f"if(regexp_extract(s.m, {last}, 0) <> '', named_struct('at', length(s.m) - length(regexp_extract(s.m, {last}, 0)), 'm', regexp_extract(s.m, {last}, 0)), named_struct('at', 0, 'm', regexp_extract(s.m, {own}, 0)))"
+        moved = lambda x: f"named_struct('start', s.start + {x}.at, 'end', s.start + {x}.at + length({x}.m), 'm', {x}.m, 'before', right(concat(s.before, left(s.m, {x}.at)), {WINDOW}), 'after', left(concat(substring(s.m, {x}.at + length({x}.m) + 1), s.after), {WINDOW}))"
+        found = f"transform({found}, s -> {let(part, moved)})"
+    ok = rule.check("s.m") if not rule.find else rule.check("upper(regexp_replace(s.m, '[^A-Za-z0-9]', ''))")
+    kept = f"filter({found}, s -> {ok})" if check and rule.low is None else found
     if rule.deny:
         kept = f"filter({kept}, s -> not lower(s.m) rlike {lit(_alternation(rule.deny))})"
     if rule.entity == "EMAIL":
         # A match behind a dot is none, nor one whose sentence's dot ends the text or precedes no letter or digit.
         kept = f"filter({kept}, s -> not s.before like '%.' and not s.after rlike '^\\\\.\\\\s*($|[^A-Za-z0-9\\\\s])')"
-    score = score_sql(rule, "s.m", "s.before", "s.after", check)
+    score = score_sql(rule, "s.m", "s.before", "s.after", ok)
     made = f"transform({kept}, s -> named_struct('start', s.start, 'end', s.end, 'entity_type', {lit(rule.entity)}, 'text', s.m, 'score', {score}, 'recognizer', {lit(rule.name)}))"
     out = f"filter({made}, e -> e.score >= double({rule.least}))"
     if rule.needs:
-        out = f"if(contains({text}, {lit(rule.needs)}), {out}, cast(array() as {ENTITIES}))"
+        low = low or f"lower({text})"
+        gate = " or ".join(f"contains({low}, {lit(n)})" for n in rule.needs)
+        out = f"if({gate}, {out}, cast(array() as {ENTITIES}))"
     return out
 
 
-def iban_sql(found: str) -> str:
-    """The longest beginning of each run, from the right, whose length fits its country; an empty text if none does."""
-    compact = "upper(regexp_replace(s.m, '[^A-Za-z0-9]', ''))"
-    table = "map(" + ", ".join(f"'{k}', {n}" for k, n in v.IBAN_LENGTH.items()) + ")"
+IBAN_HEAD = r"(?i)\b(?=([a-z]{2}[0-9]{2}(?:[\s.-]*+[a-z0-9]){11,35}))[a-z]{2}[0-9]{2}"
 
-    def cut(n: str) -> str:
-        # The shortest beginning that holds n letters or digits.
-        return f"coalesce(regexp_extract(s.m, concat('(?i)^(?:[\\\\s.-]*[a-z0-9]){{', {n}, '}}'), 0), '')"
 
-    n = f"coalesce(try_element_at({table}, left({compact}, 2)), 999)"
-    text = f"if(length({compact}) < {n}, '', {cut(n)})"
-    return f"transform({found}, s -> {let(text, lambda t: f'''named_struct('start', s.start, 'end', s.start + length({t}), 'm', {t}, 'before', s.before, 'after', left(concat(substring(s.m, length({t}) + 1), s.after), 60))''')})"
+def iban_spans(text: str) -> str:
+    """Account numbers from each place where one may begin: the longest run's part that has its country's length; of those that overlap the first."""
+    table = "map(" + ", ".join(f"'{k}', {n}" for k, n in v.IBAN_LENGTH.items()) + ")"
+    size = f"coalesce(try_element_at({table}, upper(left(s.m, 2))), 999)"
+    # The shortest beginning of the run that holds so many letters or digits.
+    cut = lambda run: f"coalesce(regexp_extract({run}, concat('(?i)^(?:[\\\\s.-]*[a-z0-9]){{', {size}, '}}'), 0), '')"
+    hull = lambda run: let(f"if({size} = 999, '', {cut(run)})", lambda t: f"named_struct('start', s.start, 'end', s.start + length({t}))")
+    heads = lambda runs: f"filter(transform({spans(text, IBAN_HEAD)}, (s, i) -> {hull(f'{runs}[i]')}), h -> h.end > h.start)"
+    runs = f"regexp_extract_all({text}, {lit(IBAN_HEAD)}, 1)"
+    return let(runs, lambda r: f"if(size({r}) = 0, cast(array() as {FOUND}), {framed(text, apart(heads(r)))})")
 
 
-def entities(text: str, rules: list[Rule]) -> Column:
+def entities(text: str, rules: list[Rule], low: str | None = None) -> Column:
     """array<entity> of all rules over a text column, sorted by place."""
-    merged = ", ".join(rule_sql(r, text) for r in rules)
+    merged = ", ".join(rule_sql(r, text, low) for r in rules)
     return F.expr(f"array_sort(concat({merged}, cast(array() as {ENTITIES})))")
 
 
 def detect(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", column: str = "entities", threshold: float = 0.0) -> DataFrame:
-    """``docs`` with all entities of ``text``. A null text has none. No shuffle; one projection."""
+    """``docs`` with all entities of ``text``. A null text has none. Projections only; no shuffle at scale.
+
+    Input whose scan would keep few cores busy is dealt out first (``session.spread``).
+    """
     rules = DEFAULT_RULES if rules is None else rules
-    out = docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn(column, entities("__text", rules)).drop("__text")
+    out = spread(docs).withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("__low", F.lower("__text"))
+    out = out.withColumn(column, entities("__text", rules, "__low")).drop("__text", "__low")
     return out if threshold <= 0 else out.withColumn(column, F.filter(column, lambda e: e["score"] >= threshold))
 
 
+def literal_matches(text: str, patterns: tuple[str, ...]) -> Column:
+    """array<(start, end, pattern)> of the leftmost longest occurrences of literals, in any ASCII case; ``pattern`` is a literal's number."""
+    low = f"array({', '.join(lit(p.lower()) for p in patterns)})"
+    found = spans(text, "(?i)" + _alternation(tuple(patterns)))
+    return F.expr(f"transform({found}, s -> named_struct('start', s.start, 'end', s.end, 'pattern', cast(array_position({low}, lower(s.m)) - 1 as int)))")
+
+
+METADATA = "array<struct<key:string,value:string>>"
+
+
+def with_metadata(entities: str) -> Column:
+    """Entities with ``metadata``, pairs of what their recognizer knows beyond the span, in order of the key.
+
+    ``recognizer`` becomes the recognizer's name, and the rule's name goes into the pairs.
+    """
+    rules = {r.name: r for r in [*EU_RULES, *DEFAULT_RULES]}
+    owner = " ".join(f"when {lit(n)} then {lit(r.owner)}" for n, r in rules.items() if r.owner != n)
+    compact = "upper(regexp_replace(e.text, '[^A-Za-z0-9]', ''))"
+    digits_ = "regexp_replace(e.text, '[^0-9]', '')"
+    network = f"case when {digits_} like '4%' then 'visa' when {digits_} rlike '^3[47]' then 'amex' when {digits_} rlike '^(5[1-5]|2[2-7])' then 'mastercard' else 'other' end"
+    region = "case " + " ".join(f"when {digits_} like '{n}%' then '{cc}'" for cc, n in sorted(CALLING.items(), key=lambda x: -x[1])) + " else '' end"
+    pair = lambda k, x: f"named_struct('key', '{k}', 'value', {x})"
+    review = pair("human_review_recommended", "'true'")
+    cases = [
+        (f"e.recognizer in ({', '.join(lit(r.name) for r in ARTICLE_9_RULES)})", [pair("gdpr_article", "'9'"), review]),
+        ("e.entity_type = 'IBAN'", [pair("checksum_ok", f"cast({v.iban_mod97(compact)} as string)"), pair("iban_normalized", compact)]),
+        ("e.recognizer = 'eu_vat_intracom'", [pair("vat_rule", "concat('vat_', lower(left(e.text, 2)))")]),
+        ("e.recognizer = 'eu_phone_phonenumber'", [pair("phone_region", region)]),
+        ("e.recognizer = 'eu_quasi_identifiers'", [review, pair("reidentification_risk", "'elevated'")]),
+        ("e.recognizer in ('credit_card_luhn', 'eu_credit_card_bins')", [pair("network", network)]),
+    ]
+    own = "case " + " ".join(f"when {c} then array({', '.join(p)})" for c, p in cases) + f" else cast(array() as {METADATA}) end"
+    named = f"case e.recognizer {owner} else e.recognizer end"
+    rule = f"if({named} = e.recognizer, cast(array() as {METADATA}), array({pair('rule', 'e.recognizer')}))"
+    pairs = f"array_sort(concat({own}, array({pair('level', lit('regex'))}), {rule}))"
+    return F.expr(f"transform({entities}, e -> named_struct('start', e.start, 'end', e.end, 'entity_type', e.entity_type, 'text', e.text, 'score', e.score, 'recognizer', {named}, 'metadata', {pairs}))")
+
+
 def exploded(found: DataFrame, *keys: str) -> DataFrame:
     """One row per entity."""
     return found.select(*keys, F.explode("entities").alias("e")).select(*keys, "e.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import validators as v
 from ..functions.sqltext import digits
 from ..operators import anonymize as an
-from ..operators import audit, context, evaluation, fusion, metrics, ner, policy, synthetic
+from ..operators import audit, evaluation, fusion, metrics, ner, policy, synthetic
 from ..operators.recognizers import CARD_RUN, DEFAULT_RULES, EU_RULES, IP_AGAINST, IP_FOR, Rule, _alternation, detect, exploded
 from ..sources import files
+from .oracles import SAMPLES, SEEDED, q, rules_sql, span_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -52,18 +54,6 @@ CARD_SCAN = replace(CARD_SHAPE, name="card", check=v.card)
 SCANS = [IP_SCAN, EMAIL_SCAN, PHONE_SCAN, CARD_SCAN]
 
 
-def q(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def span_sql(pattern: str, source: str = "documents", key: str = "doc_id", text: str = "text") -> str:
-    """DuckDB SQL for (key, start, end, m, before, after) of all matches."""
-    p = q(pattern)
-    return f"""(SELECT {key}, (list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::INTEGER AS start,
-      m[k] AS m, right(g[k], 60) AS before, left(g[k + 1], 60) AS after
-    FROM (SELECT {key}, m, g, unnest(range(1, len(m) + 1)) AS k FROM (SELECT {key}, regexp_extract_all({text}, {p}) AS m, string_split_regex({text}, {p}) AS g FROM {source}) WHERE len(m) > 0))"""
-
-
 LUHN_SQL = """(list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substring(d, length(d) - i + 1, 1)::INT
   ELSE (2 * substring(d, length(d) - i + 1, 1)::INT) // 10 + (2 * substring(d, length(d) - i + 1, 1)::INT) % 10 END)) % 10 = 0)"""
 NETWORK_SQL = "regexp_full_match(d, '(4[0-9]{12}|4[0-9]{15}|4[0-9]{18}|5[1-5][0-9]{14}|3[47][0-9]{13}|6[0-9]{15}|6[0-9]{18}|(222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12})')"
@@ -72,6 +62,24 @@ SPANS_SQL = {"IP_ADDRESS": span_sql(IP_RULE.pattern), "EMAIL_SCAN": span_sql(EMA
 ALL_SQL = " UNION ALL ".join(f"SELECT doc_id, start, (start + length(m))::INTEGER AS \"end\", {q(k)} AS entity_type, m AS text FROM {s}" for k, s in SPANS_SQL.items())
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that all executors share and read again, for what more than one side of a plan reads."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new folder under the one that the session names in ``spark.checkpoint.dir``; one machine has its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{(base or '/tmp/checkpoints').rstrip('/')}/cloakframe-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def scan(rule: Rule) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: exploded(detect(docs_of(spark, d), [rule]), "doc_id").select("doc_id", "start", "end", "text")
 
@@ -125,15 +133,33 @@ def top_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.top(exploded(scanned(spark, sf_dir), "doc_id"), "entity_type", 3)
 
 
-@query()
-def detect_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All default recognizers, resolved, merged and cut at the threshold."""
-    return exploded(fusion.analyze(detect(docs_of(spark, sf_dir))), "doc_id")
+def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, each with one of the sample texts behind it, so that every type of entity occurs."""
+    sample = F.element_at(F.array(*[F.lit(s) for s in SAMPLES]), (F.col("doc_id") % len(SAMPLES) + 1).cast("int"))
+    return docs_of(spark, sf_dir).select("doc_id", "lang", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), sample).alias("text"))
+
+
+FOUND = ["doc_id", "start", "end", "entity_type", "text", "score", "recognizer"]
+OWNERS: dict[str, list[Rule]] = {}
+for _rule in DEFAULT_RULES:
+    OWNERS.setdefault(_rule.owner, []).append(_rule)
+for _rule in EU_RULES:
+    OWNERS.setdefault(_rule.owner, []).append(_rule)
+
+
+def recognized(rules: list[Rule]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: exploded(detect(seeded(spark, d), rules), "doc_id").select(*FOUND)
+
+
+for _name, _rules in {**{f"recognize_{o}": r for o, r in OWNERS.items()}, "detect_default": DEFAULT_RULES, "detect_eu": EU_RULES}.items():
+    QUERIES[_name] = recognized(_rules)
+    ORACLE_SQL[_name] = rules_sql(_rules)
 
 
 @query()
-def detect_eu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exploded(detect(docs_of(spark, sf_dir), EU_RULES), "doc_id")
+def analyze_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All default recognizers, resolved, merged and cut at the threshold."""
+    return exploded(fusion.analyze(detect(docs_of(spark, sf_dir))), "doc_id")
 
 
 @query(f"SELECT a.doc_id, a.entity_type AS a_type, a.start AS a_start, b.entity_type AS b_type, b.start AS b_start FROM ({ALL_SQL}) a JOIN ({ALL_SQL}) b ON a.doc_id = b.doc_id AND a.start < b.\"end\" + 2000 AND b.start < a.\"end\" + 2000 AND a.entity_type < b.entity_type")
@@ -152,16 +178,16 @@ def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.sum(F.col("end") - F.col("start")).alias("covered"), F.count("*").alias("n"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round((l_discount * 0.45 + l_tax * 0.3) / 0.75, 9)::DOUBLE AS both, round(l_discount, 9)::DOUBLE AS one FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, round((l_discount * 0.45 + l_tax * 0.3) / 0.75, 9)::DOUBLE AS both, round(l_discount, 9)::DOUBLE AS one FROM lineitem")
 def fuse_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    rows = table(spark, sf_dir, "lineitem")
     none = F.lit(None).cast("double")
     return rows.select("l_orderkey", "l_linenumber", F.round(fusion.fuse_weighted(F.col("l_discount"), F.col("l_tax"), none), 9).alias("both"), F.round(fusion.fuse_weighted(F.col("l_discount"), none, none), 9).alias("one"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, round(greatest(least(l_quantity, 30) - greatest(0, 10), 0) / (l_quantity + 20 - greatest(least(l_quantity, 30) - 10, 0)), 9)::DOUBLE AS iou FROM lineitem WHERE l_linenumber = 2""")
+@query("""SELECT l_orderkey, l_linenumber, round(greatest(least(l_quantity, 30) - greatest(0, 10), 0) / (l_quantity + 20 - greatest(least(l_quantity, 30) - 10, 0)), 9)::DOUBLE AS iou FROM lineitem""")
 def span_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 2")
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select("l_orderkey", "l_linenumber", F.round(fusion.span_iou(F.lit(0.0), F.col("l_quantity"), F.lit(10.0), F.lit(30.0)), 9).alias("iou"))
 
 
@@ -215,9 +241,9 @@ def fpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.sum(bad).alias("mismatches"), F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, regexp_replace(left(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), 50), '^\\s+|\\s+$', '', 'g') AS text FROM documents")
+@query("SELECT doc_id, regexp_replace(left(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), 1000000), '^\\s+|\\s+$', '', 'g') AS text FROM documents")
 def minimize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_of(spark, sf_dir).select("doc_id", policy.minimized(F.col("text"), 50).alias("text"))
+    return docs_of(spark, sf_dir).select("doc_id", policy.minimized(F.col("text"), 1_000_000).alias("text"))
 
 
 _STRICT = " ".join(f"WHEN {q(t)} THEN {q(o)}" for t, o in policy.pack_operators("gdpr-strict").items())
@@ -259,21 +285,27 @@ def erasure_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(certificates.select(F.lit(0).alias("kept"), F.col("removed").cast("int").alias("removed"))).agg(F.sum("kept").alias("kept"), F.sum("removed").alias("removed"))
 
 
-# Gold: addresses; predicted: addresses of every second document, and phones.
+# Gold: addresses and cards; predicted: addresses but those with a last part over 199, cards by shape, and phones.
 _GOLD = f"SELECT * FROM ({ALL_SQL}) WHERE entity_type IN ('IP_ADDRESS', 'CREDIT_CARD')"
-_PRED = f"SELECT * FROM ({ALL_SQL}) WHERE entity_type IN ('IP_ADDRESS', 'PHONE') AND doc_id % 2 = 0"
+_SHAPES = f"SELECT doc_id, start, (start + length(m))::INTEGER AS \"end\", 'CREDIT_CARD' AS entity_type, m AS text FROM {span_sql(CARD_RUN)}"
+_PRED = f"SELECT * FROM ({ALL_SQL}) WHERE entity_type = 'PHONE' OR (entity_type = 'IP_ADDRESS' AND NOT regexp_matches(text, '\\.2[0-9][0-9]$')) UNION ALL {_SHAPES}"
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = exploded(scanned(spark, sf_dir), "doc_id")
-    return rows.where("entity_type in ('IP_ADDRESS', 'CREDIT_CARD')"), rows.where("entity_type in ('IP_ADDRESS', 'PHONE') and doc_id % 2 = 0")
+    """Gold and predicted spans: both lists are made in one pass over the texts and written, as two sides of a join read them."""
+    found = detect(detect(docs_of(spark, sf_dir), SCANS), [CARD_SHAPE], column="shapes")
+    mark = lambda c, side, keep: F.transform(F.filter(c, keep), lambda e: F.struct(F.lit(side).alias("side"), e["start"].alias("start"), e["end"].alias("end"), e["entity_type"].alias("entity_type")))
+    gold = mark("entities", "gold", lambda e: e["entity_type"].isin("IP_ADDRESS", "CREDIT_CARD"))
+    seen = mark("entities", "seen", lambda e: (e["entity_type"] == "PHONE") | ((e["entity_type"] == "IP_ADDRESS") & ~e["text"].rlike(r"\.2[0-9][0-9]$")))
+    rows = kept(found.select("doc_id", F.explode(F.concat(gold, seen, mark("shapes", "seen", lambda e: F.lit(True)))).alias("s")).select("doc_id", "s.*"))
+    return rows.where("side = 'gold'"), rows.where("side = 'seen'")
 
 
-@query(f"""SELECT entity_type, tp, fp, fn, tp + fn AS support, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 9)::DOUBLE AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 9)::DOUBLE AS recall FROM (
+@query(f"""SELECT entity_type, tp, fp, fn, tp + fn AS support, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 9)::DOUBLE AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 9)::DOUBLE AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 9)::DOUBLE AS f1, round(CASE WHEN 5 * tp + fp + 4 * fn > 0 THEN 5 * tp / (5 * tp + fp + 4 * fn) ELSE 0 END, 9)::DOUBLE AS f2 FROM (
   SELECT entity_type, count(*) FILTER (WHERE g = 1 AND p = 1) AS tp, count(*) FILTER (WHERE g IS NULL) AS fp, count(*) FILTER (WHERE p IS NULL) AS fn FROM
   (SELECT DISTINCT doc_id, start, "end", entity_type, 1 AS g FROM ({_GOLD})) FULL JOIN (SELECT DISTINCT doc_id, start, "end", entity_type, 1 AS p FROM ({_PRED})) USING (doc_id, start, "end", entity_type) GROUP BY entity_type)""")
 def prf_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.by_type(*_sides(spark, sf_dir)).select("entity_type", "tp", "fp", "fn", "support", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+    return evaluation.by_type(*_sides(spark, sf_dir)).select("entity_type", "tp", "fp", "fn", "support", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "f2")])
 
 
 @query(f"SELECT coalesce(g.entity_type, 'O') AS gold_type, coalesce(p.entity_type, 'O') AS predicted_type, count(*) AS n FROM ({_GOLD}) g FULL JOIN ({_PRED}) p ON g.doc_id = p.doc_id AND g.start = p.start AND g.\"end\" = p.\"end\" GROUP BY 1, 2")
@@ -406,14 +438,6 @@ def iob_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("tags", evaluation.refined("tags")).select("id", F.explode(evaluation.tags_to_spans("tags")).alias("s")).select("id", "s.*")
 
 
-@query()
-def context_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect(docs_of(spark, sf_dir), SCANS)
-    moved = found.withColumn("entities", context.combined("entities", context.Combination(("IP_ADDRESS", "PHONE"), 2000, 0.05)))
-    moved = moved.withColumn("entities", context.adjusted("entities", "coalesce(text, '')"))
-    return exploded(moved, "doc_id")
-
-
 @query(f"SELECT d.doc_id, CASE WHEN count(e.entity_type) FILTER (WHERE e.entity_type = 'CREDIT_CARD') > 0 THEN 'block' ELSE 'pass' END AS decision FROM documents d LEFT JOIN ({ALL_SQL}) e USING (doc_id) GROUP BY d.doc_id")
 def guard_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(spark, sf_dir).select("doc_id", policy.decision("entities", "block", ("CREDIT_CARD",)).alias("decision"))
@@ -428,14 +452,11 @@ def finding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS docs, 0::BIGINT AS mismatches FROM documents")
 def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity counts of a stream over the documents against those of a batch."""
-    import uuid
-
     from ..streaming import streams
 
-    name = f"found_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
     stream = streams.read_rows(spark, f"{sf_dir}/documents.parquet*", "doc_id long, text string, lang string, source string, n_chars long")
-    out = streams.run_once(streams.detect_stream(stream, SCANS).select("doc_id", F.size("entities").alias("n")), name, f"{base}/{name}")
+    found = streams.detect_stream(stream, SCANS).select("doc_id", F.size("entities").alias("n"))
+    out = streams.run_to_files(found, shared_path(spark), shared_path(spark))
     batch = scanned(spark, sf_dir).select("doc_id", F.size("entities").alias("m"))
     both = out.join(batch, "doc_id", "full")
     return both.agg(F.count("*").alias("docs"), F.sum(F.when(F.col("n").eqNullSafe(F.col("m")), 0).otherwise(1)).alias("mismatches"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,30 @@ def chat_texts(body: str = "body") -> Column:
       filter(array(b.prompt), p -> p is not null))), 1)""")
 
 
+def mutated(body: str, change: Callable[[str], str], where: str = "messages") -> Column:
+    """A request's or an answer's JSON with its texts changed: string contents, the text parts of lists, prompts.
+
+    ``where`` is ``messages`` or ``prompt`` of a request, ``choices`` of an answer. ``change`` gives SQL for the SQL of a
+    text. Fields other than role, content and text are not kept; text that is no such JSON gives null.
+    """
+    parts = "from_json(m.content, 'array<struct<type:string,text:string>>')"
+    listed = f"to_json(transform({parts}, p -> named_struct('type', p.type, 'text', if(p.type = 'text', {change('p.text')}, p.text))))"
+    content = f"case when m.content is null then null when m.content like '[%' and {parts} is not null then {listed} else {change('m.content')} end"
+    message = f"named_struct('role', m.role, 'content', {content})"
+    kinds = {
+        "messages": ("struct<messages:array<struct<role:string,content:string>>>", f"named_struct('messages', transform(b.messages, m -> {message}))"),
+        "prompt": ("struct<prompt:string>", f"named_struct('prompt', {change('b.prompt')})"),
+        "choices": ("struct<choices:array<struct<message:struct<role:string,content:string>>>>", f"named_struct('choices', transform(b.choices, c -> named_struct('message', transform(array(c.message), m -> {message})[0])))"),
+    }
+    schema, new = kinds[where]
+    return F.expr(f"transform(array(from_json({body}, '{schema}')), b -> if(b.{where} is null, null, to_json({new})))[0]")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of a folder's text files by line; what crosses a line's end is not seen whole."""
+    return spark.readStream.text(path).select(F.col("value").alias("text"))
+
+
 def line_and_column(text: str, at: str) -> tuple[Column, Column]:
     """Line and column, from 1, of a character."""
     before = f"left({text}, {at})"
@@ -37,12 +63,21 @@ def line_and_column(text: str, at: str) -> tuple[Column, Column]:
     return line, column
 
 
-def sarif(findings: DataFrame, path: str = "path", text: str = "text", tool: str = "cloakframe") -> DataFrame:
+def sarif(findings: DataFrame, path: str = "path", text: str = "text", tool: str = "cloakframe", keep: tuple[str, ...] = ()) -> DataFrame:
     """One SARIF result in JSON for each finding (path, text, start, end, entity_type)."""
     line, column = line_and_column(text, "start")
     rule = F.concat(F.lit(f"{tool.upper()}/"), "entity_type")
     place = F.struct(F.struct(F.struct(F.col(path).alias("uri")).alias("artifactLocation"), F.struct(line.alias("startLine"), column.alias("startColumn")).alias("region")).alias("physicalLocation"))
-    return findings.select(F.to_json(F.struct(rule.alias("ruleId"), F.lit("warning").alias("level"), F.struct(F.concat(F.col("entity_type"), F.lit(" detected")).alias("text")).alias("message"), F.array(place).alias("locations"))).alias("result"))
+    return findings.select(*keep, F.to_json(F.struct(rule.alias("ruleId"), F.lit("warning").alias("level"), F.struct(F.concat(F.col("entity_type"), F.lit(" detected")).alias("text")).alias("message"), F.array(place).alias("locations"))).alias("result"))
+
+
+def sarif_logs(findings: DataFrame, path: str = "path", text: str = "text", tool: str = "cloakframe") -> DataFrame:
+    """(path, log): a whole SARIF 2.1.0 document for each file, with the tool, its rules and the results."""
+    results = sarif(findings.withColumn("__path", F.col(path)).withColumn("__type", F.col("entity_type")), path, text, tool, ("__path", "__type", "start"))
+    rules = "transform(array_sort(collect_set(__type)), t -> named_struct('id', concat('{}/', t), 'name', t))".format(tool.upper())
+    whole = results.groupBy("__path").agg(F.sort_array(F.collect_list(F.struct("start", "result"))).alias("rows"), F.expr(rules).alias("rules"))
+    head = F.concat(F.lit('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":"' + tool + '","rules":'), F.to_json("rules"), F.lit('}},"results":['))
+    return whole.select(F.col("__path").alias("path"), F.concat(head, F.array_join(F.transform("rows", lambda r: r["result"]), ","), F.lit("]}]}")).alias("log"))
 
 
 def code_quality(findings: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

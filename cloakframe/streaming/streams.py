@@ -53,6 +53,13 @@ def guard(rows: DataFrame, key: str, ts: str, seconds: int = 3600, most: int = 1
     return own.groupBy("key").applyInPandasWithState(step, "key string, at long, allowed boolean", "times array<long>", "append", "NoTimeout")
 
 
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """What is there now, processed to the end into Parquet files of a shared folder, and those read."""
+    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """What is there now, processed to the end into a memory table; for tests."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -68,7 +68,7 @@ def test_fusion(spark):
 
 def test_context(spark):
     df = ents(spark, [(11, 17, "PERSON", "Dupont", 0.5, "a")]).withColumn("t", F.lit("le patient Dupont vient"))
-    assert abs(df.select(context.adjusted("entities", "t").alias("e")).first()["e"][0]["score"] - 0.62) < 1e-9
+    assert abs(df.select(context.adjusted("entities", "t").alias("e")).first()["e"][0]["score"] - 0.74) < 1e-9
     two = ents(spark, [(0, 4, "DATE", "d", 0.5, "a"), (9, 12, "PERSON", "p", 0.5, "b")])
     rule = context.Combination(("DATE", "PERSON"), 20, 0.2)
     assert [e["score"] for e in two.select(context.combined("entities", rule).alias("e")).first()["e"]] == [0.7, 0.7]
