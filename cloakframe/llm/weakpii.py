@@ -1,16 +1,19 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Patterns propose spans of four kinds: email, ip, card, phone. Spans of the base patterns always stay; wider patterns propose
-spelled-out addresses, phone numbers without a country code, long IPv6 forms and card-like numbers next to a keyword. Six
-labelers vote on every proposal (+1, 0, -1): pattern, validator, context words, gazetteer, shape, edges. Expectation
-maximisation over the counts of vote patterns estimates each labeler's reliability and each kind's share without labels; the
-posteriors train a final classifier, a naive Bayes model of span features, that decides which added spans are kept.
-
-Counts of vote and feature patterns cover all documents and are bounded by the number of patterns, as is the model.
-Positions come from the text between matches, so long texts cost linear time and no task holds more than a document.
-Defined cases: a null text is an empty one, which has no spans; repeated rows give equal results; added spans never
-overlap base ones; among added spans that overlap, all stay; an empty table gives a model without evidence and an empty
-result; columns beside text pass through whatever their names.
+Patterns propose spans of five kinds: email, ip, card, phone, secret. Spans of the base patterns always stay, and there are
+none of the last kind; wider patterns propose spelled-out addresses, phone numbers without a country code, long IPv6 forms,
+card-like numbers next to a keyword, and keys or tokens that a text assigns. Six labelers vote on every proposal (+1, 0, -1):
+pattern, validator, context words, gazetteer, shape, edges; the pattern labeler knows base matches alone and abstains on
+others. Expectation maximisation over the counts of vote patterns estimates each labeler's reliability and each kind's share
+without labels; the posteriors train a final classifier, a naive Bayes model of span features, that decides which added
+spans are kept.
+
+Counts of vote and feature patterns cover all documents and are bounded by the number of patterns, as is the model. The
+patterns read each text once: proposals are written, then counted and judged. A text is read by a pattern only if it holds
+what every match of the pattern holds. Positions come from the text between matches, so long texts cost linear time and no
+task holds more than a document. Defined cases: a null text is an empty one, which has no spans; repeated rows give equal
+results; added spans never overlap base ones; among added spans that overlap, all stay; an empty table gives a model without
+evidence and an empty result; columns beside text pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +26,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
-EMAIL, IP, CARD, PHONE = range(4)
+from ..functions.validators import HOST_TLDS
+from .common import written
+
+KINDS = ("email", "ip", "card", "phone", "secret")
+EMAIL, IP, CARD, PHONE, SECRET = range(5)
 #: Base patterns. Possessive runs and guards against starts inside a run keep them linear; the matches are the same.
 _LOCAL = "A-Za-z0-9._%+-"
 BASE = {
@@ -33,24 +39,35 @@ BASE = {
     CARD: r"[0-9](?:[ -]?[0-9])++",
     PHONE: r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: What a text must hold for a pattern to be tried at all.
-NEEDS = {EMAIL: "@", IP: ".", PHONE: "+"}
 ADDED = {
     EMAIL: r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({<] ?at ?[\])}>] ?[A-Za-z0-9-]{1,63}+(?: ?(?:[\[({<] ?dot ?[\])}>]|\.) ?[A-Za-z0-9-]{2,63}+){1,4}+",
     IP: r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}+:){7}[0-9a-f]{1,4}+(?![0-9a-f:])",
     CARD: r"(?i)(?:card|visa|mastercard|amex|carte|karte|tarjeta)[a-z]{0,12}+[ :#.]{1,4}+[0-9](?:[ -]?[0-9]){11,18}+(?![0-9])",
     PHONE: r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
+    SECRET: r"(?<=[=:]|[=:] |[=:]['\"]|[=: ] ['\"])(?<![A-Za-z0-9])[A-Za-z0-9_+/-]{16,128}+(?![A-Za-z0-9])",
 }
+#: What a text holds wherever a pattern has a match.
+HOLDS = {
+    (EMAIL, True): "@", (IP, True): "[0-9]\\.[0-9]", (CARD, True): "[0-9][ -]?[0-9]", (PHONE, True): "\\+[0-9]",
+    (EMAIL, False): r"(?i)[\[({<] ?at ?[\])}>]", (IP, False): "[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", (CARD, False): r"(?i)(?:card|visa|amex|carte|karte|tarjeta)[a-z]{0,12}[ :#.]{1,4}[0-9]",
+    (PHONE, False): "[0-9]{3}[ .-][0-9]{4}", (SECRET, False): r"(?i)(?:token|secret|passw|pwd|key|bearer|credential|auth)[a-z_]{0,12}['\"]? ?[=:]",
+}
 # Fixed word lists of the labelers.
 CONTEXT = {
     EMAIL: "mail|contact|write|reach|courriel|correo|schreib",
     IP: r"\bip\b|address|server|host|login|from|adresse",
     CARD: "card|visa|credit|payment|paid|carte|karte|tarjeta|kredit",
-    PHONE: r"phone|call|\btel|mobile|fax|contact|appel|anruf|llam|telef",
+    PHONE: r"phone|call|\btel|mobile|fax|contact|appel|anruf|llam|telef|handy|móvil|portable|rufnummer",
+    SECRET: r"token|secret|passw|pwd|key|bearer|credential|auth|cl[eé]|schl[uü]ssel|clave|geheim|passe",
 }
 AGAINST = r"version|\bv\.?$|invoice|order|isbn|sha|serial|build|commit|item"
-TLDS = "com|org|net|edu|gov|io|info|biz|de|fr|es|it|nl|be|pt|pl|uk|eu|us|ch|at"
-CALLING = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[1238]|35[0-9]|37[0-9]|38[0-9]|42[0-9]"
+TLDS = "|".join(HOST_TLDS)
+# Fixed calling codes, as ranges of the numbering plan.
+CALLING = "1|7|2[07]|2[1-69][0-9]|3[0-469]|3[578][0-9]|4[013-9]|42[0-9]|5[1-8]|5[09][0-9]|6[0-6]|6[7-9][0-9]|8[1246]|8[0578][0-9]|9[0-58]|9[679][0-9]"
+# Fixed beginnings of cards by network, and of keys by issuer; lengths of digests in hexadecimal.
+NETWORKS = "4|5[0-8]|2[2-7]|3[0-689]|6"
+ISSUERS = "sk[_-]|pk[_-]|rk_|gh[pousr]_|github_pat_|xox[abprs]-|AKIA|ASIA|AIza|ya29|eyJ|glpat-|npm_|hf_"
+DIGESTS = "[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
 
 LABELERS, FEATURES = 6, 5
 ROUNDS = 15
@@ -118,8 +135,13 @@ def votes(kind: int, base: bool, s: Column) -> Column:
         shape = F.when(m.rlike(r"(?:^|\.)0[0-9]"), minus).otherwise(none)
     elif kind == CARD:
         check = F.when(F.length(num).between(12, 19) & F.call_function("luhn_check", num), plus).otherwise(minus)
-        gazetteer = F.when(num.rlike(r"^(?:4|5[1-5]|2[2-7]|3[47]|6)"), plus).otherwise(minus)
+        gazetteer = F.when(num.rlike(f"^(?:{NETWORKS})"), plus).otherwise(minus)
         shape = F.when(num.rlike(r"^([0-9])\1+$|0{6}|123456789"), minus).otherwise(none)
+    elif kind == SECRET:
+        # Words in letters alone, or of one letter case without digits, are no keys.
+        check = F.when(m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (F.length(m) >= 20), plus).when(m.rlike("[0-9]"), none).otherwise(minus)
+        gazetteer = F.when(m.rlike(rf"(?i)^(?:{DIGESTS})$") | m.rlike(f"^(?:{ISSUERS})"), plus).otherwise(none)
+        shape = F.when(m.rlike(r"(.)\1{5}|/.*/|^[A-Za-z_-]+$|1234567"), minus).otherwise(none)
     else:
         check = F.when(F.length(num).between(9 if base else 10, 15), plus).otherwise(minus)
         gazetteer = F.when(num.rlike(rf"^(?:{CALLING})"), plus).otherwise(none) if base else F.when(num.rlike("^[2-9]"), plus).otherwise(minus)
@@ -127,7 +149,7 @@ def votes(kind: int, base: bool, s: Column) -> Column:
     near = F.concat(before, F.lit(" "), after, m) if kind == CARD and not base else F.concat(before, F.lit(" "), after)
     context = F.when(before.rlike(f"(?i){AGAINST}"), minus).when(near.rlike(f"(?i){CONTEXT[kind]}"), plus).otherwise(none)
     edges = F.when(before.rlike("[A-Za-z0-9_]$") | after.rlike("^[A-Za-z0-9_]"), minus).otherwise(plus)
-    return F.concat(plus if base else minus, check, context, gazetteer, shape, edges)
+    return F.concat(plus if base else none, check, context, gazetteer, shape, edges)
 
 
 def features(kind: int, base: bool, s: Column) -> Column:
@@ -155,16 +177,21 @@ def with_proposals(docs: DataFrame, column: str = "proposals") -> DataFrame:
     """``docs`` wrapped in ``row``, with ``text`` and all proposals in order of start, kind and end."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     none = F.array().cast("array<string>")
+    digit, mark = F.col("digit"), F.col("mark")
+    whole = whole.withColumn("digit", F.col("text").rlike("[0-9]")).withColumn("mark", F.col("text").rlike("[=:\\[({<]"))
+    # Nearly all texts of a corpus end here: a digit, an at sign, or a sign before a key or a spelled-out address.
+    first = {(EMAIL, True): F.contains("text", F.lit("@")), (EMAIL, False): mark, (SECRET, False): mark & digit}
     found = {}
-    for kind in range(4):
-        for base, patterns in ((True, BASE), (False, ADDED)):
-            hit = F.regexp_extract_all("text", F.lit(patterns[kind]), F.lit(0))
-            if base and kind in NEEDS:
-                hit = F.when(F.contains("text", F.lit(NEEDS[kind])), hit).otherwise(none)
-            found[f"m{kind}{'b' if base else 'a'}"] = hit
-    matched = whole.select("row", "text", *[c.alias(n) for n, c in found.items()])
-    sets = lambda tag: F.concat(*[proposals(F.col("text"), k, tag == "b", F.col(f"m{k}{tag}")) for k in range(4)])
-    parted = matched.select("row", "text", sets("b").alias("own"), sets("a").alias("more"))
+    for base, patterns in ((True, BASE), (False, ADDED)):
+        for kind, pattern in patterns.items():
+            tried = first.get((kind, base), digit)
+            if (kind, base) != (EMAIL, True):
+                tried = tried & F.col("text").rlike(HOLDS[kind, base])
+            found[kind, base] = F.when(tried, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none)
+    name = lambda kind, base: f"m{kind}{'b' if base else 'a'}"
+    matched = whole.select("row", "text", *[c.alias(name(*k)) for k, c in found.items()])
+    sets = lambda base: F.concat(*[proposals(F.col("text"), k, base, F.col(name(k, base))) for k, b in found if b == base])
+    parted = matched.select("row", "text", sets(True).alias("own"), sets(False).alias("more"))
     apart = F.filter("more", lambda s: ~F.exists("own", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return parted.select("row", "text", F.array_sort(F.when(F.size("more") > 0, F.concat("own", apart)).otherwise(F.col("own"))).alias(column))
 
@@ -180,17 +207,22 @@ class Model:
 
 def fit(docs: DataFrame) -> Model:
     """Counts, expectation maximisation and classifier from all documents."""
-    spans = with_proposals(docs.select("text")).select(F.explode("proposals").alias("s"))
+    return fit_proposals(with_proposals(docs.select("text")))
+
+
+def fit_proposals(found: DataFrame) -> Model:
+    """The same from a table with the documents' ``proposals``."""
+    spans = found.select(F.explode("proposals").alias("s"))
     counts = spans.groupBy("s.kind", "s.votes", "s.features").agg(F.count("*").alias("n")).cache()
     patterns = counts.groupBy("kind", "votes").agg(F.sum("n").alias("n"))
     state = patterns.agg(F.array_sort(F.collect_list(F.struct("kind", "votes", "n"))).alias("rows"))
     state = state.select(_folded(F.col("rows")).alias("state")).first()["state"]
-    model = Model(list(state[4:]), list(state[:4]))
+    model = Model(list(state[len(KINDS) :]), list(state[: len(KINDS)]))
     p = _posterior(model)
     soft = counts.select("kind", F.explode(F.array(*[F.struct(F.lit(k).alias("f"), F.substring("features", k + 1, 1).alias("v")) for k in range(FEATURES)])).alias("x"), (F.col("n") * p).alias("yes"), (F.col("n") * (1 - p)).alias("no"))
     sums = soft.groupBy("kind", "x.f", "x.v").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()
     counts.unpersist()
-    for kind in range(4):
+    for kind in range(len(KINDS)):
         own = [r for r in sums if r["kind"] == kind]
         yes, no = (sum(r[c] for r in own if r["f"] == 0) for c in ("yes", "no"))
         model.weights[f"{kind}"] = math.log((yes + 1) / (no + 1))
@@ -200,7 +232,7 @@ def fit(docs: DataFrame) -> Model:
 
 
 def _folded(rows: Column) -> Column:
-    start = F.array(*[F.lit(0.5)] * 4, *[F.lit(0.8)] * LABELERS)
+    start = F.array(*[F.lit(0.5)] * len(KINDS), *[F.lit(0.8)] * LABELERS)
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: _em_step(s, rows))
 
 
@@ -215,13 +247,13 @@ def _em_step(state: Column, data: Column) -> Column:
         z = _logit(F.element_at(state, r["kind"] + 1))
         for k in range(LABELERS):
             own = F.substring(r["votes"], k + 1, 1)
-            z = z + F.when(own == "+", 1.0).when(own == "-", -1.0).otherwise(0.0) * _logit(F.element_at(state, 5 + k))
+            z = z + F.when(own == "+", 1.0).when(own == "-", -1.0).otherwise(0.0) * _logit(F.element_at(state, len(KINDS) + 1 + k))
         return 1 / (1 + F.exp(-z))
 
     def sums(r: Column, acc: Column) -> Column:
         p, n = posterior(r), r["n"].cast("double")
         parts = []
-        for k in range(4):
+        for k in range(len(KINDS)):
             here = (r["kind"] == k).cast("double")
             parts += [here * n * p, here * n]
         for k in range(LABELERS):
@@ -229,13 +261,13 @@ def _em_step(state: Column, data: Column) -> Column:
             parts += [n * F.when(own == "+", p).when(own == "-", 1 - p).otherwise(0.0), F.when(own != "0", n).otherwise(0.0)]
         return F.zip_with(acc, F.array(*parts), lambda a, b: a + b)
 
-    zero = F.array(*[F.lit(0.0)] * (2 * (4 + LABELERS)))
+    zero = F.array(*[F.lit(0.0)] * (2 * (len(KINDS) + LABELERS)))
 
     def news(acc: Column) -> Column:
         hit = lambda k: F.element_at(acc, 2 * k + 1)
         cast = lambda k: F.element_at(acc, 2 * k + 2)
-        shares = [F.least(F.greatest((hit(k) + 1) / (cast(k) + 2), F.lit(0.01)), F.lit(0.99)) for k in range(4)]
-        right = [F.least(F.greatest((hit(4 + k) + 8) / (cast(4 + k) + 10), F.lit(0.55)), F.lit(0.99)) for k in range(LABELERS)]
+        shares = [F.least(F.greatest((hit(k) + 1) / (cast(k) + 2), F.lit(0.01)), F.lit(0.99)) for k in range(len(KINDS))]
+        right = [F.least(F.greatest((hit(len(KINDS) + k) + 8) / (cast(len(KINDS) + k) + 10), F.lit(0.55)), F.lit(0.99)) for k in range(LABELERS)]
         return F.array(*shares, *right)
 
     return F.aggregate(data, zero, lambda acc, r: sums(r, acc), news)
@@ -249,8 +281,8 @@ def _posterior(model: Model) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def spans_of(docs: DataFrame, model: Model) -> DataFrame:
-    """``row``, ``text`` and ``spans``: the base spans and the added ones that the classifier keeps."""
+def judged(found: DataFrame, model: Model) -> Column:
+    """``spans`` of a table with ``proposals``: the base spans and the added ones that the classifier keeps."""
     weights = model.weights or {"": 0.0}
     table = F.create_map(*[F.lit(x) for kv in sorted(weights.items()) for x in kv])
 
@@ -260,7 +292,13 @@ def spans_of(docs: DataFrame, model: Model) -> DataFrame:
         parts += [F.coalesce(F.element_at(table, F.concat(kind, F.lit(str(k)), F.substring(s["features"], k + 1, 1))), F.lit(0.0)) for k in range(FEATURES)]
         return s["base"] | (reduce(lambda a, b: a + b, parts) >= 0)
 
-    return with_proposals(docs).select("row", "text", F.filter("proposals", kept).alias("spans"))
+    return F.filter("proposals", kept).alias("spans")
+
+
+def spans_of(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """``row``, ``text`` and ``spans`` of all documents; without a model, that of these documents. Texts are searched once."""
+    found = written(with_proposals(docs))
+    return found.select("row", "text", judged(found, model or fit_proposals(found)))
 
 
 def joined(spans: Column) -> Column:
@@ -269,17 +307,16 @@ def joined(spans: Column) -> Column:
 
 
 def span_digest(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added): counts are of base spans."""
-    docs = docs.select("doc_id", "text")
-    found = spans_of(docs, fit(docs)).select(F.col("row.doc_id").alias("doc_id"), "spans")
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added): counts are of base spans. What is written holds no texts."""
+    found = written(with_proposals(docs.select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), "proposals"))
+    found = found.select("doc_id", judged(found, fit_proposals(found)))
     base = F.filter("spans", lambda s: s["base"])
     count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{KINDS[k]}")
-    return found.select("doc_id", *[count(k) for k in range(4)], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
+    return found.select("doc_id", *[count(k) for k in range(SECRET)], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
 
 
 def masked(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; spans that overlap become one of the first's kind."""
-    model = model or fit(docs)
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     found = spans_of(docs, model)
     # The text is read once from left to right: what lies between spans, then the next span's mark.
