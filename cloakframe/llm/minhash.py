@@ -9,8 +9,8 @@ their pairs; classes that are not yet in one component are checked further, unti
 linked, checked, or in one component. Links need the exact similarity of full sets.
 
 Rows are dealt by ranges of (bucket, class) and of (pivot, partner), so that a bucket or a pivot with very many members is
-cut over tasks; each stretch of a bucket has a pivot of its own, and the stretches' pivots are compared. What is sent to
-all tasks is a bitmap of fixed size, which picks the texts to be joined.
+cut over tasks. What is sent to all tasks is bounded: a bitmap of fixed size, which picks the texts to be joined, and the
+pivots of buckets that go on from one task to the next, two rows a task at most.
 
 Defined cases: a null text is an empty one; a set without elements is linked with nothing; with fewer words than a
 shingle has, the whole sequence is the one element; repeated rows are members of one class; rows of one doc_id are in one
@@ -254,12 +254,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def members(classes: DataFrame) -> DataFrame:
-    """(bucket, v, n, b, m) of all buckets with two classes or more: each class with a pivot to be checked against."""
+    """(bucket, v, n, b, m) of all buckets with two classes or more: each class with the bucket's smallest, its pivot."""
     rows = classes.select("v", "n", F.explode("bands").alias("bucket")).repartitionByRange("bucket", "v").sortWithinPartitions("bucket", "v")
     runs = written(rows.select("bucket", "v", "n").mapInArrow(_runs, RUN))
     edges = runs.where("edge").select("bucket", "v", "n").distinct()
-    least = edges.groupBy("bucket").agg(F.min("v").alias("b"), F.min_by("n", "v").alias("m"), F.count("*").alias("k")).where("k > 1")
-    return runs.where("not edge").drop("edge").unionByName(edges.join(least, "bucket").select("bucket", "v", "n", "b", "m"))
+    least = edges.groupBy("bucket").agg(F.min("v").alias("first"), F.min_by("n", "v").alias("size"), F.count("*").alias("k")).where("k > 1").drop("k")
+    # A task gives two edges at most, so these are as few as the tasks.
+    own = runs.where("not edge").drop("edge").unionByName(edges.join(least.select("bucket"), "bucket", "left_semi").select("bucket", "v", "n", F.col("v").alias("b"), F.col("n").alias("m")))
+    return own.join(F.broadcast(least), "bucket", "left").select("bucket", "v", "n", F.coalesce("first", "b").alias("b"), F.coalesce("size", "m").alias("m"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -284,61 +286,76 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def linked(docs: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
     """Components of the classes in ``found``: (v, root).
 
-    First every class is checked against its pivot in each bucket. Then, as long as that links more, classes outside
-    their bucket's largest component are checked against members of it. What is still apart is checked in blocks
-    against all classes of its bucket.
+    First every class is checked against its pivot in each bucket. Classes that stay outside their pivot's component are
+    *apart*; twice they are checked against another member of it. What is still apart then is checked in blocks against
+    all of that component and against all that is apart in the same bucket, so that no pair of a bucket is left out.
     """
-    sizes = found.select(F.col("v").alias("b"), F.col("n").alias("m")).distinct()
+    sizes = found.select("v", "n").distinct()
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     check = lambda pairs: links(docs, pairs.where(fits).select("a", "b").distinct(), words, percent)
-    comps = components(check(found.where("v != b").withColumnRenamed("v", "a")))
-    every = found.select("bucket", "v", "n").distinct()
-    for turn in range(1, 4):
-        placed = written(every.join(comps, "v", "left").withColumn("root", F.coalesce("root", "v")))
-        most = placed.groupBy("bucket", "root").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("big"), F.count("*").alias("roots"), F.sum("k").alias("size"))
-        apart = written(placed.join(most.where("roots > 1 and size > 2"), "bucket"))
-        release(placed)
+    pairs = found.where("v != b")
+    first = check(pairs.withColumnRenamed("v", "a"))
+    comps = components(first)
+    # Where a bucket has but two classes, they have been compared.
+    more = pairs.groupBy("bucket").count().where("count > 1").select("bucket")
+    missed = pairs.select("bucket", "v", "n", "b").join(first.select(F.col("a").alias("v"), "b"), ["v", "b"], "left_anti").join(more, "bucket", "left_semi")
+    apart = written(outside(missed, comps))
+    for turn in (1, 2):
         if not apart.limit(1).count():
             return comps
-        if turn == 3 or not apart.where(f"size > {BLOCK}").limit(1).count():
-            break
-        order = F.struct(F.xxhash64("v", F.lit(turn), F.col("bucket") % 4), F.col("v"))
-        pivots = apart.where("root = big").groupBy("bucket").agg(F.min_by("v", order).alias("b"))
-        edges = check(apart.where("root != big").join(pivots, "bucket").select(F.col("v").alias("a"), "b", "n").join(sizes, "b"))
+        other = comps.groupBy("root").agg(F.min_by("v", F.struct(F.xxhash64("v", F.lit(turn)), F.col("v"))).alias("b"))
+        tried = apart.select(F.col("v").alias("a"), "n", F.col("big").alias("root")).distinct().join(other, "root").join(sizes.select(F.col("v").alias("b"), F.col("n").alias("m")), "b")
+        edges = check(tried)
         if not edges.limit(1).count():
             break
         comps = relabelled(comps, edges)
-        release(apart)
-    return relabelled(comps, blockwise(docs, apart, words, percent))
+        before, apart = apart, written(outside(apart.select("bucket", "v", "n", "b"), comps))
+        release(before, edges)
+    return relabelled(comps, blockwise(docs, apart, comps, words, percent))
+
 
+def outside(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """(bucket, v, n, b, root, big): rows whose class is not in its pivot's component, with both components."""
+    at = lambda c, name: comps.select(F.col("v").alias(c), F.col("root").alias(name))
+    both = rows.join(at("v", "root"), "v", "left").join(at("b", "big"), "b", "left")
+    return both.select("bucket", "v", "n", "b", F.coalesce("root", "v").alias("root"), F.coalesce("big", "b").alias("big")).where("root != big")
 
-def blockwise(docs: DataFrame, apart: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between classes outside their bucket's largest component and all others of the bucket.
 
-    A bucket's members are dealt to blocks of about ``BLOCK`` by hash and every block of apart classes meets every block of
-    members in a task of its own, which holds the sets of one block.
+def blockwise(docs: DataFrame, apart: DataFrame, comps: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between apart classes and all members of their pivots' components, and among those apart in one bucket.
+
+    ``way`` 0 is a component, 1 a bucket. Both sides are dealt to blocks of about ``BLOCK`` by hash and every block of one
+    meets every block of the other in a task of its own, which holds the sets of one block.
     """
-    own = apart.withColumn("out", (F.col("root") != F.col("big")).cast("int"))
-    count = own.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.sum("out") / BLOCK).cast("int").alias("outs"))
-    dealt = own.select("bucket", "v", "root", "out").join(count, "bucket").withColumn("h", F.xxhash64("v"))
+    both = (F.lit(0).alias("way"), F.lit(1).alias("way"))
+    held = apart.select(both[0], F.col("big").alias("id"), "v", "root").unionByName(apart.select(both[1], F.col("bucket").alias("id"), "v", "root")).distinct()
+    of = comps.join(apart.select(F.col("big").alias("root")).distinct(), "root").select(both[0], F.col("root").alias("id"), "v", "root")
+    read = of.unionByName(held.where("way = 1"))
+    held, read = written(held), written(read)
+    count = lambda df, name: df.groupBy("way", "id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    many = written(count(held, "xs").join(count(read, "ys"), ["way", "id"]))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    held = dealt.where("out = 1").select("v", "root", "bucket", F.pmod("h", "outs").cast("int").alias("x"), every("blocks").alias("y"), F.lit(0).alias("kind"))
-    read = dealt.select("v", "root", "bucket", every("outs").alias("x"), F.pmod("h", "blocks").cast("int").alias("y"), F.lit(1).alias("kind"))
-    wanted = written(held.unionByName(read))
-    rows = sets_of(docs, apart, words).join(wanted, "v").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "kind", "v")
+    place = lambda c: F.pmod(F.xxhash64("v"), c).cast("int")
+    wanted = written(
+        held.join(many, ["way", "id"]).select("way", "id", "v", "root", place("xs").alias("x"), every("ys").alias("y"), F.lit(0).alias("kind"))
+        .unionByName(read.join(many, ["way", "id"]).select("way", "id", "v", "root", every("xs").alias("x"), place("ys").alias("y"), F.lit(1).alias("kind")))
+    )
+    rows = sets_of(docs, wanted, words).join(wanted, "v").repartition("way", "id", "x", "y").sortWithinPartitions("way", "id", "x", "y", "kind", "v")
 
     def check(it: Iterator[tuple]) -> Iterator[tuple]:
         now, block = None, None
-        for bucket, x, y, kind, v, root, raw in it:
-            if now != (bucket, x, y):
-                now, block = (bucket, x, y), Block(percent)
+        for way, key, x, y, kind, v, root, raw in it:
+            if now != (way, key, x, y):
+                now, block = (way, key, x, y), Block(percent)
             one = np.frombuffer(raw, np.uint64)
             if kind == 0:
                 block.hold(v, root, one)
             else:
                 yield from block.links_of(v, root, one)
 
-    return written(map_rows(rows, ["bucket", "x", "y", "kind", "v", "root", "set"], check, LINK))
+    out = written(map_rows(rows, ["way", "id", "x", "y", "kind", "v", "root", "set"], check, LINK))
+    release(held, read, many, wanted)
+    return out
 
 
 class Block:
