@@ -2,15 +2,21 @@
 
 Each token's probability is that of its class, given the history, times that of the token, given class and history.
 Features of the history are the last token, the one before it (a skip feature) and the two together (an n-gram
-feature), each hashed to a row of a weight table. The ``HEAD`` most frequent tokens of the training documents are in classes of
-``WIDTH``, whose members have a softmax of their own over the last token; all other tokens fall into ``TAIL`` classes by their
-form, inside which a token's probability goes by its smoothed count. One unseen token per tail class is provided for, so
-the probabilities of all outcomes add up to 1.
-
-Training reduces the whole training text to counts of (history, class) and (last token, token), made in every task
-before the shuffle; then gradients of the log-likelihood over them are computed in distributed passes, summed and
-applied with AdaGrad steps. Counts of tokens are exact, over all training documents. Scoring gathers weight rows in sparse numpy
-batches; counts of rare tokens come from a join.
+feature), each hashed to a row of a weight table. The most frequent tokens of the training documents, the head, are in
+classes whose members have a softmax of their own over the last token; all other tokens fall into tail classes by their form,
+inside which a token's probability goes by its smoothed count. One unseen token per tail class is provided for, so the
+probabilities of all outcomes add up to 1.
+
+The model grows with the corpus: ``Shape.of`` sizes classes, head and tables from the number of distinct training tokens.
+Classes grow with its fifth root, so 10^5 types have a head of 1,156 tokens, 10^7 of 7,225 and 10^9 of 46,225, with tables
+of 56 million weights, which tasks and the driver still hold; nothing has one size at every input.
+
+Training reduces the whole training text to counts of (history, class) and of (last token, head token), made in every task
+before the shuffle; then gradients of the log-likelihood over them are computed in distributed
+passes, as many tasks as the counts ask for. Counts are dealt by the last token, so that a task's gradient is sparse; its rows
+are summed by table slice on the executors, and the driver gets each slice once. AdaGrad steps go on until the
+log-likelihood gains less than ``GAIN`` of itself in a step. Counts of tokens are exact, over all training documents. Scoring
+gathers weight rows in sparse numpy batches; counts of rare tokens come from a join.
 
 Defined cases: a null or empty text is the end token alone; rows are scored one by one, so repeated rows get equal
 scores; rows without doc_id are scored but not learned from, and are not held out; without training documents N and V
@@ -21,8 +27,9 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +40,53 @@ from pyspark.sql import types as T
 from .common import map_rows, training_rows, written
 
 SMOOTH = 0.1
-CLASSES, WIDTH = 48, 48
-HEAD, TAIL = CLASSES * WIDTH, 16
-ALL = CLASSES + TAIL
-#: Rows of the weight tables: last token, token before it, both together; last token and class.
-LAST, SKIP, BOTH, INNER = 1 << 11, 1 << 11, 1 << 13, 1 << 14
 #: Tokens whose counts all tasks hold; a bound on what is broadcast, not on what is counted.
 KNOWN = 1 << 16
-STEPS, RATE, RIDGE = 5, 0.5, 0.5
-#: Tasks of a gradient pass. What they read, counts of bounded histories, and what they return, tables, has a bounded size.
-PASSES = 4
-START = HEAD + TAIL
-#: History rows by id: head tokens, tail classes, the start.
-IDS = HEAD + TAIL + 1
+#: Steps end when one gains less than this share of the log-likelihood, or at MOST_STEPS.
+GAIN, MOST_STEPS, RATE, RIDGE = 0.005, 12, 0.5, 0.5
+#: Counts that one task of a gradient pass reads, and rows of a table that one task sums.
+PASS_ROWS, SLICE_ROWS = 2_000_000, 4096
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Sizes of a model. Ids: head tokens by rank, tail classes, the start."""
+
+    classes: int
+    tail: int
+    last: int
+    skip: int
+    both: int
+    inner: int
+
+    @classmethod
+    def of(cls, types: int) -> Shape:
+        """For so many distinct training tokens: classes by the fifth root, rows by the head's size to 0.6, as powers of two."""
+        classes = max(8, round(3.4 * types**0.2))
+        rows = 1 << max(8, ceil(log2(20 * (classes * classes) ** 0.6)))
+        return cls(classes, max(8, classes // 3), rows, rows, 4 * rows, 8 * rows)
+
+    @property
+    def width(self) -> int:
+        return self.classes
+
+    @property
+    def head(self) -> int:
+        return self.classes * self.width
+
+    @property
+    def all(self) -> int:
+        return self.classes + self.tail
+
+    @property
+    def start(self) -> int:
+        return self.head + self.tail
+
+    @property
+    def ids(self) -> int:
+        return self.head + self.tail + 1
+
+
 LN10 = float(np.log(10.0))
 END = b""
 
@@ -55,11 +96,11 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def tail_class(token: bytes) -> int:
+def tail_class(token: bytes, tail: int) -> int:
     """By form: digits or signs apart, the others by their last two bytes."""
     if not token.isalpha() and not token[-1:].isalpha() and token[-1:] < b"\x80":
         return 0 if token[:1].isdigit() else 1 if token[:-1].isalpha() else 2
-    return 3 + zlib.crc32(token[-2:]) % (TAIL - 3)
+    return 3 + zlib.crc32(token[-2:]) % (tail - 3)
 
 
 COUNT = T.StructType([T.StructField("token", T.BinaryType()), T.StructField("c", T.LongType())])
@@ -89,6 +130,7 @@ class Vocabulary:
     counts: list[int]
     total: int
     types: int
+    shape: Shape
 
     def ids(self) -> dict[bytes, int]:
         return {t: k for k, t in enumerate(self.tokens)}
@@ -102,11 +144,12 @@ class Weights:
     inner: np.ndarray
     bias: np.ndarray
     own: np.ndarray
+    shape: Shape
 
     @classmethod
-    def zeros(cls) -> Weights:
-        f = np.float32
-        return cls(np.zeros((LAST, ALL), f), np.zeros((SKIP, ALL), f), np.zeros((BOTH, ALL), f), np.zeros((INNER, WIDTH), f), np.zeros(ALL, f), np.zeros((CLASSES, WIDTH), f))
+    def zeros(cls, shape: Shape) -> Weights:
+        sizes = [(shape.last, shape.all), (shape.skip, shape.all), (shape.both, shape.all), (shape.inner, shape.width), (1, shape.all), (shape.classes, shape.width)]
+        return cls(*(np.zeros(x, np.float32) for x in sizes), shape)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -114,52 +157,55 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def rows_class(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def rows_class(shape: Shape, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Table rows of the class features: last token ``a``, token before it ``b``."""
-    both = (_mix(a * np.int64(IDS) + b) % np.uint64(BOTH)).astype(np.int64)
-    return (_mix(a) % np.uint64(LAST)).astype(np.int64), (_mix(b) % np.uint64(SKIP)).astype(np.int64), both
+    both = (_mix(a * np.int64(shape.ids) + b) % np.uint64(shape.both)).astype(np.int64)
+    return (_mix(a) % np.uint64(shape.last)).astype(np.int64), (_mix(b) % np.uint64(shape.skip)).astype(np.int64), both
 
 
-def rows_inner(a: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return (_mix(a * np.int64(CLASSES) + c) % np.uint64(INNER)).astype(np.int64)
+def rows_inner(shape: Shape, a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (_mix(a * np.int64(shape.classes) + c) % np.uint64(shape.inner)).astype(np.int64)
 
 
-def log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = z.max(axis=1)
-    return z[np.arange(len(z)), at] - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+def log_sums(rows: Callable[[slice], np.ndarray], n: int) -> np.ndarray:
+    """Log of the sum of exponentials of each of ``n`` rows, which are made in stretches."""
+    out = np.empty(n)
+    for at in range(0, n, 4096):
+        z = rows(slice(at, at + 4096))
+        top = z.max(axis=1)
+        z -= top[:, None]
+        out[at : at + 4096] = top + np.log(np.exp(z, out=z).sum(axis=1))
+    return out
 
 
-def class_of(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids < HEAD, ids // WIDTH, CLASSES + ids - HEAD)
+def class_of(shape: Shape, ids: np.ndarray) -> np.ndarray:
+    return np.where(ids < shape.head, ids // shape.width, shape.classes + ids - shape.head)
 
 
 def score_ids(w: Weights, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Natural log of each token's probability; of a tail token, that of its class."""
-    out = np.empty(len(ids))
-    for at in range(0, len(ids), 4096):
-        s = slice(at, at + 4096)
-        x, y, xy = rows_class(a[s], b[s])
-        own = class_of(ids[s])
-        z = w.last[x]
-        z += w.skip[y]
-        z += w.both[xy]
-        z += w.bias
-        part = log_softmax_at(z, own)
-        head = np.flatnonzero(ids[s] < HEAD)
-        if len(head):
-            c = own[head]
-            z = w.inner[rows_inner(a[s][head], c)] + w.own[c]
-            part[head] += log_softmax_at(z, ids[s][head] % WIDTH)
-        out[s] = part
+    """Natural log of each token's probability; of a tail token, that of its class. A history's softmax is summed up once."""
+    shape, own = w.shape, class_of(w.shape, ids)
+    x, y, xy = rows_class(shape, a, b)
+    _, some, which = np.unique(a * np.int64(shape.ids) + b, return_index=True, return_inverse=True)
+    norms = log_sums(lambda s: w.last[x[some[s]]] + w.skip[y[some[s]]] + w.both[xy[some[s]]] + w.bias[0], len(some))
+    out = (w.last[x, own] + w.skip[y, own] + w.both[xy, own] + w.bias[0, own]).astype(np.float64) - norms[which]
+    head = np.flatnonzero(ids < shape.head)
+    if len(head):
+        c, place = own[head], ids[head] % shape.width
+        row = rows_inner(shape, a[head], c)
+        _, some, which = np.unique(a[head] * np.int64(shape.classes) + c, return_index=True, return_inverse=True)
+        norms = log_sums(lambda s: w.inner[row[some[s]]] + w.own[c[some[s]]], len(some))
+        out[head] += (w.inner[row, place] + w.own[c, place]).astype(np.float64) - norms[which]
     return out
 
 
 class Reader:
-    """Texts as ids: head tokens by rank, the rest by tail class; histories begin with two starts."""
+    """Texts as ids: head tokens by rank, the rest by tail class."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.known = vocabulary.ids()
-        self.tails = np.array([k if k < HEAD else HEAD + tail_class(t) for k, t in enumerate(vocabulary.tokens)] or [0], np.int64)
+        self.known, self.shape = vocabulary.ids(), vocabulary.shape
+        head, tail = self.shape.head, self.shape.tail
+        self.tails = np.array([k if k < head else head + tail_class(t, tail) for k, t in enumerate(vocabulary.tokens)] or [0], np.int64)
         self.end = self.known.get(END, -1)
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
@@ -173,12 +219,14 @@ class Reader:
         out = self.tails[np.maximum(ranks, 0)]
         gaps = np.flatnonzero(ranks < 0)
         if len(gaps):
-            out[gaps] = [HEAD + tail_class(t) for t in rare] + [HEAD + tail_class(END)] * (len(gaps) - len(rare))
+            head, tail = self.shape.head, self.shape.tail
+            out[gaps] = [head + tail_class(t, tail) for t in rare] + [head + tail_class(END, tail)] * (len(gaps) - len(rare))
         return out
 
 
-def histories(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    padded = np.concatenate([[START, START], ids])
+def histories(shape: Shape, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last id and the one before it, of each; a text begins with two starts."""
+    padded = np.concatenate([[shape.start, shape.start], ids])
     return padded[1:-1], padded[:-2]
 
 
@@ -190,17 +238,17 @@ def training_events(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(sent.value)
+        reader, shape = Reader(sent.value), sent.value.shape
         held: list[np.ndarray] = []
         inner: list[np.ndarray] = []
         size = 0
         for batch in batches:
             for text in batch.column(0):
                 ids = reader.ids(*reader.read(tokens_of(text.as_py())))
-                a, b = histories(ids)
-                held.append((a * IDS + b) * ALL + class_of(ids))
-                head = ids < HEAD
-                inner.append(a[head] * HEAD + ids[head])
+                a, b = histories(shape, ids)
+                held.append((a * shape.ids + b) * shape.all + class_of(shape, ids))
+                head = ids < shape.head
+                inner.append(a[head] * shape.head + ids[head])
                 size += len(ids)
                 if size > 4_000_000:
                     yield from _events(held, inner)
@@ -208,10 +256,13 @@ def training_events(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         if held:
             yield from _events(held, inner)
 
-    # Dealt by history, whose events are bounded in number, and sorted, so that a gradient pass meets each history's events together.
-    made = docs.select("text").mapInArrow(run, EVENT).withColumn("history", F.expr(f"k div if(kind = 0, {ALL}, {WIDTH})"))
-    summed = made.repartition("kind", "history").groupBy("kind", "history", "k").agg(F.sum("c").alias("c"))
-    return summed.sortWithinPartitions("kind", "k").select("kind", "k", "c")
+    # Dealt by the last token, whose events are bounded in number, and sorted, so that a gradient pass meets each history's
+    # events together and touches few rows of the tables.
+    shape = vocabulary.shape
+    last = F.expr(f"k div if(kind = 0, {shape.ids * shape.all}L, {shape.head}L)")
+    made = docs.select("text").mapInArrow(run, EVENT)
+    summed = made.groupBy("kind", "k").agg(F.sum("c").alias("c")).withColumn("last", last)
+    return summed.repartition("last").sortWithinPartitions("kind", "k").select("kind", "k", "c")
 
 
 def _events(held: list[np.ndarray], inner: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -222,16 +273,16 @@ def _events(held: list[np.ndarray], inner: list[np.ndarray]) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(k[at : at + 50_000]), pa.array(c[at : at + 50_000].astype(np.int64))], names=["kind", "k", "c"])
 
 
-GRADIENT = T.StructType([T.StructField("table", T.IntegerType()), T.StructField("g", T.BinaryType()), T.StructField("loss", T.DoubleType())])
+GRADIENT = T.StructType([T.StructField("table", T.IntegerType()), T.StructField("slice", T.IntegerType()), T.StructField("rows", T.BinaryType()), T.StructField("g", T.BinaryType()), T.StructField("loss", T.DoubleType())])
 NAMES = ("last", "skip", "both", "inner", "bias", "own")
 
 
-def gradients(events: DataFrame, w: Weights) -> pa.Table:
-    """Each task's part of the gradient of the log-likelihood, a row for each table: PASSES copies of the tables at most."""
+def gradients(events: DataFrame, w: Weights, passes: int) -> pa.Table:
+    """The gradient of the log-likelihood by table slices: every task's sparse rows, summed on the executors."""
     sent = events.sparkSession.sparkContext.broadcast(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, g = sent.value, Weights.zeros()
+        w, g = sent.value, Weights.zeros(sent.value.shape)
         loss = 0.0
         for batch in batches:
             kind, k, c = (batch.column(n).to_numpy() for n in ("kind", "k", "c"))
@@ -240,14 +291,48 @@ def gradients(events: DataFrame, w: Weights) -> pa.Table:
                 loss += class_gradient(w, g, k[s][kind[s] == 0], c[s][kind[s] == 0].astype(np.float32))
                 loss += inner_gradient(w, g, k[s][kind[s] == 1], c[s][kind[s] == 1].astype(np.float32))
         for t, name in enumerate(NAMES):
-            own = getattr(g, name).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([own], pa.binary()), pa.array([loss if not t else 0.0])], names=["table", "g", "loss"])
-
-    out = events.coalesce(PASSES).mapInArrow(run, GRADIENT).toArrow()
+            own = getattr(g, name)
+            touched = np.flatnonzero(own.any(axis=1))
+            for first in range(0, len(own), SLICE_ROWS):
+                some = touched[(touched >= first) & (touched < first + SLICE_ROWS)].astype(np.int32)
+                if len(some) or (not t and not first):
+                    yield _gradient(t, first // SLICE_ROWS, some, own[some], loss if not t and not first else 0.0)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, loss = None, None, 0.0
+        for batch in batches:
+            for t, part, rows, g, more in zip(*(batch.column(n).to_pylist() for n in GRADIENT.names), strict=True):
+                at = np.frombuffer(rows, np.int32) - part * SLICE_ROWS
+                if now != (t, part):
+                    if now is not None:
+                        yield _summed(now, held, loss)
+                    now, held, loss = (t, part), None, 0.0
+                if len(at):
+                    own = np.frombuffer(g, np.float32).reshape(len(at), -1)
+                    held = np.zeros((SLICE_ROWS, own.shape[1]), np.float32) if held is None else held
+                    held[at] += own
+                loss += more
+        if now is not None:
+            yield _summed(now, held, loss)
+
+    parts = events.coalesce(passes).mapInArrow(run, GRADIENT)
+    out = parts.repartition("table", "slice").sortWithinPartitions("table", "slice").mapInArrow(total, GRADIENT).toArrow()
     sent.destroy()
     return out
 
 
+def _gradient(table: int, part: int, rows: np.ndarray, g: np.ndarray, loss: float) -> pa.RecordBatch:
+    columns = [pa.array([table], pa.int32()), pa.array([part], pa.int32()), pa.array([rows.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(g).tobytes()], pa.binary()), pa.array([loss])]
+    return pa.RecordBatch.from_arrays(columns, names=GRADIENT.names)
+
+
+def _summed(key: tuple[int, int], held: np.ndarray | None, loss: float) -> pa.RecordBatch:
+    if held is None:
+        return _gradient(*key, np.zeros(0, np.int32), np.zeros((0, 1), np.float32), loss)
+    rows = np.flatnonzero(held.any(axis=1))
+    return _gradient(*key, (rows + key[1] * SLICE_ROWS).astype(np.int32), held[rows], loss)
+
+
 def grouped(k: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Histories of sorted events, each event's history by number, and where each history's events begin."""
     history = k // width
@@ -258,20 +343,22 @@ def grouped(k: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def class_gradient(w: Weights, g: Weights, k: np.ndarray, c: np.ndarray) -> float:
     if not len(k):
         return 0.0
-    ab, of, first = grouped(k, ALL)
-    x, y, xy = rows_class(ab // IDS, ab % IDS)
-    z = w.last[x] + w.skip[y] + w.both[xy] + w.bias
-    return _apply(z, of, first, k % ALL, c, ((g.last, x), (g.skip, y), (g.both, xy)), g.bias)
+    shape = w.shape
+    ab, of, first = grouped(k, shape.all)
+    x, y, xy = rows_class(shape, ab // shape.ids, ab % shape.ids)
+    z = w.last[x] + w.skip[y] + w.both[xy] + w.bias[0]
+    return _apply(z, of, first, k % shape.all, c, ((g.last, x), (g.skip, y), (g.both, xy)), g.bias)
 
 
 def inner_gradient(w: Weights, g: Weights, k: np.ndarray, c: np.ndarray) -> float:
     if not len(k):
         return 0.0
-    ac, of, first = grouped(k, WIDTH)
-    own = ac % CLASSES
-    row = rows_inner(ac // CLASSES, own)
+    shape = w.shape
+    ac, of, first = grouped(k, shape.width)
+    own = ac % shape.classes
+    row = rows_inner(shape, ac // shape.classes, own)
     z = w.inner[row] + w.own[own]
-    return _apply(z, of, first, k % WIDTH, c, ((g.inner, row), (g.own, own)), None)
+    return _apply(z, of, first, k % shape.width, c, ((g.inner, row), (g.own, own)), None)
 
 
 def _apply(z: np.ndarray, of: np.ndarray, first: np.ndarray, own: np.ndarray, c: np.ndarray, tables: tuple, bias: np.ndarray | None) -> float:
@@ -285,7 +372,7 @@ def _apply(z: np.ndarray, of: np.ndarray, first: np.ndarray, own: np.ndarray, c:
     for table, at in tables:
         add_rows(table, at, p)
     if bias is not None:
-        bias += p.sum(axis=0)
+        bias[0] += p.sum(axis=0)
     return loss
 
 
@@ -297,34 +384,39 @@ def add_rows(table: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     table[sorted_at[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
-def train(events: DataFrame, vocabulary: Vocabulary, steps: int = STEPS) -> tuple[Weights, list[float]]:
-    """AdaGrad ascent on the penalised log-likelihood; the driver holds two copies of the tables, whose size is fixed."""
-    w, seen = Weights.zeros(), Weights.zeros()
+def train(events: DataFrame, vocabulary: Vocabulary, steps: int = MOST_STEPS, gain: float = GAIN) -> tuple[Weights, list[float]]:
+    """AdaGrad ascent on the penalised log-likelihood until a step gains too little; the driver holds three copies of the tables."""
+    w, seen = Weights.zeros(vocabulary.shape), Weights.zeros(vocabulary.shape)
     _start(w, vocabulary)
-    losses = []
+    passes = max(1, -(-events.count() // PASS_ROWS))
+    losses: list[float] = []
     for _ in range(steps):
-        loss, total = 0.0, Weights.zeros()
-        parts = gradients(events, w)
-        for k, own, part in zip(*(parts.column(n) for n in ("table", "g", "loss")), strict=True):
+        loss, total = 0.0, Weights.zeros(vocabulary.shape)
+        parts = gradients(events, w, passes)
+        for t, rows, g, part in zip(*(parts.column(n) for n in ("table", "rows", "g", "loss")), strict=True):
             loss += part.as_py()
-            table = getattr(total, NAMES[k.as_py()])
-            table += np.frombuffer(own.as_buffer(), np.float32).reshape(table.shape)
+            table = getattr(total, NAMES[t.as_py()])
+            at = np.frombuffer(rows.as_buffer(), np.int32)
+            table[at] += np.frombuffer(g.as_buffer(), np.float32).reshape(len(at), -1) if len(at) else 0
         del parts
+        losses.append(loss)
+        if len(losses) > 1 and 0 <= losses[-1] - losses[-2] < gain * abs(losses[-1]):
+            break
         for name in NAMES:
             table, square = getattr(w, name), getattr(seen, name)
             g = getattr(total, name) - RIDGE * (table if name not in ("bias", "own") else 0)
             square += g * g
             table += RATE * g / np.sqrt(square + 1e-3)
-        losses.append(loss)
     return w, losses
 
 
 def _start(w: Weights, vocabulary: Vocabulary) -> None:
     """Biases begin at the log of the shares of classes and of tokens in them."""
-    counts = np.array(vocabulary.counts[:HEAD] + [0] * max(0, HEAD - len(vocabulary.counts)), np.float64) + SMOOTH
-    w.own[:] = np.log(counts).reshape(CLASSES, WIDTH)
-    tail = max(vocabulary.total - sum(vocabulary.counts[:HEAD]), 1) / TAIL
-    w.bias[:] = np.log(np.concatenate([counts.reshape(CLASSES, WIDTH).sum(1), np.full(TAIL, tail)]))
+    shape = w.shape
+    counts = np.array(vocabulary.counts[: shape.head] + [0] * max(0, shape.head - len(vocabulary.counts)), np.float64) + SMOOTH
+    w.own[:] = np.log(counts).reshape(shape.classes, shape.width)
+    tail = max(vocabulary.total - sum(vocabulary.counts[: shape.head]), 1) / shape.tail
+    w.bias[0] = np.log(np.concatenate([counts.reshape(shape.classes, shape.width).sum(1), np.full(shape.tail, tail)]))
     w.bias -= w.bias.max()
 
 
@@ -342,21 +434,21 @@ def document_parts(docs: DataFrame, vocabulary: Vocabulary, w: Weights) -> DataF
 
     def make(rows: Iterator[tuple]) -> Iterator[tuple]:
         vocabulary, w = sent.value
-        reader = Reader(vocabulary)
+        reader, shape = Reader(vocabulary), vocabulary.shape
         logs = np.log10(np.array(vocabulary.counts or [0], np.float64) + SMOOTH)
         for some in _texts(rows):
             read = [reader.read(tokens_of(t)) for _, _, t in some]
             ids = [reader.ids(*r) for r in read]
-            hist = [histories(i) for i in ids]
+            hist = [histories(shape, i) for i in ids]
             sizes = [len(i) for i in ids]
             log_p = score_ids(w, np.concatenate([a for a, _ in hist]), np.concatenate([b for _, b in hist]), np.concatenate(ids)) / LN10
             at = 0
             for (row, doc_id, _), (ranks, rare), own, n in zip(some, read, ids, sizes, strict=True):
                 seen = ranks[ranks >= 0]
-                tail = seen[seen >= HEAD]
+                tail = seen[seen >= shape.head]
                 p = log_p[at : at + n].sum() + logs[tail].sum()
                 at += n
-                classes = np.bincount(own[own >= HEAD] - HEAD, minlength=TAIL).tolist()
+                classes = np.bincount(own[own >= shape.head] - shape.head, minlength=shape.tail).tolist()
                 yield b" %d" % row, row, doc_id, 0, n, len(seen), float(logs[seen].sum()), float(p), classes
                 lost = n - len(seen) - len(rare)
                 for token, times in Counter(rare + [END] * lost).items():
@@ -366,7 +458,7 @@ def document_parts(docs: DataFrame, vocabulary: Vocabulary, w: Weights) -> DataF
     return map_rows(numbered, ["row_no", "doc_id", "text"], make, PART, 4096)
 
 
-def _texts(rows: Iterator[tuple], chars: int = 500_000) -> Iterator[list[tuple]]:
+def _texts(rows: Iterator[tuple], chars: int = 2_000_000) -> Iterator[list[tuple]]:
     held, size = [], 0
     for row in rows:
         held.append(row)
@@ -380,31 +472,33 @@ def _texts(rows: Iterator[tuple], chars: int = 500_000) -> Iterator[list[tuple]]
 
 def tail_masses(counts: DataFrame, vocabulary: Vocabulary) -> list[float]:
     """Smoothed counts of each tail class over all its tokens and one unseen."""
-    head = set(vocabulary.tokens[:HEAD])
+    shape = vocabulary.shape
+    head = set(vocabulary.tokens[: shape.head])
     schema = T.StructType([T.StructField("tail", T.IntegerType()), T.StructField("mass", T.DoubleType())])
 
     def make(rows: Iterator[tuple]) -> Iterator[tuple]:
-        own = np.zeros(TAIL)
+        own = np.zeros(shape.tail)
         for token, c in rows:
             token = bytes(token)
             if token not in head:
-                own[tail_class(token)] += c + SMOOTH
+                own[tail_class(token, shape.tail)] += c + SMOOTH
         yield from enumerate(own.tolist())
 
-    out = np.full(TAIL, SMOOTH)
+    out = np.full(shape.tail, SMOOTH)
     for r in map_rows(counts, ["token", "c"], make, schema).groupBy("tail").agg(F.sum("mass").alias("mass")).collect():
         out[r["tail"]] += r["mass"]
     return out.tolist()
 
 
-def score_documents(docs: DataFrame, steps: int = STEPS) -> DataFrame:
+def score_documents(docs: DataFrame, steps: int = MOST_STEPS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; see the module."""
     docs = docs.select("doc_id", "text")
     learn = docs.where(F.coalesce(training_rows("doc_id", 10), F.lit(False)))
     counts = written(token_counts(learn))
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(KNOWN).toArrow()
-    vocabulary = Vocabulary(top.column("token").to_pylist(), top.column("c").to_pylist(), total, types)
+    known = max(KNOWN, Shape.of(types).head)
+    top = counts.orderBy(F.desc("c"), "token").limit(known).toArrow()
+    vocabulary = Vocabulary(top.column("token").to_pylist(), top.column("c").to_pylist(), total, types, Shape.of(types))
     events = written(training_events(learn, vocabulary))
     weights, _ = train(events, vocabulary, steps)
     masses = np.log10(tail_masses(counts, vocabulary)).tolist()

@@ -121,26 +121,28 @@ def test_tables_together_find_what_one_finds(monkeypatch):
 
 def test_softmax_sums_to_one():
     rng = np.random.default_rng(2)
-    w = maxent.Weights.zeros()
+    shape = maxent.Shape.of(20_000)
+    w = maxent.Weights.zeros(shape)
     for name in maxent.NAMES:
         table = getattr(w, name)
         table += rng.normal(0, 1, table.shape).astype(np.float32)
-    a, b = np.full(maxent.HEAD + maxent.TAIL, 17), np.full(maxent.HEAD + maxent.TAIL, 2001)
-    p = np.exp(maxent.score_ids(w, a, b, np.arange(maxent.HEAD + maxent.TAIL)))
+    a, b = np.full(shape.start, 17), np.full(shape.start, 301)
+    p = np.exp(maxent.score_ids(w, a, b, np.arange(shape.start)))
     assert abs(p.sum() - 1) < 1e-4
 
 
 def test_gradient_is_that_of_the_likelihood():
     rng = np.random.default_rng(4)
-    w, g = maxent.Weights.zeros(), maxent.Weights.zeros()
+    shape = maxent.Shape.of(300_000)
+    w, g = maxent.Weights.zeros(shape), maxent.Weights.zeros(shape)
     w.last += rng.normal(0, 0.3, w.last.shape).astype(np.float32)
-    k = np.array([(5 * maxent.IDS + 9) * maxent.ALL + 3, (5 * maxent.IDS + 9) * maxent.ALL + 7])
+    k = np.array([(5 * shape.ids + 9) * shape.all + 3, (5 * shape.ids + 9) * shape.all + 7])
     c = np.array([4.0, 1.0], np.float32)
     base = maxent.class_gradient(w, g, k, c)
-    row = maxent.rows_class(np.array([5]), np.array([9]))[0][0]
-    step = maxent.Weights(*(x.copy() for x in (w.last, w.skip, w.both, w.inner, w.bias, w.own)))
+    row = maxent.rows_class(shape, np.array([5]), np.array([9]))[0][0]
+    step = maxent.Weights(*(x.copy() for x in (w.last, w.skip, w.both, w.inner, w.bias, w.own)), shape)
     step.last[row, 3] += 1e-2
-    assert abs((maxent.class_gradient(step, maxent.Weights.zeros(), k, c) - base) / 1e-2 - g.last[row, 3]) < 0.05
+    assert abs((maxent.class_gradient(step, maxent.Weights.zeros(shape), k, c) - base) / 1e-2 - g.last[row, 3]) < 0.05
 
 
 def test_scores_and_base(spark, odd, none):
@@ -167,6 +169,61 @@ def test_scores_and_base(spark, odd, none):
     assert not maxent.score_documents(none, 1).count()
 
 
+def dense_scores(texts, w, shape, reader, counts, total_of_class):
+    """log10 of texts' probabilities, token by token, with softmaxes written out."""
+    out = []
+    for t in texts:
+        a = b = shape.start
+        score = 0.0
+        for token in [*maxent.tokens_of(t), b""]:
+            k = reader.known.get(token, -1)
+            k = k if 0 <= k < shape.head else shape.head + maxent.tail_class(token, shape.tail)
+            x, y, xy = (int(r[0]) for r in maxent.rows_class(shape, np.array([a]), np.array([b])))
+            z = (w.last[x] + w.skip[y] + w.both[xy] + w.bias[0]).astype(float)
+            c = k // shape.width if k < shape.head else shape.classes + k - shape.head
+            p = math.exp(z[c]) / sum(math.exp(v) for v in z)
+            if k < shape.head:
+                z = (w.inner[int(maxent.rows_inner(shape, np.array([a]), np.array([c]))[0])] + w.own[c]).astype(float)
+                p *= math.exp(z[k % shape.width]) / sum(math.exp(v) for v in z)
+            else:
+                p *= (counts.get(token, 0) + 0.1) / total_of_class[k - shape.head]
+            score += math.log10(p)
+            a, b = k, a
+        out.append(score)
+    return out
+
+
+def test_scores_equal_a_dense_model(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(300)] + ["2024", "--", "x9"]
+    texts = [" ".join(rng.choice(words, 30, p=None)) for _ in range(80)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    counts = Counter()
+    for k, t in enumerate(texts):
+        if zlib.crc32(str(k).encode()) % 10:
+            counts.update([*maxent.tokens_of(t), b""])
+    order = sorted(counts, key=lambda t: (-counts[t], t))
+    vocabulary = maxent.Vocabulary(order, [counts[t] for t in order], sum(counts.values()), len(counts), maxent.Shape.of(len(counts)))
+    learn = docs.where(maxent.training_rows("doc_id", 10))
+    w, losses = maxent.train(maxent.training_events(learn, vocabulary), vocabulary, 6, 0.0)
+    assert losses[-1] > losses[0]
+    shape = vocabulary.shape
+    mass = [0.1] * shape.tail
+    for t in order[shape.head :]:
+        mass[maxent.tail_class(t, shape.tail)] += counts[t] + 0.1
+    got = maxent.score_documents(docs, 6).toPandas().sort_values("doc_id").score
+    # The query stops where a step gains little; with as many steps the scores are the same.
+    again, _ = maxent.train(maxent.training_events(learn, vocabulary), vocabulary, 6)
+    want = dense_scores(texts, again, shape, maxent.Reader(vocabulary), counts, mass)
+    assert got.tolist() == pytest.approx(want, abs=1e-3)
+
+
+def test_shapes_grow_with_the_corpus():
+    sizes = [maxent.Shape.of(10**k) for k in range(1, 10)]
+    assert all(a.head <= b.head and a.last <= b.last for a, b in zip(sizes, sizes[1:], strict=False)) and sizes[8].head > 30 * sizes[4].head
+    assert sum(x.size for x in (maxent.Weights.zeros(sizes[6]).last, maxent.Weights.zeros(sizes[6]).inner)) < 2e7
+
+
 def brute_nearest(rows, k=5):
     fine = {i: np.array(e, float) for i, e in rows if i is not None and e is not None and len(e) == 4 and all(x is not None and math.isfinite(x) for x in e) and any(e)}
     out = []
