@@ -113,7 +113,7 @@ def pack(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int,
     """(document, start, tokens, sequence, offset) for documents of these lengths, in the fewest sequences.
 
     As many sequences are opened as the tokens fill. Pieces are taken longest first; each goes to the lowest-cost
-    sequence that still holds it whole, whatever its room, the first of equal ones. What fits nowhere whole is cut at the end
+    sequence that still holds it whole, whatever its room; of equal ones to that with the least room, then to the first. What fits nowhere whole is cut at the end
     of the lowest-cost sequence with any room, and its rest is taken up again in its turn. Pieces of the full length
     come first and fit empty sequences only, which cost nothing, so they are dealt without a search.
     """
@@ -126,26 +126,50 @@ def pack(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int,
         if n % length:
             queue.append((-(n % length), doc, whole * length))
     heapq.heapify(queue)
-    bins = -(-sum(-q[0] for q in queue) // length)
-    room, spent = np.full(bins, length), np.zeros(bins)
+    open_ = Open(-(-sum(-q[0] for q in queue) // length), length)
     while queue:
         size, doc, start = heapq.heappop(queue)
         n = take = -size
-        best = cheapest(room, spent, n)
-        if best < 0:
-            best = cheapest(room, spent, 1)
-            take = int(room[best])
+        if not open_.holds(n):
+            take = open_.room_of_cheapest()
             heapq.heappush(queue, (take - n, doc, start + take))
-        out.append((doc, start, take, made + best, length - int(room[best])))
-        room[best] -= take
-        spent[best] += cost(take)
+        sequence, offset = open_.place(take)
+        out.append((doc, start, take, made + sequence, offset))
     return out
 
 
-def cheapest(room: np.ndarray, spent: np.ndarray, n: int) -> int:
-    """The first lowest-cost sequence with ``n`` tokens of room, -1 if there is none."""
-    fits = np.flatnonzero(room >= n)
-    return int(fits[spent[fits].argmin()]) if len(fits) else -1
+class Open:
+    """Sequences by room left: a heap by cost for each room, and the least cost of every room in one array."""
+
+    def __init__(self, bins: int, length: int) -> None:
+        self.length = length
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(length + 1)]
+        self.least = np.full(length + 1, np.inf)
+        if bins:
+            self.heaps[length], self.least[length] = [(0.0, b) for b in range(bins)], 0.0
+
+    def _cheapest(self, n: int) -> int:
+        """The room of the lowest-cost sequence with ``n`` tokens of it; the least of equal ones."""
+        return n + int(self.least[n:].argmin())
+
+    def holds(self, n: int) -> bool:
+        return self.least[self._cheapest(n)] < np.inf
+
+    def room_of_cheapest(self) -> int:
+        return self._cheapest(1)
+
+    def place(self, n: int) -> tuple[int, int]:
+        """Puts ``n`` tokens into the lowest-cost sequence with room for them: its number and the place in it."""
+        room = self._cheapest(n)
+        spent, b = heapq.heappop(self.heaps[room])
+        self._see(room)
+        if room > n:
+            heapq.heappush(self.heaps[room - n], (spent + cost(n), b))
+            self._see(room - n)
+        return b, self.length - room
+
+    def _see(self, room: int) -> None:
+        self.least[room] = self.heaps[room][0][0] if self.heaps[room] else np.inf
 
 
 PIECE = T.StructType(
