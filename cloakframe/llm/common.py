@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 #: Rows of one output batch of a Python operator; bounds a worker's memory, not its input.
 OUT_ROWS = 512
 
@@ -99,4 +101,5 @@ def training_rows(doc_id: str, parts: int) -> F.Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents; a small file, which one task would read, is dealt out to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import pytest
 from hypothesis import given, settings
@@ -66,6 +67,17 @@ def test_digest_of_odd_documents(spark, odd, none):
         raw = (text or "").encode()
         payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        media = matroska.mux(payload)
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest())
+        frames = len(payload) // 192
+        parts = dict(x.split("=") for x in r["feature"].split(";"))
+        assert int(parts["packets"]) == frames and int(parts["clusters"]) == -(-frames // 512) == int(parts["cues"]) and int(parts["last_ms"]) == 24 * (frames - 1)
+        assert sum(int(parts[k]) for k in matroska.LACINGS) == frames and parts["error"] == ""
+        assert abs(float(parts["level"]) - sum(payload) / len(payload)) < 1e-5 and [int(parts[k]) for k in ("spaces", "lines", "e")] == [payload.count(b) for b in (b" ", b"\n", b"e")]
+        # The payload stands in the file in order, in frames of 192 bytes.
+        at = 0
+        for k in range(min(frames, 40)):
+            at = media.index(payload[192 * k : 192 * k + 192], at) + 192
     packets = matroska.packet_table(matroska.with_media(spark.createDataFrame([(1, b"x" * 500), (2, None)], "id int, payload binary"), "id", "payload"), "id").collect()
     assert [p["length"] for p in packets] == [192, 192, 116]
 

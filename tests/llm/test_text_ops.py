@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import zlib
@@ -38,16 +39,35 @@ def test_base_spans_and_masks(spark, odd, none):
         assert {f"{KINDS[n]}:{a}:{b}" for a, n, b in own} <= set(found)
         assert [got[k][f"n_{n}"] for n in KINDS] == [sum(x[1] == i for x in own) for i in range(4)]
         assert len(found) == len(own) + got[k]["n_added"]
+        listed = ",".join(f"{KINDS[n]}:{a}:{b}" for a, n, b in own)
+        assert got[k]["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        order = [(int(x.split(":")[1]), weakpii.KINDS.index(x.split(":")[0])) for x in found]
+        assert order == sorted(order)
     masked = {r["doc_id"]: r["text"] for r in weakpii.masked(docs).collect()}
     assert masked[150] == "<EMAIL> " * 300
     assert weakpii.span_digest(odd).count() == odd.count() and not weakpii.span_digest(none).count()
     assert {r["text"] for r in weakpii.masked(odd).collect()} == {r["text"] for r in odd.collect()}
 
 
+def test_added_spans_are_found_and_others_left(spark):
+    """Keys, spelled-out addresses, long addresses and bare numbers are added in context; words and versions are not."""
+    secret = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    good = [f'the token = "{secret}" here', "write to bob [at] mail [dot] com please", "call (415) 555-2671 now", "host 2001:db8:85a3:1:2:8a2e:370:7334 is up", f"api_key: {secret}"]
+    bad = ["key: internationalization_of_words", "version 1.2.3.4.5 build 20240101", "order 123 456 7890123", "the key = value pair", "at [at"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(good * 30 + bad * 30 + ["mail a.b@site.org from 10.0.0.1"] * 60)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in weakpii.span_digest(docs).collect()}
+    want = {0: "secret", 1: "email", 2: "phone", 3: "ip", 4: "secret"}
+    for k, t in enumerate(good * 30):
+        assert got[k]["n_added"] == 1 and got[k]["spans"].split(":")[0] == want[k % 5], (t, got[k])
+    assert not any(got[k]["n_added"] for k in range(150, 300))
+    a, b = map(int, got[0]["spans"].split(":")[1:])
+    assert good[0][a:b] == secret
+
+
 def test_em_learns_reliabilities(spark):
     docs = spark.createDataFrame([(k, "mail bob@site.com or card 4532015112830366 and +33 612345678") for k in range(40)], "doc_id long, text string")
     model = weakpii.fit(docs)
-    assert len(model.reliabilities) == 6 and all(0.5 < r < 1 for r in model.reliabilities) and all(0 < s < 1 for s in model.shares)
+    assert len(model.reliabilities) == 6 and len(model.shares) == 5 and all(0.5 < r < 1 for r in model.reliabilities) and all(0 < s < 1 for s in model.shares)
 
 
 def rebuilt(rows, encoder):
@@ -86,6 +106,15 @@ def test_packing_is_whole(spark, odd, none):
     assert not packing.pack_documents(none).count()
 
 
+def test_outputs_under_clashing_names(spark):
+    """Input columns that bear the names of outputs are left alone; equal rows and lengths are packed and encoded each."""
+    clash = spark.createDataFrame([(1, "a b c", 7, 8, 9.5)] * 3 + [(2, "d e f", 7, 8, 9.5)], "doc_id long, text string, length int, sequence_id int, score double")
+    rows = packing.pack_documents(clash.coalesce(1)).collect()
+    assert len(rows) == 4 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 4 and {r["length"] for r in rows} == {4}
+    encoded = sentencepieces.encode_documents(clash).collect()
+    assert len(encoded) == 4 and len({r["ids_crc32"] for r in encoded}) == 2 and all(r["score"] < 0 for r in encoded)
+
+
 def test_encoder_equals_the_library():
     rng = random.Random(4)
     encoder = packing.Encoder(packing.default_vocabulary(), cache_words=50)
@@ -109,7 +138,7 @@ def test_costs_are_balanced():
 
 
 def naive_pack(lengths, length):
-    """The rule itself: the longest piece next, to the lowest-cost sequence with room for it, else cut."""
+    """The rule itself: the longest piece next, to the lowest-cost sequence with room for it, else cut; of equal ones to the fullest."""
     rest = [[n, d, 0] for d, n in enumerate(lengths)]
     free, cost, out = [length] * -(-sum(lengths) // length), [0.0] * -(-sum(lengths) // length), []
     while rest:
@@ -119,7 +148,7 @@ def naive_pack(lengths, length):
         fits = [b for b in range(len(free)) if free[b] >= take]
         if not fits:
             fits = [b for b in range(len(free)) if free[b] > 0]
-        best = min(fits, key=lambda b: (cost[b], b))
+        best = min(fits, key=lambda b: (cost[b], free[b], b))
         take = min(take, free[best])
         out.append((d, at, take, cost[best]))
         free[best] -= take
@@ -166,9 +195,9 @@ def test_search_equals_a_unigram_model(pieces):
 
 def test_chunks_equal_the_sequential_search(pieces):
     rng = random.Random(6)
-    words = ["the", "internationalization", "  ", "x", "漢字", "été", "----------------", "\n", "a" * 70]
-    for _ in range(30):
-        plain = pieces.normalized(" ".join(rng.choice(words) for _ in range(25)))
+    words = ["the", "internationalization", "  ", "x", "漢字", "été", "----------------", "\n", "a" * 70, "e.g.)", "foo, (bar)", "it's", "a_b.c,", "C.", "́e"]
+    for k in range(30):
+        plain = pieces.normalized(("", " ")[k % 2].join(rng.choice(words) for _ in range(25)))
         cuts, total = pieces.search(plain)
         ids = np.array(pieces.ids_of(cuts), np.uint32).tobytes()
         assert pieces.encode(plain)[0] == ids and pieces.decode(ids) == plain
