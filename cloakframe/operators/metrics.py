@@ -17,6 +17,13 @@ def counters(rows: DataFrame, *labels: str) -> DataFrame:
     return rows.groupBy(*labels).agg(F.count("*").alias("n"))
 
 
+def result_counts(results: DataFrame, result: str = "result") -> DataFrame:
+    """(entity_type, level, n) over analysis results in JSON; text that is none, or has no entities, counts nothing."""
+    shape = "struct<entities:array<struct<entity_type:string,metadata:map<string,string>>>>"
+    rows = results.select(F.explode(F.from_json(result, shape)["entities"]).alias("e"))
+    return rows.groupBy("e.entity_type", F.coalesce(F.col("e.metadata")["level"], F.lit("unknown")).alias("level")).agg(F.count("*").alias("n"))
+
+
 def histogram(rows: DataFrame, value: Column, bounds: tuple[float, ...] = BUCKETS) -> DataFrame:
     """(le, n): values at or below each bound, cumulative, with infinity as the last; rows are counted once, by bucket."""
     le = F.lit(float("inf"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sqltext import lit
+from . import anonymize
 
 # Fixed packs: regulation, operators by type, days a mapping and an audit row are kept, what happens to unknown types, whether risky combinations block, whether text is stripped, longest text, what a violation does.
 PACKS = {
@@ -146,6 +147,29 @@ def decision(entities: str, mode: str, protected: tuple[str, ...], least: float
     return {"transparent": F.lit("pass"), "anonymize": F.when(anything, "anonymize").otherwise("pass"), "block": F.when(hit, "block").otherwise("pass"), "alert": F.when(hit, "alert").otherwise("pass")}[mode]
 
 
+GUARD_MODES = ("block", "redact", "roundtrip", "log")
+
+
+def guarded(found: DataFrame, mode: str, text: str = "text", entities: str = "entities", column: str = "guarded") -> DataFrame:
+    """``column`` for retrieved or chained texts: struct (text, blocked, pairs).
+
+    ``block`` gives no text where an entity was found, ``redact`` one with ``[REDACTED]``, ``roundtrip`` one with numbered
+    tags and the pairs (replacement, original) that ``anonymize.restore`` turns back, ``log`` the text as it is. Overlapping
+    entities must have been resolved.
+    """
+    if mode not in GUARD_MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    kind = "array<struct<replacement:string,original:string>>"
+    none, any_ = f"cast(array() as {kind})", f"size({entities}) > 0"
+    if mode in ("block", "log"):
+        new = f"if({any_}, null, {text})" if mode == "block" else text
+        return found.withColumn(column, F.expr(f"named_struct('text', {new}, 'blocked', {any_ if mode == 'block' else 'false'}, 'pairs', {none})"))
+    operator = anonymize.redact("[REDACTED]") if mode == "redact" else anonymize.replace(numbered=True)
+    out = anonymize.anonymize(found, {"*": operator}, text=text, column="__new", entities=entities)
+    pairs = "transform(__new.transformations, t -> named_struct('replacement', t.replacement, 'original', t.text))" if mode == "roundtrip" else none
+    return out.withColumn(column, F.expr(f"named_struct('text', __new.text, 'blocked', false, 'pairs', {pairs})")).drop("__new")
+
+
 def impact_report(score: dict, types: list[str]) -> str:
     """An impact assessment of one policy in Markdown, from a row of ``impact_scores`` and the types processed; ``impact_page`` has it in HTML."""
     regulation, _, mapping, audit, unknown, blocks, strips, most, violation = PACKS[score["policy"]]

@@ -451,3 +451,22 @@ def adapted_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans taken as a model's predictions: those of one type at or above a score pass."""
     rows = scanned(spark, sf_dir).withColumn("p", F.expr("transform(entities, e -> named_struct('start', e.start, 'end', e.end, 'label', e.entity_type, 'score', e.score))"))
     return rows.select("doc_id", F.size(ner.adapted("p", 0.75, ("PHONE", "CREDIT_CARD"))).alias("n"))
+
+
+_IP_TEXT = f"regexp_replace(text, {q(IP_SCAN.pattern)}, '[REDACTED]', 'g')"
+
+
+@query(f"SELECT doc_id, regexp_matches(text, {q(IP_SCAN.pattern)}) AS blocked, sha256({_IP_TEXT}) AS redacted, sha256(text) AS logged, sha256(text) AS back FROM documents WHERE text IS NOT NULL")
+def guard_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts under the four modes of a guard; the round trip ends where it began."""
+    rows = r.detect(docs_of(spark, sf_dir).where("text is not null"), [IP_SCAN])
+    for mode in policy.GUARD_MODES:
+        rows = policy.guarded(rows, mode, column=mode)
+    back = an.restore("roundtrip.text", "roundtrip.pairs")
+    return rows.select("doc_id", F.col("block.text").isNull().alias("blocked"), F.sha2("redact.text", 256).alias("redacted"), F.sha2("log.text", 256).alias("logged"), F.sha2(back, 256).alias("back"))
+
+
+@query(f"SELECT entity_type, 'unknown' AS level, count(*) AS n FROM ({ALL_SQL}) GROUP BY entity_type")
+def result_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of types taken from analysis results in JSON."""
+    return metrics.result_counts(scanned(spark, sf_dir).select(F.to_json(F.struct("entities")).alias("result")))
