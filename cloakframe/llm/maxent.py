@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, training_rows, written
+from .common import map_rows, release, training_rows, written
 
 SMOOTH = 0.1
 #: Tokens whose counts all tasks hold; a bound on what is broadcast, not on what is counted.
@@ -501,6 +501,7 @@ def score_documents(docs: DataFrame, steps: int = MOST_STEPS) -> DataFrame:
     vocabulary = Vocabulary(top.column("token").to_pylist(), top.column("c").to_pylist(), total, types, Shape.of(types))
     events = written(training_events(learn, vocabulary))
     weights, _ = train(events, vocabulary, steps)
+    release(events)
     masses = np.log10(tail_masses(counts, vocabulary)).tolist()
     parts = document_parts(docs, vocabulary, weights)
     rare = parts.join(counts, "token", "left")

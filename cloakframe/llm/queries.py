@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.oracles import digits, luhn, span_sql
 from . import additive, chat, linededup, matroska, maxent, minhash, packing, sentencepieces, toxicity, weakpii
 from .common import documents
 
@@ -55,7 +56,37 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_documents(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_matroska, op2_maxent, op3_additive_quantisation, op4_weak_supervision_pii, op5_line_dedup, op6_minhash, op7_toxicity, op8_chat_formatting, op9_packing, op10_sentencepiece)}
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op1: lengths and hash of each payload, read back from its media."""
+    return matroska.document_digest(documents(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op2: its counts and the base score, after one training step."""
+    out = maxent.score_documents(documents(spark, sf_dir), 1)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op4: counts and hash of the base spans."""
+    return weakpii.span_digest(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL of crc32 over a text of digits and signs, bit by bit."""
+    step = "xor(a, b)"
+    for _ in range(8):
+        step = f"xor(({step}) >> 1, 3988292384::UBIGINT * (({step}) & 1))"
+    return f"xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(1, length({text}) + 1), lambda i: ascii(substring({text}, i, 1))::UBIGINT)), lambda a, b: {step}), 4294967295::UBIGINT)"
+
+
+_IP_PARTS = "len(list_filter(string_split(m, '.'), lambda x: coalesce(try_cast(x AS HUGEINT), 256) > 255)) = 0"
+_BASE_SPANS = f"""SELECT doc_id, 0 AS k, 'email' AS kind, start, start + length(m) AS stop FROM {span_sql('[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+')}
+  UNION ALL SELECT doc_id, 1, 'ip', start, start + length(m) FROM {span_sql('[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+')} WHERE {_IP_PARTS}
+  UNION ALL SELECT doc_id, 2, 'card', start, start + length(m) FROM {span_sql('[0-9](?:[ -]?[0-9])+')} WHERE length({digits('m')}) BETWEEN 12 AND 19 AND {luhn(digits('m'))}
+  UNION ALL SELECT doc_id, 3, 'phone', start, start + length(m) FROM {span_sql('[+][0-9][ ().0-9-]+[0-9]')} WHERE length({digits('m')}) BETWEEN 9 AND 15"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_matroska, op2_maxent, op3_additive_quantisation, op4_weak_supervision_pii, op5_line_dedup, op6_minhash, op7_toxicity, op8_chat_formatting, op9_packing, op10_sentencepiece, media_payloads, base_scores, base_spans)}
 ORACLE_SQL: dict[str, str] = {
     # Every vector of the tables has 64 components; at the oracle's scale the search finds all that are nearest.
     "op3_additive_quantisation": """
@@ -119,4 +150,13 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(n)::BIGINT AS formatted_chars, min(k) FILTER (WHERE NOT fits) AS violation
 FROM sized GROUP BY conv_id""",
+    "media_payloads": """SELECT doc_id, n AS n_bytes, p AS payload_bytes, sha256(t || repeat(' ', (p - n)::BIGINT)) AS payload_sha256 FROM (
+  SELECT *, (greatest(1, (n + 191) // 192) * 192)::BIGINT AS p FROM (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, ''))::BIGINT AS n FROM documents))""",
+    "base_spans": f"""SELECT d.doc_id, count(*) FILTER (WHERE k = 0) AS n_email, count(*) FILTER (WHERE k = 1) AS n_ip, count(*) FILTER (WHERE k = 2) AS n_card, count(*) FILTER (WHERE k = 3) AS n_phone,
+  sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k), '')) AS base_sha256 FROM documents d LEFT JOIN ({_BASE_SPANS}) s USING (doc_id) GROUP BY d.doc_id""",
+    "base_scores": f"""WITH w AS (SELECT doc_id, {_crc32("doc_id::VARCHAR")} % 10 = 0 AS held_out,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), '') AS ws FROM documents),
+  t AS (SELECT doc_id, held_out, unnest(ws) AS token FROM w), c AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY token), n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+  SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n)::BIGINT AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.1) / (n + 0.1 * (v + 1)))), 4)::DOUBLE AS base_score
+  FROM t LEFT JOIN c USING (token), n GROUP BY doc_id, held_out""",
 }
