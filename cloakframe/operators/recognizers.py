@@ -117,6 +117,7 @@ ADDRESS_RUN = (
 BIC_COUNTRY = "|".join(f"{a}[{''.join(c[1] for c in v.BIC_COUNTRIES if c[0] == a)}]" for a in sorted({c[0] for c in v.BIC_COUNTRIES}))
 
 
+# Fixed rules of the default set: patterns, scores and bounds.
 DEFAULT_RULES = [
     Rule("email_rfc5322_like", "EMAIL", r"(?i)(?<![a-z0-9._%+-])[a-z0-9](?:[a-z0-9._%+-]*[a-z0-9])?@[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?\.[a-z]{2,63}\b", 0.88, v.email, 0.42, 0.07, 0.11, EMAIL_FOR, EMAIL_AGAINST, words("example.com, example.org, example.net, test.com, invalid, localhost"), words("noreply, no-reply, donotreply"), needs=("@",), languages=COMMON),
     Rule("phone_e164_eu", "PHONE", PHONE_RUN, 0.78, v.phone, 0.40, 0.06, 0.10, PHONE_FOR, PHONE_AGAINST, languages=COMMON),
@@ -168,7 +169,7 @@ def composite(recognizer: str, rules: list[Rule], words: tuple[str, ...], langua
     return [replace(r, recognizer=recognizer, words=words, languages=languages, least=least, floor=True) for r in rules]
 
 
-# Shapes of plates behind a country sign, and their scores.
+# Fixed shapes of plates behind a country sign, and their scores.
 PLATES = dict(
     fr=("FR|FRA", r"[A-HJ-NP-TV-Z]{2}[\s-]?[0-9]{3}[\s-]?[A-HJ-NP-TV-Z]{2}", 0.78), de=("DE", r"[A-ZÄÖÜ]{1,3}[\s-]+[A-ZÄÖÜ]{1,2}[\s-]+[0-9]{1,4}[A-Z]{0,2}", 0.76), it=("IT", r"[A-Z]{2}\s*[0-9]{3}\s*[A-Z]{2}", 0.78), es=("ES", r"[0-9]{4}\s*[A-Z]{3}", 0.77),
     nl=("NL", r"(?:[0-9]{1,3}[\s-]?[A-Z]{1,3}[\s-]?[0-9]{1,3}|[0-9]{2}[\s-]?[A-Z]{2}[\s-]?[0-9]{2})", 0.74), be=("BE", r"[0-9][\s-]?[A-Z]{3}[\s-]?[0-9]{3}", 0.75), pt=("PT", r"(?:[A-Z]{2}[\s-]?[0-9]{2}[\s-]?[0-9]{2}|[0-9]{2}[\s-]?[A-Z]{2}[\s-]?[0-9]{2})", 0.73), pl=("PL", r"[A-Z]{2,3}\s?[0-9]{4,5}[A-Z]?", 0.74),
@@ -184,6 +185,7 @@ PLATE_RULES = composite(
     ],
     PLATE_FOR,
 )
+# Fixed rules of national identifiers.
 ID_RULES = [
     *composite("fr_national_identity", [
         lead("fr_nir", "NATIONAL_ID", r"NIR|n°\s*ss|numéro\s*de\s*sécurité\s*sociale|insee", r"[12][0-9]{2}\s?[0-9]{2}\s?[0-9]{2}\s?[0-9]{3}\s?[0-9]{3}\s?[0-9]{2}", 0.90, v.nir, bare="[12][0-9]{14}"),
