@@ -259,12 +259,6 @@ def rbac_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.visible_to(exploded(scanned(spark, sf_dir), "doc_id"), "operator").groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id, false AS risky FROM ({ALL_SQL}) GROUP BY doc_id")
-def high_risk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    types = exploded(scanned(spark, sf_dir), "doc_id").groupBy("doc_id").agg(F.collect_set("entity_type").alias("types"))
-    return types.select("doc_id", policy.high_risk(F.col("types")).alias("risky"))
-
-
 _WEIGHTS = ", ".join(f"({q(k)}, {w})" for k, w in policy.SENSITIVITY.items())
 _PACKS = ", ".join(f"({q(p)}, {x[2]}, {x[5]}, {x[6]})" for p, x in policy.PACKS.items())
 _OPS = ", ".join(f"({q(p)}, {q(t)})" for p in policy.PACKS for t in policy.pack_operators(p))

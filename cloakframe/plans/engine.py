@@ -283,6 +283,12 @@ def blocked_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", policy.response("entities", "hipaa")["blocked"].alias("blocked"))
 
 
+@query(f"SELECT doc_id, ({_RISKY_SQL}) >= 2 AS risky FROM ({rules_sql(RISKY_RULES)}) e GROUP BY doc_id")
+def high_risk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = exploded(r.detect(seeded(spark, sf_dir), RISKY_RULES), "doc_id").groupBy("doc_id").agg(F.collect_set("entity_type").alias("types"))
+    return types.select("doc_id", policy.high_risk(F.col("types")).alias("risky"))
+
+
 @query("SELECT c_custkey, sha256('gdpr-analytics|' || c_custkey || '|2024-01-01 00:00:00') AS mapping_key, TIMESTAMP '2024-01-31 00:00:00' AS expires_at FROM customer")
 def mapping_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = F.lit("2024-01-01 00:00:00").cast("timestamp")
@@ -470,3 +476,17 @@ def guard_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def result_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of types taken from analysis results in JSON."""
     return metrics.result_counts(scanned(spark, sf_dir).select(F.to_json(F.struct("entities")).alias("result")))
+
+
+_CAPITALS = f"SELECT doc_id, start, start + length(m) AS stop, 0.5 + (length(m) % 10) / 20.0 AS score, regexp_matches(m, '^[A-Z]') AS up, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS k FROM {_TOKENS}"
+
+
+@query(f"""WITH s AS (SELECT doc_id, min(start) AS a, max(stop) AS b, avg(score) AS score FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY start) AS run FROM ({_CAPITALS}) WHERE up) GROUP BY doc_id, run)
+  SELECT doc_id, count(*)::INT AS spans, sum(a)::BIGINT AS starts, sum(b)::BIGINT AS ends, round(sum(score), 4)::DOUBLE AS score FROM s GROUP BY doc_id""")
+def bio_merge_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with a capital as a model's inside tags: each run of them opens and extends one span."""
+    rows = docs_of(spark, sf_dir).where("text is not null").select("doc_id", evaluation.tokens("text").alias("t"))
+    tag = F.transform("t", lambda x: F.struct(F.when(x["m"].rlike("^[A-Z]"), "I-PER").otherwise("O").alias("label"), (F.lit(0.5) + (F.length(x["m"]) % 10) / 20).alias("score"), x["start"].alias("start"), x["end"].alias("end")))
+    spans = rows.select("doc_id", tag.alias("tags")).select("doc_id", ner.merged("tags").alias("s")).where(F.size("s") > 0)
+    total = lambda f: F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x[f])
+    return spans.select("doc_id", F.size("s").alias("spans"), total("start").alias("starts"), total("end").alias("ends"), F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["score"]), 4).alias("score"))
