@@ -7,8 +7,9 @@ an L x L matrix over (max, +). Giant texts are split into chunks, whose matrices
 associatively: ``BLOCK`` neighbours to one matrix, those to one again, until one is left of each text; on the way back each
 block's entering values give those of its members. No task holds more than a block, however long a text is. A map from each
 chunk's last cut to its first, combined the same way from the right, lets each chunk be backtraced on its own; counts, sums
-and checksums of the parts are joined in blocks too. In other texts a space that follows a non-space is always a cut, so
-that words decouple and each distinct word is searched once per worker. Sums of scores are added up in another order on
+and checksums of the parts are joined in blocks too. In other texts a space that follows a non-space is always a cut, and so
+is a sign behind a letter or digit, but for the few signs that some piece holds behind one: words decouple, and each distinct
+word is searched once per worker. Sums of scores are added up in another order on
 the two ways, which shows in the last places unless scores are whole numbers, as those of the default model are.
 
 Among equal sums the longer last piece wins. Defined cases: null and empty texts have no pieces; repeated rows are
@@ -20,7 +21,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
+from operator import add
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -58,15 +61,29 @@ class Pieces:
         self.ids = {p.piece: k for k, p in enumerate(model.pieces) if p.type in (kind.NORMAL, kind.USER_DEFINED)}
         self.scores = {p: float(model.pieces[k].score) for p, k in self.ids.items()}
         self.bytes = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == kind.BYTE}
-        self.text_of = {k: p for p, k in self.ids.items()}
-        self.byte_of = {k: b for b, k in self.bytes.items()}
+        #: What each id stands for in UTF-8; control pieces stand for nothing.
+        self.raw = [b""] * len(model.pieces)
+        for piece, k in self.ids.items():
+            self.raw[k] = piece.encode("utf-8")
+        for b, k in self.bytes.items():
+            self.raw[k] = bytes([b])
         self.prefix = SPACE if model.normalizer_spec.add_dummy_prefix else ""
         self.longest = max(map(len, self.ids))
         self.unknown = min(s for s in self.scores.values() if s > -1e8) - 10.0
         self.words_decouple = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        #: Scores of pieces and, without one, of all that pieces begin with.
-        self.begun = {p[:k]: LOW for p in self.scores for k in range(1, len(p))} | self.scores
-        self.cache: dict[str, tuple[bytes, float]] = {}
+        #: By character: the score of the piece that ends there, if there is one, and what may follow.
+        self.trie: dict[str, list] = {}
+        for p, score in self.scores.items():
+            node, level = None, self.trie
+            for c in p:
+                node = level.setdefault(c, [None, {}])
+                level = node[1]
+            node[0] = score
+        glued = sorted({b for p in self.ids for a, b in zip(p, p[1:], strict=False) if a.isalnum() and not b.isalnum()})
+        sign, more = f"(?:[^{SPACE}\\w]|_)", f"(?:[{re.escape(''.join(glued))}]" if glued else ""
+        self.part = re.compile(f"{SPACE}*{sign}*(?:[^\\W_]+{f'{more}{sign}*)?' if glued else ''})*")
+        self.cache: dict[str, tuple[bytes, float]] = {"": (b"", 0.0)}
+        self.parts: dict[str, tuple[bytes, float]] = {}
 
     def score(self, piece: str) -> float:
         """Score of a stretch as one piece; a single character always has one."""
@@ -85,24 +102,22 @@ class Pieces:
 
     def run(self, text: str) -> tuple[list[float], list[int]]:
         """Values and last pieces' lengths of all positions of a text that begins with a cut."""
-        n, get, unknown = len(text), self.begun.get, self.unknown
+        n, first, unknown = len(text), self.trie.get, self.unknown
         best, step = [0.0] + [LOW] * n, [0] * (n + 1)
-        for at in range(n):
-            base = best[at]
-            s = get(text[at])
-            if s is None or s == LOW:
-                s = unknown
-                if base + s > best[at + 1]:
-                    best[at + 1], step[at + 1] = base + s, 1
-                if text[at] not in self.begun:
-                    continue
-            elif base + s > best[at + 1]:
-                best[at + 1], step[at + 1] = base + s, 1
-            for end in range(at + 2, n + 1):
-                s = get(text[at:end])
-                if s is None:
+        for at, c in enumerate(text):
+            base, node = best[at], first(c)
+            s, level = (None, None) if node is None else node
+            s = base + (unknown if s is None else s)
+            end = at + 1
+            if s > best[end]:
+                best[end], step[end] = s, 1
+            while level and end < n:
+                node = level.get(text[end])
+                if node is None:
                     break
-                if base + s > best[end]:
+                end += 1
+                s, level = node
+                if s is not None and base + s > best[end]:
                     best[end], step[end] = base + s, end - at
         return best, step
 
@@ -118,37 +133,47 @@ class Pieces:
     def encode(self, text: str) -> tuple[bytes, float]:
         """Little-endian 32-bit ids of a normalized text, and the sum of scores."""
         if not self.words_decouple:
-            cuts, total = self.search(text)
-            return np.array(self.ids_of(cuts), np.uint32).tobytes(), total
-        cache, parts, total = self.cache, [], 0.0
-        for w in WORD.findall(text):
-            own = cache.get(w)
-            if own is None:
-                if not w:
-                    continue
-                cuts, s = self.search(w)
-                own = np.array(self.ids_of(cuts), np.uint32).tobytes(), s
-                if len(cache) < CACHE_WORDS and len(w) < 64:
-                    cache[w] = own
-            parts.append(own[0])
-            total += own[1]
-        return b"".join(parts), total
+            return self._searched(text)
+        words = WORD.findall(text)
+        found = list(map(self.cache.get, words))
+        if None in found:
+            found = [self._word(w) if own is None else own for w, own in zip(words, found, strict=True)]
+        return b"".join([own[0] for own in found]), sum([own[1] for own in found])
+
+    def _searched(self, text: str) -> tuple[bytes, float]:
+        best, step = self.run(text)
+        out, at, get = [], len(text), self.ids.get
+        while at:
+            piece = text[at - step[at] : at]
+            own = get(piece)
+            if own is not None:
+                out.append(own)
+            else:
+                out.extend(self.ids_of([piece])[::-1])
+            at -= step[at]
+        return array("I", out[::-1]).tobytes(), best[-1]
+
+    def _word(self, word: str) -> tuple[bytes, float]:
+        """A word by its parts between cuts, which many words share."""
+        own = self.cache.get(word)
+        if own is None:
+            parts = self.part.findall(word)
+            own = self._part(word) if len(parts) < 3 else tuple(map(add, self._part(parts[0]), self._word("".join(parts[1:]))))
+            if len(self.cache) < CACHE_WORDS and len(word) < 64:
+                self.cache[word] = own
+        return own
+
+    def _part(self, part: str) -> tuple[bytes, float]:
+        own = self.parts.get(part)
+        if own is None:
+            own = self._searched(part)
+            if len(self.parts) < CACHE_WORDS and len(part) < 64:
+                self.parts[part] = own
+        return own
 
     def decode(self, ids: bytes) -> str:
-        """The normalized text of ids; bytes that stand together are decoded together."""
-        out: list[str] = []
-        held = bytearray()
-        for k in np.frombuffer(ids, np.uint32).tolist():
-            if k in self.byte_of:
-                held.append(self.byte_of[k])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "surrogatepass"))
-                held = bytearray()
-            out.append(self.text_of[k])
-        if held:
-            out.append(held.decode("utf-8", "surrogatepass"))
-        return "".join(out)
+        """The normalized text of ids; byte pieces that stand together are decoded together."""
+        return b"".join(map(self.raw.__getitem__, array("I", ids))).decode("utf-8", "surrogatepass")
 
     # Chunks. State j at a boundary stands for the position j characters before it.
 
