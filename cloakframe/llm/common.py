@@ -42,6 +42,20 @@ def written(df: DataFrame) -> DataFrame:
     system.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    _PATHS.append(path)
+    return out
+
+
+#: Folders of written tables that are not released yet.
+_PATHS: list[str] = []
+
+
+def written_alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """The written table of what ``make`` returns; all that was written on the way to it is deleted."""
+    before = set(_PATHS)
+    out = written(make())
+    for path in [p for p in _PATHS if p not in before and p != out._written_to]:
+        _delete(out.sparkSession, path)
     return out
 
 
@@ -49,8 +63,14 @@ def release(*tables: DataFrame | None) -> None:
     """Deletes the files of written tables that nothing reads any more."""
     for df in tables:
         if path := getattr(df, "_written_to", None):
-            where, system = _place(df.sparkSession, path)
-            system.delete(where, True)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where, system = _place(spark, path)
+    system.delete(where, True)
+    if path in _PATHS:
+        _PATHS.remove(path)
 
 
 def _place(spark: SparkSession, path: str) -> tuple:
