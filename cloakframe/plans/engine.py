@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import crypto, registry
 from ..functions import validators as v
 from ..operators import anonymize as an
 from ..operators import audit, context, evaluation, fusion, metrics, ner, policy, synthetic
@@ -490,3 +492,44 @@ def bio_merge_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = rows.select("doc_id", tag.alias("tags")).select("doc_id", ner.merged("tags").alias("s")).where(F.size("s") > 0)
     total = lambda f: F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x[f])
     return spans.select("doc_id", F.size("s").alias("spans"), total("start").alias("starts"), total("end").alias("ends"), F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["score"]), 4).alias("score"))
+
+
+FF3_KEY, FF3_TWEAK = bytes(range(16)), bytes(7)
+
+
+@query("SELECT 0::BIGINT AS mismatches, 0::BIGINT AS unchanged, count(*) AS n FROM customer")
+def ff3_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digits of customer numbers under FF3-1 and back: as long as before, and other digits."""
+    @F.pandas_udf("struct<sealed:string,back:string>")
+    def both(s: pd.Series) -> pd.DataFrame:
+        sealed = [crypto.ff3_1_text(FF3_KEY, FF3_TWEAK, x) for x in s]
+        return pd.DataFrame({"sealed": sealed, "back": [crypto.ff3_1_text(FF3_KEY, FF3_TWEAK, x, True) for x in sealed]})
+
+    rows = table(spark, sf_dir, "customer").select(F.lpad(F.regexp_replace("c_name", "[^0-9]", ""), 9, "0").alias("d")).withColumn("x", both("d"))
+    bad = ~((F.col("x.back") == F.col("d")) & (F.length("x.sealed") == F.length("d")))
+    return rows.agg(F.sum(bad.cast("long")).alias("mismatches"), F.sum((F.col("x.sealed") == F.col("d")).cast("long")).alias("unchanged"), F.count("*").alias("n"))
+
+
+_NAMES = [*evaluation.ALIASES, "EMAIL", "OTHER"]
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE name {' '.join(f'WHEN {q(a)} THEN {q(b)}' for a, b in evaluation.ALIASES.items())} ELSE name END AS label FROM (SELECT l_orderkey, l_linenumber, ([{', '.join(map(q, _NAMES))}])[l_suppkey % {len(_NAMES)} + 1] AS name FROM lineitem)")
+def label_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another engine's type names as the library's own."""
+    name = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (F.col("l_suppkey") % len(_NAMES) + 1).cast("int"))
+    return table(spark, sf_dir, "lineitem").withColumn("name", name).select("l_orderkey", "l_linenumber", evaluation.mapped("name").alias("label"))
+
+
+@query(f"SELECT d.doc_id, count(m)::INT AS n, coalesce(sum(start), 0)::BIGINT AS starts FROM documents d LEFT JOIN {SPANS_SQL['IP_ADDRESS']} s USING (doc_id) GROUP BY d.doc_id")
+def sql_function_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library's functions by their SQL names, in a query text."""
+    registry.register(spark, [IP_SCAN], "own_")
+    docs_of(spark, sf_dir).createOrReplaceTempView("own_documents")
+    return spark.sql("SELECT doc_id, size(e) AS n, aggregate(e, 0L, (a, x) -> a + x.start) AS starts FROM (SELECT doc_id, own_entities(coalesce(text, '')) AS e FROM own_documents)")
+
+
+@query(f"""SELECT d.doc_id, 'pass' AS transparent, CASE WHEN count(e.entity_type) > 0 THEN 'anonymize' ELSE 'pass' END AS anonymize, CASE WHEN coalesce(bool_or(e.entity_type = 'PHONE'), false) THEN 'block' ELSE 'pass' END AS block,
+  CASE WHEN coalesce(bool_or(e.entity_type = 'PHONE'), false) THEN 'alert' ELSE 'pass' END AS alert FROM documents d LEFT JOIN ({ALL_SQL}) e USING (doc_id) GROUP BY d.doc_id""")
+def proxy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modes = ("transparent", "anonymize", "block", "alert")
+    return scanned(spark, sf_dir).select("doc_id", *[policy.decision("entities", m, ("PHONE",), 0.7).alias(m) for m in modes])

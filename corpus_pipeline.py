@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.llm import linededup, minhash, packing, toxicity, weakpii
-from cloakframe.llm.common import written
+from cloakframe.llm.common import documents, release, written, written_alone
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -84,8 +84,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written before the next reads it; what a stage alone needed is deleted then."""
+    docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, written_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
