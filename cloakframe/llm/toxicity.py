@@ -38,6 +38,8 @@ MIN_ODDS, MIN_DOCS = 20.0, 4
 #: Terms of one table; more terms make more tables.
 TABLE_TERMS = 16
 STEM = (3, 8)
+#: Letters that words are told apart by before each is read alone.
+HEAD = 3
 END = "$"
 #: Signs and digits that stand for letters in disguised words.
 FOLDED = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -73,6 +75,23 @@ def edits_allowed(term: str) -> int:
     return 0 if n < 5 else 1 if n < 10 else 2
 
 
+@dataclass
+class Heads:
+    """The first ``HEAD`` letters that words share: a word of each, their lengths, and which of them each word has."""
+
+    first: np.ndarray
+    lengths: np.ndarray
+    which: np.ndarray
+
+    @classmethod
+    def of(cls, columns: np.ndarray, lengths: np.ndarray) -> Heads:
+        key = np.zeros(len(lengths), np.int64)
+        for column in columns[:HEAD]:
+            key = key * 0x110000 + column
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        return cls(first, np.minimum(lengths[first], HEAD), which)
+
+
 @dataclass
 class Table:
     """A deterministic table: ``step[state, class]``; state 0 is dead, 1 the start. ``term`` and ``distance`` give each state's term, or -1, and distance at a word's end; ``letters`` its classes, from 2 on."""
@@ -162,15 +181,25 @@ class Table:
         step = np.array([rows[k] for k in range(len(number))], np.int32)
         return cls(step, term, distance, letters, max((len(t) for t in terms), default=0) + 2)
 
-    def run(self, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The last state of each word: a row of this table's classes, padded or cut."""
-        state = np.ones(len(words), np.int32)
-        live = np.arange(len(words))
-        for k in range(self.longest):
+    def run(self, columns: np.ndarray, lengths: np.ndarray, own: np.ndarray, heads: Heads) -> np.ndarray:
+        """The last state of each word, a column of letters' classes, padded or cut; ``own`` gives this table's class of each.
+
+        The first letters are read once for all words that share them; classes are looked up step by step, for words that
+        are still alive, and most die at their second or third letter.
+        """
+        begun = np.ones(len(heads.first), np.int32)
+        live = np.arange(len(heads.first))
+        for k in range(min(HEAD, self.longest)):
+            live = live[heads.lengths[live] > k]
+            begun[live] = self.step[begun[live], own[columns[k][heads.first[live]]]]
+            live = live[begun[live] > 0]
+        state = begun[heads.which]
+        live = np.flatnonzero(state > 0)
+        for k in range(HEAD, self.longest):
             live = live[lengths[live] > k]
             if not len(live):
                 break
-            to = self.step[state[live], words[live, k]]
+            to = self.step[state[live], own[columns[k][live]]]
             state[live] = to
             live = live[to > 0]
         over = live[lengths[live] > self.longest]
@@ -211,9 +240,11 @@ class Automaton:
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
         begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         words, lengths, which = distinct_words(kind, begins, ends - begins, self.longest)
+        columns = np.ascontiguousarray(words.T)
+        heads = Heads.of(columns, lengths)
         best = np.full(len(words), np.iinfo(np.int64).max)
         for table, numbers, own in zip(self.tables, self.numbers, self.own, strict=True):
-            state = table.run(own[words[:, : table.longest]], lengths)
+            state = table.run(columns, lengths, own, heads)
             hit = np.flatnonzero(table.term[state] >= 0)
             key = table.distance[state[hit]].astype(np.int64) * len(self.terms) + numbers[table.term[state[hit]]]
             best[hit] = np.minimum(best[hit], key)
