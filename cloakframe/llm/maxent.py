@@ -8,8 +8,8 @@ inside which a token's probability goes by its smoothed count. One unseen token
 probabilities of all outcomes add up to 1.
 
 The model grows with the corpus: ``Shape.of`` sizes classes, head and tables from the number of distinct training tokens.
-Classes grow with its fifth root, so 10^5 types have a head of 1,156 tokens, 10^7 of 7,225 and 10^9 of 46,225, with tables
-of 56 million weights, which tasks and the driver still hold; nothing has one size at every input.
+Classes grow with its fifth root, so 10^5 types have a head of 900 tokens, 10^7 of 5,625 and 10^9 of 35,721, with tables
+of 50 million weights, which tasks and the driver still hold; nothing has one size at every input.
 
 Training reduces the whole training text to counts of (history, class) and of (last token, head token), made in every task
 before the shuffle; then gradients of the log-likelihood over them are computed in distributed
@@ -28,6 +28,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 from dataclasses import dataclass
 from math import ceil, log2
 
@@ -41,11 +42,13 @@ from .common import map_rows, release, training_rows, written
 
 SMOOTH = 0.1
 #: Tokens whose counts all tasks hold; a bound on what is broadcast, not on what is counted.
-KNOWN = 1 << 16
+KNOWN = 1 << 17
 #: Steps end when one gains less than this share of the log-likelihood, or at MOST_STEPS.
-GAIN, MOST_STEPS, RATE, RIDGE = 0.005, 12, 0.5, 0.5
-#: Counts that one task of a gradient pass reads, and rows of a table that one task sums.
-PASS_ROWS, SLICE_ROWS = 2_000_000, 4096
+GAIN, MOST_STEPS, RATE, RIDGE = 0.02, 12, 0.5, 0.5
+#: Events of a pack, events that one task of a gradient pass reads, rows of a table that one task sums.
+PACK_EVENTS, PASS_EVENTS, SLICE_ROWS = 1 << 16, 2_000_000, 4096
+#: Training tokens of a part of the events, and tokens or events that are merged at a time.
+PART_TOKENS, MERGED = 2_000_000, 1_500_000
 
 
 @dataclass(frozen=True)
@@ -62,7 +65,7 @@ class Shape:
     @classmethod
     def of(cls, types: int) -> Shape:
         """For so many distinct training tokens: classes by the fifth root, rows by the head's size to 0.6, as powers of two."""
-        classes = max(8, round(3.4 * types**0.2))
+        classes = max(8, round(3.0 * types**0.2))
         rows = 1 << max(8, ceil(log2(20 * (classes * classes) ** 0.6)))
         return cls(classes, max(8, classes // 3), rows, rows, 4 * rows, 8 * rows)
 
@@ -114,7 +117,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
         for (text,) in rows:
             held.update(tokens_of(text))
             held[END] += 1
-            if len(held) > 400_000:
+            if len(held) > 300_000:
                 yield from held.items()
                 held = Counter()
         yield from held.items()
@@ -210,8 +213,8 @@ class Reader:
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
         """Ranks of the words and the end; -1 marks a word that is not among the known, and those are listed."""
-        get = self.known.get
-        ranks = np.array([get(w, -1) for w in words] + [self.end], np.int64)
+        ranks = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        ranks = np.append(ranks, self.end)
         rare = [words[k] for k in np.flatnonzero(ranks[:-1] < 0).tolist()]
         return ranks, rare
 
@@ -230,15 +233,21 @@ def histories(shape: Shape, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return padded[1:-1], padded[:-2]
 
 
-EVENT = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("k", T.LongType()), T.StructField("c", T.LongType())])
+#: Counted events in order of ``k``, packed: 64-bit numbers.
+EVENTS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("k", T.BinaryType()), T.StructField("c", T.BinaryType())])
 
 
 def training_events(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Counts of all (last, before, class) and (last, head token) of the training texts, by one number each."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    """Counts of all (last, before, class) and (last, head token) of the training texts, by one number each, in packs.
+
+    Packs are dealt by the last token, so that a gradient pass touches few rows of the tables, and merged by part as a stream:
+    a task holds what differs, which for one last token is bounded by the model's size, and ``MERGED`` more.
+    """
+    sent, shape = docs.sparkSession.sparkContext.broadcast(vocabulary), vocabulary.shape
+    parts = max(8, min(shape.ids, -(-vocabulary.total // PART_TOKENS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, shape = Reader(sent.value), sent.value.shape
+        reader = Reader(sent.value)
         held: list[np.ndarray] = []
         inner: list[np.ndarray] = []
         size = 0
@@ -250,27 +259,59 @@ def training_events(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 head = ids < shape.head
                 inner.append(a[head] * shape.head + ids[head])
                 size += len(ids)
-                if size > 4_000_000:
-                    yield from _events(held, inner)
+                if size > MERGED:
+                    yield from dealt(held, inner)
                     held, inner, size = [], [], 0
         if held:
-            yield from _events(held, inner)
-
-    # Dealt by the last token, whose events are bounded in number, and sorted, so that a gradient pass meets each history's
-    # events together and touches few rows of the tables.
-    shape = vocabulary.shape
-    last = F.expr(f"k div if(kind = 0, {shape.ids * shape.all}L, {shape.head}L)")
-    made = docs.select("text").mapInArrow(run, EVENT)
-    summed = made.groupBy("kind", "k").agg(F.sum("c").alias("c")).withColumn("last", last)
-    return summed.repartition("last").sortWithinPartitions("kind", "k").select("kind", "k", "c")
-
-
-def _events(held: list[np.ndarray], inner: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    for kind, parts in ((0, held), (1, inner)):
-        k, c = np.unique(np.concatenate(parts), return_counts=True)
-        for at in range(0, len(k), 50_000):
-            n = len(k[at : at + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(k[at : at + 50_000]), pa.array(c[at : at + 50_000].astype(np.int64))], names=["kind", "k", "c"])
+            yield from dealt(held, inner)
+
+    def dealt(held: list[np.ndarray], inner: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for kind, own, width in ((0, held, shape.ids * shape.all), (1, inner, shape.head)):
+            k, c = np.unique(np.concatenate(own), return_counts=True)
+            part = (_mix(k // width) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            for p, some in enumerate(np.split(order, np.searchsorted(part[order], np.arange(1, parts)))):
+                if len(some):
+                    yield _pack(p, kind, k[some], c[some].astype(np.int64))
+
+    made = docs.select("text").mapInArrow(run, EVENTS)
+    return made.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_merged, EVENTS)
+
+
+def _pack(part: int, kind: int, k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], names=EVENTS.names)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packs of a part and kind as one run of events in order, cut into packs again."""
+
+    def summed(held: list) -> tuple[np.ndarray, np.ndarray]:
+        k, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(k, kind="stable")
+        k = k[order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        return k[first], np.add.reduceat(c[order], first)
+
+    def whole(key: tuple[int, int], held: list) -> Iterator[pa.RecordBatch]:
+        k, c = summed(held)
+        for at in range(0, len(k), PACK_EVENTS):
+            yield _pack(*key, k[at : at + PACK_EVENTS], c[at : at + PACK_EVENTS])
+
+    now, held, size, room = None, [], 0, MERGED
+    for batch in batches:
+        for part, kind, k, c in zip(*(batch.column(n).to_pylist() for n in EVENTS.names), strict=True):
+            if now != (part, kind):
+                if now is not None:
+                    yield from whole(now, held)
+                now, held, size, room = (part, kind), [], 0, MERGED
+            held.append((np.frombuffer(k, np.int64), np.frombuffer(c, np.int64)))
+            size += len(held[-1][0])
+            if size > room:
+                held = [summed(held)]
+                size = len(held[0][0])
+                room = size + MERGED
+    if now is not None:
+        yield from whole(now, held)
 
 
 GRADIENT = T.StructType([T.StructField("table", T.IntegerType()), T.StructField("slice", T.IntegerType()), T.StructField("rows", T.BinaryType()), T.StructField("g", T.BinaryType()), T.StructField("loss", T.DoubleType())])
@@ -285,11 +326,10 @@ def gradients(events: DataFrame, w: Weights, passes: int) -> pa.Table:
         w, g = sent.value, Weights.zeros(sent.value.shape)
         loss = 0.0
         for batch in batches:
-            kind, k, c = (batch.column(n).to_numpy() for n in ("kind", "k", "c"))
-            for at in range(0, len(k), 16_384):
-                s = slice(at, at + 16_384)
-                loss += class_gradient(w, g, k[s][kind[s] == 0], c[s][kind[s] == 0].astype(np.float32))
-                loss += inner_gradient(w, g, k[s][kind[s] == 1], c[s][kind[s] == 1].astype(np.float32))
+            for kind, keys, counts in zip(*(batch.column(n).to_pylist() for n in ("kind", "k", "c")), strict=True):
+                k, c = np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64).astype(np.float32)
+                for at in range(0, len(k), 16_384):
+                    loss += (inner_gradient if kind else class_gradient)(w, g, k[at : at + 16_384], c[at : at + 16_384])
         for t, name in enumerate(NAMES):
             own = getattr(g, name)
             touched = np.flatnonzero(own.any(axis=1))
@@ -388,7 +428,7 @@ def train(events: DataFrame, vocabulary: Vocabulary, steps: int = MOST_STEPS, ga
     """AdaGrad ascent on the penalised log-likelihood until a step gains too little; the driver holds three copies of the tables."""
     w, seen = Weights.zeros(vocabulary.shape), Weights.zeros(vocabulary.shape)
     _start(w, vocabulary)
-    passes = max(1, -(-events.count() // PASS_ROWS))
+    passes = max(1, -(-events.count() * PACK_EVENTS // PASS_EVENTS))
     losses: list[float] = []
     for _ in range(steps):
         loss, total = 0.0, Weights.zeros(vocabulary.shape)
@@ -421,7 +461,7 @@ def _start(w: Weights, vocabulary: Vocabulary) -> None:
 
 
 PART = T.StructType(
-    [T.StructField("token", T.BinaryType()), T.StructField("row_no", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("times", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("log_p", T.DoubleType()), T.StructField("tail", T.ArrayType(T.LongType()))]
+    [T.StructField("row_no", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("log_p", T.DoubleType()), T.StructField("tail", T.ArrayType(T.LongType())), T.StructField("rare", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.LongType()))]
 )
 
 
@@ -449,16 +489,17 @@ def document_parts(docs: DataFrame, vocabulary: Vocabulary, w: Weights) -> DataF
                 p = log_p[at : at + n].sum() + logs[tail].sum()
                 at += n
                 classes = np.bincount(own[own >= shape.head] - shape.head, minlength=shape.tail).tolist()
-                yield b" %d" % row, row, doc_id, 0, n, len(seen), float(logs[seen].sum()), float(p), classes
-                lost = n - len(seen) - len(rare)
-                for token, times in Counter(rare + [END] * lost).items():
-                    yield token, row, doc_id, times, 0, 0, 0.0, 0.0, None
+                counted = Counter(rare + [END] * (n - len(seen) - len(rare)))
+                yield row, doc_id, n, len(seen), float(logs[seen].sum()), float(p), classes, [b" %d" % row, *counted], [0, *counted.values()]
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "text")
-    return map_rows(numbered, ["row_no", "doc_id", "text"], make, PART, 4096)
+    made = map_rows(numbered, ["row_no", "doc_id", "text"], make, PART, 256)
+    each = made.select("*", F.posexplode("rare").alias("pos", "token")).withColumn("own", F.col("pos") == 0)
+    zero = lambda c: F.when(F.col("own"), F.col(c)).otherwise(0).alias(c)
+    return each.select("token", "row_no", "doc_id", F.element_at("times", F.col("pos") + 1).alias("times"), *[zero(c) for c in ("n_tokens", "n_known", "base", "log_p")], F.when(F.col("own"), F.col("tail")).alias("tail"))
 
 
-def _texts(rows: Iterator[tuple], chars: int = 2_000_000) -> Iterator[list[tuple]]:
+def _texts(rows: Iterator[tuple], chars: int = 500_000) -> Iterator[list[tuple]]:
     held, size = [], 0
     for row in rows:
         held.append(row)
