@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.oracles import digits, luhn, span_sql
-from . import additive, chat, linededup, matroska, maxent, minhash, packing, sentencepieces, toxicity, weakpii
+from . import additive, chat, filteraudit, linededup, matroska, maxent, minhash, packing, sentencepieces, toxicity, weakpii, winnowing
 from .common import documents
 
 
@@ -56,6 +57,19 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_documents(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprints(documents(spark, sf_dir))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op12: lengths, and the hash of each text with its last half taken from the next document."""
+    return winnowing.fingerprints(documents(spark, sf_dir)).select("doc_id", "n_chars", "edited_sha256")
+
+
 def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can tell of op1: lengths and hash of each payload, read back from its media."""
     return matroska.document_digest(documents(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
@@ -86,7 +100,7 @@ _BASE_SPANS = f"""SELECT doc_id, 0 AS k, 'email' AS kind, start, start + length(
   UNION ALL SELECT doc_id, 2, 'card', start, start + length(m) FROM {span_sql('[0-9](?:[ -]?[0-9])+')} WHERE length({digits('m')}) BETWEEN 12 AND 19 AND {luhn(digits('m'))}
   UNION ALL SELECT doc_id, 3, 'phone', start, start + length(m) FROM {span_sql('[+][0-9][ ().0-9-]+[0-9]')} WHERE length({digits('m')}) BETWEEN 9 AND 15"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_matroska, op2_maxent, op3_additive_quantisation, op4_weak_supervision_pii, op5_line_dedup, op6_minhash, op7_toxicity, op8_chat_formatting, op9_packing, op10_sentencepiece, media_payloads, base_scores, base_spans)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_matroska, op2_maxent, op3_additive_quantisation, op4_weak_supervision_pii, op5_line_dedup, op6_minhash, op7_toxicity, op8_chat_formatting, op9_packing, op10_sentencepiece, op11_filter_audit, op12_winnowing, edited_texts, media_payloads, base_scores, base_spans)}
 ORACLE_SQL: dict[str, str] = {
     # Every vector of the tables has 64 components; at the oracle's scale the search finds all that are nearest.
     "op3_additive_quantisation": """
@@ -150,6 +164,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(n)::BIGINT AS formatted_chars, min(k) FILTER (WHERE NOT fits) AS violation
 FROM sized GROUP BY conv_id""",
+    "op11_filter_audit": f"""WITH known AS (SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels GROUP BY doc_id),
+  t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+  firsts AS (SELECT text, min(doc_id) AS doc_id FROM t GROUP BY text),
+  m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+      + 4 * (100 * length(regexp_replace(t.text, '[^A-Z]', '', 'g')) > 3 * length(t.text))::INT + 8 * regexp_matches(t.text, '[#$%&*|]')::INT + 16 * coalesce(t.doc_id > f.doc_id, false)::INT AS m
+    FROM t JOIN firsts f ON t.text = f.text LEFT JOIN known k ON t.doc_id = k.doc_id),
+  c AS (SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, m),
+  o(filter_order, step, f, p) AS (VALUES {", ".join(f"('{''.join(o)}', {k + 1}, {1 << 'ABCDE'.index(x)}, {sum(1 << 'ABCDE'.index(y) for y in o[:k])})" for o in permutations("ABCDE") for k, x in enumerate(o))})
+SELECT part, filter_order, step, coalesce(sum(n) FILTER (WHERE m & (f | p) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE m & f <> 0 AND m & p = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (WHERE m & f <> 0 AND m & p <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE m = f), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE m & f <> 0 AND m & p = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE m & f <> 0 AND m & p = 0), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // greatest(bit_count(m), 1)) FILTER (WHERE m & f <> 0), 0)::BIGINT AS shapley FROM c, o GROUP BY part, filter_order, step""",
+    "edited_texts": """WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+  n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS behind FROM d)
+SELECT doc_id, length(text) AS n_chars, sha256(left(text, length(text) - length(text) // 2) || left(behind, length(text) // 2)) AS edited_sha256 FROM n""",
     "media_payloads": """SELECT doc_id, n AS n_bytes, p AS payload_bytes, sha256(t || repeat(' ', (p - n)::BIGINT)) AS payload_sha256 FROM (
   SELECT *, (greatest(1, (n + 191) // 192) * 192)::BIGINT AS p FROM (SELECT doc_id, coalesce(text, '') AS t, strlen(coalesce(text, ''))::BIGINT AS n FROM documents))""",
     "base_spans": f"""SELECT d.doc_id, count(*) FILTER (WHERE k = 0) AS n_email, count(*) FILTER (WHERE k = 1) AS n_ip, count(*) FILTER (WHERE k = 2) AS n_card, count(*) FILTER (WHERE k = 3) AS n_phone,
