@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.oracles import digits, luhn, span_sql
-from . import additive, chat, filteraudit, linededup, matroska, maxent, minhash, packing, sentencepieces, toxicity, weakpii, winnowing
+from . import additive, alignment, chat, filteraudit, linededup, matroska, maxent, minhash, packing, sentencepieces, toxicity, weakpii, winnowing
 from .common import documents
 
 
@@ -65,6 +65,10 @@ def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(documents(spark, sf_dir))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir))
+
+
 def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can tell of op12: lengths, and the hash of each text with its last half taken from the next document."""
     return winnowing.fingerprints(documents(spark, sf_dir)).select("doc_id", "n_chars", "edited_sha256")
@@ -100,7 +104,7 @@ _BASE_SPANS = f"""SELECT doc_id, 0 AS k, 'email' AS kind, start, start + length(
   UNION ALL SELECT doc_id, 2, 'card', start, start + length(m) FROM {span_sql('[0-9](?:[ -]?[0-9])+')} WHERE length({digits('m')}) BETWEEN 12 AND 19 AND {luhn(digits('m'))}
   UNION ALL SELECT doc_id, 3, 'phone', start, start + length(m) FROM {span_sql('[+][0-9][ ().0-9-]+[0-9]')} WHERE length({digits('m')}) BETWEEN 9 AND 15"""
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_matroska, op2_maxent, op3_additive_quantisation, op4_weak_supervision_pii, op5_line_dedup, op6_minhash, op7_toxicity, op8_chat_formatting, op9_packing, op10_sentencepiece, op11_filter_audit, op12_winnowing, edited_texts, media_payloads, base_scores, base_spans)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_matroska, op2_maxent, op3_additive_quantisation, op4_weak_supervision_pii, op5_line_dedup, op6_minhash, op7_toxicity, op8_chat_formatting, op9_packing, op10_sentencepiece, op11_filter_audit, op12_winnowing, op13_alignment, edited_texts, media_payloads, base_scores, base_spans)}
 ORACLE_SQL: dict[str, str] = {
     # Every vector of the tables has 64 components; at the oracle's scale the search finds all that are nearest.
     "op3_additive_quantisation": """

@@ -72,7 +72,7 @@ def prints_sql(text: str) -> str:
         return f"transform({kept}, v -> cast({_MASK} - (v & {_MASK}) as int))"
 
     def chosen(h: str) -> str:
-        parts = f"transform(sequence(0, (size({h}) - {K}) div {_BLOCK}), b -> {let(f'slice({h}, b * {_BLOCK} + 1, {_BLOCK + WINDOW + K - 2})', lambda part: f'transform({block(part)}, x -> b * {_BLOCK} + x)')})"
+        parts = f"transform(sequence(0, greatest(size({h}) - {K + WINDOW - 1}, 0) div {_BLOCK}), b -> {let(f'slice({h}, b * {_BLOCK} + 1, {_BLOCK + WINDOW + K - 2})', lambda part: f'transform({block(part)}, x -> b * {_BLOCK} + x)')})"
         joined = let(f"flatten({parts})", lambda ps: f"filter({ps}, (x, i) -> i = 0 or x > {ps}[i - 1])")
         places = f"if(size({h}) <= {_BLOCK}, {block(h)}, {joined})"
         return f"transform({places}, x -> named_struct('hash', {_hash_at(h, 'x')}, 'pos', x))"
