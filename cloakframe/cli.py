@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .config import AnalysisConfig, analyze
 from .operators import anonymize as an
 from .operators import fusion
+from .operators.recognizers import each
 from .session import local_session
 from .sources import files
 
@@ -58,7 +59,7 @@ def main(argv: list[str] | None = None) -> int:
         else:
             print(text)
         return 0
-    rows = found.select("path", "text", F.explode("entities").alias("e")).select("path", F.col("text").alias("body"), "e.*").orderBy("path", "start").persist()
+    rows = each(found, "entities", "e", "path", "text").select("path", F.col("text").alias("body"), "e.*").orderBy("path", "start").persist()
     shape = getattr(args, "format", "json")
     if shape == "table":
         rows.drop("body").show(1000, truncate=80)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -51,6 +53,68 @@ def percentile_alerts(rows: DataFrame, ts: str, value: Column, share: float = 0.
     return out.where(F.col("p") > above).select(F.col("w.start").alias("window_start"), "p")
 
 
+def bucket_counts(rows: DataFrame, ts: str, value: Column, bounds: tuple[float, ...] = BUCKETS, width: str = "5 minutes", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(window_start, keys, own): how many values of a window fall to each bucket, the last without a bound.
+
+    An array of fixed length for each window, added up on the map side; histograms of parts of the rows, or of windows, are
+    merged by ``merged_buckets``. Null values are not counted.
+    """
+    place = F.lit(len(bounds))
+    for k in reversed(range(len(bounds))):
+        place = F.when(value <= bounds[k], F.lit(k)).otherwise(place)
+    each = [F.sum(F.when(F.col("__place") == k, 1).otherwise(0)) for k in range(len(bounds) + 1)]
+    own = rows.where(value.isNotNull()).withColumn("__place", place).groupBy(F.window(ts, width).alias("w"), *keys).agg(F.array(*each).alias("own"))
+    return own.select(F.col("w.start").alias("window_start"), *keys, "own")
+
+
+def merged_buckets(counts: DataFrame, *keys: str | Column) -> DataFrame:
+    """Histograms of the same bounds added up by key."""
+    sized = counts.select(*keys, F.posexplode("own").alias("__place", "n")).groupBy(*[k if isinstance(k, str) else k for k in keys], "__place").agg(F.sum("n").alias("n"))
+    return sized.groupBy(*keys).agg(F.expr("transform(array_sort(collect_list(struct(__place, n))), x -> x.n)").alias("own"))
+
+
+def bucket_quantile(own: str, share: float, bounds: tuple[float, ...] = BUCKETS) -> Column:
+    """The quantile of a histogram, interpolated inside its bucket.
+
+    The first bucket begins at 0, or at its bound if that is not above 0; a quantile in the last bucket, which has no end, is
+    the highest bound. Null for a histogram without values.
+    """
+    total = f"aggregate({own}, 0L, (a, x) -> a + x)"
+    edges = "array(" + ", ".join(f"double({b!r})" for b in bounds) + ")"
+    start = f"if({bounds[0]!r} > 0, 0D, {edges}[0])"
+    step = f"(a, x) -> if(a.done, a, named_struct('done', a.below + x >= {share!r} * a.all and x > 0, 'k', a.k + 1, 'below', if(a.below + x >= {share!r} * a.all and x > 0, a.below, a.below + x), 'own', x, 'all', a.all))"
+    zero = f"named_struct('done', false, 'k', -1, 'below', 0L, 'own', 0L, 'all', {total})"
+    lo = f"if(a.k = 0, {start}, {edges}[a.k - 1])"
+    found = f"case when a.all = 0 then null when a.k >= {len(bounds)} then {edges}[{len(bounds) - 1}] else {lo} + ({edges}[a.k] - {lo}) * ({share!r} * a.all - a.below) / a.own end"
+    return F.expr(f"aggregate({own}, {zero}, {step}, a -> {found})")
+
+
+def quantile_alerts(counts: DataFrame, share: float = 0.99, above: float = 0.5, bounds: tuple[float, ...] = BUCKETS) -> DataFrame:
+    """Windows of ``bucket_counts`` whose interpolated quantile is above a bound, with the quantile as ``p``."""
+    return counts.withColumn("p", bucket_quantile("own", share, bounds)).where(F.col("p") > above)
+
+
+def counter_increases(samples: DataFrame, ts: str, value: str, series: tuple[str, ...], width: str = "5 minutes") -> DataFrame:
+    """(window_start, series, increase) of counters that are read now and then.
+
+    A reading adds what it is above the one before it in its series; one that is below it comes from a counter that began
+    anew at 0, and adds all it shows. The first reading of a series adds nothing.
+    """
+    before = F.lag(value).over(Window.partitionBy(*series).orderBy(ts, value))
+    more = F.when(before.isNull(), 0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
+    out = samples.where(F.col(value).isNotNull()).withColumn("__more", more).groupBy(F.window(ts, width).alias("w"), *series).agg(F.sum("__more").alias("increase"))
+    return out.select(F.col("w.start").alias("window_start"), *series, "increase")
+
+
+def lasting(alerts_: DataFrame, windows: int, seconds: int, *keys: str) -> DataFrame:
+    """Alerts that the ``windows - 1`` windows before them raised too, each of so many seconds."""
+    at = F.col("window_start").cast("long")
+    island = at - F.row_number().over(Window.partitionBy(*keys).orderBy("window_start")) * seconds if keys else at - F.row_number().over(Window.orderBy("window_start")) * seconds
+    marked = alerts_.withColumn("__island", island)
+    place = F.row_number().over(Window.partitionBy(*keys, "__island").orderBy("window_start"))
+    return marked.withColumn("__nth", place).where(F.col("__nth") >= windows).drop("__island", "__nth")
+
+
 def increase_alerts(rows: DataFrame, ts: str, counted: Column, above: int = 0, width: str = "5 minutes") -> DataFrame:
     """(window_start, increase) of windows with more counted rows than a bound."""
     out = rows.groupBy(F.window(ts, width).alias("w")).agg(F.sum(counted.cast("long")).alias("increase"))
@@ -113,6 +177,42 @@ def guarded(rows: DataFrame, ts: str, *keys: str, seconds: int = 3600, most: int
     return rows.withColumn("recent", F.count("*").over(w)).withColumn("allowed", F.col("recent") <= most)
 
 
+def page_after(rows: DataFrame, order: list[str], token: str | None = None, size: int = 20) -> DataFrame:
+    """The ``size`` rows (1 to 100) behind the one that a token names, in order, each with the token of the page behind it.
+
+    ``order`` must tell rows apart. The token holds a row's order values; the page is found by a filter on them and a top-k, so
+    a late page costs what the first does. Nulls come first.
+    """
+    size = max(1, min(size, 100))
+    out = rows
+    if token:
+        try:
+            at = json.loads(base64.urlsafe_b64decode(token.encode()))
+        except ValueError as e:
+            raise ValueError("no token of a page") from e
+        if not isinstance(at, list) or len(at) != len(order):
+            raise ValueError("the token is of another order")
+        behind, same = F.lit(False), F.lit(True)
+        for name, x in zip(order, at, strict=True):
+            own = F.lit(x).cast(rows.schema[name].dataType)
+            above = F.col(name).isNotNull() if x is None else F.coalesce(F.col(name) > own, F.lit(False))
+            behind = behind | (same & above)
+            same = same & F.col(name).eqNullSafe(own)
+        out = rows.where(behind)
+    parts = [F.when(F.col(c).isNull(), F.lit("null")).otherwise(F.regexp_replace(F.to_json(F.struct(F.col(c).cast("string").alias("x"))), r'^\{"x":(.*)\}$', "$1")) for c in order]
+    text = F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+    sign = F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_")
+    return out.withColumn("token", F.regexp_replace(sign, r"\s", "")).orderBy(*order).limit(size)
+
+
+def csv_line(columns: list[str]) -> Column:
+    """A row as a line of CSV that a spreadsheet reads as text alone: a cell that would begin a formula gets an apostrophe first, and quotes are doubled."""
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    safe = lambda c: F.when(cell(c).rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), cell(c))).otherwise(cell(c))
+    quoted = lambda c: F.when(safe(c).rlike(r'[",\r\n]'), F.concat(F.lit('"'), F.replace(safe(c), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(safe(c))
+    return F.concat_ws(",", *[quoted(c) for c in columns])
+
+
 def page(rows: DataFrame, order: list[str], number: int = 1, size: int = 20) -> DataFrame:
     """Page ``number`` of ``size`` rows (1 to 100) in order."""
     size = max(1, min(size, 100))

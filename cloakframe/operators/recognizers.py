@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import numbering
 from ..functions import validators as v
 from ..functions.sqltext import FOUND, WINDOW, let, lit, spans
 from ..schema import ENTITIES, parse_entity_type
@@ -275,10 +276,8 @@ def framed(text: str, hulls: str) -> str:
 
 
 QUASI_RULES = [Rule("eu_quasi_identifiers", "CUSTOM:QUASI_IDENTIFIER", "", 0.55, least=0.32, against=(), find=quasi_spans)]
-# Fixed calling codes of the Union's countries.
-CALLING = dict(AT=43, BE=32, BG=359, HR=385, CY=357, CZ=420, DK=45, EE=372, FI=358, FR=33, DE=49, GR=30, HU=36, IE=353, IT=39, LV=371, LT=370, LU=352, MT=356, NL=31, PL=48, PT=351, RO=40, SK=421, SI=386, ES=34, SE=46)
 EU_PHONE_RULES = [
-    Rule("eu_phone_phonenumber", "PHONE", rf"(?<![0-9+])\+\s*(?:{'|'.join(map(str, CALLING.values()))})(?:[\s./()-]*+[0-9]){{7,12}}+(?![0-9])", 0.82, v.phone, 0.38, 0.06, 0.10, EU_PHONE_FOR, words("example, test, dummy, sample, 555-"), floor=True, needs=("+",))
+    Rule("eu_phone_phonenumber", "PHONE", rf"(?<![0-9+])\+\s*(?:{'|'.join(map(str, numbering.CALLING.values()))})(?:[\s./()-]*+[0-9]){{7,12}}+(?![0-9])", 0.82, numbering.valid, 0.38, 0.06, 0.10, EU_PHONE_FOR, words("example, test, dummy, sample, 555-"), floor=True, needs=("+",))
 ]
 EU_RULES = [*PLATE_RULES, *EU_PHONE_RULES, *HEALTH_RULES, *ARTICLE_9_RULES, *QUASI_RULES, *ID_RULES]
 
@@ -418,14 +417,14 @@ def with_metadata(entities: str) -> Column:
     compact = "upper(regexp_replace(e.text, '[^A-Za-z0-9]', ''))"
     digits_ = "regexp_replace(e.text, '[^0-9]', '')"
     network = f"case when {digits_} like '4%' then 'visa' when {digits_} rlike '^3[47]' then 'amex' when {digits_} rlike '^(5[1-5]|2[2-7])' then 'mastercard' else 'other' end"
-    region = "case " + " ".join(f"when {digits_} like '{n}%' then '{cc}'" for cc, n in sorted(CALLING.items(), key=lambda x: -x[1])) + " else '' end"
+    phone = numbering.number("e.text")
     pair = lambda k, x: f"named_struct('key', '{k}', 'value', {x})"
     review = pair("human_review_recommended", "'true'")
     cases = [
         (f"e.recognizer in ({', '.join(lit(r.name) for r in ARTICLE_9_RULES)})", [pair("gdpr_article", "'9'"), review]),
         ("e.entity_type = 'IBAN'", [pair("checksum_ok", f"cast({v.iban_mod97(compact)} as string)"), pair("iban_normalized", compact)]),
         ("e.recognizer = 'eu_vat_intracom'", [pair("vat_rule", "concat('vat_', lower(left(e.text, 2)))")]),
-        ("e.recognizer = 'eu_phone_phonenumber'", [pair("phone_region", region)]),
+        ("e.recognizer = 'eu_phone_phonenumber'", [pair("phone_region", f"coalesce({phone}.region, '')"), pair("phone_type", f"coalesce({phone}.line_type, '')")]),
         ("e.recognizer = 'eu_quasi_identifiers'", [review, pair("reidentification_risk", "'elevated'")]),
         ("e.recognizer in ('credit_card_luhn', 'eu_credit_card_bins')", [pair("network", network)]),
     ]
@@ -436,9 +435,18 @@ def with_metadata(entities: str) -> Column:
     return F.expr(f"transform({entities}, e -> named_struct('start', e.start, 'end', e.end, 'entity_type', e.entity_type, 'text', e.text, 'score', e.score, 'recognizer', {named}, 'metadata', {pairs}))")
 
 
+def each(found: DataFrame, items: Column | str, name: str, *keys: Column | str) -> DataFrame:
+    """One row per item of an array, as column ``name`` behind ``keys``.
+
+    Below a plain explode Spark tests the array's size first, and so makes the array twice or more; the outer form is not
+    tested, and its rows without an item go afterwards.
+    """
+    return found.select(*keys, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
 def exploded(found: DataFrame, *keys: str) -> DataFrame:
     """One row per entity."""
-    return found.select(*keys, F.explode("entities").alias("e")).select(*keys, "e.*")
+    return each(found, "entities", "e", *keys).select(*keys, "e.*")
 
 
 def scan_columns(df: DataFrame, columns: list[str], rules: list[Rule] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import validators as v
 from ..functions.sqltext import digits
 from ..operators import anonymize as an
 from ..operators import audit, evaluation, fusion, metrics, ner, policy, synthetic
-from ..operators.recognizers import CARD_RUN, DEFAULT_RULES, EU_RULES, IP_AGAINST, IP_FOR, Rule, _alternation, detect, exploded
+from ..operators.recognizers import CARD_RUN, DEFAULT_RULES, EU_RULES, IP_AGAINST, IP_FOR, Rule, _alternation, detect, each, exploded
 from ..sources import files
 from .oracles import SAMPLES, SEEDED, q, rules_sql, span_sql
 
@@ -212,7 +212,7 @@ def redact_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, start, '<IP_ADDRESS_' || row_number() OVER (PARTITION BY doc_id ORDER BY start DESC) || '>' AS replacement FROM {SPANS_SQL['IP_ADDRESS']}")
 def numbered_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = an.anonymize(detect(docs_of(spark, sf_dir), [IP_SCAN]), {"IP_ADDRESS": an.replace(numbered=True)})
-    return out.select("doc_id", F.explode("anonymized.transformations").alias("t")).select("doc_id", "t.start", "t.replacement")
+    return each(out, "anonymized.transformations", "t", "doc_id").select("doc_id", "t.start", "t.replacement")
 
 
 @query("SELECT 0::BIGINT AS mismatches, count(*) AS n FROM documents")
@@ -291,7 +291,7 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     mark = lambda c, side, keep: F.transform(F.filter(c, keep), lambda e: F.struct(F.lit(side).alias("side"), e["start"].alias("start"), e["end"].alias("end"), e["entity_type"].alias("entity_type")))
     gold = mark("entities", "gold", lambda e: e["entity_type"].isin("IP_ADDRESS", "CREDIT_CARD"))
     seen = mark("entities", "seen", lambda e: (e["entity_type"] == "PHONE") | ((e["entity_type"] == "IP_ADDRESS") & ~e["text"].rlike(r"\.2[0-9][0-9]$")))
-    rows = kept(found.select("doc_id", F.explode(F.concat(gold, seen, mark("shapes", "seen", lambda e: F.lit(True)))).alias("s")).select("doc_id", "s.*"))
+    rows = kept(each(found, F.concat(gold, seen, mark("shapes", "seen", lambda e: F.lit(True))), "s", "doc_id").select("doc_id", "s.*"))
     return rows.where("side = 'gold'"), rows.where("side = 'seen'")
 
 
@@ -423,13 +423,13 @@ def synthetic_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT * FROM (VALUES (1, 0, 11, 'PERSON', 0.85::DOUBLE), (1, 20, 25, 'LOCATION', 0.7::DOUBLE), (2, 0, 4, 'ORGANIZATION', 0.6::DOUBLE)) t(id, start, \"end\", label, score)")
 def bio_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(1, [("B-PER", 0.9, 0, 4), ("I-PER", 0.8, 5, 11), ("O", 0.9, 12, 19), ("I-LOC", 0.7, 20, 25)]), (2, [("U-ORG", 0.6, 0, 4), ("O", 0.9, 5, 9)])], "id int, tokens array<struct<label:string,score:double,start:int,end:int>>")
-    return rows.select("id", F.explode(ner.merged("tokens")).alias("s")).select("id", "s.start", "s.end", "s.label", F.round("s.score", 6).alias("score"))
+    return each(rows, ner.merged("tokens"), "s", "id").select("id", "s.start", "s.end", "s.label", F.round("s.score", 6).alias("score"))
 
 
 @query("SELECT * FROM (VALUES (1, 0, 2, 'PER'), (1, 3, 4, 'LOC')) t(id, start, \"end\", label)")
 def iob_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(1, ["B-PER", "I-PER", "O", "I-LOC"])], "id int, tags array<string>")
-    return rows.withColumn("tags", evaluation.refined("tags")).select("id", F.explode(evaluation.tags_to_spans("tags")).alias("s")).select("id", "s.*")
+    return each(rows.withColumn("tags", evaluation.refined("tags")), evaluation.tags_to_spans("tags"), "s", "id").select("id", "s.*")
 
 
 @query(f"SELECT d.doc_id, CASE WHEN count(e.entity_type) FILTER (WHERE e.entity_type = 'CREDIT_CARD') > 0 THEN 'block' ELSE 'pass' END AS decision FROM documents d LEFT JOIN ({ALL_SQL}) e USING (doc_id) GROUP BY d.doc_id")
@@ -439,7 +439,7 @@ def guard_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, start, 1 + (length(left(text, start)) - length(replace(left(text, start), chr(10), '')))::INTEGER AS line FROM {SPANS_SQL['IP_ADDRESS']} JOIN documents USING (doc_id)".replace("JOIN documents", "x JOIN documents"))
 def finding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = detect(docs_of(spark, sf_dir), [IP_SCAN]).select("doc_id", F.col("text").alias("body"), F.explode("entities").alias("e")).select("doc_id", "body", "e.start")
+    rows = each(detect(docs_of(spark, sf_dir), [IP_SCAN]), "entities", "e", "doc_id", F.col("text").alias("body")).select("doc_id", "body", "e.start")
     return rows.select("doc_id", "start", files.line_and_column("body", "start")[0].alias("line"))
 
 

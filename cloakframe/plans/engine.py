@@ -11,7 +11,7 @@ from ..functions import validators as v
 from ..operators import anonymize as an
 from ..operators import audit, context, evaluation, fusion, metrics, ner, policy, synthetic
 from ..operators import recognizers as r
-from ..sources import files
+from ..sources import files, jsonpatch
 from .catalog import _GOLD, _PRED, ALL_SQL, IP_SCAN, KEY, NONCE, SCANS, SPANS_SQL, _entries, _sides, docs_of, exploded, query, scanned, seeded, table
 from .oracles import SEEDED, q, rules_sql, span_sql
 
@@ -24,7 +24,7 @@ LITERALS = ("password", "pass", "the", "there", "ein", "eine", "server", "http",
     + f" END AS pattern FROM {span_sql('(?i)' + '|'.join(sorted(LITERALS, key=len, reverse=True)))}) GROUP BY doc_id, pattern"
 )
 def literal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = docs_of(spark, sf_dir).select("doc_id", F.explode(r.literal_matches("coalesce(text, '')", LITERALS)).alias("m"))
+    rows = r.each(docs_of(spark, sf_dir), r.literal_matches("coalesce(text, '')", LITERALS), "m", "doc_id")
     return rows.groupBy("doc_id", F.col("m.pattern").alias("pattern")).agg(F.count("*").alias("n"), F.sum("m.start").alias("starts"))
 
 
@@ -94,7 +94,7 @@ def quasi_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of two levels: the score before and after combinations, fused."""
     found = scanned(spark, sf_dir).withColumn("second", context.combined("entities", NEAR, "coalesce(text, '')"))
-    rows = found.select("doc_id", F.explode(fusion.candidates("entities", "second")).alias("c"))
+    rows = r.each(found, fusion.candidates("entities", "second"), "c", "doc_id")
     return rows.select("doc_id", "c.start", "c.entity_type", F.round("c.score", 6).alias("score"), F.round("c.l2", 6).alias("l2"))
 
 
@@ -204,7 +204,7 @@ def marker_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, entity_type, string_agg(start::VARCHAR, ',' ORDER BY start) AS starts FROM ({ALL_SQL}) GROUP BY doc_id, entity_type")
 def grouped_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scanned(spark, sf_dir).select("doc_id", F.explode(evaluation.grouped("entities")).alias("g"))
+    rows = r.each(scanned(spark, sf_dir), evaluation.grouped("entities"), "g", "doc_id")
     return rows.select("doc_id", "g.entity_type", F.array_join(F.transform("g.entities", lambda e: e["start"].cast("string")), ",").alias("starts"))
 
 
@@ -231,7 +231,16 @@ def approver_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy(metrics.pair_key("a", "b").alias("pair")).agg(F.count("*").alias("n"))
 
 
-@query()
+#: Requests of four guards, numbered in order, for SQL that walks them one by one.
+GUARDED_SQL = "WITH RECURSIVE r AS (SELECT user_id % 4 AS g, floor(epoch(ts))::BIGINT AS tm, event_id, row_number() OVER (PARTITION BY user_id % 4 ORDER BY floor(epoch(ts)), event_id) AS k FROM events),"
+
+
+@query(f"""{GUARDED_SQL} s(g, k, tm, event_id, state, times, until) AS (
+  SELECT DISTINCT g, 0::BIGINT, 0::BIGINT, -1::BIGINT, '', []::BIGINT[], 0::BIGINT FROM r UNION ALL
+  SELECT g, k, tm, event_id, state, CASE state WHEN 'open' THEN times WHEN 'tripped' THEN live ELSE list_append(live, tm) END, CASE state WHEN 'tripped' THEN tm + 900 ELSE until END FROM (
+    SELECT *, CASE WHEN tm < until THEN 'open' WHEN len(live) >= 5 THEN 'tripped' ELSE 'allowed' END AS state FROM (
+      SELECT r.g, r.k, r.tm, r.event_id, s.times, s.until, list_filter(s.times, lambda x: x >= r.tm - 900) AS live FROM s JOIN r ON r.g = s.g AND r.k = s.k + 1)))
+SELECT g AS guard, tm AS "at", event_id, state FROM s WHERE k > 0""")
 def breaker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("guard"), F.unix_timestamp("ts").alias("at"), "event_id")
     return metrics.breaker(rows, "guard", "at", "event_id")
@@ -263,7 +272,7 @@ def policy_fpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards under a pack that asks for digits: as long as before, and reversible with the key."""
     ops = an.operators_by_policy(policy.pack_operators("pci-dss"), KEY, NONCE)
     out = an.anonymize(r.detect(docs_of(spark, sf_dir), [x for x in SCANS if x.entity == "CREDIT_CARD"]), ops)
-    rows = out.select("doc_id", F.explode("anonymized.transformations").alias("t")).select("doc_id", "t.*")
+    rows = r.each(out, "anonymized.transformations", "t", "doc_id").select("doc_id", "t.*")
     back = F.expr(an.format_preserving(KEY, NONCE, back=True)("''", "replacement", "''"))
     return rows.select("doc_id", "start", F.length("replacement").alias("n"), (back == F.col("text")).alias("back"))
 
@@ -298,14 +307,14 @@ def mapping_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(policy.registered(table(spark, sf_dir, "customer"), "c_custkey", "hipaa", now)).withColumn("expires_at", F.col("expires_at").cast("timestamp_ntz"))
 
 
-@query("SELECT conv_id, sha256(string_agg(regexp_replace(text, '[0-9]', '#', 'g'), chr(10) ORDER BY turn, role, text)) AS texts FROM conversations WHERE text IS NOT NULL AND NOT text LIKE '[%' GROUP BY conv_id")
+@query("SELECT conv_id, sha256(string_agg(regexp_replace(coalesce(text, ''), '[0-9]', '#', 'g'), chr(10) ORDER BY turn, role, text)) AS texts FROM conversations GROUP BY conv_id")
 def chat_mutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as request bodies, their texts changed inside the JSON, and taken out again."""
-    rows = table(spark, sf_dir, "conversations").where("text is not null and not text like '[%'")
-    body = F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")))
-    rows = rows.select("conv_id", "turn", "role", "text", body.alias("body")).withColumn("body", files.mutated("body", lambda t: f"regexp_replace({t}, '[0-9]', '#')"))
-    rows = rows.select("conv_id", F.struct("turn", "role", "text", files.chat_texts().alias("t")).alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return rows.select("conv_id", F.sha2(F.array_join(F.flatten(F.transform("xs", lambda x: x["t"])), "\n"), 256).alias("texts"))
+    """Turns as request bodies, their texts changed inside the JSON, and taken out again; a null text is an empty one."""
+    rows = table(spark, sf_dir, "conversations")
+    body = F.to_json(F.struct(F.array(F.struct("role", F.coalesce("text", F.lit("")).alias("content"))).alias("messages")))
+    rows = jsonpatch.with_changed(rows.select("conv_id", "turn", "role", "text", body.alias("body")), "body", lambda t: f"regexp_replace({t}, '[0-9]', '#')")
+    rows = rows.select("conv_id", F.struct("turn", "role", "text", F.get_json_object("body", "$.messages[0].content").alias("t")).alias("x")).groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return rows.select("conv_id", F.sha2(F.array_join(F.transform("xs", lambda x: x["t"]), "\n"), 256).alias("texts"))
 
 
 @query("SELECT user_id, count(*)::INT AS steps, count(DISTINCT event_type)::INT AS hints FROM events GROUP BY user_id")
@@ -316,7 +325,7 @@ def merged_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, count(*)::INT AS results, '2.1.0' AS version, 'CLOAKFRAME/IP_ADDRESS' AS rule FROM {SPANS_SQL['IP_ADDRESS']} GROUP BY doc_id")
 def sarif_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = r.detect(docs_of(spark, sf_dir), [IP_SCAN]).select(F.col("doc_id").cast("string").alias("path"), "text", F.explode("entities").alias("e")).select("path", "text", "e.start", "e.end", "e.entity_type")
+    rows = r.each(r.detect(docs_of(spark, sf_dir), [IP_SCAN]), "entities", "e", F.col("doc_id").cast("string").alias("path"), "text").select("path", "text", "e.start", "e.end", "e.entity_type")
     logs = files.sarif_logs(rows)
     shape = "struct<version:string,runs:array<struct<tool:struct<driver:struct<rules:array<struct<id:string>>>>,results:array<struct<ruleId:string>>>>>"
     return logs.select(F.col("path").cast("long").alias("doc_id"), F.from_json("log", shape).alias("x")).select("doc_id", F.size(F.col("x.runs")[0]["results"]).alias("results"), "x.version", F.col("x.runs")[0]["tool"]["driver"]["rules"][0]["id"].alias("rule"))
@@ -324,7 +333,7 @@ def sarif_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, start, doc_id || ':' || start || ':' || (start + length(m)) AS fingerprint FROM {SPANS_SQL['IP_ADDRESS']}")
 def code_quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = r.detect(docs_of(spark, sf_dir), [IP_SCAN]).select(F.col("doc_id").cast("string").alias("path"), "text", F.explode("entities").alias("e")).select("path", "text", "e.start", "e.end", "e.entity_type")
+    rows = r.each(r.detect(docs_of(spark, sf_dir), [IP_SCAN]), "entities", "e", F.col("doc_id").cast("string").alias("path"), "text").select("path", "text", "e.start", "e.end", "e.entity_type")
     print_ = files.code_quality(rows).select(F.get_json_object("issue", "$.fingerprint").alias("fingerprint"))
     return print_.select(F.split("fingerprint", ":")[0].cast("long").alias("doc_id"), F.split("fingerprint", ":")[1].cast("int").alias("start"), "fingerprint")
 
@@ -366,7 +375,7 @@ _MOD97 = "list_reduce(list_transform(string_split(array_to_string(list_transform
     WHEN recognizer LIKE 'gdpr_%' THEN 'gdpr_article=9;human_review_recommended=true;level=regex;rule=' || recognizer ELSE 'level=regex;rule=' || recognizer END AS metadata FROM (SELECT *, upper(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS u FROM ({rules_sql(TOLD)}))""")
 def entity_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = r.detect(seeded(spark, sf_dir), TOLD).withColumn("entities", r.with_metadata("entities"))
-    rows = rows.select("doc_id", F.explode("entities").alias("e"))
+    rows = r.each(rows, "entities", "e", "doc_id")
     return rows.select("doc_id", "e.start", "e.recognizer", F.array_join(F.transform("e.metadata", lambda m: F.concat(m["key"], F.lit("="), m["value"])), ";").alias("metadata"))
 
 
@@ -404,14 +413,14 @@ def longest_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decision_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of each candidate at a threshold of 0.7."""
     found = r.detect(seeded(spark, sf_dir), MIXED).withColumn("kept", fusion.thresholds("entities", 0.7))
-    rows = found.select("doc_id", F.explode(fusion.trace("entities", "kept", 0.7)).alias("t"))
+    rows = r.each(found, fusion.trace("entities", "kept", 0.7), "t", "doc_id")
     return rows.groupBy("doc_id", "t.entity_type").agg(F.count("*").alias("n"), F.sum(F.col("t.steps")[1]["passed"].cast("long")).alias("passed"))
 
 
 @query(f"SELECT x.doc_id, start, strlen(left(text, start))::INT AS first_byte, strlen(left(text, start + length(m)))::INT AS last_byte FROM {SPANS_SQL['IP_ADDRESS']} x JOIN documents USING (doc_id)")
 def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = r.detect(docs_of(spark, sf_dir), [IP_SCAN]).withColumn("b", fusion.byte_offsets("entities", "text"))
-    rows = found.select("doc_id", F.explode(F.arrays_zip("entities", "b")).alias("z"))
+    rows = r.each(found, F.arrays_zip("entities", "b"), "z", "doc_id")
     return rows.select("doc_id", F.col("z.entities.start").alias("start"), F.col("z.b.start").alias("first_byte"), F.col("z.b.end").alias("last_byte"))
 
 

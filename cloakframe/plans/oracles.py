@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from ..functions import numbering
 from ..functions import validators as v
 from ..operators import recognizers as r
 
@@ -212,7 +213,18 @@ def _hedged(s: str) -> str:
     return f"(CASE WHEN regexp_matches(lower({s}), '\\b(serait|seraient|possible|probable|probablement|environ|approximativement|aurait|auraient|supposé|non[\\s-]+confirmé|non[\\s-]+vérifié|invérifiable)\\b') THEN {shape} ELSE {key97(s, 13)} END)"
 
 
+#: Rows of the numbering plans, for SQL that looks up the longest prefix.
+PLAN_VALUES = ", ".join(str(x) for x in numbering.plan_rows())
+
+
+def _eu_phone(s: str) -> str:
+    d = digits(f"regexp_replace({s}, '[(]0[)]', '', 'g')")
+    codes = " ".join(f"WHEN '{k}' THEN {len(str(c))}" for k, c in numbering.CALLING.items())
+    return f"coalesce((SELECT arg_max(length({d}) - CASE region {codes} END BETWEEN least AND most, length(prefix)) FROM (VALUES {PLAN_VALUES}) p(prefix, region, kind, least, most) WHERE starts_with({d}, prefix)), false)"
+
+
 CHECKS = {
+    numbering.valid: _eu_phone,
     v.always: lambda s: "true",
     v.email: _email,
     v.phone: _phone,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,25 +29,6 @@ def chat_texts(body: str = "body") -> Column:
       filter(array(b.prompt), p -> p is not null))), 1)""")
 
 
-def mutated(body: str, change: Callable[[str], str], where: str = "messages") -> Column:
-    """A request's or an answer's JSON with its texts changed: string contents, the text parts of lists, prompts.
-
-    ``where`` is ``messages`` or ``prompt`` of a request, ``choices`` of an answer. ``change`` gives SQL for the SQL of a
-    text. Fields other than role, content and text are not kept; text that is no such JSON gives null.
-    """
-    parts = "from_json(m.content, 'array<struct<type:string,text:string>>')"
-    listed = f"to_json(transform({parts}, p -> named_struct('type', p.type, 'text', if(p.type = 'text', {change('p.text')}, p.text))))"
-    content = f"case when m.content is null then null when m.content like '[%' and {parts} is not null then {listed} else {change('m.content')} end"
-    message = f"named_struct('role', m.role, 'content', {content})"
-    kinds = {
-        "messages": ("struct<messages:array<struct<role:string,content:string>>>", f"named_struct('messages', transform(b.messages, m -> {message}))"),
-        "prompt": ("struct<prompt:string>", f"named_struct('prompt', {change('b.prompt')})"),
-        "choices": ("struct<choices:array<struct<message:struct<role:string,content:string>>>>", f"named_struct('choices', transform(b.choices, c -> named_struct('message', transform(array(c.message), m -> {message})[0])))"),
-    }
-    schema, new = kinds[where]
-    return F.expr(f"transform(array(from_json({body}, '{schema}')), b -> if(b.{where} is null, null, to_json({new})))[0]")
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """A stream of a folder's text files by line; what crosses a line's end is not seen whole."""
     return spark.readStream.text(path).select(F.col("value").alias("text"))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from cloakframe.plans import catalog, engine  # noqa: F401
+from cloakframe.plans import catalog, engine, extended  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -10,7 +10,7 @@ from cloakframe.operators import anonymize as an
 from cloakframe.operators import audit, context, metrics, ner, policy, synthetic
 from cloakframe.operators import recognizers as r
 from cloakframe.session import spread
-from cloakframe.sources import files
+from cloakframe.sources import files, jsonpatch
 
 
 def brute_breaker(rows, most, seconds):
@@ -132,11 +132,25 @@ def test_impact_page_escapes():
 
 def test_bodies_changed_in_place(spark):
     masked = lambda t: f"replace({t}, 'Jean', '***')"
-    parts = json.dumps({"messages": [{"role": "user", "content": [{"type": "text", "text": "Jean"}, {"type": "image", "text": None}]}]})
-    rows = spark.createDataFrame([(parts, '{"prompt": "to Jean"}', '{"choices": [{"message": {"role": "assistant", "content": "Jean!"}}]}')], "a string, b string, c string")
-    got = rows.select(files.mutated("a", masked).alias("a"), files.mutated("b", masked, "prompt").alias("b"), files.mutated("c", masked, "choices").alias("c"), files.mutated("b", masked).alias("d")).first()
-    assert json.loads(json.loads(got["a"])["messages"][0]["content"])[0]["text"] == "***"
-    assert json.loads(got["b"])["prompt"] == "to ***" and json.loads(got["c"])["choices"][0]["message"]["content"] == "***!" and got["d"] is None
+    parts = '{ "model" : "m", "messages": [{"role": "user", "content": [{"type": "text", "text": "Jean \\u00e9 [x]"}, {"type": "image", "text": "Jean"}, 3]}, {"content": "[Jean"}, {"content": null}, {"content": 5}], "n": 1.50, "x": {"content": "Jean"}}'
+    cases = {
+        "messages": [parts, "[]", "no", None, "{}", '{"messages": {"content": "Jean"}}', '{"messages": [{"content": "a", "content": "Jean"}]}', '{"messages": [{"content": ["Jean"]}]}'],
+        "prompt": ['{"prompt": "to Jean"}', '{"prompt": ["Jean", 1, "b"], "a": "Jean"}', '{"prompt": 3}'],
+        "choices": ['{"choices": [{"message": {"role": "assistant", "content": "Jean!"}, "text": "Jean"}]}'],
+        "completions": ['{"choices": [{"text": "Jean\\n"}], "text": "Jean"}'],
+    }
+    want = {
+        "messages": [parts.replace("Jean \\u00e9 [x]", "*** é [x]").replace('"[Jean', '"[***'), None, None, None, "{}", '{"messages": {"content": "Jean"}}', '{"messages": [{"content": "a", "content": "***"}]}', '{"messages": [{"content": ["Jean"]}]}'],
+        "prompt": ['{"prompt": "to ***"}', '{"prompt": ["***", 1, "b"], "a": "Jean"}', '{"prompt": 3}'],
+        "choices": ['{"choices": [{"message": {"role": "assistant", "content": "***!"}, "text": "Jean"}]}'],
+        "completions": ['{"choices": [{"text": "***\\n"}], "text": "Jean"}'],
+    }
+    for where, bodies in cases.items():
+        rows = spark.createDataFrame([(k, b) for k, b in enumerate(bodies)], "k int, body string")
+        got = jsonpatch.with_changed(rows, "body", masked, where).orderBy("k").collect()
+        assert [r["body"] for r in got] == want[where]
+        same = jsonpatch.with_changed(rows, "body", lambda t: t, where, "again").collect()
+        assert all(r["again"] == r["body"] for r in same if r["again"] is not None)
 
 
 def test_tagged_corpus(spark):

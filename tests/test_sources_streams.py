@@ -1,9 +1,12 @@
+import hashlib
 import json
+import random
+import shutil
 
 from pyspark.sql import functions as F
 
 from cloakframe.sources import files
-from cloakframe.streaming import streams
+from cloakframe.streaming import ledger, streams
 
 
 def test_scan_files(spark, tmp_path):
@@ -28,12 +31,98 @@ def test_reports(spark):
     assert json.loads(files.code_quality(rows).first()["issue"])["fingerprint"] == "f.txt:5:13"
 
 
-def test_guard_stream(spark, tmp_path):
-    rows = spark.range(5).select(F.lit("p").alias("pair"), F.timestamp_seconds(F.col("id") * 10).alias("ts"))
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = streams.read_rows(spark, str(tmp_path / "in"), "pair string, ts timestamp")
-    got = streams.run_once(streams.guard(stream, "pair", "ts", 3600, 3), "guarded", str(tmp_path / "ck")).orderBy("at").collect()
-    assert [r["allowed"] for r in got] == [True, True, True, False, False]
+def judged(requests, seconds, most, pause):
+    """Outcomes of (time, number) one by one."""
+    out, times, until, trial = [], [], 0, False
+    for at, number in sorted(requests):
+        if at < until:
+            outcome, trial = "open", True
+        else:
+            times = [t for t in times if t > at - seconds]
+            if len(times) >= most:
+                outcome, until, trial = "tripped", at + pause, True
+            else:
+                outcome, trial = ("half_open" if trial else "allowed"), False
+                times.append(at)
+        out.append((at, number, outcome))
+    return out
+
+
+def test_guard_stream_over_batches(spark, tmp_path):
+    """Requests in no order over micro-batches are judged in order of time; ones behind the watermark are dropped; state goes."""
+    rng = random.Random(4)
+    rows = [(rng.choice("pq"), rng.randrange(20_000), k) for k in range(300)]
+    stream_rows = sorted(rows, key=lambda r: r[1] + rng.randrange(500))
+    late = [("p", 10, 900)]
+    for part in (stream_rows[:100], stream_rows[100:200], stream_rows[200:], [("end", 100_000, 901)], [*late, ("end", 200_000, 902)], [("end", 300_000, 903)]):
+        spark.createDataFrame(part, "pair string, at long, n long").select("pair", F.timestamp_seconds("at").alias("ts"), "n").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.read_rows(spark, str(tmp_path / "in"), "pair string, ts timestamp, n long", 1)
+    q = streams.guard(stream, "pair", "ts", "n", 600, 3, 400).writeStream.format("memory").queryName("guarded").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.table("guarded").collect()
+    for pair in "pq":
+        want = judged([(at, n) for p, at, n in rows if p == pair], 600, 3, 400)
+        assert sorted((r["at"], r["number"], r["outcome"]) for r in got if r["key"] == pair) == sorted(want)
+    assert {o for *_, o in want} == {"allowed", "tripped", "open", "half_open"}
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+    batch = streams.guarded_batch(spark.createDataFrame(rows, "pair string, at long, n long"), "pair", "at", "n", 600, 3, 400).where("key = 'q'").collect()
+    assert sorted((r["at"], r["number"], r["outcome"]) for r in batch) == sorted(want)
+
+
+def test_restored_chunks(spark, tmp_path):
+    """Wherever answers are cut, in whatever order chunks come, the restored whole is that of the whole answer."""
+    rng = random.Random(8)
+    pairs = {"<P_1>": "Ann", "<P_12>": "Bo<", "<<P_1>": "C", "P_": "d"}
+    names = sorted(pairs, key=len, reverse=True)
+    rows, want = [], {}
+    for k in range(30):
+        text = "".join(rng.choice([*pairs, "<", "P", "_1", "x", ">", "é"]) for _ in range(rng.randint(0, 30)))
+        out, at = "", 0
+        while at < len(text):
+            hit = next((n for n in names if text.startswith(n, at)), None)
+            out += pairs[hit] if hit else text[at]
+            at += len(hit) if hit else 1
+        want[str(k)] = out
+        cuts = sorted(rng.randint(0, len(text)) for _ in range(rng.randint(0, 9)))
+        parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        rows += [(str(k), n, p, n == len(parts) - 1) for n, p in enumerate(parts)]
+    rng.shuffle(rows)
+    for half in (rows[: len(rows) // 2], rows[len(rows) // 2 :]):
+        spark.createDataFrame(half, "answer string, number long, chunk string, last boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.read_rows(spark, str(tmp_path / "in"), "answer string, number long, chunk string, last boolean", 1)
+    got = streams.run_once(streams.restored(stream, pairs), "restored", str(tmp_path / "ck")).collect()
+    told = {}
+    for r in sorted(got, key=lambda r: r["number"]):
+        told[r["answer"]] = told.get(r["answer"], "") + r["text"]
+    assert told == want
+
+
+def test_ledger_over_restarts(spark, tmp_path):
+    """A batch that is run again, cut off before its commit or after it, gives the chains of one run."""
+    rng = random.Random(6)
+    entries = [(k, rng.choice(["a", "b", None]), f"é{k}") for k in range(60)]
+    schema = "k int, log string, actor string"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    book = ledger.Ledger(spark, str(tmp_path / "book"), "log", "k", ["actor", "k"], 200)
+    book.append(frame(entries[:20]), 0)
+    book.append(frame(entries[20:25]), 1)
+    shutil.rmtree(tmp_path / "book/heads/batch=1")  # the driver was lost before the commit
+    assert book.entries().count() == 20
+    book.append(frame(entries[20:40]), 1)
+    book.append(frame(entries[20:40]), 1)
+    book.append(frame([]), 2)
+    book.append(frame(entries[40:]), 3)
+    got = {r["k"]: r for r in book.entries().collect()}
+    assert len(got) == 60 and book.entries().count() == 60
+    for name in ("a", "b", None):
+        head, size = "", 0
+        for n, (k, _, actor) in enumerate(e for e in entries if e[1] == name):
+            text = json.dumps({"actor": actor, "k": k}, separators=(",", ":"), ensure_ascii=False)
+            new = hashlib.sha256(f"{head}|{text}".encode()).hexdigest()
+            assert (got[k]["number"], got[k]["file"], got[k]["prev_hash"], got[k]["entry_hash"]) == (n, size // 200, head, new)
+            head, size = new, size + len(text.encode())
+    heads = {r["log"]: (r["entries"], r["bytes"]) for r in book.heads().collect()}
+    assert sum(n for n, _ in heads.values()) == 60 and len(heads) == 3
 
 
 def test_rates_stream_counts_windows(spark, tmp_path):
