@@ -82,6 +82,11 @@ def national_id(country: str, digits: Callable[[str, int], str], n: Callable[[st
 
 def fake(kind: str, key: str, seed: int = 7, country: str = "FR") -> Column:
     """A fake value of a type; types without a form of their own give ``[SYNTH:TYPE:n]``."""
+    return F.expr(fake_sql(kind, key, seed, country))
+
+
+def fake_sql(kind: str, key: str, seed: int = 7, country: str = "FR") -> str:
+    """SQL text of ``fake``."""
     n = lambda tag, below: number(key, seed, tag, below)
     digits = lambda tag, width: f"lpad(cast({n(tag, 10**width)} as string), {width}, '0')"
     person = f"concat({pick(key, seed, 'first', FIRST[country].split())}, ' ', {pick(key, seed, 'last', LAST[country].split())})"
@@ -98,7 +103,7 @@ def fake(kind: str, key: str, seed: int = 7, country: str = "FR") -> Column:
         "URL": f"concat('https://www.site', cast({n('url', 10000)} as string), '.fr/')",
         "NATIONAL_ID": national_id(country, digits, n),
     }
-    return F.expr(forms.get(kind, f"concat('[SYNTH:', {lit(kind)}, ':', cast({n('other', 100000)} as string), ']')"))
+    return forms.get(kind, f"concat('[SYNTH:', {lit(kind)}, ':', cast({n('other', 100000)} as string), ']')")
 
 
 #: Own sentences of the corpus by language, and near misses that hold no entity.

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbering
-from ..operators import literals, metrics
+from ..operators import corpora, layers, literals, metrics
+from ..operators.recognizers import DEFAULT_RULES, detect
 from ..sources import jsonpatch
 from ..streaming import ledger, streams
 from .catalog import docs_of, kept, query, shared_path, table
@@ -202,3 +205,64 @@ def restored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = whole.join(rows.select("conv_id", F.col("turn").cast("int").alias("turn"), F.length("masked").alias("n")), ["conv_id", "turn"])
     done = both.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum("n").alias("masked_chars"), F.expr("array_sort(collect_list(struct(turn, text)))").alias("xs"))
     return done.select("conv_id", "turns", "masked_chars", F.sha2(F.array_join(F.transform("xs", lambda x: x["text"]), "\n"), 256).alias("text_sha256"))
+
+
+GRAMMAR = {
+    "start": [(3, "{opening} {fact}"), (2, "{opening} {fact} ; {fact}"), (1, "Nothing to report today")],
+    "opening": [(2, "Dear {=customer},"), (1, "Note:"), (1, "File of {=customer}:")],
+    "fact": [(3, "write to {EMAIL} please"), (2, "{money}"), (2, "the host is {IP_ADDRESS} now"), (1, "reference {!CREDIT_CARD} is void")],
+    "money": [(2, "pay to {IBAN} soon"), (1, "card {CREDIT_CARD} was used"), (1, "not {!IBAN} any more")],
+}
+OWN_VALUES = {"customer": ("CUSTOM:CUSTOMER", "c_name")}
+_FLAT = corpora.expanded(GRAMMAR)
+_ALIAS = corpora.alias_table([w for w, _, _ in _FLAT])
+#: Kinds of spans that the searched rules find; a row's own name is not among them.
+_SOUGHT = [[s for s in slots if s[0] not in "!="] for _, _, slots in _FLAT]
+
+
+def drawn(key: str) -> Callable[[str, int], str]:
+    """Numbers of a key that other engines can draw too."""
+    return lambda tag, below: f"({key} * 48271 + {len(tag) * 1009}) % 2147483647 % {below}"
+
+
+@query(f"""WITH t AS (SELECT c_custkey, (c_custkey * 48271 + {len('template') * 1009}) % 2147483647 % {len(_FLAT)} AS k, (c_custkey * 48271 + {len('share') * 1009}) % 2147483647 % {corpora.FINE} AS u FROM customer),
+  a(k, mark, other) AS (VALUES {', '.join(str((k, *x)) for k, x in enumerate(_ALIAS))}), s(k, labelled, hard) AS (VALUES {', '.join(str((k, len(_SOUGHT[k]), sum(x[0] == '!' for x in slots))) for k, (_, _, slots) in enumerate(_FLAT))})
+SELECT c_custkey, s.labelled, s.labelled AS found, s.hard, 0 AS misled FROM t JOIN a ON a.k = t.k JOIN s ON s.k = CASE WHEN u < mark THEN t.k ELSE other END""")
+def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts made from customers by a grammar: every labelled span is found where it stands, no near miss is taken for a value."""
+    made = corpora.labelled(table(spark, sf_dir, "customer"), "c_custkey", GRAMMAR, own=OWN_VALUES, draw=drawn("c_custkey"))
+    made = made.withColumn("spans", F.filter("spans", lambda x: x["entity_type"] != "CUSTOM:CUSTOMER"))
+    rules = [x for x in DEFAULT_RULES if x.name in ("email_rfc5322_like", "iban_iso13616", "credit_card_luhn", "ipv4")]
+    found = corpora.found_spans(detect(made, rules, threshold=0.6))
+    return found.select("c_custkey", "labelled", "found", F.expr("size(filter(spans, s -> s.hard))").alias("hard"), "misled")
+
+
+@query(f"""WITH t AS (SELECT s_suppkey, (s_suppkey * 48271 + {len('template') * 1009}) % 2147483647 % {len(_FLAT)} AS k, (s_suppkey * 48271 + {len('share') * 1009}) % 2147483647 % {corpora.FINE} AS u FROM supplier),
+  a(k, mark, other) AS (VALUES {', '.join(str((k, *x)) for k, x in enumerate(_ALIAS))}), s(k, n, named) AS (VALUES {', '.join(str((k, sum(x[0] != '!' for x in slots), sum(x[0] == '=' for x in slots))) for k, (_, _, slots) in enumerate(_FLAT))})
+SELECT s_suppkey, s.n AS begins, s.named AS names FROM t JOIN a ON a.k = t.k JOIN s ON s.k = CASE WHEN u < mark THEN t.k ELSE other END""")
+def tagged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts made from suppliers as words with tags: one beginning for each span, near misses untagged."""
+    made = corpora.labelled(table(spark, sf_dir, "supplier"), "s_suppkey", GRAMMAR, own={"customer": ("ORGANIZATION", "s_name")}, draw=drawn("s_suppkey"))
+    tags = corpora.tagged(made)
+    count = lambda like: F.expr(f"size(filter(ner_tags, t -> t like '{like}'))")
+    return tags.select("s_suppkey", count("B-%").alias("begins"), count("B-ORG%").alias("names"))
+
+
+#: Three states of two policies; in the second, one type changes and one goes, in the third one policy is gone.
+HISTORY = [
+    ("2024-01-01 00:00:00", {"base": {"entities": {"CLICK": {"operator": "mask"}, "ERROR": {"operator": "hash"}}, "defaults": {"operator": "replace"}}, "side": {"entities": {"CLICK": {"operator": "redact"}}}}),
+    ("2024-01-05 00:00:00", {"base": {"entities": {"CLICK": {"operator": "fpe"}}, "defaults": {"operator": "replace"}}, "side": {"entities": {"CLICK": {"operator": "redact"}}}}),
+    ("2024-01-09 12:00:00", {"base": {"entities": {"CLICK": {"operator": "fpe"}}, "defaults": {"operator": "mask"}}}),
+]
+_VERSIONS = ", ".join(f"({p!r}, {t!r}, {o!r}, TIMESTAMP '{at}', {'NULL' if k + 1 == len(HISTORY) else repr(HISTORY[k + 1][0])}::TIMESTAMP)" for k, (at, ps) in enumerate(HISTORY) for p, t, o in layers.rows_of(ps))
+
+
+@query(f"""WITH v(policy, entity_type, op, valid_from, valid_to) AS (VALUES {_VERSIONS}), e AS (SELECT event_id, ts, upper(event_type) AS entity_type, CASE user_id % 3 WHEN 0 THEN 'side' ELSE 'base' END AS policy FROM events)
+SELECT e.policy, e.entity_type, coalesce(a.op, b.op, 'redact') AS operator, count(*) AS n, sum(event_id)::BIGINT AS ids FROM e
+  LEFT JOIN v a ON a.policy = e.policy AND a.entity_type = e.entity_type AND e.ts >= a.valid_from AND (a.valid_to IS NULL OR e.ts < a.valid_to)
+  LEFT JOIN v b ON b.policy = e.policy AND b.entity_type = '*' AND e.ts >= b.valid_from AND (b.valid_to IS NULL OR e.ts < b.valid_to) GROUP BY 1, 2, 3""")
+def decisions_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events decided by the version of their policy that held at their time."""
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", F.upper("event_type").alias("entity_type"), F.when(F.col("user_id") % 3 == 0, "side").otherwise("base").alias("policy"))
+    out = layers.decided(rows, layers.changes(layers.versions(spark, HISTORY)), "policy", "entity_type", "ts")
+    return out.groupBy("policy", "entity_type", "operator").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
