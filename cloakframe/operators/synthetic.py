@@ -117,12 +117,17 @@ HARD_PERCENT = 18
 
 
 def corpus(spark: SparkSession, rows: int, seed: int = 42) -> DataFrame:
-    """(id, lang, text, entity_type, value, start, end): sentences in six languages that hold one fake value each.
+    """``corpus_of`` the numbers below ``rows``."""
+    return corpus_of(spark.range(rows), seed)
+
+
+def corpus_of(keys: DataFrame, seed: int = 42) -> DataFrame:
+    """(id, lang, text, entity_type, value, start, end): for each ``id`` a sentence in one of six languages that holds one fake value.
 
     ``HARD_PERCENT`` of them hold a near miss instead, with entity_type O.
     """
     country = {"en": "FR", "fr": "FR", "de": "DE", "es": "ES", "it": "IT", "nl": "NL"}
-    base = spark.range(rows).withColumn("lang", F.expr(pick("id", seed, "lang", list(FRAMES)))).withColumn("hard", F.expr(f"{number('id', seed, 'hard', 100)} < {HARD_PERCENT}"))
+    base = keys.withColumn("lang", F.expr(pick("id", seed, "lang", list(FRAMES)))).withColumn("hard", F.expr(f"{number('id', seed, 'hard', 100)} < {HARD_PERCENT}"))
     base = base.withColumn("entity_type", F.expr(f"if(hard, 'O', {pick('id', seed, 'kind', KINDS)})"))
     values = [F.when((F.col("entity_type") == k) & (F.col("lang") == x), fake(k, "id", seed, cc)) for k in KINDS for x, cc in country.items()]
     base = base.withColumn("value", F.coalesce(*values, F.expr(pick("id", seed, "miss", HARD))))

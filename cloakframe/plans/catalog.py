@@ -266,9 +266,11 @@ _OPS = ", ".join(f"({q(p)}, {q(t)})" for p in policy.PACKS for t in policy.pack_
 
 @query(f"""SELECT policy, s AS score, CASE WHEN s >= 85 THEN 'critical' WHEN s >= 65 THEN 'high' WHEN s >= 40 THEN 'moderate' ELSE 'low' END AS band FROM (
   SELECT p.policy, least(greatest(5 + coalesce(sum(coalesce(w.weight, 10)) FILTER (WHERE o.entity_type IS NOT NULL), 0) + CASE WHEN any_value(p.blocks) THEN 5 ELSE 0 END + CASE WHEN any_value(p.days) > 90 THEN 10 ELSE 0 END - CASE WHEN any_value(p.strips) THEN 8 ELSE 0 END, 0), 100)::BIGINT AS s
-  FROM (VALUES {_PACKS}) p(policy, days, blocks, strips) LEFT JOIN (VALUES {_OPS}) o(policy, entity_type) USING (policy) LEFT JOIN (VALUES {_WEIGHTS}) w(entity_type, weight) ON w.entity_type = o.entity_type GROUP BY p.policy)""")
+  FROM (VALUES {_PACKS}) p(policy, days, blocks, strips) LEFT JOIN (SELECT * FROM (VALUES {_OPS}) o(policy, entity_type) WHERE entity_type IN (SELECT entity_type FROM ({ALL_SQL}))) o USING (policy) LEFT JOIN (VALUES {_WEIGHTS}) w(entity_type, weight) ON w.entity_type = o.entity_type GROUP BY p.policy)""")
 def dpia_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.impact_scores(spark, policy.operator_dimension(spark).select("policy", "entity_type"))
+    """Each policy's impact by the types that it treats and that documents hold."""
+    there = exploded(scanned(spark, sf_dir)).select("entity_type").distinct()
+    return policy.impact_scores(spark, policy.operator_dimension(spark).select("policy", "entity_type").join(there, "entity_type", "left_semi"))
 
 
 @query("SELECT (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)) AS kept, (SELECT count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)) AS removed")
@@ -413,22 +415,28 @@ def chat_body_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.sum(F.size("texts")).alias("parts"), F.sum(chars).alias("chars"))
 
 
-@query("SELECT 1000::BIGINT AS n, 1000::BIGINT AS cards, 1000::BIGINT AS ibans, 1000::BIGINT AS ids")
+@query("SELECT count(*) AS n, count(*) AS cards, count(*) AS ibans, count(*) AS ids FROM orders")
 def synthetic_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fake cards, account numbers and ids have right check digits."""
-    rows = spark.range(1000).select(*[synthetic.fake(k, "id").alias(a) for k, a in (("CREDIT_CARD", "c"), ("IBAN", "i"), ("NATIONAL_ID", "n"))])
+    """Fake cards, account numbers and ids made from the keys of orders have right check digits."""
+    rows = table(spark, sf_dir, "orders").select(*[synthetic.fake(k, "o_orderkey").alias(a) for k, a in (("CREDIT_CARD", "c"), ("IBAN", "i"), ("NATIONAL_ID", "n"))])
     return rows.select(*[F.expr(e).cast("int").alias(n) for n, e in (("cards", v.card("c")), ("ibans", v.iban_mod97("i")), ("ids", v.nir("n")))]).agg(F.count("*").alias("n"), *[F.sum(n).alias(n) for n in ("cards", "ibans", "ids")])
 
 
-@query("SELECT * FROM (VALUES (1, 0, 11, 'PERSON', 0.85::DOUBLE), (1, 20, 25, 'LOCATION', 0.7::DOUBLE), (2, 0, 4, 'ORGANIZATION', 0.6::DOUBLE)) t(id, start, \"end\", label, score)")
+@query("""SELECT c_custkey AS id, start + c_custkey AS start, "end" + c_custkey AS "end", label, score FROM customer JOIN (VALUES (1, 0, 11, 'PERSON', 0.85::DOUBLE), (1, 20, 25, 'LOCATION', 0.7::DOUBLE), (0, 0, 4, 'ORGANIZATION', 0.6::DOUBLE)) t(odd, start, "end", label, score) ON odd = c_custkey % 2""")
 def bio_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, [("B-PER", 0.9, 0, 4), ("I-PER", 0.8, 5, 11), ("O", 0.9, 12, 19), ("I-LOC", 0.7, 20, 25)]), (2, [("U-ORG", 0.6, 0, 4), ("O", 0.9, 5, 9)])], "id int, tokens array<struct<label:string,score:double,start:int,end:int>>")
+    """A model's tags for each customer, one of two kinds, moved by the key."""
+    kinds = {1: [("B-PER", 0.9, 0, 4), ("I-PER", 0.8, 5, 11), ("O", 0.9, 12, 19), ("I-LOC", 0.7, 20, 25)], 0: [("U-ORG", 0.6, 0, 4), ("O", 0.9, 5, 9)]}
+    at = lambda n: (F.col("c_custkey") + n).cast("int")
+    tags = {k: F.array(*[F.struct(F.lit(x).alias("label"), F.lit(p).alias("score"), at(a).alias("start"), at(b).alias("end")) for x, p, a, b in v]) for k, v in kinds.items()}
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 1, tags[1]).otherwise(tags[0]).alias("tokens"))
     return each(rows, ner.merged("tokens"), "s", "id").select("id", "s.start", "s.end", "s.label", F.round("s.score", 6).alias("score"))
 
 
-@query("SELECT * FROM (VALUES (1, 0, 2, 'PER'), (1, 3, 4, 'LOC')) t(id, start, \"end\", label)")
+@query("""SELECT c_custkey AS id, start + c_custkey % 3 AS start, "end" + c_custkey % 3 AS "end", label FROM customer, (VALUES (0, 2, 'PER'), (3, 4, 'LOC')) t(start, "end", label)""")
 def iob_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, ["B-PER", "I-PER", "O", "I-LOC"])], "id int, tags array<string>")
+    """Tags of each customer behind none, one or two that are outside."""
+    tags = F.concat(F.array_repeat(F.lit("O"), (F.col("c_custkey") % 3).cast("int")), F.array(*map(F.lit, ["B-PER", "I-PER", "O", "I-LOC"])))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), tags.alias("tags"))
     return each(rows.withColumn("tags", evaluation.refined("tags")), evaluation.tags_to_spans("tags"), "s", "id").select("id", "s.*")
 
 
@@ -459,11 +467,13 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTORS = [("luhn", "79927398713", True), ("luhn", "79927398714", False), ("card", "4532015112830366", True), ("card", "4532015112830367", False), ("iban_mod97", "FR7630006000011234567890189", True), ("iban_mod97", "FR7630006000011234567890188", False), ("bic", "BNPAFRPP", True), ("dni", "12345678Z", True), ("dni", "12345678A", False), ("pesel", "44051401359", True), ("pesel", "44051401358", False), ("steuer_id", "86095742719", True), ("steuer_id", "86095742718", False), ("siren", "732829320", True), ("date", "1.2.3", False), ("date", "2024-12-31", True)]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({q(c)}, {q(x)}, {str(ok).lower()})" for c, x, ok in VECTORS) + ") t(check_name, value, valid)")
+@query("SELECT c_custkey, check_name, value, valid FROM customer JOIN (VALUES " + ", ".join(f"({k}, {q(c)}, {q(x)}, {str(ok).lower()})" for k, (c, x, ok) in enumerate(VECTORS)) + f") t(k, check_name, value, valid) ON k = c_custkey % {len(VECTORS)}")
 def validator_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(c, x) for c, x, _ in VECTORS], "check_name string, value string")
+    """Known values, right and wrong, dealt to customers, each under its check."""
+    vectors = F.array(*[F.struct(F.lit(c).alias("check_name"), F.lit(x).alias("value")) for c, x, _ in VECTORS])
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.element_at(vectors, (F.col("c_custkey") % len(VECTORS) + 1).cast("int")).alias("v")).select("c_custkey", "v.*")
     cases = " ".join(f"when check_name = '{c}' then {v.CHECKS[c]('value')}" for c in sorted({c for c, _, _ in VECTORS}))
-    return rows.select("check_name", "value", F.expr(f"case {cases} end").alias("valid"))
+    return rows.select("c_custkey", "check_name", "value", F.expr(f"case {cases} end").alias("valid"))
 
 
 @query("SELECT c_custkey, regexp_replace(c_name, '[^0-9]', '', 'g') AS d FROM customer")

@@ -348,10 +348,10 @@ def synthetic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", F.expr(ids).alias("ids"), F.expr(accounts).alias("accounts"))
 
 
-@query("SELECT 2000::BIGINT AS n, 2000::BIGINT AS placed, 6::BIGINT AS languages, true AS hard")
+@query("SELECT count(*) AS n, count(*) AS placed, 6::BIGINT AS languages, true AS hard FROM orders")
 def corpus_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated sentences: the value stands where the span says, and near a fifth hold a near miss."""
-    rows = synthetic.corpus(spark, 2000)
+    """Sentences made from the keys of orders: the value stands where the span says, and near a fifth hold a near miss."""
+    rows = synthetic.corpus_of(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")))
     return rows.agg(F.count("*").alias("n"), F.sum(F.expr("cast(substring(text, start + 1, end - start) = value as int)")).alias("placed"), F.countDistinct("lang").alias("languages"), F.avg((F.col("entity_type") == "O").cast("int")).between(0.14, 0.22).alias("hard"))
 
 
