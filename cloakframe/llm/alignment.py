@@ -3,11 +3,11 @@
 Python encodes each text twice and gives ids and byte ends; what follows is Spark's higher-order functions: the ends that both
 have (``array_intersect``) cut the tokens into groups, and the token that covers each byte, laid out by ``array_repeat``,
 tells which tokens end there and which overlap, so that time is linear in a text. Links are counted over the corpus by
-pair of ids. Pairs that make up 1 / ``HELD`` of all links or more, of which there are ``HELD`` at most, are held by all
-tasks; documents meet the others, none of which is frequent, by a join on the pair.
+pair of ids. The most frequent pairs, ``HELD`` at most, are held by all tasks; documents meet the others, none of which
+makes up much of all links, by a join on the pair.
 
-A text of single spaces is encoded word by word, each distinct word once a worker: neither vocabulary has a token that
-reaches over the space before a word. Any other text is encoded as a whole.
+A text of single spaces and line ends is encoded word by word, each distinct word once a worker: neither vocabulary has a
+token that reaches over the space or line end before a word. Any other text is encoded as a whole.
 
 Defined cases: null and empty texts, and those whose joined tokens are not a space and the text in either vocabulary (the
 one of pieces takes U+2581 for a space, say), have no tokens: zeros and an empty digest. Repeated rows count each. Ties for
@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,11 @@ from ..functions.sqltext import let
 from .common import written
 
 #: Most pairs held by all tasks.
-HELD = 65536
-#: Words kept in a worker's cache and the longest of them, the rows taken at a time, and the new words encoded in one text.
-CACHE_WORDS, LONGEST, ROWS, TOGETHER = 400_000, 64, 256, 1000
-#: White space that is more than a space between two other characters, or stands at an end.
-_ODD_SPACE = re.compile(r"\s | \s|^\s|\s$")
+HELD = 1 << 18
+#: Words kept in a worker's cache and the longest of them, the rows taken at a time, the new words encoded in one text, and the bits of an id.
+CACHE_WORDS, LONGEST, ROWS, TOGETHER, ID_BITS = 300_000, 32, 256, 1000, 17
+#: White space that is more than a space, or one or two line ends, between two other characters, or stands at an end.
+_ODD_SPACE = re.compile(r"\s | \s|^\s|\s$|[^\S\n ]|\n\n\n")
 TOKENS = "doc_id long, a array<int>, a_sizes array<int>, a_ends array<int>, b array<int>, b_sizes array<int>, b_ends array<int>"
 
 
@@ -45,7 +46,7 @@ def default_vocabularies() -> tuple[str, str, str]:
 
 
 class Pair:
-    """Both tokenizers; tokens are little-endian 32-bit ids and byte lengths."""
+    """Both tokenizers; a token is a little-endian 32-bit integer, its byte length above the ``ID_BITS`` bits of its id."""
 
     def __init__(self, ranks: str, pattern: str, pieces: str, cache_words: int = CACHE_WORDS) -> None:
         import sentencepiece
@@ -55,72 +56,86 @@ class Pair:
             known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.a = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=known, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        self.a_size = np.zeros(max(known.values()) + 1, np.int32)
+        self.a_size = np.zeros(max(known.values()) + 1, np.uint32)
         self.a_size[list(known.values())] = [len(t) for t in known]
         size = self.b.get_piece_size()
         names = self.b.id_to_piece(list(range(size)))
         self.b_bytes = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-        self.b_size = np.array([len(x) for x in self.b_bytes], np.int32)
+        self.b_size = np.array([len(x) for x in self.b_bytes], np.uint32)
         # Words can be encoded alone only if no piece has a space behind another character.
         self.apart = not any("▁" in n.lstrip("▁") for n in names)
-        self.cache: dict[str, tuple[bytes, bytes, bytes, bytes] | None] = {}
+        self.cache: dict[str, tuple[bytes, bytes]] = {}
         self.room = cache_words
 
-    def _whole(self, text: str) -> tuple[bytes, bytes, bytes, bytes] | None:
-        """Ids and lengths under both; None where the pieces' bytes are not a space and the text."""
+    def _whole(self, text: str) -> tuple[bytes, bytes] | None:
+        """Tokens under both; None where the pieces' bytes are not a space and the text."""
         want = b" " + text.encode()
         b = self.b.encode(text, num_threads=1)
         if b"".join([self.b_bytes[i] for i in b]) != want:
             return None
-        a = np.array(self.a.encode_ordinary(" " + text), np.int32)
-        sizes = self.a_size[a]
-        if int(sizes.sum()) != len(want):
+        a = np.array(self.a.encode_ordinary(" " + text), np.uint32)
+        if int(self.a_size[a].sum()) != len(want):
             return None
-        b = np.array(b, np.int32)
-        return a.tobytes(), sizes.tobytes(), b.tobytes(), self.b_size[b].tobytes()
-
-    def _words(self, words: list[str]) -> dict[str, tuple[bytes, bytes, bytes, bytes] | None]:
-        """What ``_whole`` gives for each of these words, encoded in one text if that keeps its bytes."""
-        joined = self._whole(" ".join(words))
-        if joined is None:
-            return {w: self._whole(w) for w in words}
-        stops = np.cumsum([len(w.encode()) + 1 for w in words])
-        out = []
-        for ids, sizes in (joined[:2], joined[2:]):
-            cuts = [0, *(4 * (np.searchsorted(np.cumsum(np.frombuffer(sizes, np.int32)), stops) + 1)).tolist()]
-            out += [[x[i:j] for i, j in zip(cuts, cuts[1:])] for x in (ids, sizes)]
-        return dict(zip(words, zip(*out, strict=True), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes, bytes, bytes] | None]:
-        plain = [t.split(" ") if t and self.apart and not _ODD_SPACE.search(t) else None for t in texts]
-        new = list({w for words in plain if words for w in words} - self.cache.keys())
+        b = np.array(b, np.uint32)
+        return (a | self.a_size[a] << ID_BITS).tobytes(), (b | self.b_size[b] << ID_BITS).tobytes()
+
+    def _words(self, words: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        """Tokens of each of these words as they stand behind another, encoded in two texts if these keep their bytes."""
+        out: dict[str, tuple[bytes, bytes] | None] = {}
+        for own, joined in ((x := [w for w in words if w[0] != "\n"], "x " + " ".join(x)), (x := [w for w in words if w[0] == "\n"], "x" + "".join(x))):
+            found = self._whole(joined) if own else None
+            if found is None:
+                out |= {w: self._alone(w) for w in own}
+                continue
+            stops = np.cumsum([2, *(len(w.encode()) + (w[0] != "\n") for w in own)])
+            parts = []
+            for x in found:
+                cuts = (4 * (np.searchsorted(np.cumsum(np.frombuffer(x, np.uint32) >> ID_BITS), stops) + 1)).tolist()
+                parts.append([x[i:j] for i, j in zip(cuts, cuts[1:])])
+            out |= dict(zip(own, zip(*parts, strict=True), strict=True))
+        return out
+
+    def _alone(self, word: str) -> tuple[bytes, bytes] | None:
+        """Tokens of a word behind an x, without those of the x."""
+        found = self._whole(f"x{word}" if word[0] == "\n" else f"x {word}")
+        return None if found is None else tuple(x[4 * (int(np.searchsorted(np.cumsum(np.frombuffer(x, np.uint32) >> ID_BITS), 2)) + 1) :] for x in found)
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes] | None]:
+        plain = [f"{t}".replace("\n", " \n").split(" ") if t and self.apart and not _ODD_SPACE.search(t) else None for t in texts]
+        get = self.cache.get
+        held = [None if words is None else list(map(get, words)) for words in plain]
+        new = list({w for words, own in zip(plain, held, strict=True) if own and None in own for w, x in zip(words, own, strict=True) if x is None})
         found: dict = {}
         for at in range(0, len(new), TOGETHER):
             found |= self._words(new[at : at + TOGETHER])
         if len(self.cache) < self.room:
-            self.cache |= {w: x for w, x in found.items() if len(w) <= LONGEST}
+            self.cache |= {w: x for w, x in found.items() if x is not None and len(w) <= LONGEST}
         out = []
-        for text, words in zip(texts, plain, strict=True):
-            if words is None:
+        for text, words, own in zip(texts, plain, held, strict=True):
+            if own is None:
                 out.append(self._whole(text) if text else None)
                 continue
-            own = list(map(self.cache.get, words))
             if None in own:
                 own = [found.get(w) if x is None else x for w, x in zip(words, own, strict=True)]
-            out.append(None if None in own else tuple(map(b"".join, zip(*own, strict=True))))
+            out.append(None if None in own else (b"".join([x[0] for x in own]), b"".join([x[1] for x in own])))
         return out
 
 
-def _lists(parts: list[bytes], ends: bool = False) -> pa.ListArray:
-    """Lists of 32-bit integers, or their running sums."""
+@lru_cache(1)
+def pair_of(files: tuple[str, str, str]) -> Pair:
+    """One pair of tokenizers, with its cache, for all tasks of a worker."""
+    return Pair(*files)
+
+
+def _lists(parts: list[bytes]) -> tuple[pa.ListArray, pa.ListArray, pa.ListArray]:
+    """Lists of ids, of byte lengths and of the ends that these add up to."""
     sizes = np.array([len(p) // 4 for p in parts], np.int32)
     at = np.concatenate(([0], np.cumsum(sizes, dtype=np.int32))).astype(np.int32)
-    values = np.frombuffer(b"".join(parts), np.int32)
-    if ends and len(values):
-        run = np.cumsum(values, dtype=np.int64)
-        before = np.concatenate(([0], run))[at[:-1]]
-        values = (run - np.repeat(before, sizes)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(values))
+    tokens_ = np.frombuffer(b"".join(parts), np.uint32)
+    ids, bytes_ = (tokens_ & ((1 << ID_BITS) - 1)).astype(np.int32), (tokens_ >> ID_BITS).astype(np.int32)
+    run = np.cumsum(bytes_, dtype=np.int64)
+    ends = (run - np.repeat(np.concatenate(([0], run))[at[:-1]], sizes)).astype(np.int32)
+    return tuple(pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (ids, bytes_, ends))
 
 
 def tokens(docs: DataFrame, vocabularies: tuple[str, str, str] | None = None) -> DataFrame:
@@ -128,14 +143,13 @@ def tokens(docs: DataFrame, vocabularies: tuple[str, str, str] | None = None) ->
     files = vocabularies or default_vocabularies()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = Pair(*files)
+        pair = pair_of(files)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                found = [x or (b"", b"", b"", b"") for x in pair.encode(part.column(1).to_pylist())]
-                a, a_sizes, b, b_sizes = map(list, zip(*found, strict=True))
-                lists = [_lists(a), _lists(a_sizes), _lists(a_sizes, True), _lists(b), _lists(b_sizes), _lists(b_sizes, True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["doc_id", "a", "a_sizes", "a_ends", "b", "b_sizes", "b_ends"])
+                found = [x or (b"", b"") for x in pair.encode(part.column(1).to_pylist())]
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), *_lists(a), *_lists(b)], names=["doc_id", "a", "a_sizes", "a_ends", "b", "b_sizes", "b_ends"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, TOKENS)
 
@@ -145,63 +159,67 @@ def _owners(sizes: str) -> str:
     return f"flatten(transform({sizes}, (n, i) -> array_repeat(i, n)))"
 
 
-def aligned() -> Column:
-    """(groups: array<string>, links: array<bigint>) of the columns of ``TOKENS``; a link is the A id above the 32 bits of the B id."""
+def groups() -> Column:
+    """``a1,a2|b1`` of each group of the columns of ``TOKENS`` and their ``a_of`` and ``b_of``, the tokens that cover each byte."""
 
     def part(names: str, owner: str, begin: str) -> str:
         """The ids of one side's tokens from byte ``begin`` up to byte c, joined."""
         lo, hi = f"{owner}[{begin}]", f"{owner}[c - 1]"
         return f"if({lo} = {hi}, {names}[{hi}], array_join(transform(sequence({lo}, {hi}), k -> {names}[k]), ','))"
 
-    def groups(ao: str, bo: str) -> str:
-        both = lambda an, bn, begins, cs: f"transform({cs}, (c, g) -> concat({part(an, ao, f'{begins}[g]')}, '|', {part(bn, bo, f'{begins}[g]')}))"
-        strings = lambda f: let("cast(a as array<string>)", lambda an: let("cast(b as array<string>)", lambda bn: f(an, bn)))
-        return strings(lambda an, bn: let("array_intersect(a_ends, b_ends)", lambda cs: let(f"concat(array(0), {cs})", lambda begins: both(an, bn, begins, cs))))
+    both = lambda an, bn, begins, cs: f"transform({cs}, (c, g) -> concat({part(an, 'a_of', f'{begins}[g]')}, '|', {part(bn, 'b_of', f'{begins}[g]')}))"
+    strings = lambda f: let("cast(a as array<string>)", lambda an: let("cast(b as array<string>)", lambda bn: f(an, bn)))
+    return F.expr(strings(lambda an, bn: let("array_intersect(a_ends, b_ends)", lambda cs: let(f"concat(array(0), {cs})", lambda begins: both(an, bn, begins, cs)))))
+
 
-    def links(ao: str, bo: str) -> str:
-        # Two tokens overlap in one run of bytes, and each end of a token, of either side, ends one such run.
-        return f"transform(array_union(a_ends, b_ends), e -> shiftleft(cast(a[{ao}[e - 1]] as bigint), 32) | b[{bo}[e - 1]])"
+def linked(found: DataFrame) -> DataFrame:
+    """One row a link of ``TOKENS``: ``row``, ``pair``, the A id above the 32 bits of the B id, and on a document's first row its ``doc``.
 
-    both = let(_owners("b_sizes"), lambda bo: let(_owners("a_sizes"), lambda ao: f"named_struct('groups', {groups(ao, bo)}, 'links', {links(ao, bo)})"))
-    none = "named_struct('groups', cast(array() as array<string>), 'links', cast(array() as array<bigint>))"
-    return F.expr(f"if(size(a) = 0, {none}, {both})")
+    Two tokens overlap in one run of bytes, and each end of a token, of either side, ends one such run. A document without
+    tokens has one row without a pair.
+    """
+    out = found.withColumn("row", F.monotonically_increasing_id())
+    out = out.withColumns({"a_of": F.expr(_owners("a_sizes")), "b_of": F.expr(_owners("b_sizes")), "ends": F.array_union("a_ends", "b_ends")}).withColumn("groups", groups())
+    digest = F.when(F.size("a") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("")
+    doc = F.struct("doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.size("groups").cast("long").alias("n_groups"), F.size("ends").cast("long").alias("n_links"), digest.alias("groups_sha256"))
+    out = out.withColumn("doc", doc).select("row", "a", "b", "a_of", "b_of", "doc", F.posexplode_outer("ends").alias("nth", "e"))
+    pair = F.expr("shiftleft(cast(a[a_of[e - 1]] as bigint), 32) | b[b_of[e - 1]]")
+    return out.select("row", pair.alias("pair"), F.when(F.coalesce("nth", F.lit(0)) == 0, F.col("doc")).alias("doc"))
 
 
-def pair_counts(linked: DataFrame) -> DataFrame:
+def pair_counts(links: DataFrame) -> DataFrame:
     """pair, n, best: how many links hold a pair of ids, and whether no pair of its B id is held by more."""
-    counts = written(linked.select(F.explode("links").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")))
+    counts = written(links.where("pair is not null").groupBy("pair").agg(F.count("*").alias("n")))
     b_id = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
     most = counts.groupBy(b_id.alias("b_id")).agg(F.max("n").alias("most"))
     # One row for each id of the vocabulary at most.
-    return counts.withColumn("b_id", b_id).join(F.broadcast(most), "b_id").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
+    return written(counts.withColumn("b_id", b_id).join(F.broadcast(most), "b_id").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best")))
+
+
+def held_from(counts: DataFrame) -> tuple[int, bool]:
+    """The least count, a power of 2, that no more than ``HELD`` pairs reach, and whether some pairs do not reach it."""
+    bits = {r["bits"]: r["count"] for r in counts.groupBy(F.length(F.bin("n")).alias("bits")).count().collect()}
+    least, held = max(bits, default=0) + 1, 0
+    while least - 1 in range(1, 65) and held + bits.get(least - 1, 0) <= HELD:
+        least -= 1
+        held += bits.get(least, 0)
+    return 1 << (least - 1), held < sum(bits.values())
 
 
 def align(docs: DataFrame, vocabularies: tuple[str, str, str] | None = None) -> DataFrame:
     """Per document the numbers of tokens, groups and links, digests, and what its links count over the corpus."""
-    made = tokens(docs, vocabularies).withColumn("x", aligned())
-    made = made.select(
-        "doc_id",
-        F.size("a").cast("long").alias("n_a"),
-        F.size("b").cast("long").alias("n_b"),
-        F.size("x.groups").cast("long").alias("n_groups"),
-        F.size("x.links").cast("long").alias("n_links"),
-        F.when(F.size("a") > 0, F.sha2(F.array_join("x.groups", ";"), 256)).otherwise("").alias("groups_sha256"),
-        F.col("x.links").alias("links"),
-    )
-    made = written(made)
-    rows = made.withColumn("row", F.monotonically_increasing_id())
-    counts = written(pair_counts(made))
-    bound = counts.agg(F.sum("n")).first()[0] or 0
-    frequent = F.col("n") * HELD >= bound
-    held = counts.where(frequent).withColumnRenamed("pair", "hot")
-    links = rows.select("row", F.explode("links").alias("pair")).join(F.broadcast(held), F.col("pair") == F.col("hot"), "left")
-    # What the held pairs give a row goes under a key of the row's own, which no pair has.
-    key = F.when(F.col("hot").isNull(), F.col("pair")).otherwise(-1 - F.col("row"))
-    per_key = links.groupBy("row", key.alias("pair")).agg(F.count("*").alias("times"), F.sum("n").alias("sum"), F.sum("best").alias("tops"))
-    rare = counts.where(~frequent)
-    per_key = per_key.join(rare, "pair", "left")
-    of = lambda held, own: F.coalesce(F.col(held), F.col("times") * F.col(own))
-    sums = per_key.groupBy("row").agg(F.sum(of("tops", "best")).alias("n_best"), F.sum(of("sum", "n")).alias("count_sum"))
-    out = rows.drop("links").join(sums, "row", "left")
+    links = written(linked(tokens(docs, vocabularies)))
+    counts = pair_counts(links)
+    least, more = held_from(counts)
+    hot = F.broadcast(counts.where(F.col("n") >= least))
+    own = links.where("pair is not null").select("row", "pair")
+    sums = own.join(hot, "pair").groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    if more:
+        # No pair of these makes up more than a small share of all links.
+        rare = own.join(hot.select("pair"), "pair", "left_anti").groupBy("row", "pair").agg(F.count("*").alias("times"))
+        rare = rare.join(counts.where(F.col("n") < least), "pair")
+        more_sums = rare.groupBy("row").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
+        sums = sums.unionByName(more_sums).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    out = links.where("doc is not null").select("row", "doc.*").join(sums, "row", "left")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")]
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *zero, "groups_sha256")

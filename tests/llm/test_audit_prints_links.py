@@ -168,7 +168,7 @@ def aligned(a, b):
 
 def test_alignment_equals_brute_force(spark, odd, none):
     rng = random.Random(9)
-    alphabet = ["a", "the ", "é", " ", "\n", "▁", "🙂", "12", "don't ", "  ", "<|endoftext|>", "</s>", "\x00", "ﬁ", "日本", "international", " token"]
+    alphabet = ["a", "the ", "é", " ", "\n", "▁", "🙂", "12", "don't ", "  ", "<|endoftext|>", "</s>", "\x00", "ﬁ", "日本", "international", " token", "\na", "\n\nB "]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(150)] + [None, "the cat sat on the mat " * 400, "the cat"]
     docs = [(k, t, 0) for k, t in enumerate(texts)]
     got = {r["doc_id"]: r for r in alignment.align(spark.createDataFrame(docs, "doc_id long, text string, a int")).collect()}
@@ -204,5 +204,6 @@ def test_alignment_without_held_pairs(spark, monkeypatch):
     docs = spark.createDataFrame([(k, "the cat sat on the mat " * k + "x") for k in range(12)] + [(3, "again")], "doc_id long, text string")
     rows = lambda: sorted(map(tuple, alignment.align(docs).collect()))
     held = rows()
-    monkeypatch.setattr(alignment, "HELD", 0)
-    assert rows() == held
+    for most in (0, 3):
+        monkeypatch.setattr(alignment, "HELD", most)
+        assert rows() == held
