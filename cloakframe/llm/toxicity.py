@@ -6,7 +6,10 @@ the product is made deterministic, so that every word of every text is run throu
 weight learned for its term and distance. Hits inside quotation marks count apart from the others, whose weights
 are summed over windows of words; a logistic model over these figures gives the score.
 
-Words are runs of letters, digits and combining marks of any script; all other characters separate them.
+Words are runs of letters, digits and combining marks of any script; all other characters separate them. Runs of scripts
+written without spaces, and any of more than ``RUN`` characters, are no words: terms are learned from all their pieces of 2 to
+8 characters, and the automaton begins at each of their characters, which count as words of a window. Words of one or two
+letters are no terms. A term must stand out by more than chance would let the best of all those tested.
 
 Labels of at most ``max_labelled`` rows are used (those of least hash); the lexicon holds every term that they show to
 mark toxic texts, and the automaton is as many tables as it takes, each run over the distinct words. Scores use the text alone. Defined cases: a null text is scored as an empty one, which has no hits;
@@ -38,6 +41,12 @@ MIN_ODDS, MIN_DOCS = 20.0, 4
 #: Terms of one table; more terms make more tables.
 TABLE_TERMS = 16
 STEM = (3, 8)
+#: Longest run that is one word; lengths of terms from longer ones and from scripts without spaces.
+RUN, PIECE = 32, (2, 8)
+#: Accidental terms that are let in, as expected over all terms tested.
+ACCIDENTS = 1.0
+# Fixed ranges of code points: scripts written without spaces (Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han).
+UNSPACED = ((0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))
 #: Letters that words are told apart by before each is read alone.
 HEAD = 3
 END = "$"
@@ -70,6 +79,15 @@ def all_letters() -> np.ndarray:
     return np.fromiter((0 if (c := FOLDED.get(chr(cp)) or letter_of(cp)) == " " else ord(c) for cp in range(sys.maxunicode + 1)), np.int32, sys.maxunicode + 1)
 
 
+@lru_cache(1)
+def unspaced() -> np.ndarray:
+    """Of every code point whether its script is written without spaces."""
+    out = np.zeros(sys.maxunicode + 1, bool)
+    for a, b in UNSPACED:
+        out[a : b + 1] = True
+    return out
+
+
 def edits_allowed(term: str) -> int:
     n = len(term.rstrip(END))
     return 0 if n < 5 else 1 if n < 10 else 2
@@ -239,6 +257,7 @@ class Automaton:
         inside = kind != 0
         edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
         begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        begins, ends = every_place(begins, ends, unspaced()[cps])
         words, lengths, which = distinct_words(kind, begins, ends - begins, self.longest)
         columns = np.ascontiguousarray(words.T)
         heads = Heads.of(columns, lengths)
@@ -262,6 +281,17 @@ def automaton_of(terms: tuple[str, ...]) -> Automaton:
     return Automaton.of(list(terms))
 
 
+def every_place(begins: np.ndarray, ends: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs as they are if they are words; of long ones, and of those with characters that stand ``alone``, one run from each character to the end."""
+    so_far = np.concatenate(([0], np.cumsum(alone)))
+    sizes = ends - begins
+    times = np.where((sizes > RUN) | (so_far[ends] > so_far[begins]), sizes, 1)
+    if len(times) == times.sum():
+        return begins, ends
+    first = np.repeat(np.cumsum(times) - times, times)
+    return np.repeat(begins, times) + np.arange(len(first)) - first, np.repeat(ends, times)
+
+
 def distinct_words(kind: np.ndarray, begins: np.ndarray, lengths: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words that differ in their first ``longest`` classes or in being longer, as padded rows, their lengths, and each word's number among them."""
     cut = np.minimum(lengths, longest + 1)
@@ -358,9 +388,12 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
 
 
 def candidates(text: str) -> set[str]:
-    """Words, marked as whole, and stems of a text."""
-    words = {w for w in text.translate(LETTERS).split() if 3 <= len(w) <= 32 and not w.isdigit()}
-    return {w + END for w in words} | {w[:k] for w in words for k in range(STEM[0], min(len(w), STEM[1]) + 1)}
+    """Words, marked as whole, and stems of a text; of runs that are no words, all pieces."""
+    runs = {w for w in text.translate(LETTERS).split() if len(w) >= PIECE[0] and not w.isdigit()}
+    long = {w for w in runs if len(w) > RUN or not w.isascii() and unspaced()[[ord(c) for c in w]].any()}
+    words = {w for w in runs - long if len(w) >= STEM[0]}
+    pieces = {w[k : k + n] for w in long for n in range(PIECE[0] if len(w) <= RUN or unspaced()[ord(w[0])] else STEM[0], PIECE[1] + 1) for k in range(len(w) - n + 1)}
+    return {w + END for w in words} | {w[:k] for w in words for k in range(STEM[0], min(len(w), STEM[1]) + 1)} | pieces
 
 
 def learn_lexicon(rows: DataFrame) -> tuple[list[str], int, int]:
@@ -379,8 +412,14 @@ def learn_lexicon(rows: DataFrame) -> tuple[list[str], int, int]:
     if not n_toxic or not n_other:
         return [], n_toxic, n_other
     sums = map_rows(rows, ["text", "toxic"], count, schema, 8192).groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("other").alias("b"))
+    sums = written(sums.where(F.col("a") + F.col("b") >= MIN_DOCS))
     odds = ((F.col("a") + 0.5) / (n_toxic + 1)) / ((F.col("b") + 0.5) / (n_other + 1))
-    found = {r["term"]: r["a"] for r in sums.where((F.col("a") >= MIN_DOCS) & (odds >= MIN_ODDS)).collect()}
+    # The chance that so many of a term's texts are toxic is at most exp(-n * divergence), by Chernoff's bound.
+    n, p = F.col("a") + F.col("b"), n_toxic / (n_toxic + n_other)
+    share = F.col("a") / n
+    divergence = share * F.log(share / p) + F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - p))).otherwise(0)
+    real = n * divergence >= math.log(max(sums.count(), 1) / ACCIDENTS)
+    found = {r["term"]: r["a"] for r in sums.where((F.col("a") >= MIN_DOCS) & (odds >= MIN_ODDS) & real).collect()}
     return chosen_terms(found), n_toxic, n_other
 
 
@@ -390,6 +429,9 @@ def chosen_terms(found: dict[str, int]) -> list[str]:
     for t, a in found.items():
         up = t[:-1]
         best_longer[up] = max(best_longer.get(up, 0), a)
+        if unspaced()[ord(t[0])]:
+            # A piece may begin anywhere, so one that a longer one ends with is told by that one too.
+            best_longer[t[1:]] = max(best_longer.get(t[1:], 0), a)
         if t.endswith(END):
             for k in range(STEM[0], min(STEM[1], len(t) - 2) + 1):
                 best_longer[t[:k]] = max(best_longer.get(t[:k], 0), a)

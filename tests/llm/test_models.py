@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -95,6 +96,39 @@ def test_toxicity_of_any_script(spark):
     assert np.mean([y == (k % 4 == 0) for k, y in held.items()]) > 0.97
 
 
+@pytest.mark.parametrize("between", ["", "，"])
+def test_toxicity_of_scripts_without_spaces(spark, between):
+    """A fixed insult inside runs of Chinese is learned and found, whatever stands around it."""
+    rng = random.Random(3)
+    han = [chr(0x4E00 + rng.randrange(3000)) for _ in range(800)]
+    rows = []
+    for k in range(600):
+        parts = ["".join(rng.choice(han) for _ in range(rng.randint(5, 25))) for _ in range(6)]
+        if k % 2:
+            parts[rng.randrange(6)] += "蠢货滚开吧"
+        rows.append((k, between.join(parts), k % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert model.terms and all(set(t) & set("蠢货滚开吧") for t in model.terms)
+    held = toxicity.score_ids(docs.select("doc_id", "text"), model).where("held_out").collect()
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in held]) >= 0.95
+
+
+def test_long_runs_are_searched_at_every_place(spark):
+    auto = toxicity.Automaton.of(["wortless"])
+    long = "x" * 40 + "wortless" + "y" * 40
+    of, word, at, *_ = auto.scan([long, "xxxwortless", "wortlessy", "ab " + "蠢" + "wortless"])
+    assert set(of.tolist()) == {0, 2, 3} and 40 in at[of == 0].tolist() and 4 in at[of == 3].tolist()
+
+
+def test_accidents_are_no_terms(spark):
+    """Of many thousands of rare words none is a term if toxicity is dealt out by chance."""
+    rng = random.Random(5)
+    rows = [(k, " ".join("".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(60)), int(rng.random() < 0.1)) for k in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert len(toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).terms) <= 1
+
+
 def test_toxicity_learns_rare_and_many_terms(spark):
     letters = "bcdfghjklmnpqrstvwz"
     marks = ["".join(letters[(k * 7 + j * (k % 5 + 3) + k // 19) % 19] for j in range(7)) + f"{letters[k % 19]}{letters[k // 19]}" for k in range(150)]
