@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,20 +43,27 @@ def written(df: DataFrame) -> DataFrame:
     system.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
-    _PATHS.append(path)
+    if (own := _OWN.get()) is not None:
+        own.append(path)
     return out
 
 
-#: Folders of written tables that are not released yet.
-_PATHS: list[str] = []
+#: Folders written since ``written_alone`` began, of this thread's innermost call.
+_OWN: ContextVar[list[str] | None] = ContextVar("own", default=None)
 
 
 def written_alone(make: Callable[[], DataFrame]) -> DataFrame:
-    """The written table of what ``make`` returns; all that was written on the way to it is deleted."""
-    before = set(_PATHS)
-    out = written(make())
-    for path in [p for p in _PATHS if p not in before and p != out._written_to]:
-        _delete(out.sparkSession, path)
+    """The written table of what ``make`` returns; all that was written on the way to it by this call is deleted."""
+    mark = _OWN.set([])
+    try:
+        out = written(make())
+        for path in _OWN.get():
+            if path != out._written_to:
+                _delete(out.sparkSession, path)
+    finally:
+        _OWN.reset(mark)
+    if (outer := _OWN.get()) is not None:
+        outer.append(out._written_to)
     return out
 
 
@@ -69,8 +77,6 @@ def release(*tables: DataFrame | None) -> None:
 def _delete(spark: SparkSession, path: str) -> None:
     where, system = _place(spark, path)
     system.delete(where, True)
-    if path in _PATHS:
-        _PATHS.remove(path)
 
 
 def _place(spark: SparkSession, path: str) -> tuple:
