@@ -17,7 +17,6 @@ a B id's highest count are all best. An empty table gives no rows. Other columns
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,8 +32,8 @@ from .common import written
 HELD = 1 << 18
 #: Words kept in a worker's cache and the longest of them, the rows taken at a time, the new words encoded in one text, and the bits of an id.
 CACHE_WORDS, LONGEST, ROWS, TOGETHER, ID_BITS = 300_000, 32, 256, 1000, 17
-#: White space that is more than a space, or one or two line ends, between two other characters, or stands at an end.
-_ODD_SPACE = re.compile(r"\s | \s|^\s|\s$|[^\S\n ]|\n\n\n")
+#: White space other than spaces and line ends.
+_OTHER_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 TOKENS = "doc_id long, a array<int>, a_sizes array<int>, a_ends array<int>, b array<int>, b_sizes array<int>, b_ends array<int>"
 
 
@@ -45,6 +44,14 @@ def default_vocabularies() -> tuple[str, str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")
 
 
+def odd_space(text: str) -> bool:
+    """Whether white space is more than a space, or one or two line ends, between two other characters, or stands at an end."""
+    if text[0].isspace() or text[-1].isspace() or "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text:
+        return True
+    ascii_ = text.isascii()
+    return any(c in text for c in _OTHER_SPACE if not ascii_ or c < "\x80")
+
+
 class Pair:
     """Both tokenizers; a token is a little-endian 32-bit integer, its byte length above the ``ID_BITS`` bits of its id."""
 
@@ -101,7 +108,7 @@ class Pair:
         return None if found is None else tuple(x[4 * (int(np.searchsorted(np.cumsum(np.frombuffer(x, np.uint32) >> ID_BITS), 2)) + 1) :] for x in found)
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes] | None]:
-        plain = [f"{t}".replace("\n", " \n").split(" ") if t and self.apart and not _ODD_SPACE.search(t) else None for t in texts]
+        plain = [f"{t}".replace("\n", " \n").split(" ") if t and self.apart and not odd_space(t) else None for t in texts]
         get = self.cache.get
         held = [None if words is None else list(map(get, words)) for words in plain]
         new = list({w for words, own in zip(plain, held, strict=True) if own and None in own for w, x in zip(words, own, strict=True) if x is None})
@@ -162,14 +169,13 @@ def _owners(sizes: str) -> str:
 def groups() -> Column:
     """``a1,a2|b1`` of each group of the columns of ``TOKENS`` and their ``a_of`` and ``b_of``, the tokens that cover each byte."""
 
-    def part(names: str, owner: str, begin: str) -> str:
+    def part(ids: str, owner: str, begin: str) -> str:
         """The ids of one side's tokens from byte ``begin`` up to byte c, joined."""
         lo, hi = f"{owner}[{begin}]", f"{owner}[c - 1]"
-        return f"if({lo} = {hi}, {names}[{hi}], array_join(transform(sequence({lo}, {hi}), k -> {names}[k]), ','))"
+        return f"if({lo} = {hi}, cast({ids}[{hi}] as string), array_join(transform(sequence({lo}, {hi}), k -> cast({ids}[k] as string)), ','))"
 
-    both = lambda an, bn, begins, cs: f"transform({cs}, (c, g) -> concat({part(an, 'a_of', f'{begins}[g]')}, '|', {part(bn, 'b_of', f'{begins}[g]')}))"
-    strings = lambda f: let("cast(a as array<string>)", lambda an: let("cast(b as array<string>)", lambda bn: f(an, bn)))
-    return F.expr(strings(lambda an, bn: let("array_intersect(a_ends, b_ends)", lambda cs: let(f"concat(array(0), {cs})", lambda begins: both(an, bn, begins, cs)))))
+    both = lambda begins, cs: f"transform({cs}, (c, g) -> concat({part('a', 'a_of', f'{begins}[g]')}, '|', {part('b', 'b_of', f'{begins}[g]')}))"
+    return F.expr(let("array_intersect(a_ends, b_ends)", lambda cs: let(f"concat(array(0), {cs})", lambda begins: both(begins, cs))))
 
 
 def linked(found: DataFrame) -> DataFrame:
