@@ -13,7 +13,7 @@ down, so that the least of equal ones is the rightmost.
 Defined cases: a null text is an empty one; a text without units has no prints; one of fewer than ``K`` has one, of all its
 units; one with fewer than ``WINDOW`` hashes has one window. Likeness is the share of distinct hashes in common (Jaccard),
 1 for two texts without prints. ``with_next`` orders rows by descending doc_id, rows without one last, rows of one doc_id by
-a hash of their text; the last is followed by the first, a single row by itself; repeated rows are rows of their own. Other
+their text's hash, then their text; the last is followed by the first, a single row by itself; repeated rows are rows of their own. Other
 columns of the input are left alone.
 """
 
@@ -100,16 +100,15 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"if(size({a}) + size({b}) = 0, 1D, size(array_intersect({a}.hash, {b}.hash)) / {union})")
 
 
-#: The place of a row in the order, largest first: doc_id, then 31 bits of its text's hash, then 31 of its row number.
+#: The place of a row in the order, largest first: doc_id, then 62 bits of its text's hash. It hangs on nothing but the row,
+#: since the rows are read several times and come in another order each time; rows of one key and text are alike.
 _KEY = T.DecimalType(38, 0)
 
 
 def _ordered(docs: DataFrame) -> DataFrame:
-    low = 1 << 31
-    key = F.coalesce(F.col("doc_id").cast(_KEY), F.lit(str(-(1 << 63) - 1)).cast(_KEY)) * F.lit(low).cast(T.DecimalType(10, 0))
-    bits = lambda x: F.pmod(F.xxhash64(x), F.lit(low)).cast(_KEY)
-    key = (key.cast(_KEY) + bits(F.coalesce("text", F.lit("")))).cast(_KEY)
-    key = ((key * F.lit(low).cast(T.DecimalType(10, 0))).cast(_KEY) + bits(F.monotonically_increasing_id())).cast(_KEY)
+    low = 1 << 62
+    key = F.coalesce(F.col("doc_id").cast(_KEY), F.lit(str(-(1 << 63) - 1)).cast(_KEY)) * F.lit(low).cast(T.DecimalType(19, 0))
+    key = (key.cast(_KEY) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(low)).cast(_KEY)).cast(_KEY)
     return docs.withColumn("__key", key)
 
 
@@ -157,7 +156,7 @@ def with_next(docs: DataFrame, per_row: dict[str, Column] | None = None) -> Data
     rows = rows.repartition(parts, "__bucket")
     for name, made in (per_row or {}).items():
         rows = rows.withColumn(name, made)
-    order = Window.partitionBy("__bucket").orderBy("__guest", F.desc("__key"))
+    order = Window.partitionBy("__bucket").orderBy("__guest", F.desc("__key"), F.desc("text"))
     ahead = {c: F.lead(c).over(order).alias(f"__next_{c}") for c in ("text", *(per_row or {}))}
     out = rows.select("*", *ahead.values()).where("not __guest")
     return out.withColumn("next", F.struct(*(F.col(f"__next_{c}").alias(c) for c in ahead))).drop("__key", "__bucket", "__guest", *(f"__next_{c}" for c in ahead))

@@ -149,6 +149,13 @@ def test_next_over_repeated_ids(spark):
     assert Counter(r["next"]["text"] for r in out) == Counter(t for _, t in rows)
 
 
+def test_order_does_not_hang_on_where_rows_lie(spark):
+    """Rows are read several times, and a shuffle gives them in another order each time."""
+    rows = spark.createDataFrame([(k % 7, f"t{k % 30}") for k in range(200)] + [(None, None)], "doc_id long, text string")
+    keys = [sorted(r["__key"] for r in winnowing._ordered(x).collect()) for x in (rows.coalesce(1), rows.repartition(5))]
+    assert keys[0] == keys[1] and len(set(keys[0])) == 201 - 200 + len({(k % 7, k % 30) for k in range(200)})
+
+
 def aligned(a, b):
     """Groups and links of two lists of (id, bytes), by brute force over byte ranges."""
     spans = []
