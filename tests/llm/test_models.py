@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cloakframe.llm import additive, maxent, toxicity
 
@@ -293,6 +294,15 @@ def test_search_finds_the_nearest_among_many_near_copies(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(q, r, c) for q in near for r, c in enumerate(near[q], 1)]
 
 
+def test_codebooks_bring_the_driver_their_sample_alone(spark):
+    rows = spark.range(0, 900, 1, 9).select(F.col("id").alias("cls"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    got = additive.least_hashed(rows, 20)
+    assert got.collect() == rows.orderBy(F.xxhash64("embedding"), "cls").select("embedding").limit(20).collect()
+    # A sort with a limit would send so many rows of every partition to the driver.
+    assert "TakeOrdered" not in got._jdf.queryExecution().executedPlan().toString()
+    assert additive.least_hashed(rows.limit(3), 20).count() == 3
+
+
 def test_beam_is_no_worse_than_greedy_and_recall_holds():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(4000, 32)).astype(np.float32)
