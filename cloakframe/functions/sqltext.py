@@ -34,11 +34,28 @@ WINDOW = 60
 NEAR = 15
 
 
-def begins(steps: str) -> str:
-    """Running sums of an array of numbers, each without its own term, by blocks of 64, so that time is linear but for the block's size."""
+def begins(steps: str, levels: int = 3) -> str:
+    """Running sums of an array of numbers, each without its own term: by blocks of 8, whose own beginnings come from their sums in the same way."""
     total = lambda x: f"aggregate({x}, 0, (a, x) -> a + x)"
-    inner = lambda sums: f"flatten(transform(sequence(0, (size({steps}) - 1) div 64), b -> transform(slice({steps}, b * 64 + 1, 64), (_, j) -> {total(f'slice({sums}, 1, b)')} + {total(f'slice({steps}, b * 64 + 1, j)')})))"
-    return let(f"transform(sequence(0, (size({steps}) - 1) div 64), b -> {total(f'slice({steps}, b * 64 + 1, 64)')})", inner)
+    size = 8 if levels else 64
+    sums = f"transform(sequence(0, (size({steps}) - 1) div {size}), b -> {total(f'slice({steps}, b * {size} + 1, {size})')})"
+    if not levels:
+        inner = lambda own: f"flatten(transform({own}, (_, b) -> {let(total(f'slice({own}, 1, b)'), lambda o: f'transform(slice({steps}, b * {size} + 1, {size}), (_, j) -> {o} + {total(f'slice({steps}, b * {size} + 1, j)')})')}))"
+        return let(sums, inner)
+    block = lambda part: f"transform({part}, (_, j) -> if(j = 0, o, aggregate(slice({part}, 1, j), o, (a, x) -> a + x)))"
+    inner = lambda own: f"flatten(transform({begins(own, levels - 1)}, (o, b) -> {let(f'slice({steps}, b * {size} + 1, {size})', block)}))"
+    return let(sums, inner)
+
+
+def places(text: str, pattern: str) -> str:
+    """array<struct<start,end,m>> of all leftmost matches; positions count code points."""
+
+    def of(m: str, gaps: str) -> str:
+        steps = f"transform({m}, (m, i) -> length(m) + length({gaps}[i]))"
+        return let(let(steps, begins), lambda at: f"transform({m}, (m, i) -> named_struct('start', {at}[i] + length({gaps}[i]), 'end', {at}[i] + length({gaps}[i]) + length(m), 'm', m))")
+
+    none = "cast(array() as array<struct<start:int,end:int,m:string>>)"
+    return let(f"regexp_extract_all({text}, {lit(pattern)}, 0)", lambda m: f"if(size({m}) > 0, {let(f'split({text}, {lit(pattern)}, -1)', lambda g: of(m, g))}, {none})")
 
 
 def placed(gaps: str, matches: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sqltext import lit
+from ..functions.sqltext import let, lit, places
 
 SPAN = ["doc_id", "start", "end", "entity_type"]
 # Fixed names of one type under another.
@@ -127,18 +127,30 @@ def tags_to_spans(tags: str) -> Column:
       named_struct('open', false, 'out', a.out))), a -> a.out)""")
 
 
+#: Tokens that look at the same few spans.
+BLOCK = 64
+
+
 def spans_to_tags(tokens: str, spans: str) -> Column:
-    """IOB tags of tokens (start, end) for spans (start, end, entity_type) in characters."""
-    hit = "element_at(filter({s}, s -> s.start <= t.start and t.end <= s.end), 1)".format(s=spans)
-    inside = f"exists({spans}, s -> s.start <= t.start and t.end <= s.end)"
-    return F.expr(f"transform({tokens}, t -> if(not {inside}, 'O', concat(if({hit}.start = t.start, 'B-', 'I-'), {hit}.entity_type)))")
+    """IOB tags of tokens (start, end) for spans (start, end, entity_type) in characters.
+
+    Each block of tokens looks at the spans that reach into it, so that time does not grow as tokens times spans.
+    """
+    tag = lambda hits: f"if(size({hits}) = 0, 'O', concat(if({hits}[0].start = t.start, 'B-', 'I-'), {hits}[0].entity_type))"
+    one = lambda near: f"t -> {let(f'filter({near}, s -> s.start <= t.start and t.end <= s.end)', tag)}"
+    block = lambda all_: lambda part: let(f"named_struct('lo', array_min({part}.end), 'hi', array_max({part}.start))", lambda x: let(f"filter({all_}, s -> s.start <= {x}.hi and {x}.lo <= s.end)", lambda near: f"transform({part}, {one(near)})"))
+    tags = lambda ts, all_: f"flatten(transform(sequence(0, (size({ts}) - 1) div {BLOCK}), b -> {let(f'slice({ts}, b * {BLOCK} + 1, {BLOCK})', block(all_))}))"
+    return F.expr(let(tokens, lambda ts: let(spans, lambda all_: tags(ts, all_))))
 
 
 def tokens(text: str) -> Column:
     """array<(start, end, m)> of words between white space."""
-    from ..functions.sqltext import spans
+    return F.expr(tokens_sql(text))
+
 
-    return F.expr(f"transform({spans(text, chr(92) + 'S+')}, s -> named_struct('start', s.start, 'end', s.end, 'm', s.m))")
+def tokens_sql(text: str) -> str:
+    """SQL of ``tokens``."""
+    return places(text, r"\S+")
 
 
 def label(kind: str) -> str:

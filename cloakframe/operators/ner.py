@@ -1,4 +1,4 @@
-"""Level 3: token predictions merged to spans, in array folds; a backend is any function of Arrow batches."""
+"""Level 3: token predictions merged to spans, in array functions; a backend is any function of Arrow batches."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sqltext import let
+
 LABELS = {"PER": "PERSON", "ORG": "ORGANIZATION", "LOC": "LOCATION", "GPE": "LOCATION", "MISC": "CUSTOM:MISC"}
 GATED = ("PERSON", "ORGANIZATION", "LOCATION")
 PREDICTION = "array<struct<start:int,end:int,label:string,score:double>>"
@@ -18,18 +20,19 @@ def merged(tokens: str, how: str = "mean") -> Column:
 
     ``tokens`` is an array of (label, score, start, end); the score is the mean, largest or least of a span's tokens.
     """
-    last = "a.out[size(a.out) - 1]"
-    step = "array<struct<start:int,end:int,label:string,total:double,n:int,high:double,low:double,open:boolean>>"
-    kind = "substring(t.label, 3)"
-    new = f"named_struct('start', t.start, 'end', t.end, 'label', {kind}, 'total', t.score, 'n', 1, 'high', t.score, 'low', t.score, 'open', t.label rlike '^[BI]-')"
-    more = f"named_struct('start', {last}.start, 'end', t.end, 'label', {kind}, 'total', {last}.total + t.score, 'n', {last}.n + 1, 'high', greatest({last}.high, t.score), 'low', least({last}.low, t.score), 'open', t.label like 'I-%')"
-    shut = f"if(size(a.out) > 0, concat(slice(a.out, 1, size(a.out) - 1), array(named_struct('start', {last}.start, 'end', {last}.end, 'label', {last}.label, 'total', {last}.total, 'n', {last}.n, 'high', {last}.high, 'low', {last}.low, 'open', false))), a.out)"
-    fold = f"""aggregate({tokens}, named_struct('out', cast(array() as {step})), (a, t) -> named_struct('out',
-      case when t.label rlike '^[IL]-' and size(a.out) > 0 and {last}.open and {last}.label = {kind} then concat(slice(a.out, 1, size(a.out) - 1), array({more}))
-           when t.label rlike '^[BIULS]-' then concat(a.out, array({new})) else {shut} end), a -> a.out)"""
-    value = {"mean": "s.total / s.n", "max": "s.high", "min": "s.low"}[how]
+    # A token's own label tells whether its span stays open behind it, so a token looks at the one before it alone.
+    before = "{ts}[greatest(i - 1, 0)].label"
+    code = f"transform({{ts}}, (t, i) -> case when t.label rlike '^[IL]-' and i > 0 and {before} rlike '^[BI]-' and substring({before}, 3) = substring(t.label, 3) then 2 when t.label rlike '^[BIULS]-' then 1 else 0 end)"
+    firsts = lambda c: f"filter(transform({c}, (x, i) -> if(x = 1, i, -1)), i -> i >= 0)"
+    lasts = lambda c: f"filter(transform({c}, (x, i) -> if(x > 0 and coalesce(get({c}, i + 1), 0) <> 2, i, -1)), i -> i >= 0)"
+    scores = "transform(p, t -> cast(t.score as double))"
+    value = {"mean": "aggregate(p, 0D, (sum_, t) -> sum_ + t.score) / size(p)", "max": f"array_max({scores})", "min": f"array_min({scores})"}[how]
     names = " ".join(f"when '{k}' then '{v}'" for k, v in LABELS.items())
-    return F.expr(f"transform({fold}, s -> named_struct('start', s.start, 'end', s.end, 'label', case s.label {names} else s.label end, 'score', {value}))")
+    kind = "substring(p[0].label, 3)"
+    span = f"named_struct('start', p[0].start, 'end', p[size(p) - 1].end, 'label', case {kind} {names} else {kind} end, 'score', {value})"
+    parts = lambda ts, c: let(lasts(c), lambda to: f"transform({firsts(c)}, (a, k) -> slice({ts}, a + 1, {to}[k] - a + 1))")
+    runs = let(tokens, lambda ts: let(code.format(ts=ts), lambda c: parts(ts, c)))
+    return F.expr(f"transform({runs}, p -> {span})")
 
 
 def softmax_argmax(logits: str) -> Column:

@@ -11,6 +11,7 @@ from ..functions import validators as v
 from ..operators import anonymize as an
 from ..operators import audit, context, evaluation, fusion, metrics, ner, policy, synthetic
 from ..operators import recognizers as r
+from ..session import spread
 from ..sources import files, jsonpatch
 from .catalog import _GOLD, _PRED, ALL_SQL, IP_SCAN, KEY, NONCE, SCANS, SPANS_SQL, _entries, _sides, docs_of, exploded, query, scanned, seeded, table
 from .oracles import SEEDED, q, rules_sql, span_sql
@@ -424,13 +425,19 @@ def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("z.entities.start").alias("start"), F.col("z.b.start").alias("first_byte"), F.col("z.b.end").alias("last_byte"))
 
 
+def _those(rows: DataFrame, found: F.Column, count: str) -> DataFrame:
+    """(doc_id, fields of ``found``) where its ``count`` is above 0; a plain filter would be pushed below what it counts and make that twice."""
+    return r.each(rows, F.filter(F.array(found), lambda x: x[count] > 0), "x", "doc_id").select("doc_id", "x.*")
+
+
 _TOKENS = span_sql("[^ \\t\\n\\x0B\\f\\r]+")
 
 
 @query(f"SELECT doc_id, count(*)::INT AS tokens, sum(start)::BIGINT AS starts FROM {_TOKENS} GROUP BY doc_id")
 def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = docs_of(spark, sf_dir).where("text is not null").select("doc_id", evaluation.tokens("text").alias("t")).where(F.size("t") > 0)
-    return rows.select("doc_id", F.size("t").alias("tokens"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x["start"]).alias("starts"))
+    rows = spread(docs_of(spark, sf_dir)).where("text is not null").select("doc_id", evaluation.tokens("text").alias("t"))
+    found = F.struct(F.size("t").alias("tokens"), F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + x["start"]).alias("starts"))
+    return _those(rows, found, "tokens")
 
 
 @query(f"""SELECT t.doc_id, count(*) FILTER (WHERE t.start = s.start) AS firsts, count(*) AS n FROM {_TOKENS} t JOIN (SELECT doc_id, start, start + length(m) AS stop FROM {span_sql('[0-9][0-9. ]*[0-9]')}) s
@@ -438,10 +445,10 @@ def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def iob_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words inside runs of numbers, tagged as the run's beginning or its inside."""
     rule = r.Rule("numbers", "CUSTOM:NUMBERS", "[0-9][0-9. ]*[0-9]", 0.9, against=())
-    rows = r.detect(docs_of(spark, sf_dir).where("text is not null"), [rule]).where(F.size("entities") > 0).withColumn("t", evaluation.tokens("text"))
-    tags = rows.select("doc_id", evaluation.spans_to_tags("t", "entities").alias("tags"))
-    out = tags.select("doc_id", F.size(F.filter("tags", lambda t: t.startswith("B-"))).cast("long").alias("firsts"), F.size(F.filter("tags", lambda t: t != "O")).cast("long").alias("n"))
-    return out.where("n > 0")
+    found = r.each(r.detect(docs_of(spark, sf_dir).where("text is not null"), [rule]), F.filter(F.array("entities"), lambda e: F.size(e) > 0), "entities", "doc_id", "text")
+    tags = found.select("doc_id", evaluation.spans_to_tags(f"({evaluation.tokens_sql('text')})", "entities").alias("tags"))
+    out = F.struct(F.size(F.filter("tags", lambda t: t.startswith("B-"))).cast("long").alias("firsts"), F.size(F.filter("tags", lambda t: t != "O")).cast("long").alias("n"))
+    return _those(tags, out, "n")
 
 
 @query(f"SELECT doc_id, coalesce(bool_or(e.entity_type = 'CREDIT_CARD'), false) AS gated FROM documents LEFT JOIN ({ALL_SQL}) e USING (doc_id) GROUP BY doc_id")
@@ -496,11 +503,12 @@ _CAPITALS = f"SELECT doc_id, start, start + length(m) AS stop, 0.5 + (length(m)
   SELECT doc_id, count(*)::INT AS spans, sum(a)::BIGINT AS starts, sum(b)::BIGINT AS ends, round(sum(score), 4)::DOUBLE AS score FROM s GROUP BY doc_id""")
 def bio_merge_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with a capital as a model's inside tags: each run of them opens and extends one span."""
-    rows = docs_of(spark, sf_dir).where("text is not null").select("doc_id", evaluation.tokens("text").alias("t"))
+    rows = spread(docs_of(spark, sf_dir)).where("text is not null").select("doc_id", evaluation.tokens("text").alias("t"))
     tag = F.transform("t", lambda x: F.struct(F.when(x["m"].rlike("^[A-Z]"), "I-PER").otherwise("O").alias("label"), (F.lit(0.5) + (F.length(x["m"]) % 10) / 20).alias("score"), x["start"].alias("start"), x["end"].alias("end")))
-    spans = rows.select("doc_id", tag.alias("tags")).select("doc_id", ner.merged("tags").alias("s")).where(F.size("s") > 0)
+    spans = rows.select("doc_id", tag.alias("tags")).select("doc_id", ner.merged("tags").alias("s"))
     total = lambda f: F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x[f])
-    return spans.select("doc_id", F.size("s").alias("spans"), total("start").alias("starts"), total("end").alias("ends"), F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["score"]), 4).alias("score"))
+    score = F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["score"]), 4)
+    return _those(spans, F.struct(F.size("s").alias("spans"), total("start").alias("starts"), total("end").alias("ends"), score.alias("score")), "spans")
 
 
 FF3_KEY, FF3_TWEAK = bytes(range(16)), bytes(7)
