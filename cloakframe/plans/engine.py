@@ -343,7 +343,7 @@ def code_quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synthetic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every customer a personal number and an account number of five countries, each with right check digits."""
     checks = {"FR": v.nir, "DE": v.steuer_id, "IT": v.codice_fiscale, "ES": v.dni, "NL": v.bsn}
-    rows = table(spark, sf_dir, "customer").select("c_custkey", *[synthetic.fake(k, "c_custkey", 7, cc).alias(f"{k}_{cc}") for cc in checks for k in ("NATIONAL_ID", "IBAN")])
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", *[synthetic.fake(k, "c_custkey", 7, cc).alias(f"{k}_{cc}") for cc in checks for k in ("NATIONAL_ID", "IBAN")])
     ids = " + ".join(f"cast({f(f'NATIONAL_ID_{cc}')} as int)" for cc, f in checks.items())
     accounts = " + ".join(f"cast({v.iban_plausible(f'IBAN_{cc}')} and {v.iban_mod97(f'IBAN_{cc}')} as int)" for cc in checks)
     return rows.select("c_custkey", F.expr(ids).alias("ids"), F.expr(accounts).alias("accounts"))
@@ -519,10 +519,10 @@ def ff3_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digits of customer numbers under FF3-1 and back: as long as before, and other digits."""
     @F.pandas_udf("struct<sealed:string,back:string>")
     def both(s: pd.Series) -> pd.DataFrame:
-        sealed = [crypto.ff3_1_text(FF3_KEY, FF3_TWEAK, x) for x in s]
-        return pd.DataFrame({"sealed": sealed, "back": [crypto.ff3_1_text(FF3_KEY, FF3_TWEAK, x, True) for x in sealed]})
+        sealed = crypto.ff3_1_texts(FF3_KEY, FF3_TWEAK, s.tolist())
+        return pd.DataFrame({"sealed": sealed, "back": crypto.ff3_1_texts(FF3_KEY, FF3_TWEAK, sealed, True)})
 
-    rows = table(spark, sf_dir, "customer").select(F.lpad(F.regexp_replace("c_name", "[^0-9]", ""), 9, "0").alias("d")).withColumn("x", both("d"))
+    rows = spread(table(spark, sf_dir, "customer")).select(F.lpad(F.regexp_replace("c_name", "[^0-9]", ""), 9, "0").alias("d")).withColumn("x", both("d"))
     bad = ~((F.col("x.back") == F.col("d")) & (F.length("x.sealed") == F.length("d")))
     return rows.agg(F.sum(bad.cast("long")).alias("mismatches"), F.sum((F.col("x.sealed") == F.col("d")).cast("long")).alias("unchanged"), F.count("*").alias("n"))
 
