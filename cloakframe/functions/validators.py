@@ -177,12 +177,15 @@ def fr_licence(s: str) -> str:
     return f"(upper({s}) rlike '^[0-9]{{2}}[A-Z]{{2}}[0-9]{{6}}[A-Z]{{2}}[0-9]{{2}}$' and (cast(left({s}, 2) as int) between 1 and 95 or left({s}, 2) = '99'))"
 
 
+def steuer_digit(d: str) -> str:
+    """The check digit of ten digits by ISO 7064 modulo 11, 10."""
+    body = f"aggregate(sequence(1, 10), 10, (p, k) -> (case when (cast(substring({d}, k, 1) as int) + p) % 10 = 0 then 10 else (cast(substring({d}, k, 1) as int) + p) % 10 end * 2) % 11)"
+    return f"((11 - {body}) % 10)"
+
+
 def steuer_id(s: str) -> str:
-    """ISO 7064 modulo 11, 10."""
-    step = "(p, k) -> let_sum"
-    body = lambda d: f"aggregate(sequence(1, 10), 10, (p, k) -> (case when (cast(substring({d}, k, 1) as int) + p) % 10 = 0 then 10 else (cast(substring({d}, k, 1) as int) + p) % 10 end * 2) % 11)"
-    del step
-    return let(digits(s), lambda d: f"(length({d}) = 11 and not {d} like '0%' and (11 - {body(d)}) % 10 = cast(right({d}, 1) as int))")
+    """Eleven digits of which the last is the check digit."""
+    return let(digits(s), lambda d: f"(length({d}) = 11 and not {d} like '0%' and {steuer_digit(d)} = cast(right({d}, 1) as int))")
 
 
 def _value(c: str) -> str:
@@ -218,16 +221,16 @@ def sozialversicherung(s: str) -> str:
 CF_ODD = [1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23]
 
 
-def codice_fiscale(s: str) -> str:
+def codice_letter(u: str) -> str:
+    """The check letter of fifteen letters and digits."""
     odd = f"array({', '.join(map(str, CF_ODD))})"
+    c = f"substring({u}, k, 1)"
+    even = f"(case when {c} between '0' and '9' then cast({c} as int) else ascii({c}) - 65 end)"
+    return f"char(65 + aggregate(sequence(1, 15), 0, (a, k) -> a + case when k % 2 = 1 then {odd}[{_value(c)}] else {even} end) % 26)"
 
-    def ok(u: str) -> str:
-        c = f"substring({u}, k, 1)"
-        even = f"(case when {c} between '0' and '9' then cast({c} as int) else ascii({c}) - 65 end)"
-        total = f"aggregate(sequence(1, 15), 0, (a, k) -> a + case when k % 2 = 1 then {odd}[{_value(c)}] else {even} end)"
-        return f"({u} rlike '^[A-Z0-9]{{16}}$' and substring({u}, 16, 1) = char(65 + {total} % 26))"
 
-    return let(f"upper({s})", ok)
+def codice_fiscale(s: str) -> str:
+    return let(f"upper({s})", lambda u: f"({u} rlike '^[A-Z0-9]{{16}}$' and substring({u}, 16, 1) = {codice_letter(u)})")
 
 
 def cie(s: str) -> str:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sqltext import let, lit
-from ..functions.validators import DNI_LETTERS, bsn, codice_fiscale, mod97, steuer_id
+from ..functions.sqltext import let, lit, weighted
+from ..functions.validators import DNI_LETTERS, bsn, codice_letter, mod97, steuer_digit
 from . import evaluation
 
 FIRST = {"FR": "Camille Louis Manon Hugo Chloé Jules", "DE": "Lena Felix Mia Jonas Emma Paul", "IT": "Giulia Marco Sofia Luca Chiara Matteo", "ES": "Lucía Pablo Carmen Diego Elena Javier", "NL": "Sanne Daan Emma Bram Lotte Sem"}
@@ -69,15 +69,18 @@ def national_id(country: str, digits: Callable[[str, int], str], n: Callable[[st
         return let(f"concat('1', {digits('nir', 12)})", lambda b: f"concat({b}, lpad(cast(97 - cast({b} as bigint) % 97 as string), 2, '0'))")
     if country == "DE":
         body = f"concat(cast(1 + {n('steuer', 9)} as string), {digits('steuer2', 9)})"
-        return let(body, lambda b: f"concat({b}, element_at(filter(transform(sequence(0, 9), d -> cast(d as string)), d -> {steuer_id(f'concat({b}, d)')}), 1))")
+        return let(body, lambda b: f"concat({b}, cast({steuer_digit(b)} as string))")
     if country == "ES":
         return let(digits("dni", 8), lambda b: f"concat({b}, substring('{DNI_LETTERS}', cast({b} as int) % 23 + 1, 1))")
     if country == "NL":
-        # The first of a hundred endings that passes.
-        return let(f"concat(cast(1 + {n('bsn', 9)} as string), {digits('bsn2', 6)})", lambda b: f"element_at(filter(transform(sequence(0, 99), d -> concat({b}, lpad(cast(d as string), 2, '0'))), x -> {bsn('x')}), 1)")
+        # The first ending that passes: its second digit follows from the first. One first digit at most asks for a second
+        # of 10, and one at most ends a run, so the third passes if no other does.
+        body = f"concat(cast(1 + {n('bsn', 9)} as string), {digits('bsn2', 6)})"
+        ended = lambda b, k: f"concat({b}, '{k}', cast(pmod(-({weighted(b, list(range(9, 2, -1)))} + {2 * k}), 11) as string))"
+        return let(body, lambda b: let(ended(b, 0), lambda x: let(ended(b, 1), lambda y: f"case when {bsn(x)} then {x} when {bsn(y)} then {y} else {ended(b, 2)} end")))
     letters = ", ".join(f"substring('{CONSONANTS}', 1 + cast({n(f'cf{k}', len(CONSONANTS))} as int), 1)" for k in range(6))
     body = f"concat({letters}, lpad(cast({n('cfy', 100)} as string), 2, '0'), substring('ABCDEHLMPRST', 1 + cast({n('cfm', 12)} as int), 1), lpad(cast(1 + {n('cfd', 28)} as string), 2, '0'), 'A', lpad(cast(100 + {n('cfp', 800)} as string), 3, '0'))"
-    return let(body, lambda b: f"element_at(filter(transform(sequence(65, 90), c -> concat({b}, char(c))), x -> {codice_fiscale('x')}), 1)")
+    return let(body, lambda b: f"concat({b}, {codice_letter(b)})")
 
 
 def fake(kind: str, key: str, seed: int = 7, country: str = "FR") -> Column:

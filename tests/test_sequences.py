@@ -44,3 +44,24 @@ def test_words_and_tags_of_long_texts(spark):
     spans = F.expr("transform(sequence(0, 19999), k -> named_struct('start', k * 7 + 3, 'end', k * 7 + 5, 'entity_type', 'N'))")
     tags = rows.withColumn("s", spans).select(evaluation.spans_to_tags("t", "s").alias("tags")).first()["tags"]
     assert tags == ["O", "B-N"] * 20000 and time.time() - at < 60
+
+
+def test_ids_are_made_on_all_cores_and_without_trials(spark):
+    """The customers are one row group; the check digits follow from the others."""
+    from cloakframe.functions import validators as v
+    from cloakframe.operators import synthetic
+    from cloakframe.plans import catalog, engine  # noqa: F401
+
+    assert catalog.QUERIES["synthetic_ids"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
+    checks = {"DE": v.steuer_id, "IT": v.codice_fiscale, "NL": v.bsn}
+    rows = spark.range(3000).select(*[synthetic.fake("NATIONAL_ID", "id", 7, cc).alias(cc) for cc in checks])
+    assert rows.where(" and ".join(f(cc) for cc, f in checks.items())).count() == 3000
+    assert all("sequence(0, 99)" not in synthetic.fake_sql("NATIONAL_ID", "id", 7, cc) and "sequence(65, 90)" not in synthetic.fake_sql("NATIONAL_ID", "id", 7, cc) for cc in checks)
+    # Bodies that a run or a repetition would end, and one whose first ending asks for a digit of 10.
+    from pyspark.sql import functions as F
+
+    for body in ("1234567", "9876543", "1111111", "1000001"):
+        made = synthetic.national_id("NL", lambda tag, width, b=body: f"'{b[1:]}'", lambda tag, below, b=body: f"{int(body[0]) - 1}")
+        every = [f"{body}{e:02}" for e in range(100)]
+        ok = spark.createDataFrame([(x,) for x in every], "x string").where(v.bsn("x")).agg(F.min("x")).first()[0]
+        assert spark.range(1).select(F.expr(made)).first()[0] == ok
