@@ -35,13 +35,15 @@ NEAR = 15
 
 
 def begins(steps: str, levels: int = 3) -> str:
-    """Running sums of an array of numbers, each without its own term: by blocks of 8, whose own beginnings come from their sums in the same way."""
+    """Running sums of an array of numbers, each without its own term: by blocks of 8, whose own beginnings come from their sums in the same way.
+
+    With no levels there are blocks of 64 alone: a shorter text for plans that hold it once for each rule.
+    """
     total = lambda x: f"aggregate({x}, 0, (a, x) -> a + x)"
     size = 8 if levels else 64
     sums = f"transform(sequence(0, (size({steps}) - 1) div {size}), b -> {total(f'slice({steps}, b * {size} + 1, {size})')})"
     if not levels:
-        inner = lambda own: f"flatten(transform({own}, (_, b) -> {let(total(f'slice({own}, 1, b)'), lambda o: f'transform(slice({steps}, b * {size} + 1, {size}), (_, j) -> {o} + {total(f'slice({steps}, b * {size} + 1, j)')})')}))"
-        return let(sums, inner)
+        return let(sums, lambda own: f"flatten(transform(sequence(0, (size({steps}) - 1) div 64), b -> transform(slice({steps}, b * 64 + 1, 64), (_, j) -> {total(f'slice({own}, 1, b)')} + {total(f'slice({steps}, b * 64 + 1, j)')})))")
     block = lambda part: f"transform({part}, (_, j) -> if(j = 0, o, aggregate(slice({part}, 1, j), o, (a, x) -> a + x)))"
     inner = lambda own: f"flatten(transform({begins(own, levels - 1)}, (o, b) -> {let(f'slice({steps}, b * {size} + 1, {size})', block)}))"
     return let(sums, inner)
@@ -74,7 +76,7 @@ def placed(gaps: str, matches: str) -> str:
         after = f"if(length({gaps}[i + 1]) >= {WINDOW}, left({gaps}[i + 1], {WINDOW}), left(concat({gaps}[i + 1], array_join(slice({rs}, i + 2, {NEAR}), '')), {WINDOW}))"
         return f"transform({matches}, (m, i) -> named_struct('start', {at}[i] + length({gaps}[i]), 'end', {at}[i] + length({gaps}[i]) + length(m), 'm', m, 'before', {before}, 'after', {after}))"
 
-    return let(steps, lambda s: let(begins(s), lambda at: let(left, lambda ls: let(right, lambda rs: span(at, ls, rs)))))
+    return let(steps, lambda s: let(begins(s, 0), lambda at: let(left, lambda ls: let(right, lambda rs: span(at, ls, rs)))))
 
 
 def spans(text: str, pattern: str, check: Callable[[str], str] | None = None) -> str:
