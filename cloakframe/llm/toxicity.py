@@ -29,6 +29,8 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -516,18 +518,34 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``row``, the columns of ``docs``, and ``score`` of each."""
+    """``row``, the columns of ``docs``, and ``score`` of each.
+
+    Rows pass through the tasks as Arrow holds them, with their text once; of Python's objects there are the texts of one scan.
+    """
     automaton = automaton_of(tuple(model.terms))
     sent = docs.sparkSession.sparkContext.broadcast((model, automaton))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = T.StructType([whole.schema["row"], T.StructField("score", T.DoubleType())])
+    place = (docs.columns if "text" in docs.columns else [c.lower() for c in docs.columns]).index("text")
 
-    def make(it: Iterator[tuple]) -> Iterator[tuple]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, automaton = sent.value
-        for texts, rows in _pairs(it):
-            yield from zip(rows, model.scores(automaton, texts).tolist(), strict=True)
-
-    return map_rows(whole, ["text", "row"], make, schema)
+        for batch in batches:
+            for part in slices(batch, pc.struct_field(batch.column(0), [place])):
+                texts = [t or "" for t in pc.struct_field(part.column(0), [place]).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(automaton, texts), pa.float64())], names=["row", "score"])
+
+    return whole.mapInArrow(run, schema)
+
+
+def slices(batch: pa.RecordBatch, texts: pa.Array, chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, cut so that texts of about ``chars`` characters are scanned at once."""
+    upto = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, before = 0, 0
+    while at < len(upto):
+        end = min(int(np.searchsorted(upto, before + chars)) + 1, len(upto))
+        yield batch.slice(at, end - at)
+        at, before = end, int(upto[end - 1])
 
 
 def score_ids(docs: DataFrame, model: Model) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,20 @@ def test_toxicity_holds_out(spark, odd, none):
     assert toxicity.fit(none, labels).terms == [] and toxicity.fit(docs, labels.where("toxic = 0")).terms == []
 
 
+def test_toxicity_sends_each_text_once(spark):
+    docs = spark.createDataFrame([(1, "a b", 2.5), (2, None, None), (3, "", 1.0), (4, "foo bar " * 40, 0.0)], "doc_id long, text string, row double")
+    model = toxicity.Model(["foo$"], {(0, 0): 2.0}, [-1.0, 1.0, 0.5, 0.0, 0.0])
+    out = toxicity.score(docs, model)
+    # What goes to the tasks' Python is the row alone, in whose text alone the scores are found.
+    assert len(out._jdf.queryExecution().analyzed().children().apply(0).output().mkString("|").split("|")) == 1
+    got = {r["row"]["doc_id"]: (tuple(r["row"]), r["score"]) for r in out.collect()}
+    assert [got[k][0] for k in (1, 2, 3, 4)] == [tuple(r) for r in docs.orderBy("doc_id").collect()]
+    assert {k: s for k, (_, s) in got.items()} == {r["doc_id"]: r["score"] for r in toxicity.score_ids(docs.select("doc_id", "text"), model).collect()}
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 5, None, "", "y" * 20, "z", "z"]})
+    parts = list(toxicity.slices(batch, batch.column(0), 10))
+    assert [p.num_rows for p in parts] == [4, 2] and sum((p.column(0).to_pylist() for p in parts), []) == batch.column(0).to_pylist()
+
+
 def test_toxicity_of_any_script(spark):
     terms = ["идиот", "ΗΛΊΘΙΟΣ", "أحمق", "मूर्ख", "混蛋东西", "ngốc"]
     rows = [(k, f"слово {['один', 'два', 'три'][k % 3]} word{k} " + (f"„{terms[k // 4 % 6]}” 😀" if k % 4 == 0 else "")) for k in range(600)]
