@@ -61,6 +61,25 @@ def _in_parts(rows: DataFrame, order: str, parts: int = 4) -> str:
     return path
 
 
+#: Rows of a stream's file, and so of a micro-batch.
+FILE_ROWS = 1 << 18
+
+
+def _in_order(rows: DataFrame, *order: str, most: int = FILE_ROWS, least: int = 3) -> str:
+    """A folder of Parquet files that hold the rows by ranges of ``order``, each of about ``most`` rows and written after the one before it.
+
+    The ranges are cut in one pass and then copied file by file, so that a row is written twice however many there are.
+    """
+    spark = rows.sparkSession
+    path, ranges = shared_path(spark), shared_path(spark)
+    rows.repartitionByRange(max(least, -(-rows.count() // most)), *order).write.parquet(ranges)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ranges)
+    found = [x.getPath() for x in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)]
+    for file in sorted((x for x in found if x.getName().endswith(".parquet")), key=lambda x: x.getName()):
+        spark.read.schema(rows.schema).parquet(file.toString()).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 LEDGER_FIELDS = ["actor", "action", "request_id"]
 
 
@@ -95,10 +114,13 @@ def files_until(spark: SparkSession, path: str, files_: int) -> str:
       SELECT r.g, r.k, r.tm, r.event_id, s.times, s.until, s.trial, list_filter(s.times, lambda x: x > r.tm - 3600) AS live FROM s JOIN r ON r.g = s.g AND r.k = s.k + 1)))
 SELECT g::VARCHAR AS "key", tm AS "at", event_id AS number, outcome FROM s WHERE k > 0""")
 def streamed_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of four guards judged on a stream, over micro-batches; a row of a later time moves the watermark past them all."""
+    """Requests of four guards judged on a stream in order of time, over micro-batches of bounded size; a row of a later time moves the watermark past them all.
+
+    None comes behind the watermark, and what waits in a guard's state is a micro-batch and its last ten minutes.
+    """
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("guard"), "ts", "event_id")
     end = rows.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("long").alias("guard"), (F.col("ts") + F.expr("interval 30 days")).alias("ts"), F.lit(1 << 40).cast("long").alias("event_id"))
-    path = _in_parts(rows, "event_id", 3)
+    path = _in_order(rows, "ts", "event_id")
     end.coalesce(1).write.mode("append").parquet(path)
     stream = streams.read_rows(spark, path, "guard long, ts timestamp, event_id long", 1)
     return streams.run_to_files(streams.guard(stream, "guard", "ts", "event_id", 3600, 4, 1800), shared_path(spark), shared_path(spark))

@@ -2,9 +2,11 @@ import hashlib
 import json
 import random
 import shutil
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from cloakframe.plans import extended
 from cloakframe.sources import files
 from cloakframe.streaming import ledger, streams
 
@@ -69,6 +71,22 @@ def test_guard_stream_over_batches(spark, tmp_path):
     assert sorted((r["at"], r["number"], r["outcome"]) for r in batch) == sorted(want)
 
 
+def test_streamed_guard_of_ids_in_another_order_than_times(spark, tmp_path):
+    """Events that come again at earlier times under larger ids are judged like all others, over files of bounded size."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    copies = events.unionByName(events.withColumn("event_id", F.col("event_id") + 100_000)).unionByName(events.withColumn("event_id", F.col("event_id") + 200_000))
+    copies.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = extended.streamed_guard(spark, str(tmp_path)).collect()
+    rows = copies.select((F.col("user_id") % 4).alias("guard"), F.unix_timestamp("ts").alias("at"), "event_id")
+    want = streams.guarded_batch(rows, "guard", "at", "event_id", 3600, 4, 1800).collect()
+    assert len(got) == copies.count() and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    path = extended._in_order(copies.select("event_id", "ts"), "ts", "event_id", most=500)
+    files = sorted(Path(path).glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    parts = [spark.read.parquet(str(f)).agg(F.count("*"), F.min("ts"), F.max("ts")).first() for f in files]
+    assert len(files) == 6 and sum(n for n, _, _ in parts) == 3000 and max(n for n, _, _ in parts) <= 700
+    assert all(a[2] <= b[1] for a, b in zip(parts, parts[1:]))
+
+
 def test_restored_chunks(spark, tmp_path):
     """Wherever answers are cut, in whatever order chunks come, the restored whole is that of the whole answer."""
     rng = random.Random(8)
