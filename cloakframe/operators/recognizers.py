@@ -25,7 +25,9 @@ class Rule:
     """``group`` tells which part of a match is the entity: the whole, or the value next to its keyword.
 
     ``needs`` are lower-case strings of which a text holds one wherever the rule has a match; texts without any are not
-    searched. ``find`` replaces the pattern by SQL that gives the spans of a text.
+    searched. ``find`` replaces the pattern by SQL that gives the spans of a text. ``ahead`` is a look-ahead that holds
+    wherever a match begins and fails fast elsewhere; ``gate`` is a pattern that every text with a match holds, read once
+    for all rules that share it. Neither changes what is found.
     """
 
     name: str
@@ -48,6 +50,8 @@ class Rule:
     needs: tuple[str, ...] = ()
     recognizer: str = ""
     find: Callable[[str], str] | None = None
+    ahead: str = ""
+    gate: str = ""
 
     @property
     def owner(self) -> str:
@@ -120,13 +124,13 @@ BIC_COUNTRY = "|".join(f"{a}[{''.join(c[1] for c in v.BIC_COUNTRIES if c[0] == a
 
 # Fixed rules of the default set: patterns, scores and bounds.
 DEFAULT_RULES = [
-    Rule("email_rfc5322_like", "EMAIL", r"(?i)(?<![a-z0-9._%+-])[a-z0-9](?:[a-z0-9._%+-]*[a-z0-9])?@[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?\.[a-z]{2,63}\b", 0.88, v.email, 0.42, 0.07, 0.11, EMAIL_FOR, EMAIL_AGAINST, words("example.com, example.org, example.net, test.com, invalid, localhost"), words("noreply, no-reply, donotreply"), needs=("@",), languages=COMMON),
-    Rule("phone_e164_eu", "PHONE", PHONE_RUN, 0.78, v.phone, 0.40, 0.06, 0.10, PHONE_FOR, PHONE_AGAINST, languages=COMMON),
+    Rule("email_rfc5322_like", "EMAIL", r"(?i)(?<![a-z0-9._%+-])[a-z0-9](?:[a-z0-9._%+-]*[a-z0-9])?@[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?\.[a-z]{2,63}\b", 0.88, v.email, 0.42, 0.07, 0.11, EMAIL_FOR, EMAIL_AGAINST, words("example.com, example.org, example.net, test.com, invalid, localhost"), words("noreply, no-reply, donotreply"), needs=("@",), languages=COMMON, ahead=r"(?=[A-Za-z0-9._%+-]++@)"),
+    Rule("phone_e164_eu", "PHONE", PHONE_RUN, 0.78, v.phone, 0.40, 0.06, 0.10, PHONE_FOR, PHONE_AGAINST, languages=COMMON, ahead="(?=[+(0-9])"),
     Rule("credit_card_luhn", "CREDIT_CARD", CARD_RUN, 0.72, v.card, 0.45, 0.08, 0.12, CARD_FOR, CARD_AGAINST, languages=COMMON),
     Rule("credit_card_masked_last4", "CREDIT_CARD", r"(?iu)\b(?:visa|mastercard|master\s?card|mc|amex|american\s?express)\s+(?:\*{2,4}|[•x]{2,4})(?:\s+(?:\*{2,4}|[•x]{2,4})){2}\s+[0-9]{4}\b", 0.62, v.always, 0.42, 0.06, 0.10, CARD_FOR, CARD_AGAINST, needs=("**", "••", "xx", "•x", "x•"), languages=COMMON),
     Rule("ipv4", "IP_ADDRESS", r"\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\b", 0.90, v.always, 0.50, 0.05, 0.10, IP_FOR, IP_AGAINST, needs=(".",), languages=COMMON),
     Rule("ipv6", "IP_ADDRESS", IPV6_RUN, 0.88, v.ipv6, 0.50, 0.05, 0.10, IP_FOR, IP_AGAINST, needs=(":",), languages=COMMON),
-    Rule("url", "URL", URL_RUN, 0.70, v.url, 0.38, 0.07, 0.12, URL_FOR, URL_AGAINST, words("example.com, example.org, test.com"), needs=(".",), languages=COMMON),
+    Rule("url", "URL", URL_RUN, 0.70, v.url, 0.38, 0.07, 0.12, URL_FOR, URL_AGAINST, words("example.com, example.org, test.com"), needs=(".",), languages=COMMON, ahead=r"\b(?=[A-Za-z0-9-]{1,63}+[.:])"),
     Rule("date_eu_iso", "DATE", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[Tt\s][0-9]{2}:[0-9]{2}(?::[0-9]{2})?(?:[Zz]|[+-][0-9]{2}:[0-9]{2})?)?\b|\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\b", 0.65, v.date, 0.35, 0.06, 0.10, DATE_FOR, DATE_AGAINST, languages=COMMON),
     Rule("crypto_wallet", "CRYPTO_WALLET", r"\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b|(?i)\bbc1[a-z0-9]{11,71}\b|\b0x[a-f0-9]{40}\b", 0.68, v.wallet, 0.42, 0.08, 0.11, CRYPTO_FOR, CRYPTO_AGAINST, languages=COMMON),
     Rule("eu_postal_address", "ADDRESS", ADDRESS_RUN, 0.62, v.always, 0.35, 0.08, 0.12, ADDRESS_FOR, words("example.com, test, dummy"), languages=COMMON),
@@ -178,10 +182,12 @@ PLATES = dict(
     fi=("FIN|FI", r"[A-Z]{3}[\s-]?[0-9]{3}", 0.73), gr=("GR", r"[A-Z]{3}[\s-]?[0-9]{4}", 0.72), cz=("CZ", r"[0-9][A-Z][0-9]\s?[0-9]{4}", 0.71), ro=("RO", r"[A-Z]{1,2}\s?[0-9]{2,3}\s?[A-Z]{3}", 0.71), hu=("HU", r"[A-Z]{3}[\s-]?[0-9]{3}", 0.72), sk=("SK", r"[A-Z]{2}[0-9]{3}[A-Z]{2}", 0.73), hr=("HR", r"[A-Z]{2}\s*[0-9]{3,4}\s*[A-Z]{2}", 0.72),
     si=("SLO|SI", r"[A-Z]{1,2}\s?[0-9]{1,2}\s?[A-Z]{2}", 0.70), ee=("EST|EE", r"[0-9]{3}\s?[A-Z]{2}[0-9]", 0.71), lv=("LV", r"[A-Z]{2}[\s-]?[0-9]{4}", 0.71), lt=("LT", r"[A-Z]{3}\s?[0-9]{3}", 0.71), cy=("CY", r"[A-Z]{3}\s?[0-9]{3}", 0.70), lu=("LU", r"[A-Z]{2}[0-9]{4}", 0.72), mt=("MT", r"[A-Z]{3}[0-9]{2,4}", 0.70),
 )
+#: A country sign, up to two groups of letters and a digit, with which every plate behind a sign begins.
+PLATE_GATE = rf"(?iu)\b(?:{'|'.join(sign for sign, _, _ in PLATES.values())})[\s-]*(?:[A-ZÄÖÜ]{{1,3}}[\s-]*){{0,2}}[0-9]"
 PLATE_RULES = composite(
     "eu_license_plates",
     [
-        *[Rule(f"plate_{cc}", "VEHICLE_PLATE", rf"(?iu)\b(?:{sign})[\s-]*{shape}\b", base, group="value", value=shape, needs=tuple(sign.lower().split("|"))) for cc, (sign, shape, base) in PLATES.items()],
+        *[Rule(f"plate_{cc}", "VEHICLE_PLATE", rf"(?iu)\b(?:{sign})[\s-]*{shape}\b", base, group="value", value=shape, needs=tuple(sign.lower().split("|")), gate=PLATE_GATE) for cc, (sign, shape, base) in PLATES.items()],
         Rule("plate_fr_bare", "VEHICLE_PLATE", r"(?i)\b[A-HJ-NP-TV-Z]{2}[\s-][0-9]{3}[\s-][A-HJ-NP-TV-Z]{2}\b", 0.55),
     ],
     PLATE_FOR,
@@ -340,7 +346,7 @@ def rule_sql(rule: Rule, text: str, low: str | None = None) -> str:
     if rule.find:
         found = rule.find(text)
     else:
-        found = spans(text, rule.pattern, check if rule.group == "all" and rule.low is None else None)
+        found = spans(text, f"{rule.ahead}(?:{rule.pattern})" if rule.ahead else rule.pattern, check if rule.group == "all" and rule.low is None else None)
     if rule.group == "value":
         own = lit(f"(?iu){rule.value}")
         last = lit(f"(?iu){rule.value}$")
@@ -382,8 +388,12 @@ def iban_spans(text: str) -> str:
 
 def entities(text: str, rules: list[Rule], low: str | None = None) -> Column:
     """array<entity> of all rules over a text column, sorted by place."""
-    merged = ", ".join(rule_sql(r, text, low) for r in rules)
-    return F.expr(f"array_sort(concat({merged}, cast(array() as {ENTITIES})))")
+    none = f"cast(array() as {ENTITIES})"
+    by_gate: dict[str, list[str]] = {}
+    for r in rules:
+        by_gate.setdefault(r.gate, []).append(rule_sql(r, text, low))
+    merged = [x for g, own in by_gate.items() for x in (own if not g else [f"if({text} rlike {lit(g)}, concat({', '.join(own)}, {none}), {none})"])]
+    return F.expr(f"array_sort(concat({', '.join([*merged, none])}))")
 
 
 def detect(docs: DataFrame, rules: list[Rule] | None = None, text: str = "text", column: str = "entities", threshold: float = 0.0) -> DataFrame:

@@ -1,4 +1,5 @@
 import re
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -141,3 +142,17 @@ def test_metrics_and_synthetic(spark):
     assert got[0.005] == 1 and got[0.5] == 2 and got[60.0] == 2 and got[float("inf")] == 3
     corpus = synthetic.corpus(spark, 50).collect()
     assert all(x["value"] in x["text"] for x in corpus) and corpus == synthetic.corpus(spark, 50).collect()
+
+
+def test_plates_are_read_once_for_their_signs(spark):
+    """Of all signs one pattern is read; look-aheads and gates leave the matches as they are."""
+    rules = [x for x in r.EU_RULES if x.entity == "VEHICLE_PLATE"]
+    gates = {x.gate for x in rules if x.gate}
+    assert len(gates) == 1 and sum(not x.gate for x in rules) == 1
+    texts = ["FR AB-123-CD, DE B MW 1234 and IRL 12-D-345", "de la rue", "fr\u00a0AB 123 CD xFR AB-123-CD", "SLO A 12 BC - CZ1A2 3456", "\u017fk AB123CD", "AT W AB 12 NL 12-AB-34 nl ab-12-c3", "", None,
+             "call (555) 123-4567 or +33 6 12 34 56 78, 06-12-34-56-78", "a.b+c@x.example.org @a.org a@ b@c -d@e.com", "see www.x.org/a, https://y.de:80 and " + "z" * 63 + ".com " + "z" * 64 + ".com v1.2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = [*rules, *[x for x in r.DEFAULT_RULES if x.ahead]]
+    assert len(own) == len(rules) + 3
+    got, want = (r.detect(docs, some).orderBy("doc_id").select("entities").collect() for some in (own, [replace(x, ahead="", gate="") for x in own]))
+    assert got == want and sum(len(row["entities"]) for row in got) >= 10
