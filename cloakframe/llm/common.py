@@ -31,14 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/cloakframe-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, tasks: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there, and a lost executor costs no rerun.
 
-    The files are deleted by ``release`` or else when the session's file system is closed.
+    At most ``tasks`` tasks write it, if given, so that few rows come in few files: each file made costs a process where
+    Hadoop has no native library. The files are deleted by ``release`` or else when the session's file system is closed.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.parquet(path)
     where, system = _place(spark, path)
     system.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)

@@ -37,6 +37,8 @@ UNIVERSE = 1 << 22
 WORDS = 1 << 18
 #: Members of one pivot that one task checks.
 CHUNK_ROWS = 128
+#: Documents for each task that writes a table of buckets, links or components; there are as many tasks as cores at least.
+TASK_DOCS = 8192
 #: Residual buckets of more classes are checked in blocks of so many.
 BLOCK = 256
 _PI: list[np.ndarray] = []
@@ -126,15 +128,12 @@ LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Long
 CHUNK = T.StructType([T.StructField("v", T.LongType()), T.StructField("b", T.LongType()), T.StructField("part", T.LongType()), T.StructField("kind", T.IntegerType())])
 
 
-def _task() -> int:
-    from pyspark import TaskContext
-
-    return TaskContext.get().partitionId() if TaskContext.get() else 0
-
-
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs in order of pivot, cut into parts of ``CHUNK_ROWS`` partners at most; each part begins with its pivot's own row."""
-    now, filled, part = None, 0, _task() << 40
+    """Pairs in order of pivot, cut into parts of ``CHUNK_ROWS`` partners at most; each part begins with its pivot's own row.
+
+    A part is named by its first partner, so parts of a pivot that goes on in another partition differ.
+    """
+    now, filled, part = None, 0, 0
     for batch in batches:
         a, b = (batch.column(n).to_numpy() for n in ("a", "b"))
         if not len(b):
@@ -142,18 +141,19 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[b[0] != now], b[1:] != b[:-1]])
         place = np.arange(len(b)) - np.maximum.accumulate(np.where(new, np.arange(len(b)), -filled))
         begins = place % CHUNK_ROWS == 0
-        parts = part + np.cumsum(begins)
+        first = np.maximum.accumulate(np.where(begins, np.arange(len(b)), -1))
+        parts = np.where(first >= 0, a[first], part)
         out = (np.concatenate([b[begins], a]), np.concatenate([b[begins], b]), np.concatenate([parts[begins], parts]), np.concatenate([np.zeros(begins.sum(), np.int32), np.ones(len(a), np.int32)]))
         now, filled, part = b[-1], int(place[-1]) + 1, int(parts[-1])
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=CHUNK.names)
 
 
-def links(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, pairs: DataFrame, words: int, percent: int, tasks: int | None = None) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar enough, b being a pivot with any number of partners.
 
     A pivot's partners are cut into parts; each part's task gets the pivot's set and reads the others as a stream.
     """
-    dealt = written(pairs.select("a", "b").repartitionByRange("b", "a").sortWithinPartitions("b", "a").mapInArrow(_chunked, CHUNK))
+    dealt = written(pairs.select("a", "b").repartitionByRange("b", "a").sortWithinPartitions("b", "a").mapInArrow(_chunked, CHUNK), tasks)
     rows = sets_of(docs, dealt, words).join(dealt, "v").select("b", "part", "kind", "v", "set")
     rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", "kind", "v")
 
@@ -168,7 +168,7 @@ def links(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFr
             elif any(similar(own, one, percent) for own in held):
                 yield v, b
 
-    out = written(map_rows(rows, ["b", "part", "kind", "v", "set"], check, LINK))
+    out = written(map_rows(rows, ["b", "part", "kind", "v", "set"], check, LINK), tasks)
     release(dealt)
     return out
 
@@ -184,23 +184,23 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """(v, root): the smallest number that can be reached from each end of an edge.
 
     In each round every vertex goes to its smallest neighbour's place, and from there one place on; then the edges are
     contracted to those between different places, of which soon none are left.
     """
-    edges = written(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = written(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tasks)
     labels = None
     while True:
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("a").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e"))
-        parent = written(ends.groupBy("e.v").agg(F.min("e.w").alias("p")))
-        moved = written(parent.join(parent.select(F.col("v").alias("p"), F.col("p").alias("root")), "p").select("v", "root"))
+        parent = written(ends.groupBy("e.v").agg(F.min("e.w").alias("p")), tasks)
+        moved = written(parent.join(parent.select(F.col("v").alias("p"), F.col("p").alias("root")), "p").select("v", "root"), tasks)
         before = labels
-        labels = moved if labels is None else written(labels.join(moved.select(F.col("v").alias("root"), F.col("root").alias("far")), "root", "left").select("v", F.coalesce("far", "root").alias("root")))
+        labels = moved if labels is None else written(labels.join(moved.select(F.col("v").alias("root"), F.col("root").alias("far")), "root", "left").select("v", F.coalesce("far", "root").alias("root")), tasks)
         at = lambda c: moved.select(F.col("v").alias(c), F.col("root").alias(f"{c}_root"))
         near = edges.join(at("a"), "a").join(at("b"), "b").where("a_root != b_root")
-        left = written(near.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct())
+        left = written(near.select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")).distinct(), tasks)
         release(edges, parent, before, None if moved is labels else moved)
         edges = left
         if not edges.limit(1).count():
@@ -208,14 +208,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def relabelled(comps: DataFrame, edges: DataFrame) -> DataFrame:
+def relabelled(comps: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
     """Components after more edges."""
     back = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c)).alias(c)
     known = edges.join(comps.select(F.col("v").alias("a"), F.col("root").alias("a_root")), "a", "left").join(comps.select(F.col("v").alias("b"), F.col("root").alias("b_root")), "b", "left").select(back("a"), back("b"))
-    joined = components(known.where("a != b").distinct())
+    joined = components(known.where("a != b").distinct(), tasks)
     old = comps.join(joined.select(F.col("v").alias("root"), F.col("root").alias("far")), "root", "left").select("v", F.coalesce("far", "root").alias("root"))
     new = joined.join(comps.select("v"), "v", "left_anti")
-    out = written(old.unionByName(new))
+    out = written(old.unionByName(new), tasks)
     release(joined, comps)
     return out
 
@@ -253,10 +253,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows([bucket], [pivot], [size], [pivot], [size], edge=True)
 
 
-def members(classes: DataFrame) -> DataFrame:
+def members(classes: DataFrame, tasks: int | None = None) -> DataFrame:
     """(bucket, v, n, b, m) of all buckets with two classes or more: each class with the bucket's smallest, its pivot."""
     rows = classes.select("v", "n", F.explode("bands").alias("bucket")).repartitionByRange("bucket", "v").sortWithinPartitions("bucket", "v")
-    runs = written(rows.select("bucket", "v", "n").mapInArrow(_runs, RUN))
+    runs = written(rows.select("bucket", "v", "n").mapInArrow(_runs, RUN), tasks)
     edges = runs.where("edge").select("bucket", "v", "n").distinct()
     least = edges.groupBy("bucket").agg(F.min("v").alias("first"), F.min_by("n", "v").alias("size"), F.count("*").alias("k")).where("k > 1").drop("k")
     # A task gives two edges at most, so these are as few as the tasks.
@@ -268,14 +268,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """(doc_id, n_shingles, component_id, kept) for every row."""
     docs = docs.select("doc_id", "text")
     sign = written(signed(docs, words))
-    classes = written(sign.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    comps = linked(docs, written(members(classes)), words, percent)
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-sign.count() // TASK_DOCS))
+    classes = written(sign.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("v"), F.first("n").alias("n"), F.first("bands").alias("bands")), tasks)
+    comps = linked(docs, written(members(classes, tasks), tasks), words, percent, tasks)
     named = sign.where("n > 0").select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "v"), ["s1", "s2"])
     # Documents of several texts stand in several classes, which their name joins.
     several = named.groupBy("doc_id").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least != most")
-    joins = written(named.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("v").alias("b")).distinct())
+    joins = written(named.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("v").alias("b")).distinct(), tasks)
     if joins.limit(1).count():
-        comps = relabelled(comps, joins)
+        comps = relabelled(comps, joins, tasks)
     roots = sign.select("doc_id", "n", "s1", "s2").join(classes.select("s1", "s2", "v"), ["s1", "s2"], "left").withColumn("v", F.coalesce("v", "doc_id"))
     out = roots.join(comps, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "v").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -283,7 +284,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.unionByName(map_rows(nameless, ["doc_id", "text"], lambda it: ((k, len(shingles(t, words)), None, True) for k, t in it), out.schema))
 
 
-def linked(docs: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
+def linked(docs: DataFrame, found: DataFrame, words: int, percent: int, tasks: int | None = None) -> DataFrame:
     """Components of the classes in ``found``: (v, root).
 
     First every class is checked against its pivot in each bucket. Classes that stay outside their pivot's component are
@@ -292,14 +293,14 @@ def linked(docs: DataFrame, found: DataFrame, words: int, percent: int) -> DataF
     """
     sizes = found.select("v", "n").distinct()
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    check = lambda pairs: links(docs, pairs.where(fits).select("a", "b").distinct(), words, percent)
+    check = lambda pairs: links(docs, pairs.where(fits).select("a", "b").distinct(), words, percent, tasks)
     pairs = found.where("v != b")
     first = check(pairs.withColumnRenamed("v", "a"))
-    comps = components(first)
+    comps = components(first, tasks)
     # Where a bucket has but two classes, they have been compared.
     more = pairs.groupBy("bucket").count().where("count > 1").select("bucket")
     missed = pairs.select("bucket", "v", "n", "b").join(first.select(F.col("a").alias("v"), "b"), ["v", "b"], "left_anti").join(more, "bucket", "left_semi")
-    apart = written(outside(missed, comps))
+    apart = written(outside(missed, comps), tasks)
     for turn in (1, 2):
         if not apart.limit(1).count():
             return comps
@@ -308,10 +309,10 @@ def linked(docs: DataFrame, found: DataFrame, words: int, percent: int) -> DataF
         edges = check(tried)
         if not edges.limit(1).count():
             break
-        comps = relabelled(comps, edges)
-        before, apart = apart, written(outside(apart.select("bucket", "v", "n", "b"), comps))
+        comps = relabelled(comps, edges, tasks)
+        before, apart = apart, written(outside(apart.select("bucket", "v", "n", "b"), comps), tasks)
         release(before, edges)
-    return relabelled(comps, blockwise(docs, apart, comps, words, percent))
+    return relabelled(comps, blockwise(docs, apart, comps, words, percent, tasks), tasks)
 
 
 def outside(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -321,7 +322,7 @@ def outside(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return both.select("bucket", "v", "n", "b", F.coalesce("root", "v").alias("root"), F.coalesce("big", "b").alias("big")).where("root != big")
 
 
-def blockwise(docs: DataFrame, apart: DataFrame, comps: DataFrame, words: int, percent: int) -> DataFrame:
+def blockwise(docs: DataFrame, apart: DataFrame, comps: DataFrame, words: int, percent: int, tasks: int | None = None) -> DataFrame:
     """Links between apart classes and all members of their pivots' components, and among those apart in one bucket.
 
     ``way`` 0 is a component, 1 a bucket. Both sides are dealt to blocks of about ``BLOCK`` by hash and every block of one
@@ -331,14 +332,15 @@ def blockwise(docs: DataFrame, apart: DataFrame, comps: DataFrame, words: int, p
     held = apart.select(both[0], F.col("big").alias("id"), "v", "root").unionByName(apart.select(both[1], F.col("bucket").alias("id"), "v", "root")).distinct()
     of = comps.join(apart.select(F.col("big").alias("root")).distinct(), "root").select(both[0], F.col("root").alias("id"), "v", "root")
     read = of.unionByName(held.where("way = 1"))
-    held, read = written(held), written(read)
+    held, read = written(held, tasks), written(read, tasks)
     count = lambda df, name: df.groupBy("way", "id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    many = written(count(held, "xs").join(count(read, "ys"), ["way", "id"]))
+    many = written(count(held, "xs").join(count(read, "ys"), ["way", "id"]), tasks)
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     place = lambda c: F.pmod(F.xxhash64("v"), c).cast("int")
     wanted = written(
         held.join(many, ["way", "id"]).select("way", "id", "v", "root", place("xs").alias("x"), every("ys").alias("y"), F.lit(0).alias("kind"))
-        .unionByName(read.join(many, ["way", "id"]).select("way", "id", "v", "root", every("xs").alias("x"), place("ys").alias("y"), F.lit(1).alias("kind")))
+        .unionByName(read.join(many, ["way", "id"]).select("way", "id", "v", "root", every("xs").alias("x"), place("ys").alias("y"), F.lit(1).alias("kind"))),
+        tasks,
     )
     rows = sets_of(docs, wanted, words).join(wanted, "v").repartition("way", "id", "x", "y").sortWithinPartitions("way", "id", "x", "y", "kind", "v")
 
@@ -353,7 +355,7 @@ def blockwise(docs: DataFrame, apart: DataFrame, comps: DataFrame, words: int, p
             else:
                 yield from block.links_of(v, root, one)
 
-    out = written(map_rows(rows, ["way", "id", "x", "y", "kind", "v", "root", "set"], check, LINK))
+    out = written(map_rows(rows, ["way", "id", "x", "y", "kind", "v", "root", "set"], check, LINK), tasks)
     release(held, read, many, wanted)
     return out
 

@@ -19,6 +19,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,8 +30,8 @@ from .common import map_rows
 LENGTH, END_ID, WINDOW = 2048, 1, 4_000_000
 #: Weights of a piece's tokens and of their square, in the proportion of a 2048-wide model's projections and attention.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-#: Words kept in a worker's cache.
-CACHE_WORDS = 400_000
+#: Words and their parts kept in a worker's cache, which lasts as long as the worker; characters encoded at once.
+CACHE_WORDS, BATCH_CHARS = 1 << 17, 1_000_000
 
 #: Texts of these characters alone are normalized by lower() and never split inside a white-space word but by WORD.
 PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-įı-ɏ]*")
@@ -59,15 +60,15 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith(spec["model"]["end_of_word_suffix"])]] = True
         self.special = [t["content"] for t in spec["added_tokens"]] or [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        #: Of words and of their parts alike: a part is cut no further, so as a word it has the same ids.
         self.cache: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         self.room = cache_words
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that are not in the cache; kept there while it has room."""
         found, parts = {}, {}
         new = [(w, self._parts(w)) for w in words]
-        fresh = list({p for _, own in new for p in own if p not in self.pieces})
+        fresh = list({p for _, own in new for p in own if p not in self.cache})
         for at in range(0, len(fresh), 256):
             some = fresh[at : at + 256]
             ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
@@ -80,11 +81,9 @@ class Encoder:
             else:
                 parts |= {p: np.array(self.words.encode(p, add_special_tokens=False).ids, np.uint32).tobytes() for p in some}
         for w, own in new:
-            found[w] = b"".join([parts[p] if p in parts else self.pieces[p] for p in own])
-        if len(self.pieces) < self.room:
-            self.pieces |= parts
-        if len(self.cache) < self.room:
-            self.cache |= found
+            found[w] = b"".join([parts[p] if p in parts else self.cache[p] for p in own])
+        for new in (parts, found):
+            self.cache |= islice(new.items(), max(0, self.room - len(self.cache)))
         return found
 
     @staticmethod
@@ -221,7 +220,7 @@ def _windows(rows: Iterator[tuple], encoder: Encoder, end: bytes, window: int) -
     for row in rows:
         batch.append(row)
         chars += len(row[1] or "")
-        if chars >= 2_000_000:
+        if chars >= BATCH_CHARS:
             tokens += drained()
             batch, chars = [], 0
             if tokens >= window:

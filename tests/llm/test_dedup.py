@@ -190,3 +190,30 @@ def test_circulant_signatures_estimate_similarity():
     a, b = minhash.mixed(np.arange(1000, dtype=np.uint64)), minhash.mixed(np.arange(200, 1200, dtype=np.uint64))
     assert abs((minhash.signature(a) == minhash.signature(b)).mean() - 800 / 1200) < 0.12
     assert hashlib.sha256(minhash.signature(a).tobytes()).hexdigest() == hashlib.sha256(minhash.signature(a).tobytes()).hexdigest()
+
+
+def test_near_dedup_makes_few_files(spark, monkeypatch):
+    """However many partitions shuffles have, a table of few rows is written by as many tasks as cores."""
+    made = []
+    whole = minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, tasks=None: (out := whole(df, tasks), made.append(len(out.inputFiles())))[0])
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    texts = [" ".join(str((i * 7 + k) % 31) if k % (9 + i % 5) else f"w{i % 6}" for k in range(40)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    own = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 1, 70).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(made) > 5 and max(made) <= spark.sparkContext.defaultParallelism
+    assert got == {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 1, 70).collect()} and len(set(got.values())) < 60
+
+
+def test_parts_of_a_pivot_in_two_partitions_differ():
+    """A pivot whose partners go on in another partition, which the same task may read, has parts of its own there."""
+    cut = lambda a: pa.Table.from_batches(list(minhash._chunked(iter([pa.RecordBatch.from_pydict({"a": a, "b": [1] * len(a)})]))))
+    assert not {r["part"] for r in cut(list(range(2, 300))).to_pylist()} & {r["part"] for r in cut(list(range(300, 600))).to_pylist()}

@@ -124,6 +124,13 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(ids, np.uint32).tolist() == encoder.whole.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_keeps_few_words():
+    """Words and their parts share one cache, which holds no more than it has room for."""
+    encoder = packing.Encoder(packing.default_vocabulary(), cache_words=50)
+    encoder.encode([f"word{k} it's-{k} {'abcdefghij'[k % 10] * (1 + k % 7)}" for k in range(500)])
+    assert sum(len(x) for x in vars(encoder).values() if isinstance(x, dict)) <= 50
+
+
 def test_costs_are_balanced():
     rng = np.random.default_rng(5)
     lengths = rng.integers(1, 700, 500).tolist()
