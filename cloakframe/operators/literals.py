@@ -1,7 +1,8 @@
 """Search for a dictionary of literals: a trie with failure links, compiled to tables of integers and run over batches of texts.
 
-The dictionary is configuration that comes from a table's column; it is compiled once, in tables of ``ENTRIES`` entries at
-most, as many as it takes, and every table is sent to the tasks once. A batch of texts is laid out as rows of ``LANE``
+The dictionary comes from a table's column. Of a large one, literals that no text can hold are dropped first, where they are
+read: those with a run of ``GRAM`` characters that stands in no text, told by a bitmap of fixed size over the runs of all texts.
+The rest is compiled once, in tables of ``ENTRIES`` entries at most, as many as it takes, and every table is sent to the tasks once. A batch of texts is laid out as rows of ``LANE``
 characters, each with the characters before it that a literal may reach back to, and all rows take a step of the automaton
 at once, so that a character costs the same whatever the dictionary holds. Of the occurrences found the leftmost are
 chosen, of those the longest, and what overlaps them goes.
@@ -15,6 +16,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from pyspark.sql import types as T
 
 #: Entries of one table (states times classes of characters), characters of a lane, code points of a batch.
 ENTRIES, LANE, BATCH = 1 << 24, 512, 1 << 22
+#: Characters of a run that the texts are asked for, bits of the bitmap as a power of 2, characters of a dictionary that is compiled as it is.
+GRAM, BITS, SMALL = 8, 25, 1 << 20
 
 
 @dataclass
@@ -84,11 +88,13 @@ def tables(literals: list[tuple[int, str]], entries: int = ENTRIES) -> list[Tabl
     out, own, letters, chars = [], [], set(), 1
     for pair in sorted(literals, key=lambda x: (x[1].lower(), x[0])):
         more = letters | set(pair[1])
-        if own and (chars + len(pair[1])) * (len(more) + 1) > entries:
+        # What a literal shares with the one before it is in the trie already.
+        new = len(pair[1]) - (len(commonprefix([own[-1][1], pair[1]])) if own else 0)
+        if own and (chars + new) * (len(more) + 1) > entries:
             out.append(compiled(own))
-            own, more, chars = [], set(pair[1]), 1
+            own, more, chars, new = [], set(pair[1]), 1, len(pair[1])
         own.append(pair)
-        letters, chars = more, chars + len(pair[1])
+        letters, chars = more, chars + new
     return [*out, compiled(own)] if own else out
 
 
@@ -138,24 +144,85 @@ def leftmost_longest(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return order[kept]
 
 
+def gram_places(text: np.ndarray) -> np.ndarray:
+    """The bit of each run of ``GRAM`` folded code points."""
+    n = max(0, len(text) - GRAM + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += text[k : k + n]
+        out ^= out >> np.uint64(29)
+    return (out * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
+
+
+def laid_out(texts: list[str | None]) -> np.ndarray:
+    """Folded code points of all texts, with one that no text holds behind each."""
+    return folded(np.concatenate([x for t in texts for x in (np.frombuffer((t or "").encode("utf-32-le"), np.uint32), _BETWEEN)]))
+
+
+def grams_of(docs: DataFrame, text: str) -> np.ndarray:
+    """A bit for each place of a run that stands in a text; tasks tell 64 at a time, which are joined on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << BITS, bool)
+        for batch in batches:
+            for part in cut(batch, 0):
+                seen[gram_places(laid_out(part.column(0).to_pylist()))] = True
+        masks = np.packbits(seen).view(np.int64)
+        there = np.flatnonzero(masks)
+        for at in range(0, len(there), 1 << 16):
+            some = there[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(masks[some])], names=["word", "mask"])
+
+    rows = docs.select(text).mapInArrow(run, "word int, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros((1 << BITS) // 64, np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
+    return np.unpackbits(out.view(np.uint8)).astype(bool)
+
+
+def possible(own: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The rows of ``own`` (w, i) all of whose runs stand in texts: all literals that a text holds, and few others."""
+    sent = own.sparkSession.sparkContext.broadcast(np.packbits(grams_of(docs, text)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            kept = [bool(seen[gram_places(folded(np.frombuffer(w.encode("utf-32-le"), np.uint32)))].all()) for w in words]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return own.mapInArrow(run, own.schema)
+
+
+def cut(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, cut so that texts of about ``BATCH`` characters are laid out at once."""
+    held = first = 0
+    sizes = [len(t or "") for t in batch.column(column).to_pylist()]
+    for k, n in enumerate(sizes):
+        held += n
+        if held >= BATCH or k == len(sizes) - 1:
+            yield batch.slice(first, k + 1 - first)
+            first, held = k + 1, 0
+
+
 def find(docs: DataFrame, dictionary: DataFrame, literal: str, literal_id: str, keys: tuple[str, ...] = ("doc_id",), text: str = "text", entries: int = ENTRIES) -> DataFrame:
     """(keys, start, end, literal_id) of the leftmost longest occurrences of a dictionary's literals in each text."""
     spark = docs.sparkSession
     lower = F.translate(literal, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     own = dictionary.where(F.length(literal) > 0).groupBy(lower.alias("w")).agg(F.min(literal_id).alias("i"))
-    all_tables = tables([(r["i"], r["w"]) for r in own.toLocalIterator()], entries)
+    if (own.agg(F.sum(F.length("w"))).first()[0] or 0) > SMALL:
+        own = possible(own, docs, text)
+    all_tables = tables([(r["i"], r["w"]) for r in own.collect()], entries)
     sent = spark.sparkContext.broadcast(all_tables)
     names = ["start", "end", "literal_id"]
     schema = T.StructType([*(docs.schema[k] for k in keys), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("literal_id", T.LongType())])
     n_keys = len(keys)
 
     def search(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        texts = [np.frombuffer((t or "").encode("utf-32-le"), np.uint32) for t in part.column(n_keys).to_pylist()]
-        sizes = np.array([len(t) + 1 for t in texts])
+        texts = part.column(n_keys).to_pylist()
+        sizes = np.array([len(t or "") + 1 for t in texts])
         stops = np.cumsum(sizes)
-        # A code point that no text holds stands between two texts.
-        whole = np.concatenate([x for t in texts for x in (t, _BETWEEN)])
-        whole = folded(whole)
+        whole = laid_out(texts)
         found = [(*occurrences(t, whole), t) for t in sent.value]
         start = np.concatenate([s for s, _, _ in found]) if found else np.zeros(0, np.int64)
         if not len(start):
@@ -171,16 +238,10 @@ def find(docs: DataFrame, dictionary: DataFrame, literal: str, literal_id: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = 0
-            first = 0
-            sizes = [len(t or "") for t in batch.column(n_keys).to_pylist()]
-            for k, n in enumerate(sizes):
-                held += n
-                if held >= BATCH or k == len(sizes) - 1:
-                    out = search(batch.slice(first, k + 1 - first))
-                    if out is not None:
-                        yield out
-                    first, held = k + 1, 0
+            for part in cut(batch, n_keys):
+                out = search(part)
+                if out is not None:
+                    yield out
 
     return docs.select(*keys, text).mapInArrow(run, schema)
 

@@ -27,6 +27,20 @@ def leftmost(text, pairs):
     return out
 
 
+def test_literals_of_large_dictionaries_that_no_text_holds_are_not_compiled(spark, monkeypatch):
+    """All that stand in a text are found, across batches too; a trie is made of few others, in as few tables as its states fill."""
+    compiled, sizes = literals.compiled, []
+    monkeypatch.setattr(literals, "compiled", lambda own: (sizes.append(len(own)), compiled(own))[1])
+    monkeypatch.setattr(literals, "SMALL", 1000)
+    monkeypatch.setattr(literals, "BATCH", 100)
+    pairs = [(k, f"Customer#{k:09d}") for k in range(2000)] + [(5000, "de"), (5001, "Exactly8"), (5002, "é🙂 and a longer one")]
+    docs = [(k, f"de cUSTOMER#{k * 7:09d}x é🙂 and a longer one, exactly8") for k in range(3)] + [(3, None), (4, "Customer#"), (5, "exactly")]
+    got = literals.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(pairs, "i long, w string"), "w", "i").collect()
+    assert sorted((r["doc_id"], r["start"], r["end"], r["literal_id"]) for r in got) == sorted((k, *m) for k, t in docs for m in leftmost(t, pairs))
+    assert len(got) == 12 and sum(sizes) < 30
+    assert len(literals.tables(pairs[:2000], 20_000 * 20)) <= 2
+
+
 @pytest.mark.parametrize("entries", [1 << 24, 60])
 def test_literals_equal_a_search_at_each_place(spark, monkeypatch, entries):
     monkeypatch.setattr(literals, "LANE", 16)
