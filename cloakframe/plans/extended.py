@@ -221,7 +221,9 @@ def restored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     for odd in (1, 0):
         chunks.where(F.col("number") % 2 == odd).coalesce(2).write.mode("append").parquet(path)
     stream = streams.read_rows(spark, path, "answer string, number int, chunk string, last boolean", 2)
-    out = streams.run_to_files(streams.restored(stream, PLACEHOLDERS), shared_path(spark), shared_path(spark))
+    # Some 200 answers to a key of the state, however many there are.
+    stream = streams.restored(stream, PLACEHOLDERS, groups=max(64, rows.count() // 200))
+    out = streams.run_to_files(stream, shared_path(spark), shared_path(spark))
     whole = out.groupBy("answer").agg(F.expr("array_join(transform(array_sort(collect_list(struct(number, text))), x -> x.text), '')").alias("text"))
     whole = whole.select(F.split("answer", "/").alias("at"), "text").select(F.col("at")[0].cast("long").alias("conv_id"), F.col("at")[1].cast("int").alias("turn"), "text")
     both = whole.join(rows.select("conv_id", F.col("turn").cast("int").alias("turn"), F.length("masked").alias("n")), ["conv_id", "turn"])

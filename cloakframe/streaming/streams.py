@@ -115,12 +115,15 @@ def restore_step(held: str, chunk: str, longest: int, pairs: dict[str, str], pat
     return "".join([*out, text[at:stop]]), text[stop:]
 
 
-def restored(chunks: DataFrame, pairs: dict[str, str], answer: str = "answer", number: str = "number", text: str = "chunk", last: str = "last") -> DataFrame:
+def restored(chunks: DataFrame, pairs: dict[str, str], answer: str = "answer", number: str = "number", text: str = "chunk", last: str = "last", groups: int | None = None) -> DataFrame:
     """(answer, number, text): the chunks of streamed answers with placeholders turned back, wherever the chunks are cut.
 
     A chunk tells what cannot be part of a placeholder any more; what may be is held in the answer's state and told with a
     later chunk, all of it with the one marked ``last``, which frees the state. Chunks wait for those before them. Where
     placeholders overlap the leftmost counts, of those that begin there the longest; originals are not searched again.
+
+    A key of Spark's state costs milliseconds a micro-batch. Where many answers come at once, ``groups`` deals them by hash
+    to so many keys; a key's open answers are then written anew with each micro-batch that brings it a chunk.
     """
     import re
 
@@ -128,27 +131,38 @@ def restored(chunks: DataFrame, pairs: dict[str, str], answer: str = "answer", n
     longest = max(map(len, names), default=1)
     pattern = re.compile("|".join(map(re.escape, names)) or r"(?!)")
 
-    def step(keys: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        due, held, early = state.get if state.exists else (0, "", [])
-        early = {n: (c, e) for n, c, e in early}
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        now = {x[0]: (x[1], x[2], {n: (c, e) for n, c, e in x[3]}) for x in (state.get[0] if state.exists else [])}
+        met = set()
         for p in parts:
-            early |= {int(n): (c or "", bool(e)) for n, c, e in zip(p["number"], p["chunk"], p["last"], strict=True)}
-        out, over = [], False
-        while due in early and not over:
-            chunk, over = early.pop(due)
-            told, held = restore_step(held, chunk, longest, pairs, pattern)
+            for name, n, c, e in zip(p["answer"].tolist(), p["number"].tolist(), p["chunk"].tolist(), p["last"].tolist(), strict=True):
+                met.add(name)
+                now.setdefault(name, (0, "", {}))[2][int(n)] = (c or "", bool(e))
+        out = []
+        for name in met:
+            due, held, early = now[name]
+            over = False
+            while due in early and not over:
+                chunk, over = early.pop(due)
+                told, held = restore_step(held, chunk, longest, pairs, pattern)
+                if over:
+                    told, held = told + pattern.sub(lambda m: pairs[m[0]], held), ""
+                out.append((name, due, told))
+                due += 1
             if over:
-                told, held = told + pattern.sub(lambda m: pairs[m[0]], held), ""
-            out.append((str(keys[0]), due, told))
-            due += 1
-        if over:
+                del now[name]
+            else:
+                now[name] = (due, held, early)
+        if now:
+            state.update(([(name, due, held, [(n, c, e) for n, (c, e) in early.items()]) for name, (due, held, early) in now.items()],))
+        elif state.exists:
             state.remove()
-        else:
-            state.update((due, held, [(n, c, e) for n, (c, e) in early.items()]))
         yield pd.DataFrame(out, columns=["answer", "number", "text"])
 
     own = chunks.select(F.col(answer).cast("string").alias("answer"), F.col(number).cast("long").alias("number"), F.col(text).alias("chunk"), F.col(last).alias("last"))
-    return own.groupBy("answer").applyInPandasWithState(step, "answer string, number long, text string", "due long, held string, early array<struct<n:long,c:string,e:boolean>>", "append", "NoTimeout")
+    key = F.col("answer") if groups is None else F.pmod(F.xxhash64("answer"), F.lit(groups))
+    open_ = "open array<struct<answer:string,due:long,held:string,early:array<struct<n:long,c:string,e:boolean>>>>"
+    return own.withColumn("key", key).groupBy("key").applyInPandasWithState(step, "answer string, number long, text string", open_, "append", "NoTimeout")
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -115,6 +115,25 @@ def test_restored_chunks(spark, tmp_path):
     assert told == want
 
 
+def test_restored_chunks_dealt_to_few_keys(spark, tmp_path):
+    """Many answers share a key of the state, and none of them takes or keeps another's chunks."""
+    texts = {f"a{k}": f"{k} <P_1" + "2>" * (k % 2) + f" <P_1>{'x' * (k % 5)}" for k in range(40)}
+    pairs = {"<P_1>": "Ann", "<P_12>": "Bo"}
+    rows = [(a, n, t[n * 3 : n * 3 + 3], n == (len(t) - 1) // 3) for a, t in texts.items() for n in range((len(t) + 2) // 3)]
+    schema = "answer string, number long, chunk string, last boolean"
+    for half in (rows[1::2], rows[0::2]):
+        spark.createDataFrame(half, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = streams.restored(streams.read_rows(spark, str(tmp_path / "in"), schema, 1), pairs, groups=3)
+    q = out.writeStream.format("memory").queryName("dealt").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    keys = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert 0 < keys[0] <= 3 and keys[-1] == 0
+    told = {}
+    for r in sorted(spark.table("dealt").collect(), key=lambda r: r["number"]):
+        told[r["answer"]] = told.get(r["answer"], "") + r["text"]
+    assert told == {a: t.replace("<P_12>", "Bo").replace("<P_1>", "Ann") for a, t in texts.items()}
+
+
 def test_ledger_over_restarts(spark, tmp_path):
     """A batch that is run again, cut off before its commit or after it, gives the chains of one run."""
     rng = random.Random(6)
