@@ -1,10 +1,10 @@
 """Alignment of two tokenizers over the same bytes: groups between common boundaries, links of overlapping tokens, their corpus counts.
 
-Python encodes each text twice and gives ids and byte ends; what follows is Spark's higher-order functions: the ends that both
-have (``array_intersect``) cut the tokens into groups, and the token that covers each byte, laid out by ``array_repeat``,
-tells which tokens end there and which overlap, so that time is linear in a text. Links are counted over the corpus by
-pair of ids. The most frequent pairs, ``HELD`` at most, are held by all tasks; documents meet the others, none of which
-makes up much of all links, by a join on the pair.
+Python encodes each text twice and marks the bytes at which a token of either side ends, some texts at a time in numpy steps:
+marks of both sides cut the tokens into groups, and each mark of any side ends one link, that of the two tokens behind it, so
+that time is linear in a text. Spark explodes the links and counts them over the corpus by pair of ids. The most frequent
+pairs, ``HELD`` at most, are held by all tasks; documents meet the others, none of which makes up much of all links, by a
+join on the pair.
 
 A text of single spaces and line ends is encoded word by word, each distinct word once a worker: neither vocabulary has a
 token that reaches over the space or line end before a word. Any other text is encoded as a whole.
@@ -17,24 +17,26 @@ a B id's highest count are all best. An empty table gives no rows. Other columns
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sqltext import let
 from .common import written
 
 #: Most pairs held by all tasks.
 HELD = 1 << 18
 #: Words kept in a worker's cache and the longest of them, the rows taken at a time, the new words encoded in one text, and the bits of an id.
 CACHE_WORDS, LONGEST, ROWS, TOGETHER, ID_BITS = 300_000, 32, 256, 1000, 17
+#: Tokens aligned at a time, if they are not of one text.
+ALIGNED = 500_000
 #: White space other than spaces and line ends.
 _OTHER_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
-TOKENS = "doc_id long, a array<int>, a_sizes array<int>, a_ends array<int>, b array<int>, b_sizes array<int>, b_ends array<int>"
+ALIGNMENTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>"
 
 
 def default_vocabularies() -> tuple[str, str, str]:
@@ -134,19 +136,63 @@ def pair_of(files: tuple[str, str, str]) -> Pair:
     return Pair(*files)
 
 
-def _lists(parts: list[bytes]) -> tuple[pa.ListArray, pa.ListArray, pa.ListArray]:
-    """Lists of ids, of byte lengths and of the ends that these add up to."""
-    sizes = np.array([len(p) // 4 for p in parts], np.int32)
-    at = np.concatenate(([0], np.cumsum(sizes, dtype=np.int32))).astype(np.int32)
-    tokens_ = np.frombuffer(b"".join(parts), np.uint32)
-    ids, bytes_ = (tokens_ & ((1 << ID_BITS) - 1)).astype(np.int32), (tokens_ >> ID_BITS).astype(np.int32)
-    run = np.cumsum(bytes_, dtype=np.int64)
-    ends = (run - np.repeat(np.concatenate(([0], run))[at[:-1]], sizes)).astype(np.int32)
-    return tuple(pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (ids, bytes_, ends))
-
-
-def tokens(docs: DataFrame, vocabularies: tuple[str, str, str] | None = None) -> DataFrame:
-    """``TOKENS`` of each row of ``docs``."""
+@lru_cache(1)
+def digits() -> tuple[np.ndarray, np.ndarray]:
+    """The decimal digits of each id as the first bytes of eight, the others zero, and how many bits they take."""
+    texts = [b"%d" % k for k in range(1 << ID_BITS)]
+    return np.array(texts, "S8").view("<u8"), np.array([8 * len(x) for x in texts], "<u8")
+
+
+def aligned(found: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, ...]:
+    """For texts' tokens under both vocabularies: numbers of A and B tokens, groups and links, digests, and all links' pairs of ids."""
+    n_a, n_b = (np.array([len(x[side]) // 4 for x in found], np.int64) for side in (0, 1))
+    a, b = (np.frombuffer(b"".join([x[side] for x in found]), "<u4") for side in (0, 1))
+    # Both sides of a text have as many bytes, so positions may run on over all texts.
+    a_ends, b_ends = np.cumsum(a >> ID_BITS, dtype=np.int64), np.cumsum(b >> ID_BITS, dtype=np.int64)
+    a, b = a & ((1 << ID_BITS) - 1), b & ((1 << ID_BITS) - 1)
+    marks = np.zeros(int(a_ends[-1]) + 1 if len(a) else 1, np.uint8)
+    marks[a_ends] = 1
+    marks[b_ends] |= 2
+    marks = marks[np.flatnonzero(marks)]
+    # The tokens that a link joins are those whose ends have not yet passed.
+    of_a, of_b = np.cumsum(marks & 1, dtype=np.int64) - (marks & 1), np.cumsum(marks >> 1, dtype=np.int64) - (marks >> 1)
+    pairs = a[of_a].astype(np.int64) << 32 | b[of_b]
+    both = np.flatnonzero(marks == 3)
+    # Tokens of each side up to the end of each group, and groups and links up to the end of each text.
+    to_a, to_b = of_a[both] + 1, of_b[both] + 1
+    texts = np.searchsorted(to_a, np.cumsum(n_a), "right")
+    links = np.concatenate(([0], both + 1))[texts]
+    return n_a, n_b, np.diff(texts, prepend=0), np.diff(links, prepend=0), _digests(a, b, to_a, to_b, np.cumsum(n_a + n_b)), pairs
+
+
+def _digests(a: np.ndarray, b: np.ndarray, to_a: np.ndarray, to_b: np.ndarray, texts: np.ndarray) -> list[str]:
+    """SHA-256 of ``a1,a2|b1;a3|b2,b3`` of each text: ids in order of groups, A's before B's, each with the sign behind it."""
+    ids = np.empty(len(a) + len(b), np.int64)
+    signs = np.full(len(ids), ord(","), "<u8")
+    at_a = np.arange(len(a)) + np.repeat(np.concatenate(([0], to_b))[:-1], np.diff(to_a, prepend=0))
+    at_b = np.arange(len(b)) + np.repeat(to_a, np.diff(to_b, prepend=0))
+    ids[at_a], ids[at_b] = a, b
+    signs[at_a[to_a - 1]], signs[at_b[to_b - 1]] = ord("|"), ord(";")
+    names, sizes = digits()
+    cells = names[ids] | signs << sizes[ids]
+    return [hashlib.sha256(cells[i:j].tobytes().translate(None, b"\0")[:-1]).hexdigest() if i < j else "" for i, j in zip([0, *texts.tolist()], texts.tolist())]
+
+
+def _cut(found: list[tuple[bytes, bytes]]) -> Iterator[slice]:
+    """Stretches of texts with ``ALIGNED`` tokens at most, or of one text."""
+    first, size = 0, 0
+    for k, (a, b) in enumerate(found):
+        own = (len(a) + len(b)) // 4
+        if k > first and size + own > ALIGNED:
+            yield slice(first, k)
+            first, size = k, 0
+        size += own
+    if first < len(found):
+        yield slice(first, len(found))
+
+
+def alignments(docs: DataFrame, vocabularies: tuple[str, str, str] | None = None) -> DataFrame:
+    """``ALIGNMENTS`` of each row of ``docs``; a pair is the A id above the 32 bits of the B id, and there is one a link."""
     files = vocabularies or default_vocabularies()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,42 +201,24 @@ def tokens(docs: DataFrame, vocabularies: tuple[str, str, str] | None = None) ->
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 found = [x or (b"", b"") for x in pair.encode(part.column(1).to_pylist())]
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), *_lists(a), *_lists(b)], names=["doc_id", "a", "a_sizes", "a_ends", "b", "b_sizes", "b_ends"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, TOKENS)
-
-
-def _owners(sizes: str) -> str:
-    """For each byte the place of the token that covers it."""
-    return f"flatten(transform({sizes}, (n, i) -> array_repeat(i, n)))"
-
-
-def groups() -> Column:
-    """``a1,a2|b1`` of each group of the columns of ``TOKENS`` and their ``a_of`` and ``b_of``, the tokens that cover each byte."""
-
-    def part(ids: str, owner: str, begin: str) -> str:
-        """The ids of one side's tokens from byte ``begin`` up to byte c, joined."""
-        lo, hi = f"{owner}[{begin}]", f"{owner}[c - 1]"
-        return f"if({lo} = {hi}, cast({ids}[{hi}] as string), array_join(transform(sequence({lo}, {hi}), k -> cast({ids}[k] as string)), ','))"
+                for some in _cut(found):
+                    *numbers, links, digests, pairs = aligned(found[some])
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(links))).astype(np.int32)), pa.array(pairs))
+                    columns = [part.column(0)[some], *map(pa.array, (*numbers, links)), pa.array(digests, pa.string()), lists]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"])
 
-    both = lambda begins, cs: f"transform({cs}, (c, g) -> concat({part('a', 'a_of', f'{begins}[g]')}, '|', {part('b', 'b_of', f'{begins}[g]')}))"
-    return F.expr(let("array_intersect(a_ends, b_ends)", lambda cs: let(f"concat(array(0), {cs})", lambda begins: both(begins, cs))))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ALIGNMENTS)
 
 
 def linked(found: DataFrame) -> DataFrame:
-    """One row a link of ``TOKENS``: ``row``, ``pair``, the A id above the 32 bits of the B id, and on a document's first row its ``doc``.
+    """One row a link of ``ALIGNMENTS``: ``row``, ``pair`` and on a document's first row its ``doc``.
 
-    Two tokens overlap in one run of bytes, and each end of a token, of either side, ends one such run. A document without
-    tokens has one row without a pair.
+    A document without tokens has one row without a pair.
     """
-    out = found.withColumn("row", F.monotonically_increasing_id())
-    out = out.withColumns({"a_of": F.expr(_owners("a_sizes")), "b_of": F.expr(_owners("b_sizes")), "ends": F.array_union("a_ends", "b_ends")}).withColumn("groups", groups())
-    digest = F.when(F.size("a") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("")
-    doc = F.struct("doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.size("groups").cast("long").alias("n_groups"), F.size("ends").cast("long").alias("n_links"), digest.alias("groups_sha256"))
-    out = out.withColumn("doc", doc).select("row", "a", "b", "a_of", "b_of", "doc", F.posexplode_outer("ends").alias("nth", "e"))
-    pair = F.expr("shiftleft(cast(a[a_of[e - 1]] as bigint), 32) | b[b_of[e - 1]]")
-    return out.select("row", pair.alias("pair"), F.when(F.coalesce("nth", F.lit(0)) == 0, F.col("doc")).alias("doc"))
+    doc = F.struct("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
+    # The generator must stand behind the number, or it counts links.
+    out = found.withColumn("row", F.monotonically_increasing_id()).select("row", doc.alias("doc"), F.posexplode_outer("pairs").alias("nth", "pair"))
+    return out.select("row", "pair", F.when(F.coalesce("nth", F.lit(0)) == 0, F.col("doc")).alias("doc"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -214,7 +242,7 @@ def held_from(counts: DataFrame) -> tuple[int, bool]:
 
 def align(docs: DataFrame, vocabularies: tuple[str, str, str] | None = None) -> DataFrame:
     """Per document the numbers of tokens, groups and links, digests, and what its links count over the corpus."""
-    links = written(linked(tokens(docs, vocabularies)))
+    links = written(linked(alignments(docs, vocabularies)))
     counts = pair_counts(links)
     least, more = held_from(counts)
     hot = F.broadcast(counts.where(F.col("n") >= least))

@@ -214,3 +214,28 @@ def test_alignment_without_held_pairs(spark, monkeypatch):
     for most in (0, 3):
         monkeypatch.setattr(alignment, "HELD", most)
         assert rows() == held
+
+
+def test_texts_aligned_together_equal_brute_force(monkeypatch):
+    """Texts in one stretch of numpy steps give each what brute force gives alone, those without tokens nothing."""
+    rng = random.Random(4)
+    found, want = [], []
+    for n in (5, 0, 1, 60, 0, 200, 3, 0):
+        sides = []
+        for _ in range(2):
+            cuts = sorted({n, *(rng.randint(1, n) for _ in range(n // 2))}) if n else []
+            sides.append([(rng.choice([0, 9, 10, 4096, 50256, (1 << alignment.ID_BITS) - 1]), y - x) for x, y in zip([0, *cuts], cuts)])
+        found.append(tuple(b"".join((i | size << alignment.ID_BITS).to_bytes(4, "little") for i, size in side) for side in sides))
+        want.append((*map(len, sides), *aligned(*sides)))
+    monkeypatch.setattr(alignment, "ALIGNED", 40)
+    stretches = list(alignment._cut(found))
+    assert len(stretches) > 2 and [k for s in stretches for k in range(len(found))[s]] == list(range(len(found)))
+    for some in (slice(0, None), *stretches, slice(1, 2)):
+        n_a, n_b, n_groups, n_links, digests, pairs = alignment.aligned(found[some])
+        own = want[some]
+        assert list(zip(n_a, n_b, n_groups, n_links)) == [(a, b, len(g), len(x)) for a, b, g, x in own]
+        assert digests == [hashlib.sha256(";".join(g).encode()).hexdigest() if g else "" for _, _, g, _ in own]
+        at = 0
+        for n, (*_, links) in zip(n_links, own):
+            assert Counter((p >> 32, p & 0xFFFFFFFF) for p in pairs[at : at + n].tolist()) == Counter(links)
+            at += n
