@@ -47,8 +47,8 @@ KNOWN = 1 << 17
 GAIN, MOST_STEPS, RATE, RIDGE = 0.02, 12, 0.5, 0.5
 #: Events of a pack, events that one task of a gradient pass reads, rows of a table that one task sums.
 PACK_EVENTS, PASS_EVENTS, SLICE_ROWS = 1 << 16, 2_000_000, 4096
-#: Training tokens of a part of the events, and tokens or events that are merged at a time.
-PART_TOKENS, MERGED = 2_000_000, 1_500_000
+#: Training tokens of a part of the events, tokens counted at a time, and events that are merged at a time, at least.
+PART_TOKENS, MERGED, MERGED_EVENTS = 2_000_000, 1_500_000, 400_000
 
 
 @dataclass(frozen=True)
@@ -122,7 +122,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
                 held = Counter()
         yield from held.items()
 
-    return map_rows(docs, ["text"], make, COUNT, 8192).groupBy("token").agg(F.sum("c").alias("c"))
+    return map_rows(docs, ["text"], make, COUNT, 1024).groupBy("token").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -241,7 +241,7 @@ def training_events(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Counts of all (last, before, class) and (last, head token) of the training texts, by one number each, in packs.
 
     Packs are dealt by the last token, so that a gradient pass touches few rows of the tables, and merged by part as a stream:
-    a task holds what differs, which for one last token is bounded by the model's size, and ``MERGED`` more.
+    a task holds what differs, which for one last token is bounded by the model's size, and half of that or ``MERGED_EVENTS`` more.
     """
     sent, shape = docs.sparkSession.sparkContext.broadcast(vocabulary), vocabulary.shape
     parts = max(8, min(shape.ids, -(-vocabulary.total // PART_TOKENS)))
@@ -267,7 +267,11 @@ def training_events(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def dealt(held: list[np.ndarray], inner: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         for kind, own, width in ((0, held, shape.ids * shape.all), (1, inner, shape.head)):
-            k, c = np.unique(np.concatenate(own), return_counts=True)
+            k = np.concatenate(own)
+            own.clear()
+            k.sort()
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+            k, c = k[first], np.diff(first, append=len(k))
             part = (_mix(k // width) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             for p, some in enumerate(np.split(order, np.searchsorted(part[order], np.arange(1, parts)))):
@@ -282,34 +286,41 @@ def _pack(part: int, kind: int, k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], names=EVENTS.names)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch, one copied at a time: a batch has up to 64 MB."""
+    for row in range(batch.num_rows):
+        yield tuple(column[row].as_py() for column in batch.columns)
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The packs of a part and kind as one run of events in order, cut into packs again."""
 
     def summed(held: list) -> tuple[np.ndarray, np.ndarray]:
         k, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         order = np.argsort(k, kind="stable")
-        k = k[order]
+        k, c = k[order], c[order]
         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        return k[first], np.add.reduceat(c[order], first)
+        return k[first], np.add.reduceat(c, first)
 
     def whole(key: tuple[int, int], held: list) -> Iterator[pa.RecordBatch]:
         k, c = summed(held)
         for at in range(0, len(k), PACK_EVENTS):
             yield _pack(*key, k[at : at + PACK_EVENTS], c[at : at + PACK_EVENTS])
 
-    now, held, size, room = None, [], 0, MERGED
+    now, held, size, room = None, [], 0, MERGED_EVENTS
     for batch in batches:
-        for part, kind, k, c in zip(*(batch.column(n).to_pylist() for n in EVENTS.names), strict=True):
+        for part, kind, k, c in _rows(batch.select(EVENTS.names)):
             if now != (part, kind):
                 if now is not None:
                     yield from whole(now, held)
-                now, held, size, room = (part, kind), [], 0, MERGED
+                now, held, size, room = (part, kind), [], 0, MERGED_EVENTS
             held.append((np.frombuffer(k, np.int64), np.frombuffer(c, np.int64)))
             size += len(held[-1][0])
             if size > room:
                 held = [summed(held)]
                 size = len(held[0][0])
-                room = size + MERGED
+                room = size + max(MERGED_EVENTS, size // 2)
     if now is not None:
         yield from whole(now, held)
 
@@ -326,7 +337,7 @@ def gradients(events: DataFrame, w: Weights, passes: int) -> pa.Table:
         w, g = sent.value, Weights.zeros(sent.value.shape)
         loss = 0.0
         for batch in batches:
-            for kind, keys, counts in zip(*(batch.column(n).to_pylist() for n in ("kind", "k", "c")), strict=True):
+            for kind, keys, counts in _rows(batch.select(["kind", "k", "c"])):
                 k, c = np.frombuffer(keys, np.int64), np.frombuffer(counts, np.int64).astype(np.float32)
                 for at in range(0, len(k), 16_384):
                     loss += (inner_gradient if kind else class_gradient)(w, g, k[at : at + 16_384], c[at : at + 16_384])
@@ -341,7 +352,7 @@ def gradients(events: DataFrame, w: Weights, passes: int) -> pa.Table:
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, loss = None, None, 0.0
         for batch in batches:
-            for t, part, rows, g, more in zip(*(batch.column(n).to_pylist() for n in GRADIENT.names), strict=True):
+            for t, part, rows, g, more in _rows(batch.select(GRADIENT.names)):
                 at = np.frombuffer(rows, np.int32) - part * SLICE_ROWS
                 if now != (t, part):
                     if now is not None:

@@ -336,3 +336,33 @@ def test_beam_is_no_worse_than_greedy_and_recall_holds():
     true = np.argsort(-(x[:50] @ x.T), axis=1)[:, 1:6]
     assert np.mean([len(set(t) & set(f)) / 5 for t, f in zip(true, found, strict=True)]) >= 0.9
     assert isinstance(additive.unit(pd.Series([np.array([3.0, 4.0])])), np.ndarray)
+
+
+def test_merged_events_hold_little_of_a_batch():
+    """A batch of many packs of the same events is summed in a part of the memory that the batch has."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    every = np.unique(rng.integers(0, 1 << 40, 50_000))
+    packs = []
+    for part, kind, n in ((0, 0, 60), (0, 1, 1), (4, 0, 3)):
+        for _ in range(n):
+            k = np.sort(rng.choice(every, len(every) - 100, replace=False))
+            packs.append((part, kind, k, rng.integers(1, 9, len(k))))
+    batch = pa.Table.from_batches([maxent._pack(*p) for p in packs]).combine_chunks().to_batches()[0]
+    want = {}
+    for part, kind, k, c in packs:
+        own = want.setdefault((part, kind), np.zeros(len(every), np.int64))
+        own[np.searchsorted(every, k)] += c
+    tracemalloc.start()
+    got = {}
+    for b in maxent._merged(iter([batch.slice(0, 30), batch.slice(30)])):
+        for part, kind, k, c in zip(*(b.column(n).to_pylist() for n in maxent.EVENTS.names), strict=True):
+            k, c = np.frombuffer(k, np.int64), np.frombuffer(c, np.int64)
+            assert (np.diff(k) > 0).all() and (c > 0).all()
+            own = got.setdefault((part, kind), np.zeros(len(every), np.int64))
+            own[np.searchsorted(every, k)] += c
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(got) == set(want) and all((got[x] == want[x]).all() for x in want)
+    assert batch.nbytes > 48e6 and peak < 32e6
