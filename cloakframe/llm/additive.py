@@ -9,7 +9,8 @@ precision, on the original vectors. So the ``k`` nearest are found at any size o
 
 Codebooks are fitted on at most ``SAMPLE`` distinct vectors, those of least hash; every row is encoded and searched.
 Equal vectors are one class, searched once, and its smallest ids stand for it, so ties and copies cost nothing and lose
-nothing. Query blocks meet code blocks by an equi-join on block numbers.
+nothing. Query blocks meet code blocks by a shuffle on both block numbers, never by a broadcast, which would bring the
+driver a copy of all query vectors for each code block.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, nor do rows without vec_id; repeated rows with one vec_id count once; ties go to the smaller vec_id; with fewer candidates than
@@ -31,7 +32,8 @@ from .common import map_rows, written
 
 BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 8
 SAMPLE, SEED = 8192, 64
-CODE_BLOCK, QUERY_BLOCK = 1 << 12, 1 << 13
+#: Components of a block's vectors, its least rows while cores lack blocks, and the scores held at once.
+BLOCK, LEAST_ROWS, SCORES = 1 << 20, 1 << 10, 1 << 18
 
 
 @dataclass
@@ -124,8 +126,9 @@ def nearest_of_block(books: Codebooks, asked: np.ndarray, ids: np.ndarray, rows:
     off = (books.rounding() / np.maximum(norms, 1e-12)).astype(np.float32) + slack
     away = np.sqrt(np.maximum(0, 1 - align**2) + 2 * off)
     squares = ordered_dot(rows, rows)
-    for at in range(0, len(q), 64):
-        near = q[at : at + 64]
+    step = min(64, max(1, SCORES // len(x)))
+    for at in range(0, len(q), step):
+        near = q[at : at + step]
         score = np.clip(by_tables(books.tables(near), codes, norms), -1, 1)
         seeds, _ = best_of(score, max(SEED, k))
         found = np.einsum("qd,qsd->qs", near, x[seeds])
@@ -239,13 +242,24 @@ def query_blocks(queries: DataFrame, blocks: int) -> DataFrame:
     return queries.select(F.pmod(F.xxhash64("cls"), F.lit(blocks)).cast("int").alias("asked"), "cls", "embedding").groupBy("asked").applyInPandas(pack, ASKED)
 
 
+def cells(classes: DataFrame, queries: DataFrame, books: Codebooks) -> DataFrame:
+    """Every block of queries with every block of codes, each such pair a row, dealt to tasks.
+
+    The hint keeps Spark from a broadcast, as it takes the copies of all query blocks for the size of one.
+    """
+    cores, n, width = classes.sparkSession.sparkContext.defaultParallelism, classes.count(), books.books.shape[2]
+    blocks = max(1, -(-n * width // BLOCK), min(4 * cores, n // LEAST_ROWS))
+    asked = max(1, -(-queries.count() * width // BLOCK))
+    tasks = min(blocks * asked, 16 * cores)
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    codes = code_blocks(classes, books, blocks).withColumn("asked", every(asked)).repartition(tasks, "block", "asked")
+    dealt = query_blocks(queries, asked).select("asked", F.col("ids").alias("q_ids"), "vectors").withColumn("block", every(blocks)).repartition(tasks, "block", "asked")
+    return dealt.hint("merge").join(codes, ["block", "asked"])
+
+
 def candidates(classes: DataFrame, queries: DataFrame, books: Codebooks, k: int) -> DataFrame:
     """(q, cls): for each query class the ``k`` nearest classes; it is itself among them or added later."""
-    blocks = max(1, -(-classes.count() // CODE_BLOCK))
-    asked = max(1, -(-queries.count() // QUERY_BLOCK))
-    codes = code_blocks(classes, books, blocks)
-    dealt = query_blocks(queries, asked).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = dealt.select("asked", "block", F.col("ids").alias("q_ids"), "vectors").join(codes, "block").repartition("block", "asked")
+    met = cells(classes, queries, books)
     sent = classes.sparkSession.sparkContext.broadcast(books)
     kind = number_kind(classes)
 

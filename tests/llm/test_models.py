@@ -318,6 +318,23 @@ def test_codebooks_bring_the_driver_their_sample_alone(spark):
     assert additive.least_hashed(rows.limit(3), 20).count() == 3
 
 
+def test_blocks_of_queries_and_codes_meet_by_a_shuffle(spark, monkeypatch):
+    """A broadcast would bring the driver a copy of all query vectors for each block of codes."""
+    wave = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda j: F.sin(F.col("id") * j + F.col("id") * F.col("id") % 97).cast("float"))
+    table = spark.range(1, 601, 1, 3).select(F.col("id").alias("vec_id"), wave.alias("embedding"))
+    classes, asked = table.withColumnRenamed("vec_id", "cls"), table.withColumnRenamed("vec_id", "cls").where("cls % 5 = 0")
+    met = additive.candidates(classes, asked, additive.fit(classes), 3)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    # Many blocks on both sides, of some 32 rows, find what one would.
+    monkeypatch.setattr(additive, "BLOCK", 256, raising=False)
+    got = additive.search(table, table.where("vec_id % 5 = 0"), 3).collect()
+    x = {r["vec_id"]: np.array(r["embedding"]) for r in table.collect()}
+    assert len(got) == 360 and {r["rank"] for r in got} == {1, 2, 3}
+    for q in range(5, 601, 5):
+        true = sorted((float(x[q] @ v / np.linalg.norm(x[q]) / np.linalg.norm(v)) for c, v in x.items() if c != q), reverse=True)[:3]
+        assert np.allclose([r["score"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q], true, atol=1e-12)
+
+
 def test_beam_is_no_worse_than_greedy_and_recall_holds():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(4000, 32)).astype(np.float32)
