@@ -33,7 +33,7 @@ from .common import map_rows, written
 BOOKS, WORDS, BEAM, ROUNDS = 16, 256, 4, 8
 SAMPLE, SEED = 8192, 64
 #: Components of a block's vectors, its least rows while cores lack blocks, and the scores held at once.
-BLOCK, LEAST_ROWS, SCORES = 1 << 20, 1 << 10, 1 << 18
+BLOCK, LEAST_ROWS, SCORES = 1 << 20, 1 << 12, 1 << 18
 
 
 @dataclass
@@ -314,13 +314,14 @@ def search(table: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     classes = written(classes_of(rows, k))
     books = fit(classes)
     asked = written(rows.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding").distinct())
-    own = asked.join(classes.select("embedding", "cls"), "embedding").select("query_id", F.col("cls").alias("q"))
+    # Files of many equal vectors are small, so Spark would broadcast more of them than it means to.
+    own = asked.hint("merge").join(classes.select("embedding", "cls"), "embedding").select("query_id", F.col("cls").alias("q"))
     schema = "query_id long, rank int, vec_id long, score double"
     if books is None:
         return table.sparkSession.createDataFrame([], schema)
     distinct = written(own.select("q").distinct().join(classes.select(F.col("cls").alias("q"), "embedding"), "q").select(F.col("q").alias("cls"), "embedding"))
     near = candidates(classes, distinct, books, k + 1).unionByName(distinct.select(F.col("cls").alias("q"), "cls")).distinct()
-    both = near.join(classes.select("cls", F.col("embedding").alias("b"), "members"), "cls").join(distinct.select(F.col("cls").alias("q"), F.col("embedding").alias("a")), "q")
+    both = near.join(classes.select("cls", F.col("embedding").alias("b"), "members"), "cls").join(distinct.select(F.col("cls").alias("q"), F.col("embedding").alias("a")).hint("merge"), "q")
     scored = both.select("q", "cls", "members", cosine("a", "b").alias("score"))
     first = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))
     # Two classes may tie: k + 1 classes and their smallest ids hold the k nearest rows whatever the query's own row is.
